@@ -135,15 +135,15 @@ INSIGHT_COLUMNS = [
 ]
 
 
-def score_clusters(df: DataFrame, cluster_col: str = "cluster", keep_raw: bool = False) -> DataFrame:
-    """One scored row per retained cluster (positive-only clusters dropped
-    after they set the largest-cluster size)."""
+def raw_cluster_scores(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
+    """A2-A10, A12 unrounded, for every non-noise cluster (before A4)."""
     per = cluster_features(df, cluster_col)
     dataset = df.select(F.struct(
         F.count_distinct("source").alias("sources"),
         F.min("date").alias("first"),
         F.max("date").alias("last"),
     ).alias("g")).scalar()
+    # A5: the largest cluster includes positive-only clusters
     max_freq = per.select(F.max("evidence_count")).scalar()
     dataset_span = whole_days_between(dataset.getField("first"), dataset.getField("last"))
 
@@ -161,8 +161,12 @@ def score_clusters(df: DataFrame, cluster_col: str = "cluster", keep_raw: bool =
                      F.lit(0.25) * F.col("frequency_score") + F.lit(0.25) * F.col("negative_ratio_raw")
                      + F.lit(0.15) * F.col("source_diversity") + F.lit(0.15) * F.col("temporal_score")
                      + F.lit(0.20) * F.col("severity_raw"))
-    s = s.withColumn("priority_raw", F.lit(0.50) * F.col("evidence_raw") + F.lit(0.50) * F.col("severity_raw"))
-    s = s.where(F.col("negative_evidence") > 0)
+    return s.withColumn("priority_raw", F.lit(0.50) * F.col("evidence_raw") + F.lit(0.50) * F.col("severity_raw"))
+
+
+def finalize_scores(raw: DataFrame) -> DataFrame:
+    """A4 (drop positive-only), A11, A13, A24 and the descriptions."""
+    s = raw.where(F.col("negative_evidence") > 0)
     s = s.withColumns({
         "signal_strength": F.when(F.col("evidence_raw") >= 0.70, F.lit("STRONG SIGNAL")).otherwise(F.lit("WEAK SIGNAL")),
         "priority": F.when(F.col("priority_raw") >= 0.80, F.lit("HIGH"))
@@ -174,7 +178,13 @@ def score_clusters(df: DataFrame, cluster_col: str = "cluster", keep_raw: bool =
         "first_seen": F.date_format("first_seen_ts", "yyyy-MM-dd"),
         "last_seen": F.date_format("last_seen_ts", "yyyy-MM-dd"),
     })
-    s = describe_clusters(s)
+    return describe_clusters(s)
+
+
+def score_clusters(df: DataFrame, cluster_col: str = "cluster", keep_raw: bool = False) -> DataFrame:
+    """A25: one scored row per retained cluster (positive-only clusters are
+    dropped after they set the largest-cluster size)."""
+    s = finalize_scores(raw_cluster_scores(df, cluster_col))
     if keep_raw:
         return s
     return s.select(*[c for c in INSIGHT_COLUMNS if c != "problem"])
