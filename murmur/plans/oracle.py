@@ -189,3 +189,69 @@ INSIGHT_SQL_COLUMNS = (
     "priority_score, severity, severity_score, evidence_score, evidence_count, negative_evidence, "
     "negative_ratio, array_to_string(sources, ', ') AS sources, source_count, first_seen, last_seen, time_span_days"
 )
+
+
+# --- similarity and clustering (C1-C4) --------------------------------------------
+def vec_double(expr: str) -> str:
+    return f"CAST({expr} AS DOUBLE[])"
+
+
+def cosine(a: str, b: str) -> str:
+    return f"list_cosine_similarity({vec_double(a)}, {vec_double(b)})"
+
+
+def pairs_cte(src: str, id_col: str, vec_col: str, eps: float, name: str = "pairs") -> str:
+    return f"""{name} AS (
+  SELECT a.{id_col} AS src, b.{id_col} AS dst,
+         CAST(1.0 AS DOUBLE) - {cosine(f'a.{vec_col}', f'b.{vec_col}')} AS distance
+  FROM {src} a JOIN {src} b ON a.{id_col} < b.{id_col}
+  WHERE CAST(1.0 AS DOUBLE) - {cosine(f'a.{vec_col}', f'b.{vec_col}')} <= CAST({eps!r} AS DOUBLE))"""
+
+
+def components_ctes(vertices: str, edges: str, name: str = "cc") -> str:
+    """Recursive reachability; component = smallest reachable id."""
+    return f"""{name}_und AS (
+  SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst AS a, src AS b FROM {edges}),
+{name}_reach(node, label) AS (
+  SELECT id, id FROM {vertices}
+  UNION
+  SELECT u.b, r.label FROM {name}_reach r JOIN {name}_und u ON u.a = r.node),
+{name} AS (SELECT node AS id, min(label) AS component FROM {name}_reach GROUP BY node)"""
+
+
+def dbscan_ctes(src: str, id_col: str, vec_col: str, eps: float, min_samples: int, name: str = "db") -> str:
+    """``{name}`` = (id, cluster) for every row of ``src`` (-1 = noise)."""
+    return f"""{pairs_cte(src, id_col, vec_col, eps, name + '_pairs')},
+{name}_deg AS (
+  SELECT s.{id_col} AS id,
+         (CASE WHEN CAST(1.0 AS DOUBLE) - {cosine(f's.{vec_col}', f's.{vec_col}')} <= CAST({eps!r} AS DOUBLE) THEN 1 ELSE 0 END)
+         + (SELECT count(*) FROM {name}_pairs p WHERE p.src = s.{id_col} OR p.dst = s.{id_col}) AS degree
+  FROM {src} s),
+{name}_core AS (SELECT id FROM {name}_deg WHERE degree >= {int(min_samples)}),
+{name}_cedge AS (
+  SELECT p.src, p.dst FROM {name}_pairs p
+  JOIN {name}_core c1 ON c1.id = p.src JOIN {name}_core c2 ON c2.id = p.dst),
+{components_ctes(f'{name}_core', f'{name}_cedge', name + '_cc')},
+{name}_border AS (
+  SELECT CASE WHEN c.id = p.src THEN p.dst ELSE p.src END AS id, min(cc.component) AS component
+  FROM {name}_pairs p
+  JOIN {name}_core c ON c.id IN (p.src, p.dst)
+  JOIN {name}_cc cc ON cc.id = c.id
+  WHERE (CASE WHEN c.id = p.src THEN p.dst ELSE p.src END) NOT IN (SELECT id FROM {name}_core)
+  GROUP BY 1),
+{name}_lab AS (SELECT id, component FROM {name}_cc UNION ALL SELECT id, component FROM {name}_border),
+{name}_num AS (
+  SELECT component, CAST(row_number() OVER (ORDER BY component) - 1 AS INTEGER) AS cluster
+  FROM (SELECT DISTINCT component FROM {name}_lab)),
+{name} AS (
+  SELECT s.{id_col} AS id, CAST(coalesce(n.cluster, -1) AS INTEGER) AS cluster
+  FROM {src} s LEFT JOIN {name}_lab l ON l.id = s.{id_col} LEFT JOIN {name}_num n USING (component))"""
+
+
+def centroid_ctes(src: str, group_col: str, vec_col: str, name: str = "cent") -> str:
+    """``{name}`` = (group, centroid DOUBLE[]): element-wise mean."""
+    return f"""{name}_x AS (
+  SELECT {group_col} AS grp, i, CAST({vec_col}[i] AS DOUBLE) AS x
+  FROM {src}, range(1, len({vec_col}) + 1) t(i)),
+{name} AS (
+  SELECT grp, list(m ORDER BY i) AS centroid FROM (SELECT grp, i, avg(x) AS m FROM {name}_x GROUP BY grp, i) GROUP BY grp)"""

@@ -208,3 +208,160 @@ def _q_trace_evidence(spark, sf_dir):
 
 register("trace_evidence", _with(_ALL, """SELECT e.cluster, e.pos, e.id, e.source, strftime(e.date, '%Y-%m-%d') AS date, e.text
 FROM clu e WHERE e.cluster = (SELECT cluster FROM insights WHERE rank = 1)"""))(_q_trace_evidence)
+
+
+# ============================================================================
+# 2.3 / 2.4 vectors, similarity and clustering over ``embeddings``
+# ============================================================================
+FIXTURE_EPS = 0.6   # the driver vectors have no neighbours at the default 0.35
+
+
+def _embeddings(spark, sf_dir):
+    return fx.table(spark, sf_dir, "embeddings")
+
+
+def _with_rec(ctes: str, body: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{body}"
+
+
+def _round(c, digits):
+    from murmur.functions.numeric import np_round
+    return np_round(c, digits)
+
+
+def _q_l2_normalize(spark, sf_dir):
+    from murmur.operators.enrich import l2_normalize
+    df = l2_normalize(_embeddings(spark, sf_dir), "embedding", "unit")
+    return df.select("vec_id", F.posexplode("unit").alias("dim", "value")).select(
+        "vec_id", "dim", _round(F.col("value"), 9).alias("value"))
+
+
+register("l2_normalize", """WITH n AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+         sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS nrm FROM embeddings)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim,
+       """ + orc.np_round("CASE WHEN nrm > 0 THEN v[i] / nrm ELSE v[i] END", 9) + """ AS value
+FROM n, range(1, len(v) + 1) t(i)""")(_q_l2_normalize)
+
+
+def _q_cosine_to_vector(spark, sf_dir):
+    from murmur.operators.enrich import cosine_to_vector
+    emb = _embeddings(spark, sf_dir)
+    # one vector of d numbers, fetched once (a bounded value, not a table)
+    target = emb.select(F.min_by("embedding", "vec_id")).first()[0]
+    return cosine_to_vector(emb, "embedding", target).select("vec_id", _round(F.col("similarity"), 9).alias("similarity"))
+
+
+register("cosine_to_vector", """SELECT vec_id, """ + orc.np_round(
+    orc.cosine("embedding", "(SELECT arg_min(embedding, vec_id) FROM embeddings)"), 9) + """ AS similarity
+FROM embeddings""")(_q_cosine_to_vector)
+
+
+def _pairs(spark, sf_dir):
+    from murmur.operators.cluster import cosine_eps_join
+    return cosine_eps_join(_embeddings(spark, sf_dir), "vec_id", "embedding", eps=FIXTURE_EPS)
+
+
+def _q_cosine_eps_join(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("src", "dst", _round(F.col("distance"), 6).alias("distance"))
+
+
+register("cosine_eps_join", _with(orc.pairs_cte("embeddings", "vec_id", "embedding", FIXTURE_EPS),
+                                  f"SELECT src, dst, {orc.np_round('distance', 6)} AS distance FROM pairs"))(_q_cosine_eps_join)
+
+
+def _q_connected_components(spark, sf_dir):
+    from murmur.operators.cluster import connected_components
+    verts = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"))
+    return connected_components(verts, _pairs(spark, sf_dir), id_col="id")
+
+
+register("connected_components", _with_rec(
+    f"{orc.pairs_cte('embeddings', 'vec_id', 'embedding', FIXTURE_EPS)},\n"
+    f"verts AS (SELECT vec_id AS id FROM embeddings),\n{orc.components_ctes('verts', 'pairs')}",
+    "SELECT id, component FROM cc"))(_q_connected_components)
+
+
+def _dbscan(spark, sf_dir, min_samples):
+    from murmur.operators.cluster import dbscan_cosine
+    emb = _embeddings(spark, sf_dir).withColumn("pos", F.col("vec_id"))
+    return dbscan_cosine(emb, pos_col="pos", vec_col="embedding", eps=FIXTURE_EPS, min_samples=min_samples)
+
+
+def _q_dbscan_cosine(spark, sf_dir):
+    return _dbscan(spark, sf_dir, 3).select("vec_id", "cluster")
+
+
+register("dbscan_cosine", _with_rec(orc.dbscan_ctes("embeddings", "vec_id", "embedding", FIXTURE_EPS, 3),
+                                    "SELECT id AS vec_id, cluster FROM db"))(_q_dbscan_cosine)
+
+
+def _q_number_clusters(spark, sf_dir):
+    d = _dbscan(spark, sf_dir, 2)
+    return d.where("cluster <> -1").groupBy("cluster").agg(
+        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+
+
+register("number_clusters", _with_rec(orc.dbscan_ctes("embeddings", "vec_id", "embedding", FIXTURE_EPS, 2),
+                                      "SELECT cluster, min(id) AS first_id, count(*) AS size FROM db "
+                                      "WHERE cluster <> -1 GROUP BY cluster"))(_q_number_clusters)
+
+
+def _labelled_vectors(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    return emb.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"),
+                      F.col("vec_id").cast("string").alias("text"), F.col("label").alias("cluster"), "embedding")
+
+
+def _q_cluster_centroid(spark, sf_dir):
+    from murmur.operators.insights import cluster_centroid
+    c = cluster_centroid(_labelled_vectors(spark, sf_dir))
+    return c.select(F.col("cluster").alias("label"), F.posexplode("centroid").alias("dim", "value")).select(
+        "label", "dim", _round(F.col("value"), 9).alias("value"))
+
+
+register("cluster_centroid", _with(orc.centroid_ctes("embeddings", "label", "embedding"),
+                                   f"SELECT grp AS label, CAST(i - 1 AS INTEGER) AS dim, {orc.np_round('centroid[i]', 9)} AS value "
+                                   "FROM cent, range(1, len(centroid) + 1) t(i) WHERE grp <> -1"))(_q_cluster_centroid)
+
+
+def _q_representative_statement(spark, sf_dir):
+    from murmur.operators.insights import representative_statement
+    r = representative_statement(_labelled_vectors(spark, sf_dir))
+    return r.select(F.col("cluster").alias("label"), F.col("representative_pos").alias("representative_id"))
+
+
+register("representative_statement", _with(
+    orc.centroid_ctes("embeddings", "label", "embedding"),
+    f"""SELECT e.label, arg_max(e.vec_id, {{'s': {orc.np_round(orc.cosine('e.embedding', 'c.centroid'), 9)}, 'p': -e.vec_id}})
+       AS representative_id
+FROM embeddings e JOIN cent c ON c.grp = e.label WHERE e.label <> -1 GROUP BY e.label"""))(_q_representative_statement)
+
+
+# ============================================================================
+# A27: the whole analysis over F-feedback-vec
+# ============================================================================
+def _q_analyze_feedback(spark, sf_dir):
+    from murmur.operators.insights import analyze_feedback
+    ranked, _ = analyze_feedback(fx.feedback_vec_fixture(spark, sf_dir), eps=FIXTURE_EPS, min_samples=2)
+    return ranked.select("rank", *_insight_cols(ranked).columns).select(
+        *[F.array_join("sources", ", ").alias("sources") if c == "sources" else c
+          for c in ["rank"] + [c for c in _insight_cols(ranked).columns]])
+
+
+def _analyze_sql() -> str:
+    ctes = f"""{orc.feedback_cte()},
+fbv AS (SELECT fb.*, e.embedding FROM fb JOIN embeddings e ON e.vec_id = fb.pos),
+{orc.enriched_cte('fbv')},
+{orc.dbscan_ctes('enr', 'pos', 'embedding', FIXTURE_EPS, 2)},
+clu AS (SELECT enr.*, db.cluster FROM enr JOIN db ON db.id = enr.pos),
+{orc.scoring_ctes('clu')},
+{orc.centroid_ctes("(SELECT * FROM clu WHERE cluster <> -1)", 'cluster', 'embedding')},
+rep AS (
+  SELECT k.cluster, arg_max(k.text, {{'s': {orc.np_round(orc.cosine('k.embedding', 'c.centroid'), 9)}, 'p': -k.pos}}) AS problem
+  FROM clu k JOIN cent c ON c.grp = k.cluster GROUP BY k.cluster)"""
+    return _with_rec(ctes, f"SELECT rank, i.{orc.INSIGHT_SQL_COLUMNS.replace('array_to_string(sources', 'array_to_string(i.sources')}, rep.problem "
+                           "FROM insights i LEFT JOIN rep USING (cluster)")
+
+
+register("analyze_feedback", _analyze_sql())(_q_analyze_feedback)
