@@ -79,3 +79,64 @@ def feedback_vec_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     fb = feedback_fixture(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
     return fb.join(emb, "pos")
+
+
+# --- F-messy, F-csv, F-json ----------------------------------------------------------
+def messy_fixture(spark: SparkSession, sf_dir: str, drop: str | None = None, rename_review: str | None = None,
+                  csv_quirks: bool = False) -> DataFrame:
+    """F-messy: untidy headers and values derived from ``events``."""
+    ev = table(spark, sf_dir, "events")
+    pos = F.col("event_id")
+    plain = F.concat(F.lit("plain text "), pos.cast("string"))
+    if csv_quirks:
+        # a doubled quote and a line break inside some texts
+        plain = F.when(pos % 3 == 0, F.concat(F.lit('plain "q"\ntext '), pos.cast("string"))).otherwise(plain)
+    review = (F.when(pos % 11 == 0, F.lit(""))
+              .when(pos % 13 == 0, F.lit("nan"))
+              .when(pos % 7 == 0, F.concat(F.lit("\tpadded text "), pos.cast("string"), F.lit("  ")))
+              .otherwise(plain))
+    channel = F.when(pos % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type"))
+    created = (F.when(pos % 17 == 0, F.lit("not a date"))
+               .when(pos % 19 == 0, F.date_format("ts", "dd/MM/yyyy"))
+               .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    cols = {rename_review or " Review ": review, "Ticket_ID": pos, "Channel": channel, "Created_At": created}
+    if drop:
+        cols.pop(drop)
+    return ev.select(*[c.alias(n) for n, c in cols.items()])
+
+
+def write_csv_fixture(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """F-csv: F-messy (with quotes and line breaks in texts) as CSV files."""
+    (messy_fixture(spark, sf_dir, csv_quirks=True).write.mode("overwrite")
+     .option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+    return path
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    pos = F.col("event_id")
+    return ev.select(
+        pos.alias("pos"),
+        F.struct(
+            F.when(pos % 11 != 0, F.concat(F.lit("json text "), pos.cast("string"))).alias("comment"),
+            pos.alias("review_id"),
+            F.when(pos % 5 != 0, F.col("event_type")).alias("channel"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created"),
+        ).alias("rec"),
+    )
+
+
+def write_json_fixture(spark: SparkSession, sf_dir: str, path: str, chunk: int = 100) -> str:
+    """F-json: one JSON document per line, in three layouts by chunk of rows:
+    a top-level list, a ``{"reviews": [...]}`` wrapper, and single objects.
+    Each document holds at most ``chunk`` records."""
+    recs = json_records(spark, sf_dir).withColumn("_chunk", F.floor(F.col("pos") / chunk))
+    grouped = recs.where(F.col("_chunk") % 3 != 2).groupBy("_chunk").agg(F.collect_list("rec").alias("recs"))
+    as_list = grouped.where(F.col("_chunk") % 3 == 0).select(F.to_json("recs").alias("value"))
+    wrapped = grouped.where(F.col("_chunk") % 3 == 1).select(
+        F.to_json(F.struct(F.col("recs").alias("reviews"))).alias("value"))
+    single = recs.where(F.col("_chunk") % 3 == 2).select(F.to_json("rec").alias("value"))
+    as_list.unionByName(wrapped).unionByName(single).write.mode("overwrite").text(path)
+    return path

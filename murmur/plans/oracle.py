@@ -255,3 +255,42 @@ def centroid_ctes(src: str, group_col: str, vec_col: str, name: str = "cent") ->
   FROM {src}, range(1, len({vec_col}) + 1) t(i)),
 {name} AS (
   SELECT grp, list(m ORDER BY i) AS centroid FROM (SELECT grp, i, avg(x) AS m FROM {name}_x GROUP BY grp, i) GROUP BY grp)"""
+
+
+# --- standardisation (P1-P9, S1, S2) ------------------------------------------------
+DATE_STRPTIME = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d",
+                 "%d/%m/%Y %H:%M:%S", "%d/%m/%Y")
+
+
+def messy_cte(csv_quirks: bool = False, name: str = "messy") -> str:
+    plain = "'plain text ' || CAST(event_id AS VARCHAR)"
+    if csv_quirks:
+        plain = (f"CASE WHEN event_id % 3 = 0 THEN 'plain \"q\"' || chr(10) || 'text ' || CAST(event_id AS VARCHAR) "
+                 f"ELSE {plain} END")
+    return f"""{name} AS (
+  SELECT event_id AS pos,
+         CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'nan'
+              WHEN event_id % 7 = 0 THEN chr(9) || 'padded text ' || CAST(event_id AS VARCHAR) || '  '
+              ELSE {plain} END AS review,
+         event_id AS ticket_id,
+         CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS channel,
+         CASE WHEN event_id % 17 = 0 THEN 'not a date' WHEN event_id % 19 = 0 THEN strftime(ts, '%d/%m/%Y')
+              ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at
+  FROM events)"""
+
+
+def parse_date_sql(expr: str) -> str:
+    tries = ", ".join(f"try_strptime({expr}, {q(f)})" for f in DATE_STRPTIME)
+    return f"coalesce({tries}, TIMESTAMP '{FIXTURE_INGEST_TS}')"
+
+
+def standardized_cte(src: str, text: str, id_expr: str, source: str, date: str, name: str = "std") -> str:
+    return f"""{name}_raw AS (
+  SELECT pos, {id_expr} AS id, {py_strip(text)} AS text,
+         {f"coalesce({source}, 'unknown')" if source else "'uploaded_file'"} AS source,
+         {parse_date_sql(date) if date else f"TIMESTAMP '{FIXTURE_INGEST_TS}'"} AS date
+  FROM {src}),
+{name} AS (SELECT * FROM {name}_raw WHERE text IS NOT NULL AND text NOT IN ('', 'nan'))"""
+
+
+STD_OUT = "id, text, source, strftime(date, '%Y-%m-%d %H:%M:%S') AS date"

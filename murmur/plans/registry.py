@@ -365,3 +365,175 @@ rep AS (
 
 
 register("analyze_feedback", _analyze_sql())(_q_analyze_feedback)
+
+
+# ============================================================================
+# 2.1 / 2.2 sources and standardisation over F-messy, F-csv, F-json
+# ============================================================================
+def _std_out(df: DataFrame, with_pos: bool = False) -> DataFrame:
+    cols = (["pos"] if with_pos else []) + ["id", "text", "source",
+                                            F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date")]
+    return df.select(*cols)
+
+
+def _standardized(spark, sf_dir, **kw):
+    from murmur.operators.standardize import standardize_feedback
+    return standardize_feedback(fx.messy_fixture(spark, sf_dir, **kw), ingest_ts=fx.FIXTURE_INGEST_TS)
+
+
+_MESSY_STD = f"""{orc.messy_cte()},
+{orc.standardized_cte('messy', 'review', 'CAST(ticket_id AS VARCHAR)', 'channel', 'created_at')}"""
+
+
+def _q_normalize_headers(spark, sf_dir):
+    from murmur.operators.standardize import normalize_headers
+    return normalize_headers(fx.messy_fixture(spark, sf_dir))
+
+
+register("normalize_headers", _with(orc.messy_cte(), "SELECT review, ticket_id, channel, created_at FROM messy"))(
+    _q_normalize_headers)
+
+
+def _q_resolve_text_column(spark, sf_dir):
+    from murmur.operators.standardize import normalize_headers, resolve_text_column
+    df = normalize_headers(fx.messy_fixture(spark, sf_dir))
+    name = resolve_text_column(df)
+    return df.select(F.col("ticket_id").alias("pos"), F.lit(name).alias("text_column"), F.col(name).alias("text"))
+
+
+register("resolve_text_column", _with(orc.messy_cte(), "SELECT pos, 'review' AS text_column, review AS text FROM messy"))(
+    _q_resolve_text_column)
+
+
+def _q_longest_text_column(spark, sf_dir):
+    from murmur.operators.standardize import longest_text_column
+    cust = fx.table(spark, sf_dir, "customer")
+    name = longest_text_column(cust)
+    return cust.select(F.col("c_custkey").alias("id"), F.lit(name).alias("text_column"), F.col(name).alias("text"))
+
+
+register("longest_text_column", """WITH m AS (
+  SELECT avg(coalesce(length(c_name), 3)) AS a1, avg(coalesce(length(c_mktsegment), 3)) AS a2 FROM customer),
+pick AS (SELECT CASE WHEN a1 >= a2 THEN 'c_name' ELSE 'c_mktsegment' END AS col FROM m)
+SELECT c_custkey AS id, (SELECT col FROM pick) AS text_column,
+       CASE (SELECT col FROM pick) WHEN 'c_name' THEN c_name ELSE c_mktsegment END AS text
+FROM customer""")(_q_longest_text_column)
+
+
+def _q_assign_ids(spark, sf_dir):
+    return _standardized(spark, sf_dir, drop="Ticket_ID").select("pos", "id")
+
+
+register("assign_ids", _with(f"""{orc.messy_cte()},
+{orc.standardized_cte('messy', 'review', 'CAST(pos + 1 AS VARCHAR)', 'channel', 'created_at')}""",
+                             "SELECT pos, id FROM std"))(_q_assign_ids)
+
+
+def _q_resolve_source(spark, sf_dir):
+    a = _standardized(spark, sf_dir).select("id", "source", F.lit("channel").alias("variant"))
+    b = _standardized(spark, sf_dir, drop="Channel").select("id", "source", F.lit("no_channel").alias("variant"))
+    return a.unionByName(b)
+
+
+register("resolve_source", _with(f"""{orc.messy_cte()},
+{orc.standardized_cte('messy', 'review', 'CAST(ticket_id AS VARCHAR)', 'channel', 'created_at', 'a')},
+{orc.standardized_cte('messy', 'review', 'CAST(ticket_id AS VARCHAR)', None, 'created_at', 'b')}""",
+                                 "SELECT id, source, 'channel' AS variant FROM a UNION ALL "
+                                 "SELECT id, source, 'no_channel' AS variant FROM b"))(_q_resolve_source)
+
+
+def _q_resolve_date(spark, sf_dir):
+    return _standardized(spark, sf_dir).select("id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"))
+
+
+register("resolve_date", _with(_MESSY_STD, "SELECT id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM std"))(
+    _q_resolve_date)
+
+
+def _q_clean_text(spark, sf_dir):
+    return _standardized(spark, sf_dir).select("id", "text")
+
+
+register("clean_text", _with(_MESSY_STD, "SELECT id, text FROM std"))(_q_clean_text)
+
+
+def _q_standardize_feedback(spark, sf_dir):
+    return _std_out(_standardized(spark, sf_dir), with_pos=True)
+
+
+register("standardize_feedback", _with(_MESSY_STD, f"SELECT pos, {orc.STD_OUT} FROM std"))(_q_standardize_feedback)
+
+
+def _q_validate_feedback(spark, sf_dir):
+    from murmur.operators.standardize import feedback_violations, normalize_headers
+    raw = feedback_violations(normalize_headers(fx.messy_fixture(spark, sf_dir)))
+    std = feedback_violations(_standardized(spark, sf_dir))
+    return raw.withColumn("table", F.lit("raw")).unionByName(std.withColumn("table", F.lit("standardized")))
+
+
+register("validate_feedback", _with(_MESSY_STD, """SELECT 'missing_columns' AS rule, 'date, id, source, text' AS detail,
+       'raw' AS "table" FROM (SELECT 1) t
+UNION ALL SELECT 'no_rows', 'No usable feedback was found.', 'standardized' FROM (SELECT count(*) AS n FROM std) WHERE n = 0"""))(
+    _q_validate_feedback)
+
+
+def _csv_path(spark, sf_dir):
+    from murmur.session import scratch_path
+    return fx.write_csv_fixture(spark, sf_dir, scratch_path(spark, "f-csv", ".csv"))
+
+
+def _json_path(spark, sf_dir):
+    from murmur.session import scratch_path
+    return fx.write_json_fixture(spark, sf_dir, scratch_path(spark, "f-json", ".jsonl"))
+
+
+def _q_read_csv_feedback(spark, sf_dir):
+    from murmur.operators.standardize import standardize_feedback
+    from murmur.sources.files import read_csv_feedback
+    raw = read_csv_feedback(spark, _csv_path(spark, sf_dir))
+    return _std_out(standardize_feedback(raw, ingest_ts=fx.FIXTURE_INGEST_TS), with_pos=True)
+
+
+_CSV_STD = f"""{orc.messy_cte(csv_quirks=True)},
+{orc.standardized_cte('messy', 'review', 'CAST(ticket_id AS VARCHAR)', 'channel', 'created_at')}"""
+register("read_csv_feedback", _with(_CSV_STD, f"SELECT pos, {orc.STD_OUT} FROM std"))(_q_read_csv_feedback)
+
+
+def _q_read_json_feedback(spark, sf_dir):
+    from murmur.operators.standardize import standardize_feedback
+    from murmur.sources.files import read_json_feedback
+    raw = read_json_feedback(spark, _json_path(spark, sf_dir), layout="lines")
+    return _std_out(standardize_feedback(raw, ingest_ts=fx.FIXTURE_INGEST_TS))
+
+
+_JSON_STD = """jrec AS (
+  SELECT event_id AS pos, CASE WHEN event_id % 11 <> 0 THEN 'json text ' || CAST(event_id AS VARCHAR) END AS comment,
+         event_id AS review_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS channel,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS created
+  FROM events),
+""" + orc.standardized_cte("jrec", "comment", "CAST(review_id AS VARCHAR)", "channel", "created")
+register("read_json_feedback", _with(_JSON_STD, f"SELECT {orc.STD_OUT} FROM std"))(_q_read_json_feedback)
+
+
+def _q_read_feedback(spark, sf_dir):
+    from murmur.sources.files import read_feedback
+    csv = read_feedback(spark, _csv_path(spark, sf_dir), ingest_ts=fx.FIXTURE_INGEST_TS)
+    js = read_feedback(spark, _json_path(spark, sf_dir), ingest_ts=fx.FIXTURE_INGEST_TS)
+    return _std_out(csv).withColumn("format", F.lit("csv")).unionByName(
+        _std_out(js).withColumn("format", F.lit("json")))
+
+
+register("read_feedback", _with(f"{_CSV_STD.replace('std', 'cstd')},\n{_JSON_STD.replace('std', 'jstd')}",
+                                f"SELECT {orc.STD_OUT}, 'csv' AS format FROM cstd UNION ALL "
+                                f"SELECT {orc.STD_OUT}, 'json' AS format FROM jstd"))(_q_read_feedback)
+
+
+def _q_write_feedback(spark, sf_dir):
+    from murmur.operators.report import write_feedback
+    from murmur.session import scratch_path
+    path = scratch_path(spark, "feedback")
+    write_feedback(_standardized(spark, sf_dir), path)
+    return _std_out(spark.read.parquet(path), with_pos=True)
+
+
+register("write_feedback", _with(_MESSY_STD, f"SELECT pos, {orc.STD_OUT} FROM std"))(_q_write_feedback)

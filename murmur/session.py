@@ -49,11 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, ext: str = "") -> str:
     """A fresh folder next to the checkpoints (shared storage on a cluster),
     used when an operator must hand data over through files."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "murmur-scratch", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(base, "murmur-scratch", f"{name}-{uuid.uuid4().hex}{ext}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
