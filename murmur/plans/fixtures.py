@@ -140,3 +140,36 @@ def write_json_fixture(spark: SparkSession, sf_dir: str, path: str, chunk: int =
     single = recs.where(F.col("_chunk") % 3 == 2).select(F.to_json("rec").alias("value"))
     as_list.unionByName(wrapped).unionByName(single).write.mode("overwrite").text(path)
     return path
+
+
+# --- F-pages, F-paragraphs: page- and paragraph-shaped text from ``documents`` ------
+LINES_PER_PAGE = 5
+
+
+def _decorate(i, line):
+    """Prefix rule for line i of a document: bullet, number, dash, plain."""
+    return (F.when(i % 4 == 0, F.concat(F.lit("• "), line))
+            .when(i % 4 == 1, F.concat((i + 1).cast("string"), F.lit(". "), line))
+            .when(i % 4 == 2, F.concat(F.lit("- "), line))
+            .otherwise(line))
+
+
+def pages_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-pages: each document cut into pages of 5 lines, lines decorated
+    with bullets / numbering, joined with CRLF. Groups hold 5 lines."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = lines.select("doc_id", (F.floor(F.col("i") / LINES_PER_PAGE) + 1).cast("int").alias("page_no"),
+                         F.struct("i", _decorate(F.col("i"), F.col("line")).alias("l")).alias("x"))
+    pages = lines.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return pages.select("doc_id", "page_no",
+                        F.array_join(F.transform("xs", lambda x: x.getField("l")), "\r\n").alias("text"))
+
+
+def paragraphs_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-paragraphs: documents with a whitespace-only line after every third line."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    joined = F.array_join(F.transform(lines, lambda x, i: F.concat(
+        x, F.when(i % 3 == 2, F.lit("\n \n")).otherwise(F.lit("\n")))), "")
+    return docs.select("doc_id", joined.alias("text"))

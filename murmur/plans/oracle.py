@@ -294,3 +294,70 @@ def standardized_cte(src: str, text: str, id_expr: str, source: str, date: str,
 
 
 STD_OUT = "id, text, source, strftime(date, '%Y-%m-%d %H:%M:%S') AS date"
+
+
+# --- segmenters (S3-S5) ----------------------------------------------------------------
+SENTENCE_SEP = "chr(57344)"   # a private-use character marks sentence breaks (RE2 has no lookaround)
+
+
+def lines_unnest(list_expr: str, src: str, extra: str = "") -> str:
+    return f"(SELECT doc_id{extra}, {list_expr} AS l FROM {src}) z, range(1, len(l) + 1) t(i)"
+
+
+def text_lines_sql(src: str = "documents") -> str:
+    ws = _unicode_literal(PY_WHITESPACE)
+    lst = (f"list_filter(list_transform(string_split_regex(text, {q(PY_LINE_BREAK_REGEX)}), lambda x: trim(x, {ws})), "
+           f"lambda x: x <> '')")
+    return f"SELECT doc_id, CAST(i AS VARCHAR) AS id, l[i] AS text, 'text_file' AS source FROM {lines_unnest(lst, src)}"
+
+
+def paragraphs_sql(src: str, break_regex: str) -> str:
+    ws = _unicode_literal(PY_WHITESPACE)
+    lst = (f"list_filter(list_transform(string_split_regex(text, {q(break_regex)}), lambda x: trim(x, {ws})), "
+           f"lambda x: x <> '')")
+    return f"SELECT doc_id, CAST(i AS VARCHAR) AS id, l[i] AS text, 'docx' AS source FROM {lines_unnest(lst, src)}"
+
+
+def page_lines_ctes(src: str, bullet: str, numbering: str) -> str:
+    ws = _unicode_literal(PY_WHITESPACE)
+    cls = PY_WS_CLASS
+    norm = f"replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return f"""s5a AS (
+  SELECT doc_id, page_no,
+         list_filter(list_transform(string_split({norm}, chr(10)), lambda x: trim(x, {ws})),
+                     lambda x: x <> '' AND length(x) >= 8) AS lines
+  FROM {src}),
+s5b AS (
+  SELECT doc_id, page_no,
+         list_filter(list_transform(lines, lambda x: trim(regexp_replace(trim(regexp_replace(x, {q(bullet)}, ''), {ws}),
+                                                                          {q(numbering)}, ''), {ws})),
+                     lambda x: x <> '') AS lines
+  FROM s5a),
+s5c AS (
+  SELECT doc_id, page_no,
+         list_filter(list_transform(flatten(list_transform(lines, lambda x: string_split(
+             regexp_replace(x, {q('([.!?])' + cls + '+([A-Z])')}, '\\1' || {SENTENCE_SEP} || '\\2', 'g'), {SENTENCE_SEP}))),
+             lambda x: trim(x, {ws})), lambda x: length(x) >= 8) AS s
+  FROM s5b),
+s5d AS (
+  SELECT doc_id, page_no, s,
+         coalesce(sum(len(s)) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM s5c)"""
+
+
+def pages_fixture_cte(name: str = "pg") -> str:
+    return f"""{name}_l AS (
+  SELECT doc_id, i - 1 AS i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) z,
+         range(1, len(l) + 1) t(i)),
+{name} AS (
+  SELECT doc_id, CAST(i // 5 + 1 AS INTEGER) AS page_no,
+         string_agg(CASE i % 4 WHEN 0 THEN '• ' || line WHEN 1 THEN CAST(i + 1 AS VARCHAR) || '. ' || line
+                               WHEN 2 THEN '- ' || line ELSE line END, chr(13) || chr(10) ORDER BY i) AS text
+  FROM {name}_l GROUP BY 1, 2)"""
+
+
+def paragraphs_fixture_cte(name: str = "para") -> str:
+    return f"""{name} AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
+           lambda x, i: x || CASE WHEN (i - 1) % 3 = 2 THEN chr(10) || ' ' || chr(10) ELSE chr(10) END), '') AS text
+  FROM documents)"""

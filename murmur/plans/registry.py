@@ -537,3 +537,45 @@ def _q_write_feedback(spark, sf_dir):
 
 
 register("write_feedback", _with(_MESSY_STD, f"SELECT pos, {orc.STD_OUT} FROM std"))(_q_write_feedback)
+
+
+# ============================================================================
+# 2.1 segmenters over ``documents``
+# ============================================================================
+def _q_text_lines_feedback(spark, sf_dir):
+    from murmur.sources.segment import text_lines_feedback
+    docs = fx.table(spark, sf_dir, "documents")
+    return text_lines_feedback(docs, ingest_ts=fx.FIXTURE_INGEST_TS).select("doc_id", "id", "text", "source")
+
+
+register("text_lines_feedback", orc.text_lines_sql("documents"))(_q_text_lines_feedback)
+
+
+def _q_paragraph_feedback(spark, sf_dir):
+    from murmur.sources.segment import paragraph_feedback
+    docs = fx.paragraphs_fixture(spark, sf_dir)
+    return paragraph_feedback(docs, ingest_ts=fx.FIXTURE_INGEST_TS).select("doc_id", "id", "text", "source")
+
+
+def _paragraph_sql():
+    from murmur.sources.segment import PARAGRAPH_BREAK_REGEX
+    return _with(orc.paragraphs_fixture_cte(), orc.paragraphs_sql("para", PARAGRAPH_BREAK_REGEX))
+
+
+register("paragraph_feedback", _paragraph_sql())(_q_paragraph_feedback)
+
+
+def _q_page_line_feedback(spark, sf_dir):
+    from murmur.sources.segment import page_line_feedback
+    pages = fx.pages_fixture(spark, sf_dir)
+    return page_line_feedback(pages, ingest_ts=fx.FIXTURE_INGEST_TS).select("doc_id", "id", "text", "source")
+
+
+def _page_sql():
+    from murmur.sources.segment import BULLET_REGEX, NUMBERING_REGEX
+    return _with(f"{orc.pages_fixture_cte()},\n{orc.page_lines_ctes('pg', BULLET_REGEX, NUMBERING_REGEX)}",
+                 "SELECT doc_id, CAST(off + i AS VARCHAR) AS id, s[i] AS text, 'pdf_page_' || CAST(page_no AS VARCHAR) AS source "
+                 "FROM s5d, range(1, len(s) + 1) t(i)")
+
+
+register("page_line_feedback", _page_sql())(_q_page_line_feedback)
