@@ -45,7 +45,10 @@ def _sanitize(col, dtype):
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(F.isnan(col) | (F.abs(col) == F.lit(float("inf"))), F.lit(None).cast(dtype)).otherwise(col)
     if isinstance(dtype, T.TimestampType) or isinstance(dtype, T.TimestampNTZType):
-        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        # like Python's isoformat(): fraction only when there are microseconds
+        return F.when(F.unix_micros(col.cast("timestamp")) % 1_000_000 == 0,
+                      F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+            F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     if isinstance(dtype, T.DateType):
         return F.date_format(col, "yyyy-MM-dd")
     if isinstance(dtype, T.ArrayType):

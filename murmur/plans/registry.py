@@ -579,3 +579,77 @@ def _page_sql():
 
 
 register("page_line_feedback", _page_sql())(_q_page_line_feedback)
+
+
+# ============================================================================
+# 2.6 sanitising and JSON; 2.3 Spark ML scorers (rows-only checks)
+# ============================================================================
+def _nonfinite(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    pos = F.col("event_id")
+    bad = (F.when(pos % 7 == 1, F.lit(float("nan"))).when(pos % 7 == 2, F.lit(float("inf")))
+           .when(pos % 7 == 3, F.lit(float("-inf"))).otherwise(F.col("value")))
+    return ev.select(
+        "event_id",
+        bad.alias("value"),
+        F.struct(bad.alias("v"), F.col("event_type").alias("t")).alias("nested"),
+        F.array(F.col("value"), bad, F.lit(float("nan"))).alias("arr"),
+        F.when(pos % 2 == 0, F.date_trunc("second", "ts")).otherwise(F.col("ts")).alias("ts"),
+    )
+
+
+def _q_sanitize_nonfinite(spark, sf_dir):
+    from murmur.operators.report import sanitize_nonfinite
+    s = sanitize_nonfinite(_nonfinite(spark, sf_dir))
+    return s.select(
+        "event_id", "value", F.col("nested.v").alias("nested_v"), F.col("nested.t").alias("nested_t"),
+        F.size(F.filter("arr", lambda x: x.isNull())).alias("arr_nulls"),
+        F.aggregate(F.filter("arr", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x).alias("arr_sum"),
+        "ts")
+
+
+register("sanitize_nonfinite", """WITH b AS (
+  SELECT event_id, value AS raw, event_type,
+         CASE WHEN event_id % 7 IN (1, 2, 3) THEN NULL ELSE value END AS v,
+         CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE ts END AS t
+  FROM events)
+SELECT event_id, v AS value, v AS nested_v, event_type AS nested_t,
+       CASE WHEN v IS NULL THEN 2 ELSE 1 END AS arr_nulls,
+       CASE WHEN v IS NULL THEN raw ELSE raw + v END AS arr_sum,
+       CASE WHEN microsecond(t) % 1000000 = 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(t, '%Y-%m-%dT%H:%M:%S.%f') END AS ts
+FROM b""")(_q_sanitize_nonfinite)
+
+
+def _q_insights_json(spark, sf_dir):
+    from murmur.operators.insights import score_clusters
+    from murmur.operators.report import insights_json
+    return insights_json(score_clusters(_clustered(spark, sf_dir)))
+
+
+register("insights_json")(_q_insights_json)
+
+
+def _labelled_documents(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return docs, docs.join(labels, "doc_id")
+
+
+def _q_score_sentiment_model(spark, sf_dir):
+    from murmur.operators.enrich import fit_sentiment_model, score_sentiment_model
+    docs, train = _labelled_documents(spark, sf_dir)
+    model = fit_sentiment_model(train, num_features=1 << 16, max_iter=20)
+    return score_sentiment_model(docs, model).select("doc_id", "sentiment", "sentiment_score")
+
+
+register("score_sentiment_model")(_q_score_sentiment_model)
+
+
+def _q_embed_text(spark, sf_dir):
+    from murmur.operators.enrich import embed_text, fit_text_embedder
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed_text(docs, fit_text_embedder(docs)).select("doc_id", "embedding")
+
+
+register("embed_text")(_q_embed_text)
