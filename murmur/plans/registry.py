@@ -83,7 +83,8 @@ _ALL = f"{_CLU},\n{_SCORING}"
 
 def _register_select(name: str, base: Callable, spark_cols: list, sql_from: str, sql_cols: str):
     def fn(spark, sf_dir):
-        return base(spark, sf_dir).select(*spark_cols)
+        cols = spark_cols() if callable(spark_cols) else spark_cols
+        return base(spark, sf_dir).select(*cols)
     fn.__name__ = f"_q_{name}"
     register(name, _with(_ALL, f"SELECT {sql_cols} FROM {sql_from}"))(fn)
 
@@ -95,37 +96,37 @@ def _drop_noise(spark, sf_dir):
 
 register("drop_noise", _with(_ALL, "SELECT pos, cluster FROM clu WHERE cluster <> -1"))(_drop_noise)
 
-_register_select("evidence_count", _raw, ["cluster", "evidence_count"], "s4", "cluster, evidence_count")
-_register_select("negative_evidence", _raw, ["cluster", "negative_evidence", F.col("negative_ratio_raw").alias("negative_ratio")],
+_register_select("evidence_count", _raw, lambda: ["cluster", "evidence_count"], "s4", "cluster, evidence_count")
+_register_select("negative_evidence", _raw, lambda: ["cluster", "negative_evidence", F.col("negative_ratio_raw").alias("negative_ratio")],
                  "s4", "cluster, negative_evidence, negative_ratio_raw AS negative_ratio")
-_register_select("drop_positive_only", _final, ["cluster", "negative_evidence"], "scored", "cluster, negative_evidence")
-_register_select("frequency_score", _raw, ["cluster", "frequency_score"], "s4", "cluster, frequency_score")
-_register_select("source_diversity", _raw, ["cluster", "source_count", "source_diversity"], "s4",
+_register_select("drop_positive_only", _final, lambda: ["cluster", "negative_evidence"], "scored", "cluster, negative_evidence")
+_register_select("frequency_score", _raw, lambda: ["cluster", "frequency_score"], "s4", "cluster, frequency_score")
+_register_select("source_diversity", _raw, lambda: ["cluster", "source_count", "source_diversity"], "s4",
                  "cluster, source_count, source_diversity")
 _register_select("cluster_time_span", _raw,
-                 ["cluster", F.date_format("first_seen_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen_ts"),
+                 lambda: ["cluster", F.date_format("first_seen_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen_ts"),
                   F.date_format("last_seen_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_seen_ts"), "time_span_days"],
                  "s4", "cluster, strftime(first_seen_ts, '%Y-%m-%d %H:%M:%S.%f') AS first_seen_ts, "
                        "strftime(last_seen_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_seen_ts, time_span_days")
-_register_select("temporal_score", _raw, ["cluster", "temporal_score"], "s4", "cluster, temporal_score")
-_register_select("mean_severity", _raw, ["cluster", F.col("severity_raw").alias("severity_score")], "s4",
+_register_select("temporal_score", _raw, lambda: ["cluster", "temporal_score"], "s4", "cluster, temporal_score")
+_register_select("mean_severity", _raw, lambda: ["cluster", F.col("severity_raw").alias("severity_score")], "s4",
                  "cluster, severity_raw AS severity_score")
-_register_select("evidence_score", _raw, ["cluster", F.col("evidence_raw").alias("evidence_score")], "s4",
+_register_select("evidence_score", _raw, lambda: ["cluster", F.col("evidence_raw").alias("evidence_score")], "s4",
                  "cluster, evidence_raw AS evidence_score")
-_register_select("signal_strength", _final, ["cluster", "signal_strength"], "scored", "cluster, signal_strength")
-_register_select("priority_score", _raw, ["cluster", F.col("priority_raw").alias("priority_score")], "s4",
+_register_select("signal_strength", _final, lambda: ["cluster", "signal_strength"], "scored", "cluster, signal_strength")
+_register_select("priority_score", _raw, lambda: ["cluster", F.col("priority_raw").alias("priority_score")], "s4",
                  "cluster, priority_raw AS priority_score")
-_register_select("priority_level", _final, ["cluster", "priority"], "scored", "cluster, priority")
-_register_select("dominant_severity", _raw, ["cluster", "severity"], "s4", "cluster, severity")
-_register_select("source_list", _raw, ["cluster", F.array_join("sources", ", ").alias("sources")], "s4",
+_register_select("priority_level", _final, lambda: ["cluster", "priority"], "scored", "cluster, priority")
+_register_select("dominant_severity", _raw, lambda: ["cluster", "severity"], "s4", "cluster, severity")
+_register_select("source_list", _raw, lambda: ["cluster", F.array_join("sources", ", ").alias("sources")], "s4",
                  "cluster, array_to_string(sources, ', ') AS sources")
-_register_select("keyword_flags", _raw, ["cluster"] + ["kw_" + w for w in lx.THEME_KEYWORDS], "s4",
+_register_select("keyword_flags", _raw, lambda: ["cluster"] + ["kw_" + w for w in lx.THEME_KEYWORDS], "s4",
                  "cluster, " + ", ".join("kw_" + w for w in lx.THEME_KEYWORDS))
-_register_select("problem_summary", _final, ["cluster", "theme", "problem_summary"], "insights",
+_register_select("problem_summary", _final, lambda: ["cluster", "theme", "problem_summary"], "insights",
                  "cluster, theme, problem_summary")
-_register_select("observed_pattern", _final, ["cluster", "observed_pattern"], "insights", "cluster, observed_pattern")
-_register_select("customer_impact", _final, ["cluster", "customer_impact"], "insights", "cluster, customer_impact")
-_register_select("round_scores", _final, ["cluster", "priority_score", "severity_score", "evidence_score", "negative_ratio"],
+_register_select("observed_pattern", _final, lambda: ["cluster", "observed_pattern"], "insights", "cluster, observed_pattern")
+_register_select("customer_impact", _final, lambda: ["cluster", "customer_impact"], "insights", "cluster, customer_impact")
+_register_select("round_scores", _final, lambda: ["cluster", "priority_score", "severity_score", "evidence_score", "negative_ratio"],
                  "scored", "cluster, priority_score, severity_score, evidence_score, negative_ratio")
 
 
