@@ -70,11 +70,40 @@ def _split_pair(pdf: pd.DataFrame):
     return a, b, lo == hi
 
 
-def _neighbour_mask(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
-    ua, ub = _unit_matrix(a["_v"].tolist()), _unit_matrix(b["_v"].tolist())
+TILE_ROWS = 2048          # rows of the left block per matrix tile
+
+
+def _f32_margin(dim: int) -> float:
+    """Safe bound on the float32 error of a unit-vector dot product."""
+    return max(1e-4, 4.0 * dim * float(np.finfo(np.float32).eps))
+
+
+def _neighbour_tiles(ua: np.ndarray, ub: np.ndarray, eps: float, same: bool):
+    """Yield ``(i, j, dist)`` index arrays of all pairs with cosine distance
+    <= eps, tile by tile: a float32 product selects candidates within a safe
+    margin, which are then re-checked exactly in float64. With ``same`` only
+    i < j is yielded."""
     if ua.size == 0 or ub.size == 0:
-        return np.zeros((len(a), len(b)), dtype=bool)
-    return (1.0 - ua @ ub.T) <= eps
+        return
+    a32, b32 = ua.astype(np.float32), ub.astype(np.float32)
+    floor = (1.0 - eps) - _f32_margin(ua.shape[1])
+    for start in range(0, len(ua), TILE_ROWS):
+        sim = a32[start:start + TILE_ROWS] @ b32.T
+        i, j = np.nonzero(sim >= floor)
+        i = i + start
+        if same:
+            keep = i < j
+            i, j = i[keep], j[keep]
+        if len(i) == 0:
+            continue
+        dist = 1.0 - np.einsum("ij,ij->i", ua[i], ub[j])
+        ok = dist <= eps
+        yield i[ok], j[ok], dist[ok]
+
+
+def _self_neighbour(u: np.ndarray, eps: float) -> np.ndarray:
+    """Whether each row is within eps of itself (false only for zero vectors)."""
+    return (1.0 - np.einsum("ij,ij->i", u, u)) <= eps
 
 
 # --- C1 --------------------------------------------------------------------------
@@ -82,22 +111,22 @@ _PAIR_SCHEMA = "src long, dst long, distance double"
 
 
 def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
-                    block_rows: int = 2048) -> DataFrame:
+                    block_rows: int = 8192) -> DataFrame:
     """All pairs (src < dst) whose cosine distance ``1 - cos`` is <= eps.
     The output is as large as the answer; clustering does not call this."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split_pair(pdf)
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
         ua, ub = _unit_matrix(a["_v"].tolist()), _unit_matrix(b["_v"].tolist())
-        dist = 1.0 - ua @ ub.T
-        mask = dist <= eps
-        if same:
-            mask = np.triu(mask, k=1)
-        i, j = np.nonzero(mask)
-        ia, jb = a["_id"].to_numpy()[i], b["_id"].to_numpy()[j]
-        return pd.DataFrame({"src": np.minimum(ia, jb), "dst": np.maximum(ia, jb), "distance": dist[i, j]})
+        ida, idb = a["_id"].to_numpy(), b["_id"].to_numpy()
+        parts = []
+        for i, j, d in _neighbour_tiles(ua, ub, eps, same):
+            parts.append(pd.DataFrame({"src": np.minimum(ida[i], idb[j]), "dst": np.maximum(ida[i], idb[j]),
+                                       "distance": d}))
+        if not parts:
+            return pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        return pd.concat(parts, ignore_index=True)
 
     prepared, blocks = _block_layout(df, id_col, vec_col, block_rows)
     return _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(pairs, _PAIR_SCHEMA)
@@ -128,10 +157,11 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def _is_star_forest(e: DataFrame) -> bool:
-    # converged: every child has one parent and no parent is a child
-    if not e.groupBy("u").count().where(F.col("count") > 1).isEmpty():
-        return False
-    return e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
+    """Converged when every child has one parent and no parent is a child
+    (one job: either kind of violation makes the union non-empty)."""
+    two_parents = e.groupBy("u").count().where(F.col("count") > 1).select("u")
+    parent_is_child = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+    return two_parents.unionByName(parent_is_child).isEmpty()
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id", src: str = "src",
@@ -152,80 +182,102 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
 
 
 # --- C3 / C4 -----------------------------------------------------------------------
-def _local_roots(n: int, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
-    """Component root (smallest index) for each of n nodes given an edge list;
-    hook the larger root under the smaller, then compress, until stable."""
-    parent = np.arange(n)
-    while len(ii):
-        ri, rj = parent[ii], parent[jj]
-        diff = ri != rj
-        if not diff.any():
-            break
-        np.minimum.at(parent, np.maximum(ri[diff], rj[diff]), np.minimum(ri[diff], rj[diff]))
-        while True:
-            nxt = parent[parent]
-            if np.array_equal(nxt, parent):
+class _Forest:
+    """Union-find over n local nodes, fed edge arrays tile by tile; roots are
+    the smallest index of each component."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def add(self, ii: np.ndarray, jj: np.ndarray) -> None:
+        parent = self.parent
+        while len(ii):
+            ri, rj = parent[ii], parent[jj]
+            diff = ri != rj
+            if not diff.any():
                 break
-            parent = nxt
-    return parent
+            ii, jj = ii[diff], jj[diff]
+            np.minimum.at(parent, np.maximum(ri[diff], rj[diff]), np.minimum(ri[diff], rj[diff]))
+            while True:
+                nxt = parent[parent]
+                if np.array_equal(nxt, parent):
+                    break
+                parent = nxt
+        self.parent = parent
+
+    def edges(self):
+        """(child, root) for every non-root node: a spanning forest."""
+        child = np.nonzero(self.parent != np.arange(len(self.parent)))[0]
+        return child, self.parent[child]
+
+
+def _pair_vectors(pdf: pd.DataFrame):
+    a, b, same = _split_pair(pdf)
+    ua = _unit_matrix(a["_v"].tolist())
+    ub = ua if same else _unit_matrix(b["_v"].tolist())
+    return a, b, same, ua, ub
 
 
 def _degree_fn(eps: float):
+    """Pass 1: per row, the number of neighbours in the other block of the
+    pair (both directions; self counted in the diagonal pair)."""
     def degrees(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _split_pair(pdf)
-        mask = _neighbour_mask(a, b, eps)
+        a, b, same, ua, ub = _pair_vectors(pdf)
+        ca, cb = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        for i, j, _ in _neighbour_tiles(ua, ub, eps, same):
+            ca += np.bincount(i, minlength=len(a))
+            cb += np.bincount(j, minlength=len(b))
         if same:
-            ids, cnt = a["_id"].to_numpy(), mask.sum(axis=1)
+            cnt, ids = ca + cb + _self_neighbour(ua, eps).astype(np.int64), a["_id"].to_numpy()
         else:
+            cnt = np.concatenate([ca, cb])
             ids = np.concatenate([a["_id"].to_numpy(), b["_id"].to_numpy()])
-            cnt = np.concatenate([mask.sum(axis=1), mask.sum(axis=0)])
         keep = cnt > 0
-        return pd.DataFrame({"_id": ids[keep], "cnt": cnt[keep].astype(np.int64)})
+        return pd.DataFrame({"_id": ids[keep], "cnt": cnt[keep]})
     return degrees
 
 
 _LINK_SCHEMA = "kind int, a long, b long"   # kind 0: core-core forest edge, 1: non-core -> core
 
 
-def _link_fn(eps: float):
+def _links_frame(parts) -> pd.DataFrame:
+    if not parts:
+        return pd.DataFrame({"kind": pd.Series([], dtype="int32"), "a": pd.Series([], dtype="int64"),
+                             "b": pd.Series([], dtype="int64")})
+    return pd.concat(parts, ignore_index=True).astype({"kind": "int32", "a": "int64", "b": "int64"})
+
+
+def _link_fn(eps: float, all_core: bool):
+    """Pass 2: a spanning forest of core-core neighbour edges in this block
+    pair, plus each non-core row's core neighbours (fewer than min_samples).
+    ``all_core``: every row with a neighbour is core (min_samples <= 2)."""
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _split_pair(pdf)
-        mask = _neighbour_mask(a, b, eps)
-        core_a, core_b = a["_core"].to_numpy(), b["_core"].to_numpy()
+        a, b, same, ua, ub = _pair_vectors(pdf)
         ida, idb = a["_id"].to_numpy(), b["_id"].to_numpy()
-        out = []
-        # spanning forest of core-core neighbours inside this block pair
-        if same:
-            sel = np.nonzero(core_a)[0]
-            sub = np.triu(mask[np.ix_(sel, sel)], k=1)
-            ii, jj = np.nonzero(sub)
-            node_ids = ida[sel]
+        if all_core:
+            core_a = np.ones(len(a), dtype=bool)
         else:
-            sa, sb = np.nonzero(core_a)[0], np.nonzero(core_b)[0]
-            ii, jj = np.nonzero(mask[np.ix_(sa, sb)])
-            jj = jj + len(sa)
-            node_ids = np.concatenate([ida[sa], idb[sb]])
-        if len(ii):
-            order = np.argsort(node_ids, kind="stable")
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            roots = _local_roots(len(node_ids), rank[ii], rank[jj])
-            sorted_ids = node_ids[order]
-            child = np.nonzero(roots != np.arange(len(roots)))[0]
-            out.append(pd.DataFrame({"kind": 0, "a": sorted_ids[child], "b": sorted_ids[roots[child]]}))
-        # non-core rows and their core neighbours (bounded by min_samples)
-        i, j = np.nonzero(mask & ~core_a[:, None] & core_b[None, :])
-        if len(i):
-            out.append(pd.DataFrame({"kind": 1, "a": ida[i], "b": idb[j]}))
-        if not same:
-            i, j = np.nonzero(mask & core_a[:, None] & ~core_b[None, :])
-            if len(i):
-                out.append(pd.DataFrame({"kind": 1, "a": idb[j], "b": ida[i]}))
-        if not out:
-            return pd.DataFrame({"kind": pd.Series([], dtype="int32"), "a": pd.Series([], dtype="int64"),
-                                 "b": pd.Series([], dtype="int64")})
-        res = pd.concat(out, ignore_index=True)
-        return res.astype({"kind": "int32", "a": "int64", "b": "int64"})
+            core_a = a["_core"].to_numpy().astype(bool)
+        core_b = core_a if same else (np.ones(len(b), dtype=bool) if all_core else b["_core"].to_numpy().astype(bool))
+        # local node numbering: rows of a, then rows of b (when distinct)
+        off = 0 if same else len(a)
+        forest = _Forest(len(a) if same else len(a) + len(b))
+        parts = []
+        for i, j, _ in _neighbour_tiles(ua, ub, eps, same):
+            cc = core_a[i] & core_b[j]
+            forest.add(i[cc], j[cc] + off)
+            if not all_core:
+                nb = ~core_a[i] & core_b[j]
+                if nb.any():
+                    parts.append(pd.DataFrame({"kind": 1, "a": ida[i[nb]], "b": idb[j[nb]]}))
+                bn = core_a[i] & ~core_b[j]
+                if bn.any():
+                    parts.append(pd.DataFrame({"kind": 1, "a": idb[j[bn]], "b": ida[i[bn]]}))
+        node_ids = ida if same else np.concatenate([ida, idb])
+        child, root = forest.edges()
+        if len(child):
+            parts.append(pd.DataFrame({"kind": 0, "a": node_ids[child], "b": node_ids[root]}))
+        return _links_frame(parts)
     return links
 
 
@@ -239,7 +291,7 @@ def number_clusters(assign: DataFrame, id_col: str = "id", label_col: str = "com
 
 
 def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding", eps: float = 0.35,
-                  min_samples: int = 2, block_rows: int = 2048, out_col: str = "cluster") -> DataFrame:
+                  min_samples: int = 2, block_rows: int = 8192, out_col: str = "cluster") -> DataFrame:
     """Adds ``cluster`` (int, -1 = noise). A point counts itself as a
     neighbour; core = at least ``min_samples`` neighbours within ``eps``;
     clusters are connected cores; a non-core point within eps of a core is a
@@ -248,27 +300,44 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     prepared, blocks = _block_layout(df, pos_col, vec_col, block_rows)
     prepared = cut_lineage(prepared)
     ids = prepared.select("_id")
-
-    # pass 1: exact degree (including self)
-    partial = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
-        _degree_fn(eps), "_id long, cnt long")
-    degree = partial.groupBy("_id").agg(F.sum("cnt").alias("degree"))
-    flagged = prepared.join(degree, "_id", "left").withColumn(
-        "_core", F.coalesce(F.col("degree"), F.lit(0)) >= F.lit(min_samples)).drop("degree")
-    flagged = cut_lineage(flagged)
-
-    # pass 2: sparse links
-    links = _replicate(flagged, blocks).groupBy("_lo", "_hi").applyInPandas(_link_fn(eps), _LINK_SCHEMA)
-    links = cut_lineage(links)
-
-    cores = flagged.where("_core").select(F.col("_id").alias("id"))
-    comp = connected_components(cores, links.where("kind = 0"), id_col="id", src="a", dst="b")
-    border = (
-        links.where("kind = 1")
-        .join(comp.withColumnRenamed("id", "b"), "b")
-        .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
-    )
-    numbered = number_clusters(comp.unionByName(border), id_col="id", label_col="component", out_col=out_col)
+    # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
+    # core, so one pass suffices; zero vectors have no neighbours
+    fast = min_samples <= 2 and eps < 1.0
+
+    if fast:
+        links = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
+            _link_fn(eps, all_core=True), _LINK_SCHEMA)
+        links = cut_lineage(links)
+        edges = links.where("kind = 0")
+        if min_samples <= 1:
+            cores = ids.select(F.col("_id").alias("id"))
+        else:
+            cores = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    else:
+        # pass 1: exact degree (including self)
+        partial = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
+            _degree_fn(eps), "_id long, cnt long")
+        degree = partial.groupBy("_id").agg(F.sum("cnt").alias("degree"))
+        flagged = prepared.join(degree, "_id", "left").withColumn(
+            "_core", F.coalesce(F.col("degree"), F.lit(0)) >= F.lit(min_samples)).drop("degree")
+        flagged = cut_lineage(flagged)
+        # pass 2: sparse links
+        links = _replicate(flagged, blocks).groupBy("_lo", "_hi").applyInPandas(
+            _link_fn(eps, all_core=False), _LINK_SCHEMA)
+        links = cut_lineage(links)
+        edges = links.where("kind = 0")
+        cores = flagged.where("_core").select(F.col("_id").alias("id"))
+
+    comp = connected_components(cores, edges, id_col="id", src="a", dst="b")
+    assigned = comp
+    if not fast:
+        border = (
+            links.where("kind = 1")
+            .join(comp.withColumnRenamed("id", "b"), "b")
+            .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
+        )
+        assigned = comp.unionByName(border)
+    numbered = number_clusters(assigned, id_col="id", label_col="component", out_col=out_col)
     labels = ids.join(numbered.withColumnRenamed("id", "_id"), "_id", "left").select(
         F.col("_id").alias("_pos_key"), F.coalesce(F.col(out_col), F.lit(-1)).alias(out_col))
     return df.join(labels, F.col(pos_col).cast("long") == F.col("_pos_key"), "left").drop("_pos_key")

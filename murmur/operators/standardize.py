@@ -8,7 +8,7 @@ input before blank rows are dropped; generated ids are ``pos + 1``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,10 +69,32 @@ def resolve_text_column(df: DataFrame) -> str:
 
 
 # --- P4 ------------------------------------------------------------------------------
+def _split_offsets_position(df: DataFrame) -> DataFrame:
+    """``pos`` from the reader's (file, split start, row id) key without a
+    sort: count rows per file split, prefix-sum the split table (one row per
+    split: bounded by input bytes / split size, so it is broadcast), add the
+    row's rank inside its split. Both passes rescan the same files, whose
+    split layout and row ids are deterministic."""
+    key = [F.col(f"{ORDER_COL}.f").alias("_f"), F.col(f"{ORDER_COL}.b").alias("_b")]
+    splits = df.select(*key, F.col(f"{ORDER_COL}.r").alias("_r")).groupBy("_f", "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
+    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_f", "_b", "_r0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    tagged = df.select("*", *key)
+    return (tagged.join(F.broadcast(offsets), ["_f", "_b"])
+            .withColumn("pos", F.col("_off") + F.col(f"{ORDER_COL}.r") - F.col("_r0"))
+            .drop("_f", "_b", "_r0", "_off", ORDER_COL))
+
+
 def with_input_position(df: DataFrame) -> DataFrame:
     """Adds ``pos``: 0-based input order. Uses the reader's order key when
-    present (file, split, row), else the current partition order."""
+    present: (file, split, row) by split offsets; keys with an element index
+    (JSON documents) by a distributed sort. Otherwise the current partition
+    order."""
     if ORDER_COL in df.columns:
+        fields = df.schema[ORDER_COL].dataType.fieldNames()
+        if fields == ["f", "b", "r"]:
+            return _split_offsets_position(df)
         return with_ordinal(df, "pos", [ORDER_COL], start=0).drop(ORDER_COL)
     return with_file_order_index(df, "pos", start=0)
 

@@ -87,3 +87,16 @@ def test_json_three_layouts(spark):
 def test_unsupported_extension(spark):
     with pytest.raises(ValueError, match="Unsupported file format"):
         read_feedback(spark, "/nowhere/file.xlsx")
+
+
+def test_csv_position_across_files(spark):
+    """Row positions follow file order, then row order, across many files."""
+    path = tempfile.mkdtemp(prefix="fcsv-multi-") + "/many.csv"
+    src = spark.range(0, 2000).repartitionByRange(4, "id").select(
+        F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"), F.col("id").alias("n"))
+    src.write.option("header", True).csv(path)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 4
+    std = standardize_feedback(read_csv_feedback(spark, path), ingest_ts=FIXTURE_INGEST_TS)
+    rows = std.select("pos", "id", "text").collect()
+    assert sorted((r.pos, r.text) for r in rows) == [(i, f"row {i}") for i in range(2000)]
+    assert all(r.id == str(r.pos + 1) for r in rows)
