@@ -33,15 +33,16 @@ from murmur.session import cut_lineage
 
 
 # --- block layout --------------------------------------------------------------
-def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int, extra=()):
-    n = df.count()
+def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int, materialize: bool = False):
+    """(id, vector, block) with ``B = ceil(n / block_rows)`` hash blocks.
+    With ``materialize`` the projection is checkpointed first, so the count
+    and every later pass read it instead of re-running the upstream plan."""
+    base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
+    if materialize:
+        base = cut_lineage(base)
+    n = base.count()
     blocks = max(1, math.ceil(n / block_rows))
-    prepared = df.select(
-        F.col(id_col).cast("long").alias("_id"),
-        F.col(vec_col).cast("array<float>").alias("_v"),
-        *extra,
-    ).withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-    return prepared, blocks
+    return base.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")), blocks
 
 
 def _replicate(prepared: DataFrame, blocks: int) -> DataFrame:
@@ -297,8 +298,7 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     clusters are connected cores; a non-core point within eps of a core is a
     border point of the lowest-numbered such cluster; clusters are numbered
     in order of their first core point by ``pos_col``."""
-    prepared, blocks = _block_layout(df, pos_col, vec_col, block_rows)
-    prepared = cut_lineage(prepared)
+    prepared, blocks = _block_layout(df, pos_col, vec_col, block_rows, materialize=True)
     ids = prepared.select("_id")
     # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
     # core, so one pass suffices; zero vectors have no neighbours

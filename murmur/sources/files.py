@@ -35,10 +35,13 @@ def _order_key(*extra):
 
 
 # --- S1 ----------------------------------------------------------------------------
-def read_csv_feedback(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS) -> DataFrame:
+def read_csv_feedback(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS,
+                      multi_line: bool = True) -> DataFrame:
     """Header row, quoted (and multi-line) fields, every column a string;
-    pandas' missing-value tokens become NULL in every column."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    pandas' missing-value tokens become NULL in every column. Multi-line
+    files are read whole (one split per file); with ``multi_line=False``
+    large files split across tasks."""
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
            .option("inferSchema", False).csv(path))
     cols = [c for c in raw.columns]
     tokens = list(null_tokens)
