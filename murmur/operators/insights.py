@@ -136,32 +136,38 @@ INSIGHT_COLUMNS = [
 
 
 def raw_cluster_scores(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
-    """A2-A10, A12 unrounded, for every non-noise cluster (before A4)."""
-    per = cluster_features(df, cluster_col)
+    """A2-A10, A12 unrounded, for every non-noise cluster (before A4).
+
+    The per-cluster table (one row per cluster) is checkpointed once; the
+    largest-cluster size is a scalar subquery over that small table, and the
+    dataset figures are one scalar subquery attached as a single column."""
+    from murmur.session import cut_lineage
+
+    per = cut_lineage(cluster_features(df, cluster_col))
     dataset = df.select(F.struct(
         F.count_distinct("source").alias("sources"),
-        F.min("date").alias("first"),
-        F.max("date").alias("last"),
+        whole_days_between(F.min("date"), F.max("date")).alias("span"),
     ).alias("g")).scalar()
     # A5: the largest cluster includes positive-only clusters
     max_freq = per.select(F.max("evidence_count")).scalar()
-    dataset_span = whole_days_between(dataset.getField("first"), dataset.getField("last"))
 
     n = F.col("evidence_count")
-    s = per.withColumns({
-        "frequency_score": n / max_freq,
+    s = per.withColumns({"_g": dataset, "_max": max_freq})
+    s = s.withColumns({
+        "frequency_score": n / F.col("_max"),
         "negative_ratio_raw": F.col("negative_evidence") / n,
-        "source_diversity": F.col("source_count") / dataset.getField("sources"),
+        "source_diversity": F.col("source_count") / F.col("_g.sources"),
         "time_span_days": whole_days_between(F.col("first_seen_ts"), F.col("last_seen_ts")),
         "severity_raw": F.col("severity_tenths") / F.lit(10.0) / n,
     })
-    s = s.withColumn("temporal_score", F.when(dataset_span > 0, F.col("time_span_days") / dataset_span)
+    s = s.withColumn("temporal_score", F.when(F.col("_g.span") > 0, F.col("time_span_days") / F.col("_g.span"))
                      .otherwise(F.lit(0.0)))
     s = s.withColumn("evidence_raw",
                      F.lit(0.25) * F.col("frequency_score") + F.lit(0.25) * F.col("negative_ratio_raw")
                      + F.lit(0.15) * F.col("source_diversity") + F.lit(0.15) * F.col("temporal_score")
                      + F.lit(0.20) * F.col("severity_raw"))
-    return s.withColumn("priority_raw", F.lit(0.50) * F.col("evidence_raw") + F.lit(0.50) * F.col("severity_raw"))
+    s = s.withColumn("priority_raw", F.lit(0.50) * F.col("evidence_raw") + F.lit(0.50) * F.col("severity_raw"))
+    return s.drop("_g", "_max")
 
 
 def finalize_scores(raw: DataFrame) -> DataFrame:
