@@ -292,12 +292,14 @@ def number_clusters(assign: DataFrame, id_col: str = "id", label_col: str = "com
 
 
 def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding", eps: float = 0.35,
-                  min_samples: int = 2, block_rows: int = 8192, out_col: str = "cluster") -> DataFrame:
+                  min_samples: int = 2, block_rows: int = 8192, out_col: str = "cluster",
+                  core_col: str | None = None) -> DataFrame:
     """Adds ``cluster`` (int, -1 = noise). A point counts itself as a
     neighbour; core = at least ``min_samples`` neighbours within ``eps``;
     clusters are connected cores; a non-core point within eps of a core is a
     border point of the lowest-numbered such cluster; clusters are numbered
-    in order of their first core point by ``pos_col``."""
+    in order of their first core point by ``pos_col``. ``core_col`` adds
+    the core flag."""
     prepared, blocks = _block_layout(df, pos_col, vec_col, block_rows, materialize=True)
     ids = prepared.select("_id")
     # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
@@ -340,4 +342,7 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     numbered = number_clusters(assigned, id_col="id", label_col="component", out_col=out_col)
     labels = ids.join(numbered.withColumnRenamed("id", "_id"), "_id", "left").select(
         F.col("_id").alias("_pos_key"), F.coalesce(F.col(out_col), F.lit(-1)).alias(out_col))
+    if core_col:
+        flags = cores.select(F.col("id").alias("_pos_key"), F.lit(True).alias(core_col))
+        labels = labels.join(flags, "_pos_key", "left").withColumn(core_col, F.coalesce(F.col(core_col), F.lit(False)))
     return df.join(labels, F.col(pos_col).cast("long") == F.col("_pos_key"), "left").drop("_pos_key")

@@ -85,13 +85,29 @@ def test_contested_border_takes_lowest_cluster(spark):
     assert np.array_equal(_run(spark, X2, eps, ms, 6), brute_dbscan(X2, eps, ms))
 
 
-def test_fixture_counts(spark):
-    emb = spark.read.parquet(f"{SF001}/embeddings.parquet").withColumn("pos", F.col("vec_id"))
-    for ms, clusters, noise in [(2, 46, 388), (3, 13, 454)]:
-        d = dbscan_cosine(emb, eps=0.6, min_samples=ms)
-        stats = d.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
-                      F.count_if(F.col("cluster") == -1).alias("noise")).first()
-        assert (stats.k, stats.noise) == (clusters, noise)
+# FIXTURES.md, F-feedback-vec: (sf, min_samples, clusters, noise, largest, core, border)
+FIXTURE_TABLE = [
+    ("0.001", 2, 46, 388, 6, 112, 0),
+    ("0.001", 3, 13, 454, 6, 18, 28),
+    ("0.01", 2, 42, 401, 8, 99, 0),
+    ("0.01", 3, 8, 469, 8, 16, 15),
+    ("0.1", 2, 268, 819, 75, 1181, 0),
+    ("0.1", 3, 130, 1095, 75, 482, 423),
+    ("0.1", 4, 77, 1550, 27, 139, 311),
+]
+
+
+@pytest.mark.parametrize("sf,ms,clusters,noise,largest,core,border", FIXTURE_TABLE)
+def test_fixture_counts(spark, sf, ms, clusters, noise, largest, core, border):
+    from murmur.plans.fixtures import feedback_vec_fixture
+    fb = feedback_vec_fixture(spark, f"/root/testdata/sf{sf}")
+    d = dbscan_cosine(fb, eps=0.6, min_samples=ms, core_col="core").cache()
+    st = d.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
+               F.count_if(F.col("cluster") == -1).alias("noise"),
+               F.count_if("core").alias("core"),
+               F.count_if(~F.col("core") & (F.col("cluster") >= 0)).alias("border")).first()
+    big = d.where("cluster >= 0").groupBy("cluster").count().agg(F.max("count")).first()[0]
+    assert (st.k, st.noise, big, st.core, st.border) == (clusters, noise, largest, core, border)
 
 
 def test_cosine_eps_join_brute_force(spark):
@@ -113,3 +129,14 @@ def test_connected_components_long_chain(spark):
     comp = {r.id: r.component for r in connected_components(verts, edges).collect()}
     assert all(comp[i] == 0 for i in range(61))
     assert comp[100] == comp[101] == comp[102] == 100 and comp[200] == 200
+
+
+def test_sf01_min4_labels_match_brute_force(spark):
+    """The case with border rows reachable from more than one cluster."""
+    from murmur.plans.fixtures import feedback_vec_fixture
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.1")
+    rows = sorted((r.pos, r.embedding) for r in fb.select("pos", "embedding").collect())
+    X = np.array([e for _, e in rows], dtype=np.float32)
+    expected = brute_dbscan(X, 0.6, 4)
+    got = {r.pos: r.cluster for r in dbscan_cosine(fb, eps=0.6, min_samples=4, block_rows=700).collect()}
+    assert np.array_equal(np.array([got[p] for p, _ in rows]), expected)
