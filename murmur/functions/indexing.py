@@ -43,3 +43,21 @@ def with_ordinal(df: DataFrame, name: str, order_cols, start: int = 0) -> DataFr
     """``row_number() over (order by order_cols) - 1 + start`` without a
     single-partition window: range-partitioned sort, then partition offsets."""
     return _number_partitions(df.orderBy(*order_cols), name, start)
+
+
+def with_sum_before(df: DataFrame, value_col: str, order_cols, name: str) -> DataFrame:
+    """``sum(value) over (order by order_cols rows between unbounded preceding
+    and 1 preceding)`` without a single-partition window: range-partitioned
+    sort (``order_cols`` should be unique), running sums inside each range
+    partition, plus the broadcast totals of the earlier partitions."""
+    tagged = cut_lineage(df.orderBy(*order_cols).withColumn(_PID, F.spark_partition_id()))
+    inside = Window.partitionBy(_PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy(_PID).agg(F.sum(value_col).alias("__t"))
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PID, F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__off"))
+    return (
+        tagged.withColumn("__in", F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), _PID)
+        .withColumn(name, F.col("__off") + F.col("__in"))
+        .drop(_PID, "__in", "__off")
+    )

@@ -4,13 +4,15 @@ sentence of a ``(doc_id, text)`` table.
 Each document is split with array higher-order functions inside its own row
 (split -> transform -> filter), then ``posexplode`` numbers the pieces; ids
 therefore need no window and no shuffle, however large one document is.
-Only S5 combines pages of one document, through a per-page count table."""
+Only S5 combines pages of one document, through a per-page count table
+and a distributed prefix sum."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.functions.indexing import with_sum_before
 from murmur.functions.text import PY_LINE_BREAK_REGEX, PY_WS_CLASS, py_strip
 
 # --- fixed values --------------------------------------------------------------
@@ -87,9 +89,12 @@ def page_line_feedback(pages: DataFrame, text_col: str = "text", doc_col: str =
     per_page = pages.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"),
                             clean_page_lines(F.col(text_col)).alias("_s"))
     per_page = per_page.withColumn("_n", F.size("_s"))
-    # offsets from a one-row-per-page table
-    w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_page.select("doc_id", "page_no", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # offsets from a one-row-per-page count table: a distributed prefix sum
+    # over (doc, page), minus the doc's own start, so a document with very
+    # many pages never lands in one task
+    counts = with_sum_before(per_page.select("doc_id", "page_no", "_n"), "_n", ["doc_id", "page_no"], "_before")
+    starts = counts.groupBy("doc_id").agg(F.min("_before").alias("_start"))
+    offsets = counts.join(starts, "doc_id").select("doc_id", "page_no", (F.col("_before") - F.col("_start")).alias("_off"))
     joined = per_page.join(offsets, ["doc_id", "page_no"])
     out = joined.select("doc_id", "page_no", "_off", F.posexplode("_s").alias("_i", "text"))
     return out.select(
