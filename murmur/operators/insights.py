@@ -271,11 +271,15 @@ def rank_insights(insights: DataFrame, top: int | None = None) -> DataFrame:
 
 # --- A27 -------------------------------------------------------------------------------------
 def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: float = 0.35,
-                     min_samples: int = 2, vec_col: str = "embedding", block_rows: int = 2048):
+                     min_samples: int = 2, vec_col: str = "embedding", block_rows: int = 8192,
+                     nested_evidence_max: int | None = None):
     """End to end: enrich, cluster, score, describe, pick representatives and
     rank. ``feedback`` has ``pos, id, text, source, date`` and either a vector
     column or an ``embedder`` (df -> df + vec_col). Returns
-    ``(insights, enriched)``; ``evidence_table(enriched)`` gives the evidence."""
+    ``(insights, enriched)``; ``evidence_table(enriched)`` gives the evidence.
+    With ``nested_evidence_max`` the insights also carry the nested
+    ``supporting_feedback_ids`` / ``supporting_feedback`` arrays, after the
+    largest cluster is checked against that bound."""
     from murmur.operators.cluster import dbscan_cosine
     from murmur.operators.enrich import detect_severity, score_sentiment
     from murmur.session import cut_lineage
@@ -291,4 +295,7 @@ def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: fl
     scored = score_clusters(enriched)
     reps = representative_statement(enriched, vec_col=vec_col).select("cluster", "problem")
     insights = scored.join(reps, "cluster", "left").select(*INSIGHT_COLUMNS)
+    if nested_evidence_max is not None:
+        nested = nested_evidence(enriched, max_members=nested_evidence_max)
+        insights = insights.join(nested, "cluster", "left")
     return rank_insights(insights), enriched

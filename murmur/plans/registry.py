@@ -343,11 +343,10 @@ FROM embeddings e JOIN cent c ON c.grp = e.label WHERE e.label <> -1 GROUP BY e.
 # A27: the whole analysis over F-feedback-vec
 # ============================================================================
 def _q_analyze_feedback(spark, sf_dir):
-    from murmur.operators.insights import analyze_feedback
+    from murmur.operators.insights import INSIGHT_COLUMNS, analyze_feedback
     ranked, _ = analyze_feedback(fx.feedback_vec_fixture(spark, sf_dir), eps=FIXTURE_EPS, min_samples=2)
-    return ranked.select("rank", *_insight_cols(ranked).columns).select(
-        *[F.array_join("sources", ", ").alias("sources") if c == "sources" else c
-          for c in ["rank"] + [c for c in _insight_cols(ranked).columns]])
+    return ranked.select("rank", *[F.array_join("sources", ", ").alias("sources") if c == "sources" else c
+                                   for c in INSIGHT_COLUMNS])
 
 
 def _analyze_sql() -> str:

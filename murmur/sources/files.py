@@ -70,8 +70,8 @@ def read_json_feedback(spark: SparkSession, path: str, layout: str = "document")
     document (JSON Lines is the case of one object per line; splittable, the
     form for large inputs). Columns = union of record keys, ordered by first
     appearance; values as text."""
-    reader = spark.read.option("wholetext", layout == "document")
-    docs = reader.text(path).select("value", _order_key().alias("_o"))
+    # text()'s own wholetext argument overrides an option of the same name
+    docs = spark.read.text(path, wholetext=(layout == "document")).select("value", _order_key().alias("_o"))
     rows = docs.select("_o", F.posexplode(_records(F.col("value"))).alias("_i", "_rec"))
     rows = rows.select(
         F.struct(F.col("_o.f"), F.col("_o.b"), F.col("_o.r"), F.col("_i").alias("i")).alias(ORDER_COL),
@@ -93,7 +93,7 @@ def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None) -> DataFr
     """``.txt`` files: every non-blank line is a feedback row."""
     from murmur.sources.segment import text_lines_feedback
 
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     return text_lines_feedback(docs, doc_col="doc_id", ingest_ts=ingest_ts)
 

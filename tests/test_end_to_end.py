@@ -49,3 +49,27 @@ def test_csv_to_insights(spark):
     st = dataset_stats(fb, insights).first()
     assert st.total_feedback == 9 and st.active_insights == len(rows)
     assert feedback_timeline(fb).count() == 9
+
+
+def test_nested_evidence_and_text_files(spark):
+    from murmur.plans.fixtures import feedback_vec_fixture
+    from murmur.operators.report import insights_json
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001")
+    ins, _ = analyze_feedback(fb, eps=0.6, min_samples=2, nested_evidence_max=1000)
+    r = ins.first()
+    assert len(r.supporting_feedback_ids) == r.evidence_count == len(r.supporting_feedback)
+    assert [x.id for x in r.supporting_feedback] == r.supporting_feedback_ids
+    doc = insights_json(ins).first().json
+    assert '"supporting_feedback":[{' in doc and "NaN" not in doc
+
+    d = tempfile.mkdtemp(prefix="txt-")
+    for name, body in [("a.txt", "first line\n\n  second line  \r\nthird"), ("b.txt", "\n only one \n")]:
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    rows = read_feedback(spark, os.path.join(d, "*.txt")).collect()
+    by_doc = {}
+    for x in rows:
+        by_doc.setdefault(os.path.basename(x.doc_id), []).append((x.id, x.text, x.source))
+    assert sorted(by_doc["a.txt"]) == [("1", "first line", "text_file"), ("2", "second line", "text_file"),
+                                       ("3", "third", "text_file")]
+    assert by_doc["b.txt"] == [("1", "only one", "text_file")]

@@ -71,7 +71,7 @@ def test_json_three_layouts(spark):
     }
     for name, obj in docs.items():
         with open(os.path.join(d, name), "w") as f:
-            json.dump(obj, f)
+            json.dump(obj, f, indent=2)   # multi-line documents
     a = read_feedback(spark, os.path.join(d, "a.json"), ingest_ts=FIXTURE_INGEST_TS).orderBy("pos").collect()
     assert [(r.id, r.text, r.source) for r in a] == [("1", "first one", "unknown"), ("2", "second", "web")]
     b = read_feedback(spark, os.path.join(d, "b.json"), ingest_ts=FIXTURE_INGEST_TS).collect()
