@@ -36,8 +36,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="murmur-bench")
     names = sys.argv[1:] or HEADLINE
-    # warm-up: JVM, Python workers, codegen caches
+    # warm-up: JVM, codegen caches and the Python workers used by pandas functions
     QUERIES["detect_severity"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(0, 64, 1, 8).groupBy("id").applyInPandas(
+        lambda pdf: pdf, "id long").write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.perf_counter()

@@ -165,19 +165,23 @@ def _is_star_forest(e: DataFrame) -> bool:
     return two_parents.unionByName(parent_is_child).isEmpty()
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id", src: str = "src",
+def connected_components(vertices: DataFrame | None, edges: DataFrame, id_col: str = "id", src: str = "src",
                          dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """``(id, component)`` where component is the smallest id in the
     component. Alternating large-star / small-star rounds (O(log^2 n) rounds),
-    with a reliable checkpoint each round to cut lineage."""
+    with a reliable checkpoint each round to cut lineage. ``vertices=None``
+    means the nodes of ``edges``."""
     e = cut_lineage(_orient(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))))
+    if vertices is None:
+        ids = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct()
+    else:
+        ids = vertices.select(F.col(id_col).cast("long").alias("u")).distinct()
     for _ in range(max_rounds):
         if _is_star_forest(e):
             break
         e = cut_lineage(_small_star(_large_star(e)))
     else:
         raise RuntimeError("connected_components did not converge")
-    ids = vertices.select(F.col(id_col).cast("long").alias("u")).distinct()
     return ids.join(e, "u", "left").select(
         F.col("u").alias(id_col), F.coalesce(F.col("v"), F.col("u")).alias("component"))
 
@@ -307,14 +311,11 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     fast = min_samples <= 2 and eps < 1.0
 
     if fast:
-        links = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
-            _link_fn(eps, all_core=True), _LINK_SCHEMA)
-        links = cut_lineage(links)
-        edges = links.where("kind = 0")
-        if min_samples <= 1:
-            cores = ids.select(F.col("_id").alias("id"))
-        else:
-            cores = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+        # one pass; components checkpoints the edges and, for min_samples 2,
+        # takes the cores as the nodes of those edges
+        edges = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
+            _link_fn(eps, all_core=True), _LINK_SCHEMA).where("kind = 0")
+        cores = ids.select(F.col("_id").alias("id")) if min_samples <= 1 else None
     else:
         # pass 1: exact degree (including self)
         partial = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
@@ -331,6 +332,8 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
         cores = flagged.where("_core").select(F.col("_id").alias("id"))
 
     comp = connected_components(cores, edges, id_col="id", src="a", dst="b")
+    if cores is None:
+        cores = comp.select("id")
     assigned = comp
     if not fast:
         border = (
