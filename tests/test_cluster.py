@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+
 from murmur.operators.cluster import connected_components, cosine_eps_join, dbscan_cosine
 
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
 from murmur.operators.enrich import detect_severity, score_sentiment, l2_normalize, cosine_to_vector

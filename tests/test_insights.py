@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF01
 from murmur.operators.insights import rank_insights, score_clusters, nested_evidence, evidence_table

@@ -1,6 +1,5 @@
 import re
 
-import pytest
 
 from murmur.sources.segment import page_line_feedback, paragraph_feedback, text_lines_feedback
 

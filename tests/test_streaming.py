@@ -1,7 +1,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from murmur.plans.fixtures import FIXTURE_INGEST_TS, messy_fixture
