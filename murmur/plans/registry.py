@@ -627,7 +627,12 @@ def _q_insights_json(spark, sf_dir):
     return insights_json(score_clusters(_clustered(spark, sf_dir)))
 
 
-register("insights_json")(_q_insights_json)
+_JSON_COLS = ("cluster", "problem_summary", "observed_pattern", "customer_impact", "theme", "signal_strength",
+              "priority", "priority_score", "severity", "severity_score", "evidence_score", "evidence_count",
+              "negative_evidence", "negative_ratio", "sources", "source_count", "first_seen", "last_seen",
+              "time_span_days")
+register("insights_json", _with(_ALL, "SELECT CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in _JSON_COLS)
+                                + "}) AS VARCHAR) AS json FROM insights"))(_q_insights_json)
 
 
 def _labelled_documents(spark, sf_dir):

@@ -24,7 +24,7 @@ def con():
 
 def test_every_query_has_a_twin_or_is_rows_only():
     rows_only = set(ent.queries()) - set(ent.oracle_sql())
-    assert rows_only == {"insights_json", "score_sentiment_model", "embed_text"}
+    assert rows_only == {"score_sentiment_model", "embed_text"}
 
 
 @pytest.mark.parametrize("name", NAMES)
