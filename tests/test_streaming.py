@@ -28,3 +28,25 @@ def test_ingest_and_timeline(spark):
     tq.stop()
     days = spark.sql("select * from tl").collect()
     assert len(days) > 0 and all(d["count"] > 0 for d in days)
+
+
+def test_restart_processes_only_new_files(spark):
+    base = tempfile.mkdtemp(prefix="stream-restart-")
+    src, out, ckpt = os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt")
+    os.makedirs(src)
+    messy = messy_fixture(spark, SF001)
+
+    def drop(name, cond):
+        tmp = os.path.join(base, "stage-" + name)
+        messy.where(cond).coalesce(1).write.option("header", True).csv(tmp)
+        part = [f for f in os.listdir(tmp) if f.endswith(".csv")][0]
+        os.link(os.path.join(tmp, part), os.path.join(src, name + ".csv"))
+
+    drop("first", "Ticket_ID < 300")
+    ingest_stream(spark, src, out, SCHEMA, ingest_ts=FIXTURE_INGEST_TS, checkpoint=ckpt).awaitTermination(120)
+    n1 = spark.read.parquet(out).count()
+    drop("second", "Ticket_ID >= 300")
+    ingest_stream(spark, src, out, SCHEMA, ingest_ts=FIXTURE_INGEST_TS, checkpoint=ckpt).awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert n1 == 251 and got.count() == 839
+    assert got.select("batch_id").distinct().count() == 2
