@@ -315,7 +315,14 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
         # takes the cores as the nodes of those edges
         edges = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
             _link_fn(eps, all_core=True), _LINK_SCHEMA).where("kind = 0")
-        cores = ids.select(F.col("_id").alias("id")) if min_samples <= 1 else None
+        if min_samples <= 0:
+            cores = ids.select(F.col("_id").alias("id"))
+        elif min_samples == 1:
+            # only a zero vector is not its own neighbour
+            nonzero = F.exists("_v", lambda x: x != 0)
+            cores = prepared.where(nonzero).select(F.col("_id").alias("id"))
+        else:
+            cores = None
     else:
         # pass 1: exact degree (including self)
         partial = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(

@@ -140,3 +140,12 @@ def test_sf01_min4_labels_match_brute_force(spark):
     expected = brute_dbscan(X, 0.6, 4)
     got = {r.pos: r.cluster for r in dbscan_cosine(fb, eps=0.6, min_samples=4, block_rows=700).collect()}
     assert np.array_equal(np.array([got[p] for p, _ in rows]), expected)
+
+
+@pytest.mark.parametrize("ms", [1, 2, 3])
+def test_zero_vectors(spark, ms):
+    X = _vectors(11, n=60)
+    X[[3, 17, 40]] = 0.0
+    expected = brute_dbscan(X, 0.08, ms)
+    assert (expected[[3, 17, 40]] == -1).all()
+    assert np.array_equal(_run(spark, X, 0.08, ms, 25), expected)
