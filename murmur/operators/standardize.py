@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from murmur.functions.indexing import with_file_order_index, with_ordinal
 from murmur.functions.text import py_strip
+from murmur.session import cut_lineage
 
 # --- fixed values: accepted column names, in priority order -------------------
 TEXT_CANDIDATES = ("text", "feedback", "comment", "comments", "review", "reviews", "message",
@@ -77,8 +78,10 @@ def _split_offsets_position(df: DataFrame) -> DataFrame:
     24 bytes per split. Both passes rescan the same files, whose split layout
     and row ids are deterministic."""
     f, b, r = (F.col(f"{ORDER_COL}.{x}") for x in ("f", "b", "r"))
-    splits = df.select(f.alias("_f"), b.alias("_b"), r.alias("_r")).groupBy("_f", "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
+    # one scan builds the (small) split table; it is materialised so the
+    # guard and the offsets read it instead of scanning the input again
+    splits = cut_lineage(df.select(f.alias("_f"), b.alias("_b"), r.alias("_r")).groupBy("_f", "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0")))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     # exactness guard on the small split table: fall back to the full path
     # as the key if two paths ever share a hash
