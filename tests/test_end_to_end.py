@@ -73,3 +73,14 @@ def test_nested_evidence_and_text_files(spark):
     assert sorted(by_doc["a.txt"]) == [("1", "first line", "text_file"), ("2", "second line", "text_file"),
                                        ("3", "third", "text_file")]
     assert by_doc["b.txt"] == [("1", "only one", "text_file")]
+
+
+def test_all_noise_gives_empty_insights(spark):
+    """At the default eps 0.35 the driver vectors have no neighbours."""
+    from murmur.plans.fixtures import feedback_vec_fixture
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001")
+    ins, enriched = analyze_feedback(fb, nested_evidence_max=10)
+    assert ins.count() == 0
+    assert enriched.where("cluster <> -1").count() == 0
+    st = dataset_stats(fb, ins).first()
+    assert (st.total_feedback, st.active_insights, st.high_priority, st.strong_signals) == (500, 0, 0, 0)
