@@ -33,15 +33,29 @@ from murmur.session import cut_lineage
 
 
 # --- block layout --------------------------------------------------------------
-def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int, materialize: bool = False):
+TASK_MEMORY_BYTES = 256 << 20   # working memory one block-pair group may use
+TILE_ROWS = 2048                # rows of the left block per matrix tile
+
+
+def block_rows_for(dim: int, task_memory_bytes: int = TASK_MEMORY_BYTES) -> int:
+    """Rows per block so that one group (two blocks shipped as float32, their
+    float64 unit copies, one float32 similarity tile) fits the budget."""
+    per_row = 2 * dim * (4 + 8) + 4 * TILE_ROWS
+    return int(min(65536, max(1024, task_memory_bytes // per_row)))
+
+
+def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int | None, materialize: bool = False):
     """(id, vector, block) with ``B = ceil(n / block_rows)`` hash blocks.
     With ``materialize`` the projection is checkpointed first, so the count
-    and every later pass read it instead of re-running the upstream plan."""
+    and every later pass read it instead of re-running the upstream plan.
+    ``block_rows=None`` sizes blocks from the vector dimension."""
     base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
     if materialize:
         base = cut_lineage(base)
-    n = base.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    n, dim = stats["n"], stats["d"] or 1
+    rows = block_rows or block_rows_for(dim)
+    blocks = max(1, math.ceil(n / rows))
     return base.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")), blocks
 
 
@@ -71,9 +85,6 @@ def _split_pair(pdf: pd.DataFrame):
     return a, b, lo == hi
 
 
-TILE_ROWS = 2048          # rows of the left block per matrix tile
-
-
 def _f32_margin(dim: int) -> float:
     """Safe bound on the float32 error of a unit-vector dot product."""
     return max(1e-4, 4.0 * dim * float(np.finfo(np.float32).eps))
@@ -112,7 +123,7 @@ _PAIR_SCHEMA = "src long, dst long, distance double"
 
 
 def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
-                    block_rows: int = 8192) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """All pairs (src < dst) whose cosine distance ``1 - cos`` is <= eps.
     The output is as large as the answer; clustering does not call this."""
 
@@ -296,7 +307,7 @@ def number_clusters(assign: DataFrame, id_col: str = "id", label_col: str = "com
 
 
 def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding", eps: float = 0.35,
-                  min_samples: int = 2, block_rows: int = 8192, out_col: str = "cluster",
+                  min_samples: int = 2, block_rows: int | None = None, out_col: str = "cluster",
                   core_col: str | None = None) -> DataFrame:
     """Adds ``cluster`` (int, -1 = noise). A point counts itself as a
     neighbour; core = at least ``min_samples`` neighbours within ``eps``;

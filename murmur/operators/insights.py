@@ -271,7 +271,7 @@ def rank_insights(insights: DataFrame, top: int | None = None) -> DataFrame:
 
 # --- A27 -------------------------------------------------------------------------------------
 def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: float = 0.35,
-                     min_samples: int = 2, vec_col: str = "embedding", block_rows: int = 8192,
+                     min_samples: int = 2, vec_col: str = "embedding", block_rows: int | None = None,
                      nested_evidence_max: int | None = None):
     """End to end: enrich, cluster, score, describe, pick representatives and
     rank. ``feedback`` has ``pos, id, text, source, date`` and either a vector
