@@ -56,3 +56,33 @@ def test_vectors(spark):
     rows = cosine_to_vector(l2_normalize(df, "v", "u"), "v", [1.0, 0.0]).collect()
     assert rows[0].u == pytest.approx([0.6, 0.8]) and rows[0].similarity == pytest.approx(0.6)
     assert rows[1].u == [0.0, 0.0] and rows[1].similarity == 0.0
+
+
+def test_embed_text_unit_norm_and_deterministic(spark):
+    from murmur.operators.enrich import embed_text, fit_text_embedder
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    model = fit_text_embedder(docs, dim=128)
+    a = {r.doc_id: r.embedding for r in embed_text(docs, model).collect()}
+    b = {r.doc_id: r.embedding for r in embed_text(docs, model).collect()}
+    assert a == b and all(len(v) == 128 for v in a.values())
+    norms = [sum(x * x for x in v) ** 0.5 for v in a.values()]
+    assert all(abs(n - 1) < 1e-5 or n == 0 for n in norms)
+
+
+def test_predict_batch_hook(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import FloatType
+    from murmur.operators.enrich import predict_batch_scorer
+
+    def make_predict_fn():
+        threshold = 20.0   # "model" loaded once per Python worker
+
+        def predict(lengths: np.ndarray) -> np.ndarray:
+            return (lengths > threshold).astype(np.float32)
+        return predict
+
+    score = predict_batch_scorer(make_predict_fn, FloatType(), batch_size=64)
+    df = spark.createDataFrame([("short",), ("a much longer comment than twenty characters",)], ["text"])
+    got = [r.s for r in df.select(score(F.length("text").cast("float")).alias("s")).collect()]
+    assert got == [0.0, 1.0]

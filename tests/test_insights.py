@@ -78,3 +78,13 @@ def test_evidence_forms(clustered):
     assert nested[4].supporting_feedback_ids == [r.id for r in flat]
     with pytest.raises(ValueError):
         nested_evidence(clustered, max_members=10)
+
+
+def test_reverse_trace(clustered):
+    from murmur.operators.report import insight_of_feedback, trace_evidence
+    ev = evidence_table(clustered)
+    back = insight_of_feedback(clustered.select("id", "text"), ev)
+    assert back.count() == clustered.count()
+    assert back.where("cluster is null").count() == clustered.where("cluster = -1").count()
+    rows = trace_evidence(ev, 4).collect()
+    assert [r.pos for r in rows] == sorted(r.pos for r in rows) and {r.cluster for r in rows} == {4}
