@@ -84,3 +84,18 @@ def test_all_noise_gives_empty_insights(spark):
     assert enriched.where("cluster <> -1").count() == 0
     st = dataset_stats(fb, ins).first()
     assert (st.total_feedback, st.active_insights, st.high_priority, st.strong_signals) == (500, 0, 0, 0)
+
+
+def test_batch_job(spark):
+    from murmur.__main__ import analyze
+    d = tempfile.mkdtemp(prefix="job-")
+    path = os.path.join(d, "feedback.csv")
+    with open(path, "w") as f:
+        f.write(CSV)
+    out = os.path.join(d, "out")
+    stats = analyze(spark, path, out, eps=0.5, embed_dim=256)
+    assert stats["total_feedback"] == 9 and stats["active_insights"] >= 1
+    for part in ("feedback", "insights", "insights_json", "evidence", "stats", "timeline"):
+        assert os.path.isdir(os.path.join(out, part))
+    assert spark.read.parquet(os.path.join(out, "insights")).count() == stats["active_insights"]
+    assert spark.read.json(os.path.join(out, "timeline")).count() == 9
