@@ -44,23 +44,37 @@ def block_rows_for(dim: int, task_memory_bytes: int = TASK_MEMORY_BYTES) -> int:
     return int(min(65536, max(1024, task_memory_bytes // per_row)))
 
 
-def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int | None, materialize: bool = False):
-    """(id, vector, block) with ``B = ceil(n / block_rows)`` hash blocks.
-    With ``materialize`` the projection is checkpointed first, so the count
-    and every later pass read it instead of re-running the upstream plan.
-    ``block_rows=None`` sizes blocks from the vector dimension."""
-    base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
+def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int | None, materialize: bool = False,
+                  group_col: str | None = None):
+    """(id, vector, block, block count[, group]) with ``B = ceil(n / block_rows)``
+    hash blocks -- per group when ``group_col`` is given, so block pairs never
+    mix groups. With ``materialize`` the projection is checkpointed first, so
+    the counts and every later pass read it instead of re-running the
+    upstream plan. ``block_rows=None`` sizes blocks from the vector dimension.
+    Returns the frame and the grouping keys of a block pair."""
+    cols = [F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")]
+    if group_col:
+        cols.append(F.col(group_col).alias("_g"))
+    base = df.select(*cols)
     if materialize:
         base = cut_lineage(base)
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    n, dim = stats["n"], stats["d"] or 1
-    rows = block_rows or block_rows_for(dim)
-    blocks = max(1, math.ceil(n / rows))
-    return base.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")), blocks
+    rows = block_rows or block_rows_for(stats["d"] or 1)
+    if group_col:
+        # one row per group; AQE broadcasts it when small, else a skew-split join
+        sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).select(
+            "_g", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows))).cast("int").alias("_nb"))
+        base = base.join(sizes, "_g")
+        keys = ["_g", "_lo", "_hi"]
+    else:
+        base = base.withColumn("_nb", F.lit(max(1, math.ceil(stats["n"] / rows))))
+        keys = ["_lo", "_hi"]
+    return base.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")), keys
 
 
-def _replicate(prepared: DataFrame, blocks: int) -> DataFrame:
-    k = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+def _replicate(prepared: DataFrame) -> DataFrame:
+    """Each row to every block pair (of its group) that contains its block."""
+    k = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
     return prepared.withColumn("_k", k).withColumns({
         "_lo": F.least("_blk", "_k"),
         "_hi": F.greatest("_blk", "_k"),
@@ -140,8 +154,8 @@ def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
                                  "distance": pd.Series([], dtype="float64")})
         return pd.concat(parts, ignore_index=True)
 
-    prepared, blocks = _block_layout(df, id_col, vec_col, block_rows)
-    return _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(pairs, _PAIR_SCHEMA)
+    prepared, keys = _block_layout(df, id_col, vec_col, block_rows)
+    return _replicate(prepared).groupBy(*keys).applyInPandas(pairs, _PAIR_SCHEMA)
 
 
 # --- C2 --------------------------------------------------------------------------
@@ -298,24 +312,35 @@ def _link_fn(eps: float, all_core: bool):
 
 
 def number_clusters(assign: DataFrame, id_col: str = "id", label_col: str = "component",
-                    out_col: str = "cluster") -> DataFrame:
+                    out_col: str = "cluster", groups: DataFrame | None = None) -> DataFrame:
     """Renumber component labels to 0..k-1 in label order (labels are the
-    smallest core position of each cluster, so this is first-core order)."""
+    smallest core position of each cluster, so this is first-core order).
+    With ``groups`` (``id, _g``: the group of each id) numbering restarts in
+    every group: a distributed ordinal over (group, label) minus the group's
+    first ordinal."""
     labels = assign.select(label_col).distinct()
-    numbered = with_ordinal(labels, "_num", [label_col], start=0)
+    if groups is None:
+        numbered = with_ordinal(labels, "_num", [label_col], start=0)
+    else:
+        labels = labels.join(groups.select(F.col(id_col).alias(label_col), "_g"), label_col)
+        ordered = with_ordinal(labels, "_o", ["_g", label_col], start=0)
+        first = ordered.groupBy("_g").agg(F.min("_o").alias("_o0"))
+        numbered = ordered.join(first, "_g").select(label_col, (F.col("_o") - F.col("_o0")).alias("_num"))
     return assign.join(numbered, label_col).select(id_col, F.col("_num").cast("int").alias(out_col))
 
 
 def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding", eps: float = 0.35,
                   min_samples: int = 2, block_rows: int | None = None, out_col: str = "cluster",
-                  core_col: str | None = None) -> DataFrame:
+                  core_col: str | None = None, group_col: str | None = None) -> DataFrame:
     """Adds ``cluster`` (int, -1 = noise). A point counts itself as a
     neighbour; core = at least ``min_samples`` neighbours within ``eps``;
     clusters are connected cores; a non-core point within eps of a core is a
     border point of the lowest-numbered such cluster; clusters are numbered
     in order of their first core point by ``pos_col``. ``core_col`` adds
-    the core flag."""
-    prepared, blocks = _block_layout(df, pos_col, vec_col, block_rows, materialize=True)
+    the core flag. With ``group_col`` every group (dataset) is clustered on
+    its own, all groups in the same jobs; ``pos_col`` must be unique overall
+    and cluster numbers restart in each group."""
+    prepared, keys = _block_layout(df, pos_col, vec_col, block_rows, materialize=True, group_col=group_col)
     ids = prepared.select("_id")
     # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
     # core, so one pass suffices; zero vectors have no neighbours
@@ -324,7 +349,7 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     if fast:
         # one pass; components checkpoints the edges and, for min_samples 2,
         # takes the cores as the nodes of those edges
-        edges = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
+        edges = _replicate(prepared).groupBy(*keys).applyInPandas(
             _link_fn(eps, all_core=True), _LINK_SCHEMA).where("kind = 0")
         if min_samples <= 0:
             cores = ids.select(F.col("_id").alias("id"))
@@ -336,14 +361,14 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
             cores = None
     else:
         # pass 1: exact degree (including self)
-        partial = _replicate(prepared, blocks).groupBy("_lo", "_hi").applyInPandas(
+        partial = _replicate(prepared).groupBy(*keys).applyInPandas(
             _degree_fn(eps), "_id long, cnt long")
         degree = partial.groupBy("_id").agg(F.sum("cnt").alias("degree"))
         flagged = prepared.join(degree, "_id", "left").withColumn(
             "_core", F.coalesce(F.col("degree"), F.lit(0)) >= F.lit(min_samples)).drop("degree")
         flagged = cut_lineage(flagged)
         # pass 2: sparse links
-        links = _replicate(flagged, blocks).groupBy("_lo", "_hi").applyInPandas(
+        links = _replicate(flagged).groupBy(*keys).applyInPandas(
             _link_fn(eps, all_core=False), _LINK_SCHEMA)
         links = cut_lineage(links)
         edges = links.where("kind = 0")
@@ -360,7 +385,8 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
             .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
         )
         assigned = comp.unionByName(border)
-    numbered = number_clusters(assigned, id_col="id", label_col="component", out_col=out_col)
+    groups = prepared.select(F.col("_id").alias("id"), "_g") if group_col else None
+    numbered = number_clusters(assigned, id_col="id", label_col="component", out_col=out_col, groups=groups)
     labels = ids.join(numbered.withColumnRenamed("id", "_id"), "_id", "left").select(
         F.col("_id").alias("_pos_key"), F.coalesce(F.col(out_col), F.lit(-1)).alias(out_col))
     if core_col:

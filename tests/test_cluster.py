@@ -149,3 +149,16 @@ def test_zero_vectors(spark, ms):
     expected = brute_dbscan(X, 0.08, ms)
     assert (expected[[3, 17, 40]] == -1).all()
     assert np.array_equal(_run(spark, X, 0.08, ms, 25), expected)
+
+
+def test_grouped_dbscan_equals_separate_runs(spark):
+    """Each group (dataset) is clustered on its own inside one set of jobs."""
+    from murmur.plans.fixtures import feedback_vec_fixture
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.01").withColumn("ds", (F.col("pos") % 3).cast("int"))
+    for ms in (2, 3):
+        grouped = {r.pos: r.cluster for r in
+                   dbscan_cosine(fb, eps=0.6, min_samples=ms, group_col="ds", block_rows=60).collect()}
+        for g in range(3):
+            part = fb.where(F.col("ds") == g)
+            alone = {r.pos: r.cluster for r in dbscan_cosine(part, eps=0.6, min_samples=ms).collect()}
+            assert {p: grouped[p] for p in alone} == alone
