@@ -38,8 +38,14 @@ def _dominant(counts_and_first) -> Column:
     return F.array_max(F.array(*cands)).getField("label")
 
 
-def cluster_features(df: DataFrame, cluster_col: str = "cluster", keywords=lx.THEME_KEYWORDS) -> DataFrame:
-    """One row per non-noise cluster with its raw evidence features."""
+def _keys(cluster_col: str, group_col: str | None):
+    key = [F.col(cluster_col).alias("cluster")]
+    return ([F.col(group_col)] + key) if group_col else key
+
+
+def cluster_features(df: DataFrame, cluster_col: str = "cluster", keywords=lx.THEME_KEYWORDS,
+                     group_col: str | None = None) -> DataFrame:
+    """One row per non-noise cluster (per group) with its raw evidence features."""
     lower = F.lower(F.col("text"))
     tenths = (F.when(F.col("severity") == "HIGH", lx.SEVERITY_TENTHS["HIGH"])
               .when(F.col("severity") == "MEDIUM", lx.SEVERITY_TENTHS["MEDIUM"])
@@ -57,7 +63,7 @@ def cluster_features(df: DataFrame, cluster_col: str = "cluster", keywords=lx.TH
         aggs.append(F.count_if(F.col("severity") == lev).alias("_n_" + lev))
         aggs.append(F.min(F.when(F.col("severity") == lev, F.col("pos"))).alias("_first_" + lev))
     aggs += [F.bool_or(lower.contains(w)).alias(_kw(w)) for w in keywords]
-    per = drop_noise(df, cluster_col).groupBy(F.col(cluster_col).alias("cluster")).agg(*aggs)
+    per = drop_noise(df, cluster_col).groupBy(*_keys(cluster_col, group_col)).agg(*aggs)
     per = per.withColumn("severity", _dominant([(lev, F.col("_n_" + lev), F.col("_first_" + lev)) for lev in levels]))
     per = per.withColumn("source_count", F.size("sources").cast("long"))
     return per.drop(*[f"_n_{lev}" for lev in levels], *[f"_first_{lev}" for lev in levels])
@@ -135,24 +141,34 @@ INSIGHT_COLUMNS = [
 ]
 
 
-def raw_cluster_scores(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
+def raw_cluster_scores(df: DataFrame, cluster_col: str = "cluster", group_col: str | None = None) -> DataFrame:
     """A2-A10, A12 unrounded, for every non-noise cluster (before A4).
 
-    The per-cluster table (one row per cluster) is checkpointed once; the
-    largest-cluster size is a scalar subquery over that small table, and the
-    dataset figures are one scalar subquery attached as a single column."""
+    The per-cluster table (one row per cluster) is checkpointed once. For one
+    dataset the largest-cluster size is a scalar subquery over that small
+    table and the dataset figures are one scalar subquery attached as a single
+    column. With ``group_col`` (many datasets in one job) they are per-group
+    aggregates joined on the group key instead."""
     from murmur.session import cut_lineage
 
-    per = cut_lineage(cluster_features(df, cluster_col))
-    dataset = df.select(F.struct(
-        F.count_distinct("source").alias("sources"),
-        whole_days_between(F.min("date"), F.max("date")).alias("span"),
-    ).alias("g")).scalar()
-    # A5: the largest cluster includes positive-only clusters
-    max_freq = per.select(F.max("evidence_count")).scalar()
+    per = cut_lineage(cluster_features(df, cluster_col, group_col=group_col))
+    if group_col is None:
+        dataset = df.select(F.struct(
+            F.count_distinct("source").alias("sources"),
+            whole_days_between(F.min("date"), F.max("date")).alias("span"),
+        ).alias("g")).scalar()
+        # A5: the largest cluster includes positive-only clusters
+        max_freq = per.select(F.max("evidence_count")).scalar()
+        s = per.withColumns({"_g": dataset, "_max": max_freq})
+    else:
+        figures = df.groupBy(group_col).agg(F.struct(
+            F.count_distinct("source").alias("sources"),
+            whole_days_between(F.min("date"), F.max("date")).alias("span"),
+        ).alias("_g"))
+        largest = per.groupBy(group_col).agg(F.max("evidence_count").alias("_max"))
+        s = per.join(figures, group_col).join(largest, group_col)
 
     n = F.col("evidence_count")
-    s = per.withColumns({"_g": dataset, "_max": max_freq})
     s = s.withColumns({
         "frequency_score": n / F.col("_max"),
         "negative_ratio_raw": F.col("negative_evidence") / n,
@@ -187,71 +203,81 @@ def finalize_scores(raw: DataFrame) -> DataFrame:
     return describe_clusters(s)
 
 
-def score_clusters(df: DataFrame, cluster_col: str = "cluster", keep_raw: bool = False) -> DataFrame:
+def score_clusters(df: DataFrame, cluster_col: str = "cluster", keep_raw: bool = False,
+                   group_col: str | None = None) -> DataFrame:
     """A25: one scored row per retained cluster (positive-only clusters are
-    dropped after they set the largest-cluster size)."""
-    s = finalize_scores(raw_cluster_scores(df, cluster_col))
+    dropped after they set the largest-cluster size); per group when
+    ``group_col`` is given."""
+    s = finalize_scores(raw_cluster_scores(df, cluster_col, group_col=group_col))
     if keep_raw:
         return s
-    return s.select(*[c for c in INSIGHT_COLUMNS if c != "problem"])
+    lead = [group_col] if group_col else []
+    return s.select(*lead, *[c for c in INSIGHT_COLUMNS if c != "problem"])
 
 
 # --- A15, A16 ----------------------------------------------------------------------------
-def cluster_centroid(df: DataFrame, cluster_col: str = "cluster", vec_col: str = "embedding") -> DataFrame:
+def cluster_centroid(df: DataFrame, cluster_col: str = "cluster", vec_col: str = "embedding",
+                     group_col: str | None = None) -> DataFrame:
     """Element-wise mean vector per cluster (``Summarizer.mean``: a partial
     aggregate, so a hot cluster is combined map-side)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    lead = [group_col] if group_col else []
     return (
         drop_noise(df, cluster_col)
-        .groupBy(F.col(cluster_col).alias("cluster"))
+        .groupBy(*_keys(cluster_col, group_col))
         .agg(Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_c"))
-        .select("cluster", vector_to_array("_c").alias("centroid"))
+        .select(*lead, "cluster", vector_to_array("_c").alias("centroid"))
     )
 
 
 def representative_statement(df: DataFrame, cluster_col: str = "cluster", vec_col: str = "embedding",
-                             text_col: str = "text") -> DataFrame:
+                             text_col: str = "text", group_col: str | None = None) -> DataFrame:
     """Per cluster, the member closest (cosine) to the centroid; similarity
     rounded to 9 digits, then lowest ``pos`` wins ties."""
-    cents = cluster_centroid(df, cluster_col, vec_col)
+    cents = cluster_centroid(df, cluster_col, vec_col, group_col=group_col)
+    lead = [group_col] if group_col else []
     members = drop_noise(df, cluster_col).select(
-        F.col(cluster_col).alias("cluster"), "pos", "id", F.col(text_col).alias("_t"), F.col(vec_col).alias("_v"))
+        *lead, F.col(cluster_col).alias("cluster"), "pos", "id", F.col(text_col).alias("_t"),
+        F.col(vec_col).alias("_v"))
     sim = np_round(vx.cosine("_v", "centroid"), 9)
     return (
-        members.join(cents, "cluster")
-        .groupBy("cluster")
+        members.join(cents, lead + ["cluster"])
+        .groupBy(*lead, "cluster")
         .agg(F.max_by(F.struct(F.col("_t").alias("problem"), F.col("id").alias("representative_id"),
                                F.col("pos").alias("representative_pos")),
                       F.struct(sim, -F.col("pos"))).alias("_r"))
-        .select("cluster", "_r.*")
+        .select(*lead, "cluster", "_r.*")
     )
 
 
 # --- A17, A18: evidence -------------------------------------------------------------------
-def evidence_table(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
+def evidence_table(df: DataFrame, cluster_col: str = "cluster", group_col: str | None = None) -> DataFrame:
     """Flat form of supporting feedback: one row per (cluster, member), the
     scalable primary form. ``seq`` is the member's position in its cluster
     only on request (``supporting_feedback`` uses pos order directly)."""
+    lead = [group_col] if group_col else []
     return drop_noise(df, cluster_col).select(
-        F.col(cluster_col).alias("cluster"), "pos", "id", "source",
+        *lead, F.col(cluster_col).alias("cluster"), "pos", "id", "source",
         F.date_format("date", "yyyy-MM-dd").alias("date"), "text", "sentiment", "severity")
 
 
-def nested_evidence(df: DataFrame, cluster_col: str = "cluster", max_members: int = 100_000) -> DataFrame:
+def nested_evidence(df: DataFrame, cluster_col: str = "cluster", max_members: int = 100_000,
+                    group_col: str | None = None) -> DataFrame:
     """``supporting_feedback_ids`` and ``supporting_feedback`` arrays in row
     order. A nested array lives in one row, so the size of the largest cluster
     is checked first; beyond ``max_members`` use ``evidence_table``."""
-    ev = evidence_table(df, cluster_col)
-    largest = ev.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0
+    lead = [group_col] if group_col else []
+    ev = evidence_table(df, cluster_col, group_col=group_col)
+    largest = ev.groupBy(*lead, "cluster").count().agg(F.max("count")).first()[0] or 0
     if largest > max_members:
         raise ValueError(f"largest cluster has {largest} rows > max_members={max_members}; "
                          "use evidence_table() for the flat form")
     item = F.struct("pos", "id", "source", "date", "text", "sentiment", "severity")
-    nested = ev.groupBy("cluster").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    nested = ev.groupBy(*lead, "cluster").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     return nested.select(
-        "cluster",
+        *lead, "cluster",
         F.transform("_items", lambda x: x.getField("id")).alias("supporting_feedback_ids"),
         F.transform("_items", lambda x: F.struct(*[x.getField(f).alias(f) for f in
                                                    ("id", "source", "date", "text", "sentiment", "severity")]))
@@ -260,26 +286,36 @@ def nested_evidence(df: DataFrame, cluster_col: str = "cluster", max_members: in
 
 
 # --- A26 -------------------------------------------------------------------------------------
-def rank_insights(insights: DataFrame, top: int | None = None) -> DataFrame:
+def rank_insights(insights: DataFrame, top: int | None = None, group_col: str | None = None) -> DataFrame:
     """Sort by rounded priority descending, ties by cluster ascending, with an
-    explicit 1-based ``rank``; ``top`` turns it into a top-k report."""
-    ranked = with_ordinal(insights, "rank", [F.desc("priority_score"), F.asc("cluster")], start=1)
+    explicit 1-based ``rank`` (restarting in every group with ``group_col``);
+    ``top`` turns it into a top-k report."""
+    if group_col is None:
+        ranked = with_ordinal(insights, "rank", [F.desc("priority_score"), F.asc("cluster")], start=1)
+        order = ["rank"]
+    else:
+        ordered = with_ordinal(insights, "_o", [F.asc(group_col), F.desc("priority_score"), F.asc("cluster")], start=0)
+        first = ordered.groupBy(group_col).agg(F.min("_o").alias("_o0"))
+        ranked = ordered.join(first, group_col).withColumn("rank", F.col("_o") - F.col("_o0") + 1).drop("_o", "_o0")
+        order = [group_col, "rank"]
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return ranked.orderBy("rank")
+    return ranked.orderBy(*order)
 
 
 # --- A27 -------------------------------------------------------------------------------------
 def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: float = 0.35,
                      min_samples: int = 2, vec_col: str = "embedding", block_rows: int | None = None,
-                     nested_evidence_max: int | None = None):
+                     nested_evidence_max: int | None = None, group_col: str | None = None):
     """End to end: enrich, cluster, score, describe, pick representatives and
     rank. ``feedback`` has ``pos, id, text, source, date`` and either a vector
     column or an ``embedder`` (df -> df + vec_col). Returns
     ``(insights, enriched)``; ``evidence_table(enriched)`` gives the evidence.
     With ``nested_evidence_max`` the insights also carry the nested
     ``supporting_feedback_ids`` / ``supporting_feedback`` arrays, after the
-    largest cluster is checked against that bound."""
+    largest cluster is checked against that bound. With ``group_col`` every
+    dataset is analysed on its own (clusters, scores, ranks per dataset), all
+    datasets in the same distributed jobs; ``pos`` must be unique overall."""
     from murmur.operators.cluster import dbscan_cosine
     from murmur.operators.enrich import detect_severity, score_sentiment
     from murmur.session import cut_lineage
@@ -290,12 +326,13 @@ def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: fl
     df = (sentiment or score_sentiment)(df)
     df = detect_severity(df)
     df = dbscan_cosine(df, pos_col="pos", vec_col=vec_col, eps=eps, min_samples=min_samples,
-                       block_rows=block_rows)
+                       block_rows=block_rows, group_col=group_col)
     enriched = cut_lineage(df)   # read by scoring, representatives and evidence
-    scored = score_clusters(enriched)
-    reps = representative_statement(enriched, vec_col=vec_col).select("cluster", "problem")
-    insights = scored.join(reps, "cluster", "left").select(*INSIGHT_COLUMNS)
+    lead = [group_col] if group_col else []
+    scored = score_clusters(enriched, group_col=group_col)
+    reps = representative_statement(enriched, vec_col=vec_col, group_col=group_col).select(*lead, "cluster", "problem")
+    insights = scored.join(reps, lead + ["cluster"], "left").select(*lead, *INSIGHT_COLUMNS)
     if nested_evidence_max is not None:
-        nested = nested_evidence(enriched, max_members=nested_evidence_max)
-        insights = insights.join(nested, "cluster", "left")
-    return rank_insights(insights), enriched
+        nested = nested_evidence(enriched, max_members=nested_evidence_max, group_col=group_col)
+        insights = insights.join(nested, lead + ["cluster"], "left")
+    return rank_insights(insights, group_col=group_col), enriched

@@ -10,15 +10,25 @@ from pyspark.sql import types as T
 
 
 # --- D1 --------------------------------------------------------------------------
-def dataset_stats(feedback: DataFrame, insights: DataFrame) -> DataFrame:
-    """One row: total feedback, insights, HIGH-priority insights, strong
-    signals (the value the pipeline emits, ``STRONG SIGNAL``), distinct sources."""
-    ins = insights.select(F.struct(
+def dataset_stats(feedback: DataFrame, insights: DataFrame, group_col: str | None = None) -> DataFrame:
+    """One row (per group): total feedback, insights, HIGH-priority insights,
+    strong signals (the value the pipeline emits, ``STRONG SIGNAL``), distinct
+    sources."""
+    ins_aggs = [
         F.count(F.lit(1)).alias("active_insights"),
         F.count_if(F.upper("priority") == "HIGH").alias("high_priority"),
         F.count_if(F.upper("signal_strength") == "STRONG SIGNAL").alias("strong_signals"),
-    )).scalar()
-    fb = feedback.agg(F.count(F.lit(1)).alias("total_feedback"), F.count_distinct("source").alias("sources"))
+    ]
+    fb_aggs = [F.count(F.lit(1)).alias("total_feedback"), F.count_distinct("source").alias("sources")]
+    if group_col:
+        ins = insights.groupBy(group_col).agg(*ins_aggs)
+        fb = feedback.groupBy(group_col).agg(*fb_aggs)
+        out = fb.join(ins, group_col, "left")
+        return out.select(group_col, "total_feedback",
+                          *[F.coalesce(F.col(c), F.lit(0)).alias(c)
+                            for c in ("active_insights", "high_priority", "strong_signals")], "sources")
+    ins = insights.select(F.struct(*ins_aggs)).scalar()
+    fb = feedback.agg(*fb_aggs)
     # the insight figures are a one-row scalar subquery, inlined once
     return fb.select(
         "total_feedback",
@@ -30,13 +40,15 @@ def dataset_stats(feedback: DataFrame, insights: DataFrame) -> DataFrame:
 
 
 # --- D2 --------------------------------------------------------------------------
-def feedback_timeline(feedback: DataFrame, date_col: str = "date") -> DataFrame:
-    """Rows per calendar day (``yyyy-MM-dd``), null dates dropped, ascending."""
+def feedback_timeline(feedback: DataFrame, date_col: str = "date", group_col: str | None = None) -> DataFrame:
+    """Rows per calendar day (``yyyy-MM-dd``, per group), null dates dropped,
+    ascending."""
+    lead = [group_col] if group_col else []
     return (
         feedback.where(F.col(date_col).isNotNull())
-        .groupBy(F.date_format(date_col, "yyyy-MM-dd").alias("date"))
+        .groupBy(*lead, F.date_format(date_col, "yyyy-MM-dd").alias("date"))
         .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy("date")
+        .orderBy(*lead, "date")
     )
 
 

@@ -99,3 +99,28 @@ def test_batch_job(spark):
         assert os.path.isdir(os.path.join(out, part))
     assert spark.read.parquet(os.path.join(out, "insights")).count() == stats["active_insights"]
     assert spark.read.json(os.path.join(out, "timeline")).count() == 9
+
+
+def test_grouped_analysis_equals_separate_runs(spark):
+    """Many datasets in one job give exactly the per-dataset analyses."""
+    from murmur.operators.insights import INSIGHT_COLUMNS
+    from murmur.plans.fixtures import feedback_vec_fixture
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.01").withColumn("ds", (F.col("pos") % 2).cast("int"))
+    grouped, genr = analyze_feedback(fb, eps=0.6, min_samples=2, group_col="ds", nested_evidence_max=1000)
+    g_rows = {(r.ds, r.rank): r.asDict() for r in grouped.collect()}
+    g_stats = {r.ds: r.asDict() for r in dataset_stats(fb, grouped, group_col="ds").collect()}
+    g_tl = {(r.ds, r.date): r["count"] for r in feedback_timeline(fb, group_col="ds").collect()}
+    n = 0
+    for d in (0, 1):
+        part = fb.where(F.col("ds") == d)
+        alone, _ = analyze_feedback(part, eps=0.6, min_samples=2, nested_evidence_max=1000)
+        for r in alone.collect():
+            got = g_rows[(d, r.rank)]
+            for c in INSIGHT_COLUMNS + ["supporting_feedback_ids"]:
+                assert got[c] == r[c], (d, r.rank, c)
+            n += 1
+        st = dataset_stats(part, alone).first().asDict()
+        assert {k: g_stats[d][k] for k in st} == st
+        for r in feedback_timeline(part).collect():
+            assert g_tl[(d, r.date)] == r["count"]
+    assert n == len(g_rows) and n > 0
