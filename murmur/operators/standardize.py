@@ -70,52 +70,69 @@ def resolve_text_column(df: DataFrame) -> str:
 
 
 # --- P4 ------------------------------------------------------------------------------
-def _split_offsets_position(df: DataFrame) -> DataFrame:
+FILE_POS = "_fpos"   # position inside the input file (per-file mode)
+FILE_COL = "_file"   # input file path (per-file mode)
+
+
+def _split_offsets_position(df: DataFrame, per_file: bool = False) -> DataFrame:
     """``pos`` from the reader's (file, split start, row id) key without a
     sort of the rows: count rows per file split, prefix-sum the split table
     in (path, start) order, and broadcast one fixed-width row per split
-    (path hash, start, base) -- bounded by input bytes / split size, about
-    24 bytes per split. Both passes rescan the same files, whose split layout
-    and row ids are deterministic."""
+    (path hash, start, bases) -- bounded by input bytes / split size, about
+    32 bytes per split. Both passes rescan the same files, whose split layout
+    and row ids are deterministic. ``per_file`` also gives the position
+    inside each file and the file path."""
     f, b, r = (F.col(f"{ORDER_COL}.{x}") for x in ("f", "b", "r"))
     # one scan builds the (small) split table; it is materialised so the
     # guard and the offsets read it instead of scanning the input again
     splits = cut_lineage(df.select(f.alias("_f"), b.alias("_b"), r.alias("_r")).groupBy("_f", "_b").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0")))
-    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     # exactness guard on the small split table: fall back to the full path
     # as the key if two paths ever share a hash
     paths = splits.agg(F.count_distinct("_f").alias("p"), F.count_distinct(F.xxhash64("_f")).alias("h")).first()
     key = F.xxhash64 if paths["p"] == paths["h"] else (lambda c: c)
-    base = splits.select(
-        key(F.col("_f")).alias("_fh"), "_b",
-        (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_r0")).alias("_base"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    table = splits.withColumn("_pre", before).withColumn(
+        "_fstart", F.min("_pre").over(Window.partitionBy("_f")))
+    base = table.select(key(F.col("_f")).alias("_fh"), "_b", (F.col("_pre") - F.col("_r0")).alias("_base"),
+                        (F.col("_pre") - F.col("_fstart") - F.col("_r0")).alias("_fbase"))
     tagged = df.withColumns({"_fh": key(f), "_b": b})
-    return (tagged.join(F.broadcast(base), ["_fh", "_b"])
-            .withColumn("pos", F.col("_base") + r)
-            .drop("_fh", "_b", "_base", ORDER_COL))
+    out = tagged.join(F.broadcast(base), ["_fh", "_b"]).withColumn("pos", F.col("_base") + r)
+    if per_file:
+        out = out.withColumns({FILE_POS: F.col("_fbase") + r, FILE_COL: f})
+    return out.drop("_fh", "_b", "_base", "_fbase", ORDER_COL)
 
 
-def with_input_position(df: DataFrame) -> DataFrame:
+def with_input_position(df: DataFrame, per_file: bool = False) -> DataFrame:
     """Adds ``pos``: 0-based input order. Uses the reader's order key when
     present: (file, split, row) by split offsets; keys with an element index
     (JSON documents) by a distributed sort. Otherwise the current partition
-    order."""
+    order. ``per_file`` adds the position inside each input file and the path."""
     if ORDER_COL in df.columns:
         fields = df.schema[ORDER_COL].dataType.fieldNames()
         if fields == ["f", "b", "r"]:
-            return _split_offsets_position(df)
-        return with_ordinal(df, "pos", [ORDER_COL], start=0).drop(ORDER_COL)
+            return _split_offsets_position(df, per_file)
+        out = with_ordinal(df, "pos", [ORDER_COL], start=0)
+        if per_file:
+            out = out.withColumn(FILE_COL, F.col(f"{ORDER_COL}.f"))
+            first = out.groupBy(FILE_COL).agg(F.min("pos").alias("_p0"))
+            out = out.join(first, FILE_COL).withColumn(FILE_POS, F.col("pos") - F.col("_p0")).drop("_p0")
+        return out.drop(ORDER_COL)
+    if per_file:
+        raise ValueError("per-file positions need a file reader's order key")
     return with_file_order_index(df, "pos", start=0)
 
 
 def assign_ids(df: DataFrame, id_col: str | None = None) -> Column:
-    """Id column as string: the first present candidate, else ``pos + 1``
-    (assigned before blank rows are dropped, so gaps are possible)."""
+    """Id column as string: the first present candidate, else the input
+    position + 1 -- inside each file in per-file mode (assigned before blank
+    rows are dropped, so gaps are possible)."""
     id_col = id_col or _first_present(df, ID_CANDIDATES)
     if id_col:
         return F.col(f"`{id_col}`").cast("string")
-    return (F.col("pos") + 1).cast("string")
+    position = FILE_POS if FILE_POS in df.columns else "pos"
+    return (F.col(position) + 1).cast("string")
 
 
 # --- P5 ------------------------------------------------------------------------------
@@ -171,15 +188,19 @@ def _ingest_literal(ingest_ts) -> Column:
 
 
 def standardize_feedback(df: DataFrame, ingest_ts=None, date_formats=DATE_FORMATS, epoch_unit: str = "ns",
-                         text_col: str | None = None) -> DataFrame:
-    """P1..P7 composed: ``pos, id, text, source, date``."""
+                         text_col: str | None = None, dataset_col: str | None = None) -> DataFrame:
+    """P1..P7 composed: ``pos, id, text, source, date``. With ``dataset_col``
+    every input file is its own dataset (an upload): the column holds the
+    file path and generated ids restart at 1 in each file; ``pos`` stays
+    unique over all files."""
     if not df.columns or df.isEmpty():
         raise ValueError("The uploaded file contains no data.")
     df = normalize_headers(df)
     text_col = text_col or resolve_text_column(df)
-    df = with_input_position(df)
+    df = with_input_position(df, per_file=dataset_col is not None)
     ts = _ingest_literal(ingest_ts)
     out = df.select(
+        *([F.col(FILE_COL).alias(dataset_col)] if dataset_col else []),
         "pos",
         assign_ids(df).alias("id"),
         F.col(f"`{text_col}`").alias("text"),

@@ -89,13 +89,19 @@ def read_json_feedback(spark: SparkSession, path: str, layout: str = "document")
 
 
 # --- S3 for files ----------------------------------------------------------------------
-def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None) -> DataFrame:
-    """``.txt`` files: every non-blank line is a feedback row."""
+def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_col: str | None = None) -> DataFrame:
+    """``.txt`` files: every non-blank line is a feedback row; ids 1..n per
+    file, ``pos`` in (file, line) order over all files."""
+    from murmur.functions.indexing import with_ordinal
     from murmur.sources.segment import text_lines_feedback
 
     docs = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
-    return text_lines_feedback(docs, doc_col="doc_id", ingest_ts=ingest_ts)
+    lines = text_lines_feedback(docs, doc_col="doc_id", ingest_ts=ingest_ts)
+    lines = with_ordinal(lines.withColumn("_line", F.col("id").cast("long")), "pos", ["doc_id", "_line"]).drop("_line")
+    if dataset_col:
+        lines = lines.withColumnRenamed("doc_id", dataset_col)
+    return lines
 
 
 # --- S6 ----------------------------------------------------------------------------
@@ -110,5 +116,5 @@ def read_feedback(spark: SparkSession, path: str, format: str | None = None, ing
         layout = "lines" if ext == ".jsonl" else options.pop("layout", "document")
         return standardize_feedback(read_json_feedback(spark, path, layout=layout), ingest_ts=ingest_ts, **options)
     if ext == ".txt":
-        return read_text_feedback(spark, path, ingest_ts=ingest_ts)
+        return read_text_feedback(spark, path, ingest_ts=ingest_ts, dataset_col=options.get("dataset_col"))
     raise ValueError(f"Unsupported file format: {ext}")

@@ -124,3 +124,27 @@ def test_grouped_analysis_equals_separate_runs(spark):
         for r in feedback_timeline(part).collect():
             assert g_tl[(d, r.date)] == r["count"]
     assert n == len(g_rows) and n > 0
+
+
+def test_per_file_datasets(spark):
+    """Each input file is an upload: ids restart per file, pos stays unique,
+    and the per-file analysis equals analysing each file alone."""
+    from murmur.__main__ import analyze
+    d = tempfile.mkdtemp(prefix="perfile-")
+    body = CSV.replace("id,text,source,date", "text,source,date")
+    rows = body.split("\n")
+    header, recs = rows[0], rows[1:]
+    # drop the leading id field of each record line (multi-line record stays intact)
+    recs = [r.split(",", 1)[1] if r[:2].rstrip(",").isdigit() else r for r in recs]
+    for name in ("a.csv", "b.csv"):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("\n".join([header] + recs))
+    fb = read_feedback(spark, os.path.join(d, "*.csv"), ingest_ts="2025-04-01 00:00:00", dataset_col="dataset")
+    got = fb.collect()
+    assert len({r.pos for r in got}) == len(got) == 18
+    for name in ("a.csv", "b.csv"):
+        ids = sorted(int(r.id) for r in got if r.dataset.endswith(name))
+        assert ids == [1, 2, 3, 4, 5, 6, 7, 8, 10]   # record 9 is blank
+    stats = analyze(spark, os.path.join(d, "*.csv"), os.path.join(d, "out"), eps=0.5, embed_dim=256, per_file=True)
+    assert len(stats) == 2 and all(s["total_feedback"] == 9 for s in stats)
+    assert stats[0]["active_insights"] == stats[1]["active_insights"] >= 1
