@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.operators.standardize import ORDER_COL, standardize_feedback
+from murmur.session import cut_lineage
 
 # --- fixed values: pandas' default missing-value tokens for CSV ------------------
 CSV_NULL_TOKENS = (
@@ -89,19 +90,53 @@ def read_json_feedback(spark: SparkSession, path: str, layout: str = "document")
 
 
 # --- S3 for files ----------------------------------------------------------------------
-def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_col: str | None = None) -> DataFrame:
-    """``.txt`` files: every non-blank line is a feedback row; ids 1..n per
-    file, ``pos`` in (file, line) order over all files."""
+# line boundaries of Python's splitlines() beyond the \n, \r\n and \r that
+# Spark's line reader already splits on
+_EXTRA_LINE_BREAKS = "[\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_col: str | None = None,
+                       layout: str = "lines") -> DataFrame:
+    """``.txt`` files: every non-blank line (Python ``splitlines``) is a
+    feedback row, stripped; ids 1..n per file after blank lines are dropped;
+    ``pos`` in (file, line) order over all files.
+
+    ``layout='lines'`` (default) reads files line by line, so one huge file
+    splits across tasks; kept lines are numbered from per-split counts (a
+    small broadcast table) plus a row number inside each split (bounded by
+    the split size). ``layout='whole'`` reads each file as one row."""
     from murmur.functions.indexing import with_ordinal
-    from murmur.sources.segment import text_lines_feedback
-
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
-    lines = text_lines_feedback(docs, doc_col="doc_id", ingest_ts=ingest_ts)
-    lines = with_ordinal(lines.withColumn("_line", F.col("id").cast("long")), "pos", ["doc_id", "_line"]).drop("_line")
-    if dataset_col:
-        lines = lines.withColumnRenamed("doc_id", dataset_col)
-    return lines
+    from murmur.sources.segment import _ingest, _stripped_nonblank, text_lines_feedback
+
+    if layout == "whole":
+        docs = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+        lines = text_lines_feedback(docs, doc_col="doc_id", ingest_ts=ingest_ts)
+        lines = with_ordinal(lines.withColumn("_line", F.col("id").cast("long")), "pos",
+                             ["doc_id", "_line"]).drop("_line")
+        return lines.withColumnRenamed("doc_id", dataset_col) if dataset_col else lines
+
+    from pyspark.sql import Window
+
+    raw = spark.read.text(path).select(_order_key().alias("_o"), "value")
+    kept = raw.select(F.col("_o.f").alias("_f"), F.col("_o.b").alias("_b"), F.col("_o.r").alias("_r"),
+                      F.posexplode(_stripped_nonblank(F.split("value", _EXTRA_LINE_BREAKS))).alias("_k", "text"))
+    kept = cut_lineage(kept)
+    splits = kept.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    table = splits.withColumn("_pre", before).withColumn("_fstart", F.min("_pre").over(Window.partitionBy("_f")))
+    offsets = table.select("_f", "_b", "_pre", (F.col("_pre") - F.col("_fstart")).alias("_fpre"))
+    inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_r", "_k"))
+    numbered = kept.withColumn("_i", inside).join(F.broadcast(offsets), ["_f", "_b"])
+    return numbered.select(
+        F.col("_f").alias(dataset_col or "doc_id"),
+        (F.col("_pre") + F.col("_i") - 1).alias("pos"),
+        (F.col("_fpre") + F.col("_i")).cast("string").alias("id"),
+        "text",
+        F.lit("text_file").alias("source"),
+        _ingest(ingest_ts).alias("date"),
+    )
 
 
 # --- S6 ----------------------------------------------------------------------------

@@ -54,3 +54,44 @@ def test_pages_against_python(spark):
     df = spark.createDataFrame([(9, p, t) for p, t in pages], "doc_id long, page_no int, text string")
     got = [(r.id, r.text, r.source) for r in page_line_feedback(df).collect()]
     assert sorted(got, key=lambda x: int(x[0])) == python_pages(pages)
+
+
+def test_text_files_line_mode_matches_splitlines(spark):
+    """Line-mode reading (splittable) numbers lines exactly like splitlines,
+    across several files and many small splits."""
+    import os
+    import random
+    import tempfile
+    from murmur.sources.files import read_text_feedback
+
+    rnd = random.Random(7)
+    seps = ["\n", "\r\n", "\r", "\x0b", " ", "\n\n", "\n  \n", "\x85"]
+    d = tempfile.mkdtemp(prefix="txtlines-")
+    expected = {}
+    for name in ("a.txt", "b.txt", "c.txt"):
+        parts = []
+        for i in range(150):
+            parts.append(rnd.choice(["", "  "]) + f"line {name} {i} " + "x" * rnd.randint(0, 30) + rnd.choice(["", " \t"]))
+            parts.append(rnd.choice(seps))
+        body = "".join(parts)
+        with open(os.path.join(d, name), "w", newline="") as f:
+            f.write(body)
+        expected[name] = [ln.strip() for ln in body.splitlines() if ln.strip()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")   # many splits per file
+    try:
+        rows = read_text_feedback(spark, os.path.join(d, "*.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(os.path.basename(r.doc_id), []).append((int(r.id), r.pos, r.text))
+    order = []
+    for name in sorted(expected):
+        got = sorted(by_file[name])
+        assert [t for _, _, t in got] == expected[name]
+        assert [i for i, _, _ in got] == list(range(1, len(expected[name]) + 1))
+        order += [p for _, p, _ in got]
+    assert order == list(range(len(rows)))
+    whole = read_text_feedback(spark, os.path.join(d, "*.txt"), layout="whole").collect()
+    assert sorted((r.doc_id, r.id, r.text, r.pos) for r in whole) == sorted((r.doc_id, r.id, r.text, r.pos) for r in rows)
