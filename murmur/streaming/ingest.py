@@ -4,7 +4,9 @@ timeline is kept with a watermark.
 
 Each micro-batch is a static DataFrame, so ``foreachBatch`` applies the same
 batch operators; the batch is written under ``batch_id=<n>`` with overwrite,
-so a retried batch replaces its own output (exactly-once per batch)."""
+so a retried batch replaces its own output (exactly-once per batch). The
+stream carries each row's file path and split start, so every arriving file
+is numbered like an upload (generated ids 1..n per file)."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from murmur.operators.enrich import detect_severity, score_sentiment
-from murmur.operators.standardize import standardize_feedback
+from murmur.operators.standardize import ORDER_COL, standardize_feedback
 from murmur.session import ensure_checkpoint_dir
 
 
@@ -29,23 +31,35 @@ def raw_feedback_stream(spark: SparkSession, source_dir: str, schema: str, fmt:
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(source_dir)
-    if fmt == "json":
-        return reader.json(source_dir)
-    raise ValueError(f"Unsupported file format: {fmt}")
+        raw = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(source_dir)
+    elif fmt == "json":
+        raw = reader.json(source_dir)
+    else:
+        raise ValueError(f"Unsupported file format: {fmt}")
+    return raw.select("*", F.col("_metadata.file_path").alias("_src_f"),
+                      F.col("_metadata.file_block_start").alias("_src_b"))
+
+
+def _with_order_key(batch: DataFrame) -> DataFrame:
+    """The file readers' (file, split start, row) order key, rebuilt on a
+    micro-batch from the file metadata carried by the stream."""
+    key = F.struct(F.col("_src_f").alias("f"), F.col("_src_b").alias("b"),
+                   F.monotonically_increasing_id().alias("r"))
+    return batch.withColumn(ORDER_COL, key).drop("_src_f", "_src_b")
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, schema: str, fmt: str = "csv",
                   ingest_ts=None, checkpoint: str | None = None, available_now: bool = True,
-                  sentiment=None) -> StreamingQuery:
+                  sentiment=None, dataset_col: str | None = "dataset") -> StreamingQuery:
     """Start the ingest query: standardise + sentiment + severity per batch,
-    appended as Parquet under ``out_dir/batch_id=<n>``."""
+    appended as Parquet under ``out_dir/batch_id=<n>``. ``dataset_col`` holds
+    each row's file (its upload)."""
     raw = raw_feedback_stream(spark, source_dir, schema, fmt)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        std = standardize_feedback(batch, ingest_ts=ingest_ts)
+        std = standardize_feedback(_with_order_key(batch), ingest_ts=ingest_ts, dataset_col=dataset_col)
         scored = detect_severity((sentiment or score_sentiment)(std))
         scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
 

@@ -19,7 +19,8 @@ def test_ingest_and_timeline(spark):
                       checkpoint=os.path.join(base, "ckpt"))
     q.awaitTermination(120)
     got = spark.read.parquet(out)
-    assert got.count() == 839 and {"severity", "sentiment", "batch_id"} <= set(got.columns)
+    assert got.count() == 839 and {"severity", "sentiment", "batch_id", "dataset"} <= set(got.columns)
+    assert got.select("pos").distinct().count() == 839
 
     stream = spark.readStream.schema(got.drop("batch_id").schema).parquet(out)
     tq = (timeline_stream(stream).writeStream.outputMode("append").format("memory")
@@ -50,3 +51,24 @@ def test_restart_processes_only_new_files(spark):
     got = spark.read.parquet(out)
     assert n1 == 251 and got.count() == 839
     assert got.select("batch_id").distinct().count() == 2
+    # ids come from the Ticket_ID column; every file is its own dataset
+    assert {r.dataset.rsplit("/", 1)[-1] for r in got.select("dataset").distinct().collect()} == {"first.csv", "second.csv"}
+
+
+def test_stream_generated_ids_restart_per_file(spark):
+    base = tempfile.mkdtemp(prefix="stream-ids-")
+    src, out = os.path.join(base, "in"), os.path.join(base, "out")
+    os.makedirs(src)
+    for name, texts in (("u1.csv", ["one", "", "two", "three"]), ("u2.csv", ["four", "five"])):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("comment\n" + "\n".join(texts) + "\n")
+    q = ingest_stream(spark, src, out, "comment string", ingest_ts=FIXTURE_INGEST_TS,
+                      checkpoint=os.path.join(base, "ckpt"))
+    q.awaitTermination(120)
+    rows = spark.read.parquet(out).collect()
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r.dataset.rsplit("/", 1)[-1], []).append((int(r.id), r.text))
+    assert sorted(by_file["u1.csv"]) == [(1, "one"), (2, "two"), (3, "three")]
+    assert sorted(by_file["u2.csv"]) == [(1, "four"), (2, "five")]
+    assert len({r.pos for r in rows}) == len(rows)
