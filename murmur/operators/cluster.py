@@ -331,7 +331,8 @@ def number_clusters(assign: DataFrame, id_col: str = "id", label_col: str = "com
 
 def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding", eps: float = 0.35,
                   min_samples: int = 2, block_rows: int | None = None, out_col: str = "cluster",
-                  core_col: str | None = None, group_col: str | None = None) -> DataFrame:
+                  core_col: str | None = None, group_col: str | None = None,
+                  input_materialized: bool = False) -> DataFrame:
     """Adds ``cluster`` (int, -1 = noise). A point counts itself as a
     neighbour; core = at least ``min_samples`` neighbours within ``eps``;
     clusters are connected cores; a non-core point within eps of a core is a
@@ -339,8 +340,10 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     in order of their first core point by ``pos_col``. ``core_col`` adds
     the core flag. With ``group_col`` every group (dataset) is clustered on
     its own, all groups in the same jobs; ``pos_col`` must be unique overall
-    and cluster numbers restart in each group."""
-    prepared, keys = _block_layout(df, pos_col, vec_col, block_rows, materialize=True, group_col=group_col)
+    and cluster numbers restart in each group. ``input_materialized`` says
+    ``df`` is already checkpointed, so its vectors are not copied again."""
+    prepared, keys = _block_layout(df, pos_col, vec_col, block_rows, materialize=not input_materialized,
+                                   group_col=group_col)
     ids = prepared.select("_id")
     # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
     # core, so one pass suffices; zero vectors have no neighbours

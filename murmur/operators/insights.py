@@ -324,9 +324,10 @@ def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: fl
     if embedder is not None:
         df = embedder(df)
     df = (sentiment or score_sentiment)(df)
-    df = detect_severity(df)
+    # materialised once: embedding / model inference never runs twice
+    df = cut_lineage(detect_severity(df))
     df = dbscan_cosine(df, pos_col="pos", vec_col=vec_col, eps=eps, min_samples=min_samples,
-                       block_rows=block_rows, group_col=group_col)
+                       block_rows=block_rows, group_col=group_col, input_materialized=True)
     enriched = cut_lineage(df)   # read by scoring, representatives and evidence
     lead = [group_col] if group_col else []
     scored = score_clusters(enriched, group_col=group_col)

@@ -148,3 +148,22 @@ def test_per_file_datasets(spark):
     stats = analyze(spark, os.path.join(d, "*.csv"), os.path.join(d, "out"), eps=0.5, embed_dim=256, per_file=True)
     assert len(stats) == 2 and all(s["total_feedback"] == 9 for s in stats)
     assert stats[0]["active_insights"] == stats[1]["active_insights"] >= 1
+
+
+def test_embedder_runs_once_per_row(spark):
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, FloatType
+    from murmur.plans.fixtures import feedback_fixture
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def toy_embed(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return texts.map(lambda t: [float(len(t) % 7), float(len(t) % 5), 1.0])
+
+    fb = feedback_fixture(spark, "/root/testdata/sf0.001")
+    insights, enriched = analyze_feedback(fb, embedder=lambda d: d.withColumn("embedding", toy_embed("text")),
+                                          eps=0.01)
+    insights.collect()
+    evidence_table(enriched).collect()
+    assert calls.value == fb.count()
