@@ -137,9 +137,11 @@ _PAIR_SCHEMA = "src long, dst long, distance double"
 
 
 def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
-                    block_rows: int | None = None) -> DataFrame:
+                    block_rows: int | None = None, input_materialized: bool = False) -> DataFrame:
     """All pairs (src < dst) whose cosine distance ``1 - cos`` is <= eps.
-    The output is as large as the answer; clustering does not call this."""
+    The output is as large as the answer; clustering does not call this.
+    The (id, vector) projection is checkpointed unless ``input_materialized``
+    (a stored table or a checkpoint), so vectors are computed once."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split_pair(pdf)
@@ -154,7 +156,7 @@ def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
                                  "distance": pd.Series([], dtype="float64")})
         return pd.concat(parts, ignore_index=True)
 
-    prepared, keys = _block_layout(df, id_col, vec_col, block_rows)
+    prepared, keys = _block_layout(df, id_col, vec_col, block_rows, materialize=not input_materialized)
     return _replicate(prepared).groupBy(*keys).applyInPandas(pairs, _PAIR_SCHEMA)
 
 

@@ -260,7 +260,9 @@ FROM embeddings""")(_q_cosine_to_vector)
 
 def _pairs(spark, sf_dir):
     from murmur.operators.cluster import cosine_eps_join
-    return cosine_eps_join(_embeddings(spark, sf_dir), "vec_id", "embedding", eps=FIXTURE_EPS)
+    # a Parquet table: cheap and stable to read twice
+    return cosine_eps_join(_embeddings(spark, sf_dir), "vec_id", "embedding", eps=FIXTURE_EPS,
+                           input_materialized=True)
 
 
 def _q_cosine_eps_join(spark, sf_dir):
