@@ -152,4 +152,4 @@ def read_feedback(spark: SparkSession, path: str, format: str | None = None, ing
         return standardize_feedback(read_json_feedback(spark, path, layout=layout), ingest_ts=ingest_ts, **options)
     if ext == ".txt":
         return read_text_feedback(spark, path, ingest_ts=ingest_ts, dataset_col=options.get("dataset_col"))
-    raise ValueError(f"Unsupported file format: {ext}")
+    raise ValueError(f"Unsupported file format: {ext} (supported: {', '.join(SUPPORTED_EXTENSIONS)})")
