@@ -73,3 +73,27 @@ def test_theme_edges(spark):
     assert got[1].customer_impact == "The recurring issue is creating friction for customers."
     assert got[2].theme == "UPLOAD_FAILURE"
     assert got[2].observed_pattern.endswith("across s.")
+
+
+_PIECES = ["• ", "●", "- ", "– ", "—", "‣ ", "1. ", "12) ", "٣. ", "3.", "Hello", "world", "Again", "x", "ok",
+           ". ", "! ", "? ", ".", "?  ", " ", "\t", " ", "\xa0", "Z", "a", "é", "\r\n", "\n", "\r", "42"]
+pages = st.lists(st.lists(st.sampled_from(_PIECES), max_size=40).map("".join), min_size=1, max_size=25)
+
+
+@SETTINGS
+@given(pages)
+def test_page_cleaning_matches_python(spark, texts):
+    from test_segment import python_pages
+    from murmur.sources.segment import page_line_feedback
+    page_list = [(i + 1, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(1, p, t) for p, t in page_list], "doc_id long, page_no int, text string")
+    got = sorted(((r.id, r.text, r.source) for r in page_line_feedback(df).collect()), key=lambda x: int(x[0]))
+    assert got == python_pages(page_list)
+
+
+def test_timeline_sf0001(spark):
+    from conftest import SF001
+    from murmur.operators.report import feedback_timeline
+    from murmur.plans.fixtures import feedback_fixture
+    tl = feedback_timeline(feedback_fixture(spark, SF001)).collect()
+    assert len(tl) == 30 and min(r["count"] for r in tl) == 20 and max(r["count"] for r in tl) == 50
