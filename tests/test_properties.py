@@ -97,3 +97,33 @@ def test_timeline_sf0001(spark):
     from murmur.plans.fixtures import feedback_fixture
     tl = feedback_timeline(feedback_fixture(spark, SF001)).collect()
     assert len(tl) == 30 and min(r["count"] for r in tl) == 20 and max(r["count"] for r in tl) == 50
+
+
+_SEV_PIECES = ["crash", "Crashing", "freeze", "can't", "can’t", "unable", "fail", "failure", "slow", "too many",
+               "too long", "Painfully", "days", "week", "weeks", "hour", "hours", "several days", "almost a week",
+               "3", "12", "٣", "x3", "3x", " ", "  ", "\t", "\xa0", " ", ".", ",", "-", "_", "a", "support", "holidays"]
+sev_texts = st.lists(st.lists(st.sampled_from(_SEV_PIECES), max_size=12).map("".join), min_size=1, max_size=80)
+
+
+def python_severity(text):
+    import re
+    from murmur.functions import lexicon as lx
+    t = text.lower()
+    if any(w in t for w in lx.HIGH_SEVERITY_WORDS):
+        return "HIGH"
+    if re.search(lx.DELAY_PATTERN, t):
+        return "HIGH"
+    if any(w in t for w in lx.DELAY_PHRASES):
+        return "HIGH"
+    if any(w in t for w in lx.MEDIUM_SEVERITY_WORDS):
+        return "MEDIUM"
+    return "LOW"
+
+
+@SETTINGS
+@given(sev_texts)
+def test_severity_matches_python_rule(spark, values):
+    from murmur.operators.enrich import detect_severity
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, text string")
+    got = {r.i: r.severity for r in detect_severity(df).collect()}
+    assert [got[i] for i in range(len(values))] == [python_severity(v) for v in values]
