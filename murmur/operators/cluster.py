@@ -22,15 +22,21 @@ definition). Global connectivity then runs on that sparse edge set."""
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.indexing import with_ordinal
 from murmur.session import cut_lineage
 
+# the block-pair functions run in Python workers: ship them by value, so the
+# workers need no copy of this package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # --- block layout --------------------------------------------------------------
 TASK_MEMORY_BYTES = 256 << 20   # working memory one block-pair group may use
