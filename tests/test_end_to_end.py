@@ -167,3 +167,23 @@ def test_embedder_runs_once_per_row(spark):
     insights.collect()
     evidence_table(enriched).collect()
     assert calls.value == fb.count()
+
+
+def test_workers_need_no_package_on_their_path():
+    """A driver started elsewhere (workers cannot import murmur) still runs
+    the operators whose code executes in Python workers."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from murmur.operators.cluster import dbscan_cosine\n"
+        "df = spark.createDataFrame([(i, [1.0, float(i %% 3)]) for i in range(30)], 'pos long, embedding array<float>')\n"
+        "print('clusters', dbscan_cosine(df, eps=0.01, min_samples=2).select('cluster').distinct().count())\n"
+    ) % repo
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="elsewhere-"), env=env,
+                         capture_output=True, text=True, timeout=300)
+    assert "clusters 3" in out.stdout, out.stderr[-2000:]
