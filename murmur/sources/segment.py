@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.indexing import with_sum_before
+from murmur.session import cut_lineage
 from murmur.functions.text import PY_LINE_BREAK_REGEX, PY_WS_CLASS, py_strip
 
 # --- fixed values --------------------------------------------------------------
@@ -88,7 +89,8 @@ def page_line_feedback(pages: DataFrame, text_col: str = "text", doc_col: str =
     a document in (page, line, sentence) order; source ``pdf_page_<n>``."""
     per_page = pages.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"),
                             clean_page_lines(F.col(text_col)).alias("_s"))
-    per_page = per_page.withColumn("_n", F.size("_s"))
+    # cleaned once: the counts and the output both read it
+    per_page = cut_lineage(per_page.withColumn("_n", F.size("_s")))
     # offsets from a one-row-per-page count table: a distributed prefix sum
     # over (doc, page), minus the doc's own start, so a document with very
     # many pages never lands in one task
