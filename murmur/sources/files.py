@@ -78,6 +78,8 @@ def read_json_feedback(spark: SparkSession, path: str, layout: str = "document")
         F.struct(F.col("_o.f"), F.col("_o.b"), F.col("_o.r"), F.col("_i").alias("i")).alias(ORDER_COL),
         F.try_variant_get("_rec", "$", "map<string,variant>").alias("_m"),
     )
+    # parsed once: key discovery, row numbering and the output all read it
+    rows = cut_lineage(rows)
     # key set is schema-level metadata: one row per distinct key
     keys = (rows.select(ORDER_COL, F.posexplode(F.map_keys("_m")).alias("_k", "key"))
             .groupBy("key").agg(F.min(F.struct(ORDER_COL, "_k")).alias("_first"))
