@@ -92,17 +92,28 @@ def score_sentiment_model(df: DataFrame, model, text_col: str = "text") -> DataF
 
 
 # --- E3 ----------------------------------------------------------------------
-def fit_text_embedder(corpus: DataFrame, text_col: str = "text", dim: int = 384):
-    """Spark ML embedder, no download: RegexTokenizer -> HashingTF(dim) -> IDF.
-    Fitted (document frequencies) on the corpus as one distributed job."""
+def fit_text_embedder(corpus: DataFrame, text_col: str = "text", dim: int = 384, method: str = "tfidf",
+                      min_count: int = 2, partitions: int | None = None, seed: int = 42):
+    """Spark ML embedder, no download, fitted on the corpus as distributed jobs.
+
+    ``tfidf``: RegexTokenizer -> HashingTF(dim) -> IDF (document frequencies).
+    ``word2vec``: RegexTokenizer -> Word2Vec(vectorSize=dim); a text's vector
+    is the mean of its word vectors. ``partitions`` parallelises training
+    (default: the session's default parallelism)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Word2Vec
 
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern="\\W+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_idf"),
-    ]).fit(corpus.select(text_col))
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern="\\W+", toLowercase=True)
+    if method == "tfidf":
+        stages = [tok, HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
+                  IDF(inputCol="_tf", outputCol="_vec")]
+    elif method == "word2vec":
+        parts = partitions or corpus.sparkSession.sparkContext.defaultParallelism
+        stages = [tok, Word2Vec(inputCol="_tok", outputCol="_vec", vectorSize=dim, minCount=min_count,
+                                numPartitions=parts, seed=seed)]
+    else:
+        raise ValueError(f"unknown embedding method: {method}")
+    return Pipeline(stages=stages).fit(corpus.select(text_col))
 
 
 def embed_text(df: DataFrame, model, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
@@ -110,8 +121,8 @@ def embed_text(df: DataFrame, model, text_col: str = "text", out_col: str = "emb
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(df)
-    out = out.withColumn(out_col, vx.l2_normalize(vector_to_array(F.col("_idf"))).cast("array<float>"))
-    return out.drop("_tok", "_tf", "_idf")
+    out = out.withColumn(out_col, vx.l2_normalize(vector_to_array(F.col("_vec"))).cast("array<float>"))
+    return out.drop("_tok", "_tf", "_vec")
 
 
 def predict_batch_scorer(make_predict_fn, return_type, batch_size: int = 256, input_tensor_shapes=None):

@@ -86,3 +86,13 @@ def test_predict_batch_hook(spark):
     df = spark.createDataFrame([("short",), ("a much longer comment than twenty characters",)], ["text"])
     got = [r.s for r in df.select(score(F.length("text").cast("float")).alias("s")).collect()]
     assert got == [0.0, 1.0]
+
+
+def test_word2vec_embedder(spark):
+    from murmur.operators.enrich import embed_text, fit_text_embedder
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    model = fit_text_embedder(docs, dim=32, method="word2vec", partitions=2)
+    rows = embed_text(docs, model).collect()
+    assert len(rows) == docs.count() and all(len(r.embedding) == 32 for r in rows)
+    norms = [sum(x * x for x in r.embedding) ** 0.5 for r in rows]
+    assert all(abs(n - 1) < 1e-4 or n == 0 for n in norms)
