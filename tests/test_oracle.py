@@ -11,7 +11,8 @@ import __spark_entry__ as ent
 from conftest import SF001
 from tools.oracle_check import _rows
 
-NAMES = sorted(ent.queries())
+# the training-data queries are tested beside their operators
+NAMES = sorted(set(ent.queries()) - set(ent._llm()[0]))
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def con():
 
 
 def test_every_query_has_a_twin_or_is_rows_only():
-    rows_only = set(ent.queries()) - set(ent.oracle_sql())
+    rows_only = set(NAMES) - set(ent.oracle_sql())
     assert rows_only == {"score_sentiment_model", "embed_text"}
 
 
