@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from murmur.llm.mixing import mix_sources
 from murmur.llm.packing import best_fit_pack
+from murmur.llm.pii import pii_spans, span_digest
+from murmur.llm.simhash import simhash_groups
+from murmur.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from murmur.llm.url_filters import filter_urls, filter_urls_sql, outcomes_of_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +30,41 @@ def _register(fn):
 @_register
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_register
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii_spans(table(spark, sf_dir, "documents")))
+
+
+@_register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_register
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return mix_sources(docs).select("doc_id", "source", "weight", "block", "slot", "position")
+
+
+@_register
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = outcomes_of_labels(pages, table(spark, sf_dir, "labels"))
+    return filter_urls(pages, outcomes).select(
+        "page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"),
+        F.round("bad_rate_low", 6).alias("bad_rate_low"))
+
+
+ORACLE["op1_url_filters"] = filter_urls_sql()
