@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.llm.ann import nearest_neighbours
+from murmur.llm.chat import chat_digest, format_chats
 from murmur.llm.mixing import mix_sources
 from murmur.llm.packing import best_fit_pack
 from murmur.llm.pii import pii_spans, span_digest
 from murmur.llm.simhash import simhash_groups
+from murmur.llm.topk import exact_top_k
 from murmur.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from murmur.llm.url_filters import filter_urls, filter_urls_sql, outcomes_of_labels
 
@@ -68,3 +71,38 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_url_filters"] = filter_urls_sql()
+
+
+#: A conversation whose texts hold control strings of common templates.
+PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+@_register
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
+    return chat_digest(format_chats(turns.unionByName(probe)))
+
+
+@_register
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+@_register
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0).withColumnRenamed(
+        "id", "vec_id")
+
+
+#: floor(64 x) as integers, every query against every row.
+ORACLE["op3_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)"""
