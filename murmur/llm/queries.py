@@ -105,4 +105,4 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CA
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)"""
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
