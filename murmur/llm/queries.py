@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm.ann import nearest_neighbours
 from murmur.llm.chat import chat_digest, format_chats
+from murmur.llm.html_text import extract_text
 from murmur.llm.mixing import mix_sources
 from murmur.llm.packing import best_fit_pack
 from murmur.llm.pii import pii_spans, span_digest
@@ -106,3 +107,9 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+
+@_register
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "covered_blocks")

@@ -32,8 +32,8 @@ by_value(__name__)
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 18
 MAX_ROWS_PER_LABEL = 8_000
-MAX_FEATURES = 4_096
-MIN_Z = 4.0
+MAX_FEATURES = 1_024
+MIN_Z = 2.5
 FIT_TASKS = 16
 PIECE_CHARS = 1 << 20
 FOLDS = 5
@@ -113,23 +113,47 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -500, 500)))
 
 
-def _logistic(doc, col, value, y, weight, width, l2=1.0, rounds=400):
-    """Weighted L2 logistic regression on sparse rows, accelerated gradient."""
+def _logistic(doc, col, value, y, weight, width, l2=1.0, rounds=200, memory=10):
+    """Weighted L2 logistic regression on sparse rows by L-BFGS: weights and
+    intercept. The intercept is not penalised."""
     n = len(y)
-    w, b, vw, vb = np.zeros(width), 0.0, np.zeros(width), 0.0
-    norm = np.bincount(doc, weights=value * value, minlength=n).max(initial=0.0) + 1.0
-    rate = 4.0 * weight.sum() / (norm * weight.sum() + 4.0 * l2)
-    total = weight.sum()
-    t = 1.0
+
+    def loss(w):
+        margin = np.bincount(doc, weights=value * w[:-1][col], minlength=n) + w[-1]
+        slope = weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - y)
+        grad = np.append(np.bincount(col, weights=value * slope[doc], minlength=width) + l2 * w[:-1], slope.sum())
+        return (weight * (np.logaddexp(0.0, margin) - y * margin)).sum() + l2 / 2 * (w[:-1] ** 2).sum(), grad
+
+    w = np.zeros(width + 1)
+    f, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(doc, weights=value * vw[col], minlength=n) + vb, -500, 500)))
-        g = weight * (p - y) / total
-        gw = np.bincount(col, weights=value * g[doc], minlength=width) + l2 / total * vw
-        nw, nb = vw - rate * gw, vb - rate * g.sum()
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
-        w, b, t = nw, nb, t2
-    return w, b
+        if np.abs(g).max() <= 1e-4 * max(1.0, weight.sum()) / n:
+            break
+        step, alphas = -g, []
+        for s, d in reversed(past):
+            alphas.append(s @ step / (s @ d))
+            step = step - alphas[-1] * d
+        if past:
+            s, d = past[-1]
+            step = step * (s @ d) / (d @ d)
+        else:
+            step = step / max(1.0, np.linalg.norm(g))
+        for (s, d), alpha in zip(past, reversed(alphas)):
+            step = step + (alpha - d @ step / (s @ d)) * s
+        size = 1.0
+        while size > 1e-10:
+            f2, g2 = loss(w + size * step)
+            if f2 <= f + 1e-4 * size * (g @ step):
+                break
+            size /= 2
+        else:
+            break
+        s, d = size * step, g2 - g
+        if s @ d > 1e-12:
+            past = [*past, (s, d)][-memory:]
+        w, f, g = w + s, f2, g2
+    return w[:-1], float(w[-1])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
