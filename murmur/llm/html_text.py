@@ -162,7 +162,8 @@ def _stream(blocks, run_tokens: int):
 def _run_keys(tokens: np.ndarray, host: int, run_tokens: int) -> np.ndarray:
     """A 64-bit key of the run of ``run_tokens`` tokens at every place."""
     n = len(tokens) - run_tokens + 1
-    key = np.full(n, host, dtype=np.uint64)
+    start = (host * int(_MULT) + 1) % (1 << 64)
+    key = np.full(n, start ^ (start >> 31), dtype=np.uint64)
     for j in range(run_tokens):
         key = (key ^ tokens[j:j + n]) * _MULT
         key ^= key >> np.uint64(29)
