@@ -40,13 +40,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- block layout --------------------------------------------------------------
 TASK_MEMORY_BYTES = 256 << 20   # working memory one block-pair group may use
-TILE_ROWS = 2048                # rows of the left block per matrix tile
+TILE_ROWS = 512                 # rows of the left block per matrix tile
+RECHECK_PAIRS = 16_384          # pairs compared in float64 at a time
 
 
 def block_rows_for(dim: int, task_memory_bytes: int = TASK_MEMORY_BYTES) -> int:
     """Rows per block so that one group (two blocks shipped as float32, their
     float64 unit copies, one float32 similarity tile) fits the budget."""
-    per_row = 2 * dim * (4 + 8) + 4 * TILE_ROWS
+    per_row = 2 * dim * (4 + 8) + (4 + 2 + 16) * TILE_ROWS
     return int(min(65536, max(1024, task_memory_bytes // per_row)))
 
 
@@ -61,6 +62,8 @@ def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int | No
     cols = [F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")]
     if group_col:
         cols.append(F.col(group_col).alias("_g"))
+    if "_w" in df.columns:
+        cols.append(F.col("_w"))
     base = df.select(*cols)
     if materialize:
         base = cut_lineage(base)
@@ -110,27 +113,44 @@ def _f32_margin(dim: int) -> float:
     return max(1e-4, 4.0 * dim * float(np.finfo(np.float32).eps))
 
 
-def _neighbour_tiles(ua: np.ndarray, ub: np.ndarray, eps: float, same: bool):
+def _exact_pairs(ua: np.ndarray, ub: np.ndarray, near: np.ndarray, start: int, eps: float):
+    """``(i, j, dist)`` of the marked pairs of a tile that are within eps in
+    float64, RECHECK_PAIRS at a time."""
+    i, j = np.nonzero(near)
+    for k in range(0, len(i), RECHECK_PAIRS):
+        a, b = i[k:k + RECHECK_PAIRS] + start, j[k:k + RECHECK_PAIRS]
+        dist = 1.0 - np.einsum("ij,ij->i", ua[a], ub[b])
+        ok = dist <= eps
+        yield a[ok], b[ok], dist[ok]
+
+
+def _neighbour_tiles(ua: np.ndarray, ub: np.ndarray, eps: float, same: bool, exact: bool = False):
     """Yield ``(i, j, dist)`` index arrays of all pairs with cosine distance
-    <= eps, tile by tile: a float32 product selects candidates within a safe
-    margin, which are then re-checked exactly in float64. With ``same`` only
-    i < j is yielded."""
+    <= eps, tile by tile. A float32 product decides pairs that are clear of
+    the threshold by more than its error (``dist`` is None there); only the
+    pairs inside the error band are re-checked in float64, a bounded number
+    at a time, so memory does not grow with the density. ``exact`` re-checks
+    all and always gives distances. With ``same`` only i < j is yielded."""
     if ua.size == 0 or ub.size == 0:
         return
+    ceiling = (1.0 - eps) + _f32_margin(ua.shape[1])
     a32, b32 = ua.astype(np.float32), ub.astype(np.float32)
     floor = (1.0 - eps) - _f32_margin(ua.shape[1])
     for start in range(0, len(ua), TILE_ROWS):
         sim = a32[start:start + TILE_ROWS] @ b32.T
-        i, j = np.nonzero(sim >= floor)
-        i = i + start
+        near = sim >= floor
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        if len(i) == 0:
+            near[:, :start] = False
+            near[:, start:start + len(sim)] &= np.triu(np.ones((len(sim), len(sim)), dtype=bool), 1)
+        if exact:
+            yield from _exact_pairs(ua, ub, near, start, eps)
             continue
-        dist = 1.0 - np.einsum("ij,ij->i", ua[i], ub[j])
-        ok = dist <= eps
-        yield i[ok], j[ok], dist[ok]
+        # clear of the threshold by more than the float32 error: no re-check
+        sure = near & (sim >= ceiling)
+        i, j = np.nonzero(sure)
+        if len(i):
+            yield i + start, j, None
+        yield from _exact_pairs(ua, ub, near & ~sure, start, eps)
 
 
 def _self_neighbour(u: np.ndarray, eps: float) -> np.ndarray:
@@ -154,7 +174,7 @@ def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
         ua, ub = _unit_matrix(a["_v"].tolist()), _unit_matrix(b["_v"].tolist())
         ida, idb = a["_id"].to_numpy(), b["_id"].to_numpy()
         parts = []
-        for i, j, d in _neighbour_tiles(ua, ub, eps, same):
+        for i, j, d in _neighbour_tiles(ua, ub, eps, same, exact=True):
             parts.append(pd.DataFrame({"src": np.minimum(ida[i], idb[j]), "dst": np.maximum(ida[i], idb[j]),
                                        "distance": d}))
         if not parts:
@@ -199,7 +219,7 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def connected_components(vertices: DataFrame | None, edges: DataFrame, id_col: str = "id", src: str = "src",
-                         dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+                         dst: str = "dst") -> DataFrame:
     """``(id, component)`` where component is the smallest id in the
     component. Alternating large-star / small-star rounds (O(log^2 n) rounds),
     with a reliable checkpoint each round to cut lineage. ``vertices=None``
@@ -209,12 +229,8 @@ def connected_components(vertices: DataFrame | None, edges: DataFrame, id_col: s
         ids = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct()
     else:
         ids = vertices.select(F.col(id_col).cast("long").alias("u")).distinct()
-    for _ in range(max_rounds):
-        if _is_star_forest(e):
-            break
+    while not _is_star_forest(e):   # every round merges until the structure is reached
         e = cut_lineage(_small_star(_large_star(e)))
-    else:
-        raise RuntimeError("connected_components did not converge")
     return ids.join(e, "u", "left").select(
         F.col("u").alias(id_col), F.coalesce(F.col("v"), F.col("u")).alias("component"))
 
@@ -257,16 +273,18 @@ def _pair_vectors(pdf: pd.DataFrame):
 
 
 def _degree_fn(eps: float):
-    """Pass 1: per row, the number of neighbours in the other block of the
-    pair (both directions; self counted in the diagonal pair)."""
+    """Pass 1: per class of equal vectors, the number of neighbouring rows in
+    the other block of the pair (both directions; the class's own rows are
+    counted in the diagonal pair)."""
     def degrees(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same, ua, ub = _pair_vectors(pdf)
+        wa, wb = a["_w"].to_numpy(), b["_w"].to_numpy()
         ca, cb = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         for i, j, _ in _neighbour_tiles(ua, ub, eps, same):
-            ca += np.bincount(i, minlength=len(a))
-            cb += np.bincount(j, minlength=len(b))
+            ca += np.bincount(i, weights=wb[j], minlength=len(a)).astype(np.int64)
+            cb += np.bincount(j, weights=wa[i], minlength=len(b)).astype(np.int64)
         if same:
-            cnt, ids = ca + cb + _self_neighbour(ua, eps).astype(np.int64), a["_id"].to_numpy()
+            cnt, ids = ca + cb + _self_neighbour(ua, eps) * wa, a["_id"].to_numpy()
         else:
             cnt = np.concatenate([ca, cb])
             ids = np.concatenate([a["_id"].to_numpy(), b["_id"].to_numpy()])
@@ -350,8 +368,19 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     its own, all groups in the same jobs; ``pos_col`` must be unique overall
     and cluster numbers restart in each group. ``input_materialized`` says
     ``df`` is already checkpointed, so its vectors are not copied again."""
-    prepared, keys = _block_layout(df, pos_col, vec_col, block_rows, materialize=not input_materialized,
-                                   group_col=group_col)
+    base = df.select(F.col(pos_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"),
+                     *([F.col(group_col).alias("_g")] if group_col else []))
+    if not input_materialized:
+        base = cut_lineage(base)
+    rows = base.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_id").alias("ids")).first()
+    if rows["n"] != rows["ids"]:
+        raise ValueError(f"{pos_col} must be unique and not null: {rows['n']} rows, {rows['ids']} values")
+    # equal vectors are one class of weight _w, known by its first row: they
+    # are neighbours of the same rows and core together, so only classes are
+    # compared, however often a vector repeats
+    same_vec = ["_v"] + (["_g"] if group_col else [])
+    classes = cut_lineage(base.groupBy(*same_vec).agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_w")))
+    prepared, keys = _block_layout(classes, "_id", "_v", block_rows, group_col="_g" if group_col else None)
     ids = prepared.select("_id")
     # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
     # core, so one pass suffices; zero vectors have no neighbours
@@ -369,7 +398,11 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
             nonzero = F.exists("_v", lambda x: x != 0)
             cores = prepared.where(nonzero).select(F.col("_id").alias("id"))
         else:
-            cores = None
+            edges = cut_lineage(edges)
+            nonzero = F.exists("_v", lambda x: x != 0)
+            cores = (prepared.where(nonzero & (F.col("_w") > 1)).select(F.col("_id").alias("id"))
+                     .unionByName(edges.select(F.col("a").alias("id")))
+                     .unionByName(edges.select(F.col("b").alias("id"))).distinct())
     else:
         # pass 1: exact degree (including self)
         partial = _replicate(prepared).groupBy(*keys).applyInPandas(
@@ -386,8 +419,6 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
         cores = flagged.where("_core").select(F.col("_id").alias("id"))
 
     comp = connected_components(cores, edges, id_col="id", src="a", dst="b")
-    if cores is None:
-        cores = comp.select("id")
     assigned = comp
     if not fast:
         border = (
@@ -399,8 +430,15 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     groups = prepared.select(F.col("_id").alias("id"), "_g") if group_col else None
     numbered = number_clusters(assigned, id_col="id", label_col="component", out_col=out_col, groups=groups)
     labels = ids.join(numbered.withColumnRenamed("id", "_id"), "_id", "left").select(
-        F.col("_id").alias("_pos_key"), F.coalesce(F.col(out_col), F.lit(-1)).alias(out_col))
+        F.col("_id").alias("_class"), F.coalesce(F.col(out_col), F.lit(-1)).alias(out_col))
     if core_col:
-        flags = cores.select(F.col("id").alias("_pos_key"), F.lit(True).alias(core_col))
-        labels = labels.join(flags, "_pos_key", "left").withColumn(core_col, F.coalesce(F.col(core_col), F.lit(False)))
+        flags = cores.select(F.col("id").alias("_class"), F.lit(True).alias(core_col))
+        labels = labels.join(flags, "_class", "left").withColumn(core_col, F.coalesce(F.col(core_col), F.lit(False)))
+    # rows back to their class; a vector that many rows share is a skewed key
+    # of this join, which AQE splits
+    hashed = F.xxhash64(*same_vec)
+    of_class = classes.select(F.col("_id").alias("_class"), "_v", *same_vec[1:]).withColumn("_h", hashed)
+    member = base.withColumn("_h", hashed).join(of_class, ["_h", *same_vec]).select(
+        F.col("_id").alias("_pos_key"), "_class")
+    labels = member.join(labels, "_class").drop("_class")
     return df.join(labels, F.col(pos_col).cast("long") == F.col("_pos_key"), "left").drop("_pos_key")

@@ -43,30 +43,57 @@ def _keys(cluster_col: str, group_col: str | None):
     return ([F.col(group_col)] + key) if group_col else key
 
 
-def cluster_features(df: DataFrame, cluster_col: str = "cluster", keywords=lx.THEME_KEYWORDS,
-                     group_col: str | None = None) -> DataFrame:
-    """One row per non-noise cluster (per group) with its raw evidence features."""
+LEVELS = ("HIGH", "MEDIUM", "LOW")
+
+
+def source_features(df: DataFrame, cluster_col: str = "cluster", keywords=lx.THEME_KEYWORDS,
+                    group_col: str | None = None) -> DataFrame:
+    """One row per (group,) cluster and source, noise included: the one scan
+    behind all cluster and dataset figures. The flat (cluster, source) table
+    is the scalable form of the source lists."""
     lower = F.lower(F.col("text"))
     tenths = (F.when(F.col("severity") == "HIGH", lx.SEVERITY_TENTHS["HIGH"])
               .when(F.col("severity") == "MEDIUM", lx.SEVERITY_TENTHS["MEDIUM"])
               .otherwise(lx.SEVERITY_TENTHS["LOW"]))
-    levels = ("HIGH", "MEDIUM", "LOW")
     aggs = [
-        F.count(F.lit(1)).alias("evidence_count"),
-        F.count_if(F.col("sentiment") == "negative").alias("negative_evidence"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
-        F.min("date").alias("first_seen_ts"),
-        F.max("date").alias("last_seen_ts"),
-        F.sum(tenths).alias("severity_tenths"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("sentiment") == "negative").alias("negative"),
+        F.min("date").alias("first"),
+        F.max("date").alias("last"),
+        F.sum(tenths).alias("tenths"),
     ]
-    for lev in levels:
+    for lev in LEVELS:
         aggs.append(F.count_if(F.col("severity") == lev).alias("_n_" + lev))
         aggs.append(F.min(F.when(F.col("severity") == lev, F.col("pos"))).alias("_first_" + lev))
     aggs += [F.bool_or(lower.contains(w)).alias(_kw(w)) for w in keywords]
-    per = drop_noise(df, cluster_col).groupBy(*_keys(cluster_col, group_col)).agg(*aggs)
-    per = per.withColumn("severity", _dominant([(lev, F.col("_n_" + lev), F.col("_first_" + lev)) for lev in levels]))
+    return df.groupBy(*_keys(cluster_col, group_col), F.col("source")).agg(*aggs)
+
+
+def _cluster_rows(per_source: DataFrame, keywords=lx.THEME_KEYWORDS, group_col: str | None = None) -> DataFrame:
+    """Cluster features from :func:`source_features`: the arrays are built
+    from one row per distinct source."""
+    aggs = [
+        F.sum("n").alias("evidence_count"),
+        F.sum("negative").alias("negative_evidence"),
+        F.array_sort(F.collect_list("source")).alias("sources"),
+        F.min("first").alias("first_seen_ts"),
+        F.max("last").alias("last_seen_ts"),
+        F.sum("tenths").alias("severity_tenths"),
+    ]
+    for lev in LEVELS:
+        aggs += [F.sum("_n_" + lev).alias("_n_" + lev), F.min("_first_" + lev).alias("_first_" + lev)]
+    aggs += [F.bool_or(_kw(w)).alias(_kw(w)) for w in keywords]
+    lead = [group_col] if group_col else []
+    per = drop_noise(per_source).groupBy(*lead, "cluster").agg(*aggs)
+    per = per.withColumn("severity", _dominant([(lev, F.col("_n_" + lev), F.col("_first_" + lev)) for lev in LEVELS]))
     per = per.withColumn("source_count", F.size("sources").cast("long"))
-    return per.drop(*[f"_n_{lev}" for lev in levels], *[f"_first_{lev}" for lev in levels])
+    return per.drop(*[f"_n_{lev}" for lev in LEVELS], *[f"_first_{lev}" for lev in LEVELS])
+
+
+def cluster_features(df: DataFrame, cluster_col: str = "cluster", keywords=lx.THEME_KEYWORDS,
+                     group_col: str | None = None) -> DataFrame:
+    """One row per non-noise cluster (per group) with its raw evidence features."""
+    return _cluster_rows(source_features(df, cluster_col, keywords, group_col), keywords, group_col)
 
 
 # --- themes (A20-A23) ----------------------------------------------------------------
@@ -144,29 +171,28 @@ INSIGHT_COLUMNS = [
 def raw_cluster_scores(df: DataFrame, cluster_col: str = "cluster", group_col: str | None = None) -> DataFrame:
     """A2-A10, A12 unrounded, for every non-noise cluster (before A4).
 
-    The per-cluster table (one row per cluster) is checkpointed once. For one
-    dataset the largest-cluster size is a scalar subquery over that small
-    table and the dataset figures are one scalar subquery attached as a single
-    column. With ``group_col`` (many datasets in one job) they are per-group
-    aggregates joined on the group key instead."""
+    One scan gives the per-(cluster, source) table, noise included; it is
+    checkpointed, and cluster rows, the largest cluster and the dataset
+    figures are small aggregates of it: scalar subqueries for one dataset,
+    per-group rows joined on the group key with ``group_col``."""
     from murmur.session import cut_lineage
 
-    per = cut_lineage(cluster_features(df, cluster_col, group_col=group_col))
+    per_source = cut_lineage(source_features(df, cluster_col, group_col=group_col))
+    per = _cluster_rows(per_source, group_col=group_col)
+    figures = F.struct(
+        F.count_distinct("source").alias("sources"),
+        whole_days_between(F.min("first"), F.max("last")).alias("span"),
+    )
     if group_col is None:
-        dataset = df.select(F.struct(
-            F.count_distinct("source").alias("sources"),
-            whole_days_between(F.min("date"), F.max("date")).alias("span"),
-        ).alias("g")).scalar()
+        dataset = per_source.select(figures.alias("g")).scalar()
         # A5: the largest cluster includes positive-only clusters
-        max_freq = per.select(F.max("evidence_count")).scalar()
-        s = per.withColumns({"_g": dataset, "_max": max_freq})
+        sizes = drop_noise(per_source).groupBy("cluster").agg(F.sum("n").alias("n"))
+        s = per.withColumns({"_g": dataset, "_max": sizes.select(F.max("n")).scalar()})
     else:
-        figures = df.groupBy(group_col).agg(F.struct(
-            F.count_distinct("source").alias("sources"),
-            whole_days_between(F.min("date"), F.max("date")).alias("span"),
-        ).alias("_g"))
-        largest = per.groupBy(group_col).agg(F.max("evidence_count").alias("_max"))
-        s = per.join(figures, group_col).join(largest, group_col)
+        by_group = per_source.groupBy(group_col).agg(figures.alias("_g"))
+        largest = drop_noise(per_source).groupBy(group_col, "cluster").agg(F.sum("n").alias("n")).groupBy(
+            group_col).agg(F.max("n").alias("_max"))
+        s = per.join(by_group, group_col).join(largest, group_col)
 
     n = F.col("evidence_count")
     s = s.withColumns({
@@ -238,49 +264,61 @@ def representative_statement(df: DataFrame, cluster_col: str = "cluster", vec_co
     rounded to 9 digits, then lowest ``pos`` wins ties."""
     cents = cluster_centroid(df, cluster_col, vec_col, group_col=group_col)
     lead = [group_col] if group_col else []
+    keys = [*lead, "cluster"]
     members = drop_noise(df, cluster_col).select(
-        *lead, F.col(cluster_col).alias("cluster"), "pos", "id", F.col(text_col).alias("_t"),
-        F.col(vec_col).alias("_v"))
-    sim = np_round(vx.cosine("_v", "centroid"), 9)
-    return (
-        members.join(cents, lead + ["cluster"])
-        .groupBy(*lead, "cluster")
-        .agg(F.max_by(F.struct(F.col("_t").alias("problem"), F.col("id").alias("representative_id"),
-                               F.col("pos").alias("representative_pos")),
-                      F.struct(sim, -F.col("pos"))).alias("_r"))
-        .select(*lead, "cluster", "_r.*")
-    )
+        *lead, F.col(cluster_col).alias("cluster"), "pos", F.col(vec_col).alias("_v"))
+    # whole billionths, so max and min run as hash aggregates on numbers
+    sim = F.coalesce(F.rint(vx.cosine("_v", "centroid") * F.lit(1e9)).cast("long"), F.lit(-(2 ** 62)))
+    near = members.join(cents, keys).select(*keys, "pos", sim.alias("_s"))
+    best = near.groupBy(*keys).agg(F.max("_s").alias("_s"))
+    first = near.join(best, [*keys, "_s"]).groupBy(*keys).agg(F.min("pos").alias("pos"))
+    # the text is fetched for one row a cluster
+    rows = drop_noise(df, cluster_col).select(
+        *lead, F.col(cluster_col).alias("cluster"), "pos", F.col(text_col).alias("problem"),
+        F.col("id").alias("representative_id"))
+    return rows.join(first, [*keys, "pos"]).select(
+        *keys, "problem", "representative_id", F.col("pos").alias("representative_pos"))
 
 
 # --- A17, A18: evidence -------------------------------------------------------------------
+EVIDENCE_CHUNK = 10_000   # members in one array row of nested_evidence
+
+
 def evidence_table(df: DataFrame, cluster_col: str = "cluster", group_col: str | None = None) -> DataFrame:
-    """Flat form of supporting feedback: one row per (cluster, member), the
-    scalable primary form. ``seq`` is the member's position in its cluster
-    only on request (``supporting_feedback`` uses pos order directly)."""
+    """Flat form of supporting feedback, the scalable primary form: one row per
+    (cluster, member), rows told apart by ``pos``. :func:`numbered_evidence`
+    adds the member's place in its cluster."""
     lead = [group_col] if group_col else []
     return drop_noise(df, cluster_col).select(
         *lead, F.col(cluster_col).alias("cluster"), "pos", "id", "source",
         F.date_format("date", "yyyy-MM-dd").alias("date"), "text", "sentiment", "severity")
 
 
-def nested_evidence(df: DataFrame, cluster_col: str = "cluster", max_members: int = 100_000,
+def numbered_evidence(df: DataFrame, cluster_col: str = "cluster", group_col: str | None = None) -> DataFrame:
+    """:func:`evidence_table` with ``seq``, the member's place in its cluster
+    by ``pos`` (from 0): a distributed ordinal over (cluster, pos) minus the
+    cluster's first, so no cluster is ever one task."""
+    keys = ([group_col] if group_col else []) + ["cluster"]
+    ordered = with_ordinal(evidence_table(df, cluster_col, group_col=group_col), "_o", [*keys, "pos"], start=0)
+    first = ordered.groupBy(*keys).agg(F.min("_o").alias("_o0"))
+    return ordered.join(first, keys).withColumn("seq", F.col("_o") - F.col("_o0")).drop("_o", "_o0")
+
+
+def nested_evidence(df: DataFrame, cluster_col: str = "cluster", chunk: int = EVIDENCE_CHUNK,
                     group_col: str | None = None) -> DataFrame:
     """``supporting_feedback_ids`` and ``supporting_feedback`` arrays in row
-    order. A nested array lives in one row, so the size of the largest cluster
-    is checked first; beyond ``max_members`` use ``evidence_table``."""
-    lead = [group_col] if group_col else []
-    ev = evidence_table(df, cluster_col, group_col=group_col)
-    largest = ev.groupBy(*lead, "cluster").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_members:
-        raise ValueError(f"largest cluster has {largest} rows > max_members={max_members}; "
-                         "use evidence_table() for the flat form")
-    item = F.struct("pos", "id", "source", "date", "text", "sentiment", "severity")
-    nested = ev.groupBy(*lead, "cluster").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    order, ``chunk`` members a row: ``(cluster, chunk_no, arrays)``. All
+    members are kept; a cluster of at most ``chunk`` members is one row."""
+    keys = ([group_col] if group_col else []) + ["cluster"]
+    fields = ("id", "source", "date", "text", "sentiment", "severity")
+    ev = numbered_evidence(df, cluster_col, group_col).withColumn(
+        "chunk_no", F.floor(F.col("seq") / F.lit(chunk)).cast("int"))
+    nested = ev.groupBy(*keys, "chunk_no").agg(
+        F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_items"))
     return nested.select(
-        *lead, "cluster",
+        *keys, "chunk_no",
         F.transform("_items", lambda x: x.getField("id")).alias("supporting_feedback_ids"),
-        F.transform("_items", lambda x: F.struct(*[x.getField(f).alias(f) for f in
-                                                   ("id", "source", "date", "text", "sentiment", "severity")]))
+        F.transform("_items", lambda x: F.struct(*[x.getField(f).alias(f) for f in fields]))
         .alias("supporting_feedback"),
     )
 
@@ -306,16 +344,17 @@ def rank_insights(insights: DataFrame, top: int | None = None, group_col: str |
 # --- A27 -------------------------------------------------------------------------------------
 def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: float = 0.35,
                      min_samples: int = 2, vec_col: str = "embedding", block_rows: int | None = None,
-                     nested_evidence_max: int | None = None, group_col: str | None = None):
+                     group_col: str | None = None):
     """End to end: enrich, cluster, score, describe, pick representatives and
     rank. ``feedback`` has ``pos, id, text, source, date`` and either a vector
     column or an ``embedder`` (df -> df + vec_col). Returns
-    ``(insights, enriched)``; ``evidence_table(enriched)`` gives the evidence.
-    With ``nested_evidence_max`` the insights also carry the nested
-    ``supporting_feedback_ids`` / ``supporting_feedback`` arrays, after the
-    largest cluster is checked against that bound. With ``group_col`` every
-    dataset is analysed on its own (clusters, scores, ranks per dataset), all
-    datasets in the same distributed jobs; ``pos`` must be unique overall."""
+    ``(insights, enriched)``. Insights carry ``supporting_feedback_ids`` and
+    ``supporting_feedback``, the arrays of the first ``EVIDENCE_CHUNK``
+    members of the cluster; ``nested_evidence(enriched)`` has the further
+    chunks and ``evidence_table(enriched)`` all members as rows. With
+    ``group_col`` every dataset is analysed on its own (clusters, scores,
+    ranks per dataset), all datasets in the same distributed jobs; ``pos``
+    must be unique overall."""
     from murmur.operators.cluster import dbscan_cosine
     from murmur.operators.enrich import detect_severity, score_sentiment
     from murmur.session import cut_lineage
@@ -323,17 +362,17 @@ def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: fl
     df = feedback
     if embedder is not None:
         df = embedder(df)
-    df = (sentiment or score_sentiment)(df)
-    # materialised once: embedding / model inference never runs twice
-    df = cut_lineage(detect_severity(df))
-    df = dbscan_cosine(df, pos_col="pos", vec_col=vec_col, eps=eps, min_samples=min_samples,
-                       block_rows=block_rows, group_col=group_col, input_materialized=True)
-    enriched = cut_lineage(df)   # read by scoring, representatives and evidence
     lead = [group_col] if group_col else []
-    scored = score_clusters(enriched, group_col=group_col)
+    # materialised once: embedding / model inference never runs twice
+    df = cut_lineage(detect_severity((sentiment or score_sentiment)(df)))
+    # clustering reads only (pos, vector); its labels are narrow
+    labels = cut_lineage(dbscan_cosine(
+        df.select(*lead, "pos", vec_col), pos_col="pos", vec_col=vec_col, eps=eps, min_samples=min_samples,
+        block_rows=block_rows, group_col=group_col, input_materialized=True).select("pos", "cluster"))
+    enriched = df.join(labels, "pos")
+    scored = score_clusters(enriched.drop(vec_col), group_col=group_col)
     reps = representative_statement(enriched, vec_col=vec_col, group_col=group_col).select(*lead, "cluster", "problem")
-    insights = scored.join(reps, lead + ["cluster"], "left").select(*lead, *INSIGHT_COLUMNS)
-    if nested_evidence_max is not None:
-        nested = nested_evidence(enriched, max_members=nested_evidence_max, group_col=group_col)
-        insights = insights.join(nested, lead + ["cluster"], "left")
+    nested = nested_evidence(enriched.drop(vec_col), group_col=group_col).where("chunk_no = 0").drop("chunk_no")
+    insights = (scored.join(reps, lead + ["cluster"], "left").select(*lead, *INSIGHT_COLUMNS)
+                .join(nested, lead + ["cluster"], "left"))
     return rank_insights(insights, group_col=group_col), enriched

@@ -66,7 +66,8 @@ def _sanitize(col, dtype):
     if isinstance(dtype, T.ArrayType):
         return F.transform(col, lambda x: _sanitize(x, dtype.elementType))
     if isinstance(dtype, T.StructType):
-        return F.struct(*[_sanitize(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        inner = F.struct(*[_sanitize(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        return F.when(col.isNotNull(), inner)   # a null struct stays null
     if isinstance(dtype, T.MapType):
         return F.transform_values(col, lambda _k, v: _sanitize(v, dtype.valueType))
     return col
@@ -91,14 +92,16 @@ def write_insights_json(insights: DataFrame, path: str) -> None:
 
 # --- D5 --------------------------------------------------------------------------
 def write_feedback(feedback: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Persist the standardised table, replacing the previous one."""
+    """Persist the standardised table, replacing the previous one. CSV dates
+    are written in a form that the readers parse back exactly."""
     writer = feedback.write.mode("overwrite")
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        (writer.option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
-        raise ValueError(f"unsupported format: {fmt}")
+        raise ValueError(f"no writer for {fmt!r}")
 
 
 # --- D6 --------------------------------------------------------------------------
@@ -108,7 +111,10 @@ def trace_evidence(evidence: DataFrame, cluster: int | None = None) -> DataFrame
     return ev.orderBy("cluster", "pos")
 
 
-def insight_of_feedback(feedback: DataFrame, evidence: DataFrame) -> DataFrame:
+def insight_of_feedback(feedback: DataFrame, evidence: DataFrame, key: str | list[str] = "pos") -> DataFrame:
     """Reverse trace: each feedback row with the insight (cluster) it supports,
-    null when it supports none. Equi left join on ``id``."""
-    return feedback.join(evidence.select("id", "cluster"), "id", "left")
+    null when it supports none; the number of rows does not change. The join
+    is on the row's position (with its dataset, where positions restart),
+    because ids of different uploads may be equal."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return feedback.join(evidence.select(*keys, "cluster"), keys, "left")

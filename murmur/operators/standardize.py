@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.functions.indexing import with_file_order_index, with_ordinal
+from murmur.functions.indexing import with_file_order_index, with_sum_before
 from murmur.functions.text import py_strip
 from murmur.session import cut_lineage
 
@@ -22,9 +22,11 @@ TEXT_CANDIDATES = ("text", "feedback", "comment", "comments", "review", "reviews
 ID_CANDIDATES = ("id", "feedback_id", "review_id", "ticket_id")
 SOURCE_CANDIDATES = ("source", "channel", "type", "feedback_source")
 DATE_CANDIDATES = ("date", "timestamp", "created_at", "created", "datetime")
-# formats tried in order, per row
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-                "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
+# formats tried in order, per row, after the ISO forms
+DATE_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd")
+MONTH_FIRST_FORMATS = ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy")
+DAY_FIRST_FORMATS = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy")
+ISO_SHAPE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ].*)?$"
 NULL_TEXTS = ("", "nan")
 REQUIRED_COLUMNS = ("id", "text", "source", "date")
 UNKNOWN_SOURCE = "unknown"
@@ -54,7 +56,7 @@ def longest_text_column(df: DataFrame) -> str:
     3 characters, like the text ``nan``); the first column wins ties."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != ORDER_COL]
     if not cols:
-        raise ValueError("Could not find a feedback/text column.")
+        raise ValueError("no string column to take the texts from")
     means = df.agg(*[F.avg(F.coalesce(F.length(F.col(f"`{c}`")), F.lit(3))).alias(f"m{i}")
                      for i, c in enumerate(cols)]).first()
     best, best_val = None, None
@@ -74,65 +76,54 @@ FILE_POS = "_fpos"   # position inside the input file (per-file mode)
 FILE_COL = "_file"   # input file path (per-file mode)
 
 
-def _split_offsets_position(df: DataFrame, per_file: bool = False) -> DataFrame:
-    """``pos`` from the reader's (file, split start, row id) key without a
-    sort of the rows: count rows per file split, prefix-sum the split table
-    in (path, start) order, and broadcast one fixed-width row per split
-    (path hash, start, bases) -- bounded by input bytes / split size, about
-    32 bytes per split. Both passes rescan the same files, whose split layout
-    and row ids are deterministic. ``per_file`` also gives the position
-    inside each file and the file path."""
-    f, b, r = (F.col(f"{ORDER_COL}.{x}") for x in ("f", "b", "r"))
-    # one scan builds the (small) split table; it is materialised so the
-    # guard and the offsets read it instead of scanning the input again
-    splits = cut_lineage(df.select(f.alias("_f"), b.alias("_b"), r.alias("_r")).groupBy("_f", "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0")))
-    # exactness guard on the small split table: fall back to the full path
-    # as the key if two paths ever share a hash
-    paths = splits.agg(F.count_distinct("_f").alias("p"), F.count_distinct(F.xxhash64("_f")).alias("h")).first()
-    key = F.xxhash64 if paths["p"] == paths["h"] else (lambda c: c)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0))
-    table = splits.withColumn("_pre", before).withColumn(
-        "_fstart", F.min("_pre").over(Window.partitionBy("_f")))
-    base = table.select(key(F.col("_f")).alias("_fh"), "_b", (F.col("_pre") - F.col("_r0")).alias("_base"),
-                        (F.col("_pre") - F.col("_fstart") - F.col("_r0")).alias("_fbase"))
-    tagged = df.withColumns({"_fh": key(f), "_b": b})
-    out = tagged.join(F.broadcast(base), ["_fh", "_b"]).withColumn("pos", F.col("_base") + r)
+def position_in_splits(df: DataFrame, per_file: bool = False) -> DataFrame:
+    """``pos`` from a reader's (file, split start, row id[, element]) key. The
+    rows are read once and checkpointed; counts and numbers both come from
+    that copy, so no row depends on two scans being split alike. Splits get
+    their offsets by a distributed prefix sum over the split table (one row a
+    split) and a join on (file, split); rows are numbered inside their split
+    (bounded by its size). ``per_file`` adds the position inside each file
+    and the file path."""
+    elements = "i" in df.schema[ORDER_COL].dataType.fieldNames()
+    key = {f"_{x}": F.col(f"{ORDER_COL}.{x}") for x in (("f", "b", "r", "i") if elements else ("f", "b", "r"))}
+    rows = cut_lineage(df.withColumns(key).drop(ORDER_COL))
+    splits = rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
+    table = with_sum_before(splits, "_n", ["_f", "_b"], "_pre")
     if per_file:
-        out = out.withColumns({FILE_POS: F.col("_fbase") + r, FILE_COL: f})
-    return out.drop("_fh", "_b", "_base", "_fbase", ORDER_COL)
+        first = table.groupBy("_f").agg(F.min("_pre").alias("_fpre"))
+        table = table.join(first, "_f")
+    out = rows.join(table, ["_f", "_b"])
+    if elements:
+        inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_r", "_i")) - 1
+    else:
+        inside = F.col("_r") - F.col("_r0")
+    out = out.withColumn("pos", F.col("_pre") + inside)
+    if per_file:
+        out = out.withColumns({FILE_POS: F.col("pos") - F.col("_fpre"), FILE_COL: F.col("_f")}).drop("_fpre")
+    return out.drop(*key, "_n", "_r0", "_pre")
 
 
 def with_input_position(df: DataFrame, per_file: bool = False) -> DataFrame:
-    """Adds ``pos``: 0-based input order. Uses the reader's order key when
-    present: (file, split, row) by split offsets; keys with an element index
-    (JSON documents) by a distributed sort. Otherwise the current partition
-    order. ``per_file`` adds the position inside each input file and the path."""
+    """Adds ``pos``: 0-based input order, from the reader's order key when
+    present, else from the current partition order. ``per_file`` adds the
+    position inside each input file and the path."""
     if ORDER_COL in df.columns:
-        fields = df.schema[ORDER_COL].dataType.fieldNames()
-        if fields == ["f", "b", "r"]:
-            return _split_offsets_position(df, per_file)
-        out = with_ordinal(df, "pos", [ORDER_COL], start=0)
-        if per_file:
-            out = out.withColumn(FILE_COL, F.col(f"{ORDER_COL}.f"))
-            first = out.groupBy(FILE_COL).agg(F.min("pos").alias("_p0"))
-            out = out.join(first, FILE_COL).withColumn(FILE_POS, F.col("pos") - F.col("_p0")).drop("_p0")
-        return out.drop(ORDER_COL)
+        return position_in_splits(df, per_file)
     if per_file:
-        raise ValueError("per-file positions need a file reader's order key")
+        raise ValueError("positions per file need the order key of a file reader")
     return with_file_order_index(df, "pos", start=0)
 
 
 def assign_ids(df: DataFrame, id_col: str | None = None) -> Column:
     """Id column as string: the first present candidate, else the input
     position + 1 -- inside each file in per-file mode (assigned before blank
-    rows are dropped, so gaps are possible)."""
+    rows are dropped, so gaps are possible). An empty id cell gets the
+    position too, so ids are never null."""
     id_col = id_col or _first_present(df, ID_CANDIDATES)
+    position = (F.col(FILE_POS if FILE_POS in df.columns else "pos") + 1).cast("string")
     if id_col:
-        return F.col(f"`{id_col}`").cast("string")
-    position = FILE_POS if FILE_POS in df.columns else "pos"
-    return (F.col(position) + 1).cast("string")
+        return F.coalesce(F.col(f"`{id_col}`").cast("string"), position)
+    return position
 
 
 # --- P5 ------------------------------------------------------------------------------
@@ -144,31 +135,47 @@ def resolve_source(df: DataFrame, source_col: str | None = None) -> Column:
 
 
 # --- P6 ------------------------------------------------------------------------------
-def parse_date(c: Column, dtype: T.DataType, formats=DATE_FORMATS, epoch_unit: str = "ns") -> Column:
+def _epoch(c: Column, unit: str) -> Column:
+    """Integer time since 1970 in s, ms, us or ns (floored to microseconds)."""
+    wide = c.cast("decimal(38,0)")
+    micros = {"s": wide * 1_000_000, "ms": wide * 1_000, "us": wide,
+              "ns": F.floor(wide / F.lit(1000))}[unit]
+    return F.timestamp_micros(micros.cast("long"))
+
+
+def parse_date(c: Column, dtype: T.DataType, formats=DATE_FORMATS, epoch_unit: str = "ns",
+               day_first: bool = False) -> Column:
+    """Timestamp, or null where no rule fits. Text: whole numbers are epochs
+    in ``epoch_unit``; ISO dates and times with or without fraction, ``Z`` or
+    offset; then ``formats`` in order. ``dd/MM`` and ``MM/dd`` are told apart
+    by ``day_first``; the other reading is tried where the first is no date."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
     if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        if epoch_unit == "ms":
-            return F.timestamp_millis(c)
-        if epoch_unit == "s":
-            return F.timestamp_seconds(c)
-        if epoch_unit == "us":
-            return F.timestamp_micros(c)
-        # nanoseconds: exact integer floor division via decimal
-        return F.timestamp_micros(F.floor(c.cast("decimal(38,0)") / F.lit(1000)).cast("long"))
-    s = c.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
+        return _epoch(c, epoch_unit)
+    s = py_strip(c.cast("string"))
+    slashed = DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
+    number = F.when(s.rlike(r"^[+-]?[0-9]{1,19}$"), s).cast("decimal(38,0)")
+    tries = [_epoch(number, epoch_unit),
+             F.when(s.rlike(ISO_SHAPE), F.try_to_timestamp(s))]
+    tries += [F.try_to_timestamp(s, F.lit(fmt)) for fmt in (*formats, *slashed)]
+    return F.coalesce(*tries)
+
+
+def parsed_date(df: DataFrame, date_col: str | None = None, formats=DATE_FORMATS, epoch_unit: str = "ns",
+                day_first: bool = False) -> Column:
+    """The date column parsed; null where it is missing or no rule fits."""
+    date_col = date_col or _first_present(df, DATE_CANDIDATES)
+    if not date_col:
+        return F.lit(None).cast("timestamp")
+    return parse_date(F.col(f"`{date_col}`"), df.schema[date_col].dataType, formats, epoch_unit, day_first)
 
 
 def resolve_date(df: DataFrame, ingest_ts: Column, date_col: str | None = None, formats=DATE_FORMATS,
-                 epoch_unit: str = "ns") -> Column:
+                 epoch_unit: str = "ns", day_first: bool = False) -> Column:
     """Parsed date; unparseable or missing values, and a missing column, get
     ``ingest_ts`` (one value per run)."""
-    date_col = date_col or _first_present(df, DATE_CANDIDATES)
-    if not date_col:
-        return ingest_ts
-    dtype = df.schema[date_col].dataType
-    return F.coalesce(parse_date(F.col(f"`{date_col}`"), dtype, formats, epoch_unit), ingest_ts)
+    return F.coalesce(parsed_date(df, date_col, formats, epoch_unit, day_first), ingest_ts)
 
 
 # --- P7 ------------------------------------------------------------------------------
@@ -188,24 +195,38 @@ def _ingest_literal(ingest_ts) -> Column:
 
 
 def standardize_feedback(df: DataFrame, ingest_ts=None, date_formats=DATE_FORMATS, epoch_unit: str = "ns",
-                         text_col: str | None = None, dataset_col: str | None = None) -> DataFrame:
+                         text_col: str | None = None, dataset_col: str | None = None,
+                         day_first: bool = False, date_flag_col: str | None = None,
+                         pos_col: str | None = None) -> DataFrame:
     """P1..P7 composed: ``pos, id, text, source, date``. With ``dataset_col``
     every input file is its own dataset (an upload): the column holds the
     file path and generated ids restart at 1 in each file; ``pos`` stays
-    unique over all files."""
+    unique over all files. ``date_flag_col`` adds whether the date was parsed
+    (false: it is the ingest time). ``pos_col`` names a column that already
+    holds unique input positions; then nothing is copied to number rows.
+    Only the columns that are used are carried through the numbering."""
     if not df.columns or df.isEmpty():
-        raise ValueError("The uploaded file contains no data.")
+        raise ValueError("There are no rows in the input.")
     df = normalize_headers(df)
     text_col = text_col or resolve_text_column(df)
-    df = with_input_position(df, per_file=dataset_col is not None)
+    picked = [_first_present(df, c) for c in (ID_CANDIDATES, SOURCE_CANDIDATES, DATE_CANDIDATES)]
+    used = dict.fromkeys([text_col, *[c for c in picked if c], *([ORDER_COL] if ORDER_COL in df.columns else []),
+                          *([pos_col] if pos_col else [])])
+    df = df.select(*[F.col(f"`{c}`") for c in used])
+    if pos_col:
+        df = df.withColumn("pos", F.col(f"`{pos_col}`").cast("long"))
+    else:
+        df = with_input_position(df, per_file=dataset_col is not None)
     ts = _ingest_literal(ingest_ts)
+    date = parsed_date(df, formats=date_formats, epoch_unit=epoch_unit, day_first=day_first)
     out = df.select(
         *([F.col(FILE_COL).alias(dataset_col)] if dataset_col else []),
         "pos",
         assign_ids(df).alias("id"),
         F.col(f"`{text_col}`").alias("text"),
         resolve_source(df).alias("source"),
-        resolve_date(df, ts, formats=date_formats, epoch_unit=epoch_unit).alias("date"),
+        F.coalesce(date, ts).alias("date"),
+        *([date.isNotNull().alias(date_flag_col)] if date_flag_col else []),
     )
     return clean_text(out)
 
@@ -215,9 +236,9 @@ def validate_feedback(df: DataFrame) -> DataFrame:
     """Raise on missing required columns (listed sorted) or zero rows."""
     missing = sorted(set(REQUIRED_COLUMNS) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"columns missing: {missing}")
     if df.isEmpty():
-        raise ValueError("No usable feedback was found.")
+        raise ValueError("the table has no rows")
     return df
 
 
@@ -230,5 +251,5 @@ def feedback_violations(df: DataFrame) -> DataFrame:
     rows = [("missing_columns", ", ".join(missing))] if missing else []
     missing_df = spark.createDataFrame(rows, schema)
     empty = df.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
-        F.lit("no_rows").alias("rule"), F.lit("No usable feedback was found.").alias("detail"))
+        F.lit("no_rows").alias("rule"), F.lit("the table has no rows").alias("detail"))
     return missing_df.unionByName(empty)

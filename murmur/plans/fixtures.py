@@ -75,10 +75,13 @@ def clustered_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_vec_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-feedback-vec: F-feedback joined with ``embeddings`` on id."""
+    """F-feedback-vec: all of F-feedback; event ``i`` has the vector number
+    ``i % n`` of the ``n`` in ``embeddings``, so every vector is shared by
+    many rows, as comments of one wording are."""
     fb = feedback_fixture(spark, sf_dir)
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    return fb.join(emb, "pos")
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
+    n = emb.select(F.count(F.lit(1))).scalar()
+    return fb.withColumn("_vec", F.pmod(F.col("pos"), n)).join(emb, "_vec").drop("_vec")
 
 
 # --- F-messy, F-csv, F-json ----------------------------------------------------------
@@ -98,6 +101,11 @@ def messy_fixture(spark: SparkSession, sf_dir: str, drop: str | None = None, ren
     channel = F.when(pos % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type"))
     created = (F.when(pos % 17 == 0, F.lit("not a date"))
                .when(pos % 19 == 0, F.date_format("ts", "dd/MM/yyyy"))
+               .when(pos % 23 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+               .when(pos % 29 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+               .when(pos % 31 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss'.125'"))
+               .when(pos % 37 == 0, F.date_format("ts", "yyyy/MM/dd"))
+               .when(pos % 41 == 0, (F.unix_seconds(F.col("ts").cast("timestamp")) * 1_000_000_000).cast("string"))
                .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
     cols = {rename_review or " Review ": review, "Ticket_ID": pos, "Channel": channel, "Created_At": created}
     if drop:
@@ -105,15 +113,26 @@ def messy_fixture(spark: SparkSession, sf_dir: str, drop: str | None = None, ren
     return ev.select(*[c.alias(n) for n, c in cols.items()])
 
 
-def write_csv_fixture(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """F-csv: F-messy (with quotes and line breaks in texts) as CSV files."""
-    (messy_fixture(spark, sf_dir, csv_quirks=True).write.mode("overwrite")
-     .option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+def _write_csv(df: DataFrame, path: str) -> str:
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
+def write_csv_fixture(spark: SparkSession, sf_dir: str, path: str, even: bool = False) -> str:
+    """F-csv: F-messy (with quotes and line breaks in texts) as CSV files;
+    ``even`` keeps the rows of even number."""
+    df = messy_fixture(spark, sf_dir, csv_quirks=True)
+    return _write_csv(df.where("Ticket_ID % 2 = 0") if even else df, path)
+
+
+def write_turned_csv_fixture(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The rows of F-csv of odd number, under another header: columns in
+    another order and a further column."""
+    df = messy_fixture(spark, sf_dir, csv_quirks=True).where("Ticket_ID % 2 = 1")
+    return _write_csv(df.select("Created_At", "Ticket_ID", F.lit("x").alias("extra"), "Channel", " Review "), path)
+
+
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     pos = F.col("event_id")
@@ -138,7 +157,8 @@ def write_json_fixture(spark: SparkSession, sf_dir: str, path: str, chunk: int =
     wrapped = grouped.where(F.col("_chunk") % 3 == 1).select(
         F.to_json(F.struct(F.col("recs").alias("reviews"))).alias("value"))
     single = recs.where(F.col("_chunk") % 3 == 2).select(F.to_json("rec").alias("value"))
-    as_list.unionByName(wrapped).unionByName(single).write.mode("overwrite").text(path)
+    blank = spark.createDataFrame([("",), ("  ",)], "value string")
+    as_list.unionByName(wrapped).unionByName(single).unionByName(blank).write.mode("overwrite").text(path)
     return path
 
 

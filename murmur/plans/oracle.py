@@ -219,13 +219,17 @@ def components_ctes(vertices: str, edges: str, name: str = "cc") -> str:
 {name} AS (SELECT node AS id, min(label) AS component FROM {name}_reach GROUP BY node)"""
 
 
-def dbscan_ctes(src: str, id_col: str, vec_col: str, eps: float, min_samples: int, name: str = "db") -> str:
-    """``{name}`` = (id, cluster) for every row of ``src`` (-1 = noise)."""
+def dbscan_ctes(src: str, id_col: str, vec_col: str, eps: float, min_samples: int, name: str = "db",
+                weight: str = "1") -> str:
+    """``{name}`` = (id, cluster) for every row of ``src`` (-1 = noise); a row
+    stands for ``weight`` rows with its vector."""
+    w = "1" if weight == "1" else f"o.{weight}"
     return f"""{pairs_cte(src, id_col, vec_col, eps, name + '_pairs')},
 {name}_deg AS (
   SELECT s.{id_col} AS id,
-         (CASE WHEN CAST(1.0 AS DOUBLE) - {cosine(f's.{vec_col}', f's.{vec_col}')} <= CAST({eps!r} AS DOUBLE) THEN 1 ELSE 0 END)
-         + (SELECT count(*) FROM {name}_pairs p WHERE p.src = s.{id_col} OR p.dst = s.{id_col}) AS degree
+         (CASE WHEN CAST(1.0 AS DOUBLE) - {cosine(f's.{vec_col}', f's.{vec_col}')} <= CAST({eps!r} AS DOUBLE) THEN {weight} ELSE 0 END)
+         + coalesce((SELECT sum({w}) FROM {name}_pairs p JOIN {src} o
+                     ON (p.src = s.{id_col} AND o.{id_col} = p.dst) OR (p.dst = s.{id_col} AND o.{id_col} = p.src)), 0) AS degree
   FROM {src} s),
 {name}_core AS (SELECT id FROM {name}_deg WHERE degree >= {int(min_samples)}),
 {name}_cedge AS (
@@ -258,8 +262,9 @@ def centroid_ctes(src: str, group_col: str, vec_col: str, name: str = "cent") ->
 
 
 # --- standardisation (P1-P9, S1, S2) ------------------------------------------------
-DATE_STRPTIME = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d",
-                 "%d/%m/%Y %H:%M:%S", "%d/%m/%Y")
+DATE_STRPTIME = ("%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y/%m/%d",
+                 "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y",
+                 "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d/%m/%Y")
 
 
 def messy_cte(csv_quirks: bool = False, name: str = "messy") -> str:
@@ -275,13 +280,23 @@ def messy_cte(csv_quirks: bool = False, name: str = "messy") -> str:
          event_id AS ticket_id,
          CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS channel,
          CASE WHEN event_id % 17 = 0 THEN 'not a date' WHEN event_id % 19 = 0 THEN strftime(ts, '%d/%m/%Y')
+              WHEN event_id % 23 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+              WHEN event_id % 29 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00')
+              WHEN event_id % 31 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.125')
+              WHEN event_id % 37 = 0 THEN strftime(ts, '%Y/%m/%d')
+              WHEN event_id % 41 = 0 THEN CAST(epoch_us(ts) // 1000000 * 1000000000 AS VARCHAR)
               ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at
   FROM events)"""
 
 
 def parse_date_sql(expr: str) -> str:
     tries = ", ".join(f"try_strptime({expr}, {q(f)})" for f in DATE_STRPTIME)
-    return f"coalesce({tries}, TIMESTAMP '{FIXTURE_INGEST_TS}')"
+    iso = f"regexp_matches({expr}, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}([T ].*)?$')"
+    return f"""coalesce(CASE
+      WHEN regexp_matches({expr}, '^[+-]?[0-9]{{1,19}}$') THEN make_timestamp(CAST({expr} AS HUGEINT)::BIGINT // 1000)
+      WHEN {iso} AND regexp_matches({expr}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$')
+        THEN make_timestamp(epoch_us(try_cast({expr} AS TIMESTAMPTZ)))
+      WHEN {iso} THEN try_cast({expr} AS TIMESTAMP) END, {tries}, TIMESTAMP '{FIXTURE_INGEST_TS}')"""
 
 
 def standardized_cte(src: str, text: str, id_expr: str, source: str, date: str, name: str = "std") -> str:

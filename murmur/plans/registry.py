@@ -165,12 +165,28 @@ _EVIDENCE_SQL = ("SELECT cluster, pos, id, source, strftime(date, '%Y-%m-%d') AS
                  "FROM clu WHERE cluster <> -1")
 
 
+CHUNK = 100
+
+
+def _nested(spark, sf_dir):
+    from murmur.operators.insights import nested_evidence
+    return nested_evidence(_clustered(spark, sf_dir), chunk=CHUNK)
+
+
 def _q_supporting_ids(spark, sf_dir):
-    return _evidence(spark, sf_dir).select("cluster", "pos", "id")
+    return _nested(spark, sf_dir).select("cluster", "chunk_no", F.array_join("supporting_feedback_ids", ",").alias("ids"))
 
 
-register("supporting_ids", _with(_ALL, "SELECT cluster, pos, id FROM clu WHERE cluster <> -1"))(_q_supporting_ids)
-register("supporting_feedback", _with(_ALL, _EVIDENCE_SQL))(_evidence)
+def _q_supporting_feedback(spark, sf_dir):
+    items = _nested(spark, sf_dir).select("cluster", "chunk_no", F.posexplode("supporting_feedback").alias("i", "f"))
+    return items.select("cluster", (F.col("chunk_no") * CHUNK + F.col("i")).cast("long").alias("seq"), "f.*")
+
+
+_SEQ_SQL = """(SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pos) - 1 AS seq FROM clu WHERE cluster <> -1)"""
+register("supporting_ids", _with(_ALL, f"""SELECT cluster, CAST(seq // {CHUNK} AS INTEGER) AS chunk_no,
+  string_agg(id, ',' ORDER BY seq) AS ids FROM {_SEQ_SQL} GROUP BY 1, 2"""))(_q_supporting_ids)
+register("supporting_feedback", _with(_ALL, f"""SELECT cluster, seq, id, source, strftime(date, '%Y-%m-%d') AS date, text,
+  sentiment, severity FROM {_SEQ_SQL}"""))(_q_supporting_feedback)
 
 
 # ============================================================================
@@ -353,10 +369,12 @@ def _q_analyze_feedback(spark, sf_dir):
 
 def _analyze_sql() -> str:
     ctes = f"""{orc.feedback_cte()},
-fbv AS (SELECT fb.*, e.embedding FROM fb JOIN embeddings e ON e.vec_id = fb.pos),
+fbv AS (SELECT fb.*, e.vec_id, e.embedding FROM fb JOIN embeddings e
+        ON e.vec_id = fb.pos % (SELECT count(*) FROM embeddings)),
 {orc.enriched_cte('fbv')},
-{orc.dbscan_ctes('enr', 'pos', 'embedding', FIXTURE_EPS, 2)},
-clu AS (SELECT enr.*, db.cluster FROM enr JOIN db ON db.id = enr.pos),
+vecs AS (SELECT min(pos) AS pos, vec_id, any_value(embedding) AS embedding, count(*) AS w FROM enr GROUP BY vec_id),
+{orc.dbscan_ctes('vecs', 'pos', 'embedding', FIXTURE_EPS, 2, weight='w')},
+clu AS (SELECT enr.*, db.cluster FROM enr JOIN vecs USING (vec_id) JOIN db ON db.id = vecs.pos),
 {orc.scoring_ctes('clu')},
 {orc.centroid_ctes("(SELECT * FROM clu WHERE cluster <> -1)", 'cluster', 'embedding')},
 rep AS (
@@ -475,7 +493,7 @@ def _q_validate_feedback(spark, sf_dir):
 
 register("validate_feedback", _with(_MESSY_STD, """SELECT 'missing_columns' AS rule, 'date, id, source, text' AS detail,
        'raw' AS "table" FROM (SELECT 1) t
-UNION ALL SELECT 'no_rows', 'No usable feedback was found.', 'standardized' FROM (SELECT count(*) AS n FROM std) WHERE n = 0"""))(
+UNION ALL SELECT 'no_rows', 'the table has no rows', 'standardized' FROM (SELECT count(*) AS n FROM std) WHERE n = 0"""))(
     _q_validate_feedback)
 
 
@@ -518,8 +536,12 @@ register("read_json_feedback", _with(_JSON_STD, f"SELECT {orc.STD_OUT} FROM std"
 
 
 def _q_read_feedback(spark, sf_dir):
+    from murmur.session import scratch_path
     from murmur.sources.files import read_feedback
-    csv = read_feedback(spark, _csv_path(spark, sf_dir), ingest_ts=fx.FIXTURE_INGEST_TS)
+    # two uploads whose headers differ in names and order
+    other = fx.write_turned_csv_fixture(spark, sf_dir, scratch_path(spark, "f-csv-turned", ".csv"))
+    half = fx.write_csv_fixture(spark, sf_dir, scratch_path(spark, "f-csv-half", ".csv"), even=True)
+    csv = read_feedback(spark, [half, other], ingest_ts=fx.FIXTURE_INGEST_TS)
     js = read_feedback(spark, _json_path(spark, sf_dir), ingest_ts=fx.FIXTURE_INGEST_TS)
     return _std_out(csv).withColumn("format", F.lit("csv")).unionByName(
         _std_out(js).withColumn("format", F.lit("json")))
@@ -532,13 +554,20 @@ register("read_feedback", _with(f"{_CSV_STD.replace('std', 'cstd')},\n{_JSON_STD
 
 def _q_write_feedback(spark, sf_dir):
     from murmur.operators.report import write_feedback
+    from murmur.sources.files import read_feedback
     from murmur.session import scratch_path
     path = scratch_path(spark, "feedback")
-    write_feedback(_standardized(spark, sf_dir), path)
-    return _std_out(spark.read.parquet(path), with_pos=True)
+    std = _standardized(spark, sf_dir)
+    write_feedback(std, path)
+    as_csv = scratch_path(spark, "feedback", ".csv")
+    write_feedback(std.select("id", "text", "source", "date"), as_csv, fmt="csv")
+    back = read_feedback(spark, as_csv, ingest_ts="1999-01-01 00:00:00")
+    return _std_out(spark.read.parquet(path)).withColumn("format", F.lit("parquet")).unionByName(
+        _std_out(back).withColumn("format", F.lit("csv")))
 
 
-register("write_feedback", _with(_MESSY_STD, f"SELECT pos, {orc.STD_OUT} FROM std"))(_q_write_feedback)
+register("write_feedback", _with(_MESSY_STD, f"SELECT {orc.STD_OUT}, 'parquet' AS format FROM std "
+                                             f"UNION ALL SELECT {orc.STD_OUT}, 'csv' FROM std"))(_q_write_feedback)
 
 
 # ============================================================================
@@ -594,7 +623,7 @@ def _nonfinite(spark, sf_dir):
     return ev.select(
         "event_id",
         bad.alias("value"),
-        F.struct(bad.alias("v"), F.col("event_type").alias("t")).alias("nested"),
+        F.when(pos % 5 != 0, F.struct(bad.alias("v"), F.col("event_type").alias("t"))).alias("nested"),
         F.array(F.col("value"), bad, F.lit(float("nan"))).alias("arr"),
         F.when(pos % 2 == 0, F.date_trunc("second", "ts")).otherwise(F.col("ts")).alias("ts"),
     )
@@ -604,7 +633,8 @@ def _q_sanitize_nonfinite(spark, sf_dir):
     from murmur.operators.report import sanitize_nonfinite
     s = sanitize_nonfinite(_nonfinite(spark, sf_dir))
     return s.select(
-        "event_id", "value", F.col("nested.v").alias("nested_v"), F.col("nested.t").alias("nested_t"),
+        "event_id", "value", F.col("nested").isNull().alias("no_nested"),
+        F.col("nested.v").alias("nested_v"), F.col("nested.t").alias("nested_t"),
         F.size(F.filter("arr", lambda x: x.isNull())).alias("arr_nulls"),
         F.aggregate(F.filter("arr", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x).alias("arr_sum"),
         "ts")
@@ -615,7 +645,8 @@ register("sanitize_nonfinite", """WITH b AS (
          CASE WHEN event_id % 7 IN (1, 2, 3) THEN NULL ELSE value END AS v,
          CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE ts END AS t
   FROM events)
-SELECT event_id, v AS value, v AS nested_v, event_type AS nested_t,
+SELECT event_id, v AS value, event_id % 5 = 0 AS no_nested, CASE WHEN event_id % 5 <> 0 THEN v END AS nested_v,
+       CASE WHEN event_id % 5 <> 0 THEN event_type END AS nested_t,
        CASE WHEN v IS NULL THEN 2 ELSE 1 END AS arr_nulls,
        CASE WHEN v IS NULL THEN raw ELSE raw + v END AS arr_sum,
        CASE WHEN microsecond(t) % 1000000 = 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%S')

@@ -7,12 +7,16 @@ without moving them through one task."""
 
 from __future__ import annotations
 
+import csv
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmur.operators.standardize import ORDER_COL, standardize_feedback
+from murmur.functions.indexing import with_sum_before
+from murmur.functions.text import py_strip
+from murmur.operators.standardize import (DATE_CANDIDATES, ID_CANDIDATES, ORDER_COL, SOURCE_CANDIDATES,
+                                          TEXT_CANDIDATES, standardize_feedback)
 from murmur.session import cut_lineage
 
 # --- fixed values: pandas' default missing-value tokens for CSV ------------------
@@ -36,21 +40,51 @@ def _order_key(*extra):
 
 
 # --- S1 ----------------------------------------------------------------------------
-def read_csv_feedback(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS,
-                      multi_line: bool = True) -> DataFrame:
-    """Header row, quoted (and multi-line) fields, every column a string;
-    pandas' missing-value tokens become NULL in every column. Multi-line
-    files are read whole (one split per file); with ``multi_line=False``
-    large files split across tasks."""
-    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-           .option("inferSchema", False).csv(path))
-    cols = [c for c in raw.columns]
+def _headers(spark: SparkSession, path) -> tuple[DataFrame, dict[str, list[str]], bool]:
+    """One pass over the lines: (file, header line) of every file, the names
+    in each distinct header, and whether a quoted field holds a line break
+    (some line has an odd number of quotes)."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_r"), "value", (quotes % 2 == 1).alias("odd"))
+    files = cut_lineage(lines.groupBy("_f").agg(
+        F.min_by("value", F.when(F.col("_b") == 0, F.col("_r"))).alias("header"), F.bool_or("odd").alias("odd")))
+    # schema-level metadata: one row per distinct header
+    heads = [r["header"] for r in files.where("header is not null").select("header").distinct().collect()]
+    names = {h: next(csv.reader([h.lstrip("\ufeff")])) for h in sorted(heads)}
+    broken = bool(files.agg(F.bool_or("odd")).first()[0])
+    return files.select("_f", "header"), names, broken
+
+
+def read_csv_feedback(spark: SparkSession, path, null_tokens=CSV_NULL_TOKENS,
+                      multi_line: bool | None = None) -> DataFrame:
+    """Header row, quoted fields, every column a string; pandas' missing-value
+    tokens become NULL in every column. ``path`` may be a list. Files may have
+    different headers: each row's cells go to the columns its own file names,
+    and the result has the union of the columns. Files are split across tasks
+    unless a quoted field holds a line break (``multi_line`` overrides)."""
+    files, names, broken = _headers(spark, path)
+    multi_line = broken if multi_line is None else multi_line
+    reader = spark.read.option("multiLine", multi_line).option("escape", '"').option("inferSchema", False)
     tokens = list(null_tokens)
-    return raw.select(
-        *[F.when(F.col(f"`{c}`").isin(*tokens), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`")).alias(c)
-          for c in cols],
-        _order_key().alias(ORDER_COL),
-    )
+
+    def cleaned(c):
+        return F.when(c.isin(*tokens), F.lit(None).cast("string")).otherwise(c)
+
+    if len(names) <= 1:
+        raw = reader.option("header", True).csv(path)
+        return raw.select(*[cleaned(F.col(f"`{c}`")).alias(c) for c in raw.columns], _order_key().alias(ORDER_COL))
+    width = max(len(n) for n in names.values())
+    cells = [f"_c{i}" for i in range(width)]
+    raw = reader.option("header", True).schema(", ".join(f"{c} string" for c in cells)).csv(path)
+    rows = raw.select(F.array(*[cleaned(F.col(c)) for c in cells]).alias("_cells"), _order_key().alias(ORDER_COL))
+    layout = spark.createDataFrame(list(names.items()), "header string, _names array<string>")
+    known = files.join(layout, "header").select("_f", "_names")
+    rows = rows.withColumn("_f", F.col(f"{ORDER_COL}.f")).join(known, "_f")
+    columns = list(dict.fromkeys(n for own in names.values() for n in own))
+    at = lambda n: F.array_position("_names", F.lit(n)).cast("int")
+    return rows.select(*[F.when(at(n) > 0, F.get("_cells", at(n) - 1)).alias(n) for n in columns], ORDER_COL)
 
 
 # --- S2 ----------------------------------------------------------------------------
@@ -62,17 +96,22 @@ def _records(doc):
     cands += [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in JSON_RECORD_KEYS]
     cands.append(F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.array(v)))
     recs = F.coalesce(*cands)
-    return F.when(recs.isNull(), F.raise_error(F.lit("Unsupported JSON structure."))).otherwise(recs)
+    return F.when(recs.isNull(), F.raise_error(F.lit("a JSON text is neither a list nor an object"))).otherwise(recs)
 
 
-def read_json_feedback(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def read_json_feedback(spark: SparkSession, path, layout: str = "document",
+                       columns: list[str] | None = None) -> DataFrame:
     """``layout='document'``: each file is one JSON document (list, wrapper
     object or single object). ``layout='lines'``: each line is such a
     document (JSON Lines is the case of one object per line; splittable, the
-    form for large inputs). Columns = union of record keys, ordered by first
-    appearance; values as text."""
+    form for large inputs); blank lines are skipped. Values are text.
+
+    Columns: the given ``columns``; by default the record keys that the
+    standardiser knows, and the key with the longest mean text -- at most that
+    many names reach the driver, however many distinct keys there are."""
     # text()'s own wholetext argument overrides an option of the same name
     docs = spark.read.text(path, wholetext=(layout == "document")).select("value", _order_key().alias("_o"))
+    docs = docs.where(F.length(py_strip(F.col("value"))) > 0)
     rows = docs.select("_o", F.posexplode(_records(F.col("value"))).alias("_i", "_rec"))
     rows = rows.select(
         F.struct(F.col("_o.f"), F.col("_o.b"), F.col("_o.r"), F.col("_i").alias("i")).alias(ORDER_COL),
@@ -80,17 +119,31 @@ def read_json_feedback(spark: SparkSession, path: str, layout: str = "document")
     )
     # parsed once: key discovery, row numbering and the output all read it
     rows = cut_lineage(rows)
-    # key set is schema-level metadata: one row per distinct key
-    keys = (rows.select(ORDER_COL, F.posexplode(F.map_keys("_m")).alias("_k", "key"))
-            .groupBy("key").agg(F.min(F.struct(ORDER_COL, "_k")).alias("_first"))
-            .orderBy("_first").select("key").collect())
-    names = [r["key"] for r in keys]
+    names = columns or _needed_keys(rows)
     return rows.select(
         *[F.try_variant_get(F.col("_m").getItem(k), "$", "string").alias(k) for k in names],
         ORDER_COL,
     )
 
 
+def _needed_keys(rows: DataFrame) -> list[str]:
+    """Keys whose normalised name is a known column, and the key with the
+    longest mean text (a missing value counts as 3 characters), by first
+    appearance."""
+    known = (*TEXT_CANDIDATES, *ID_CANDIDATES, *SOURCE_CANDIDATES, *DATE_CANDIDATES)
+    text = F.try_variant_get("value", "$", "string")
+    keys = cut_lineage(
+        rows.select(ORDER_COL, F.posexplode("_m").alias("_k", "key", "value"))
+        .groupBy("key").agg(F.min(F.struct(ORDER_COL, "_k")).alias("_first"), F.count(text).alias("n"),
+                            F.sum(F.length(text)).alias("chars")))
+    total = rows.count()
+    mean = F.coalesce("chars", F.lit(0)) + 3 * (F.lit(total) - F.col("n"))
+    named = keys.where(F.lower(py_strip(F.col("key"))).isin(*known))
+    longest = keys.orderBy(mean.desc(), "_first").limit(1)
+    found = named.unionByName(longest).dropDuplicates(["key"]).orderBy("_first").select("key")
+    return [r["key"] for r in found.collect()]
+
+
 # --- S3 for files ----------------------------------------------------------------------
 # line boundaries of Python's splitlines() beyond the \n, \r\n and \r that
 # Spark's line reader already splits on
@@ -105,8 +158,8 @@ def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_c
 
     ``layout='lines'`` (default) reads files line by line, so one huge file
     splits across tasks; kept lines are numbered from per-split counts (a
-    small broadcast table) plus a row number inside each split (bounded by
-    the split size). ``layout='whole'`` reads each file as one row."""
+    prefix sum joined on the split) plus a row number inside each split
+    (bounded by the split size). ``layout='whole'`` reads each file as one row."""
     from murmur.functions.indexing import with_ordinal
     from murmur.sources.segment import _ingest, _stripped_nonblank, text_lines_feedback
 
@@ -118,19 +171,16 @@ def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_c
                              ["doc_id", "_line"]).drop("_line")
         return lines.withColumnRenamed("doc_id", dataset_col) if dataset_col else lines
 
-    from pyspark.sql import Window
-
     raw = spark.read.text(path).select(_order_key().alias("_o"), "value")
     kept = raw.select(F.col("_o.f").alias("_f"), F.col("_o.b").alias("_b"), F.col("_o.r").alias("_r"),
                       F.posexplode(_stripped_nonblank(F.split("value", _EXTRA_LINE_BREAKS))).alias("_k", "text"))
     kept = cut_lineage(kept)
     splits = kept.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0))
-    table = splits.withColumn("_pre", before).withColumn("_fstart", F.min("_pre").over(Window.partitionBy("_f")))
-    offsets = table.select("_f", "_b", "_pre", (F.col("_pre") - F.col("_fstart")).alias("_fpre"))
+    table = with_sum_before(splits, "_n", ["_f", "_b"], "_pre")
+    first = table.groupBy("_f").agg(F.min("_pre").alias("_fstart"))
+    offsets = table.join(first, "_f").select("_f", "_b", "_pre", (F.col("_pre") - F.col("_fstart")).alias("_fpre"))
     inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_r", "_k"))
-    numbered = kept.withColumn("_i", inside).join(F.broadcast(offsets), ["_f", "_b"])
+    numbered = kept.withColumn("_i", inside).join(offsets, ["_f", "_b"])
     return numbered.select(
         F.col("_f").alias(dataset_col or "doc_id"),
         (F.col("_pre") + F.col("_i") - 1).alias("pos"),
@@ -142,16 +192,24 @@ def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_c
 
 
 # --- S6 ----------------------------------------------------------------------------
-def read_feedback(spark: SparkSession, path: str, format: str | None = None, ingest_ts=None,
-                  **options) -> DataFrame:
+def read_feedback(spark: SparkSession, path, format: str | None = None, ingest_ts=None,
+                  layout: str | None = None, multi_line: bool | None = None, **options) -> DataFrame:
     """Dispatch on the (lower-cased) extension or an explicit ``format``, then
-    standardise. Unsupported formats raise ``ValueError``."""
-    ext = (format and "." + format.lower().lstrip(".")) or os.path.splitext(path.rstrip("/"))[1].lower()
+    standardise. ``path`` may be a list of one format, read as one table.
+    ``layout`` (JSON, text) and ``multi_line`` (CSV) go to the reader. Other
+    formats raise ``ValueError``."""
+    paths = [path] if isinstance(path, str) else list(path)
+    kinds = {(format and "." + format.lower().lstrip(".")) or os.path.splitext(p.rstrip("/"))[1].lower() for p in paths}
+    if len(kinds) != 1:
+        raise ValueError(f"one format at a time, not {sorted(kinds)}")
+    ext = kinds.pop()
     if ext == ".csv":
-        return standardize_feedback(read_csv_feedback(spark, path), ingest_ts=ingest_ts, **options)
-    if ext in (".json", ".jsonl"):
-        layout = "lines" if ext == ".jsonl" else options.pop("layout", "document")
-        return standardize_feedback(read_json_feedback(spark, path, layout=layout), ingest_ts=ingest_ts, **options)
-    if ext == ".txt":
-        return read_text_feedback(spark, path, ingest_ts=ingest_ts, dataset_col=options.get("dataset_col"))
-    raise ValueError(f"Unsupported file format: {ext} (supported: {', '.join(SUPPORTED_EXTENSIONS)})")
+        raw = read_csv_feedback(spark, paths, multi_line=multi_line)
+    elif ext in (".json", ".jsonl"):
+        raw = read_json_feedback(spark, paths, layout=layout or ("lines" if ext == ".jsonl" else "document"))
+    elif ext == ".txt":
+        return read_text_feedback(spark, paths, ingest_ts=ingest_ts, dataset_col=options.get("dataset_col"),
+                                  layout=layout or "lines")
+    else:
+        raise ValueError(f"no reader for {ext!r}; there are readers for {', '.join(SUPPORTED_EXTENSIONS)}")
+    return standardize_feedback(raw, ingest_ts=ingest_ts, **options)

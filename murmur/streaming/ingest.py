@@ -18,11 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from murmur.operators.enrich import detect_severity, score_sentiment
 from murmur.operators.standardize import ORDER_COL, standardize_feedback
-from murmur.session import ensure_checkpoint_dir
 
 
-def _stream_checkpoint(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "murmur-streams", name)
+POS_BITS = 40   # positions inside a batch; the batch number is above them
 
 
 def raw_feedback_stream(spark: SparkSession, source_dir: str, schema: str, fmt: str = "csv",
@@ -35,7 +33,7 @@ def raw_feedback_stream(spark: SparkSession, source_dir: str, schema: str, fmt:
     elif fmt == "json":
         raw = reader.json(source_dir)
     else:
-        raise ValueError(f"Unsupported file format: {fmt}")
+        raise ValueError(f"no stream reader for {fmt!r}")
     return raw.select("*", F.col("_metadata.file_path").alias("_src_f"),
                       F.col("_metadata.file_block_start").alias("_src_b"))
 
@@ -49,22 +47,24 @@ def _with_order_key(batch: DataFrame) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, schema: str, fmt: str = "csv",
-                  ingest_ts=None, checkpoint: str | None = None, available_now: bool = True,
+                  ingest_ts=None, *, checkpoint: str, available_now: bool = True,
                   sentiment=None, dataset_col: str | None = "dataset") -> StreamingQuery:
     """Start the ingest query: standardise + sentiment + severity per batch,
     appended as Parquet under ``out_dir/batch_id=<n>``. ``dataset_col`` holds
-    each row's file (its upload)."""
+    each row's file (its upload). ``pos`` is unique over all batches: the
+    batch number, then the position in the batch. ``checkpoint`` is the
+    stream's own folder, kept across restarts of the application."""
     raw = raw_feedback_stream(spark, source_dir, schema, fmt)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         std = standardize_feedback(_with_order_key(batch), ingest_ts=ingest_ts, dataset_col=dataset_col)
+        std = std.withColumn("pos", F.col("pos") + F.lit(batch_id << POS_BITS))
         scored = detect_severity((sentiment or score_sentiment)(std))
         scored.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
 
-    writer = raw.writeStream.foreachBatch(per_batch).option(
-        "checkpointLocation", checkpoint or _stream_checkpoint(spark, "ingest"))
+    writer = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 

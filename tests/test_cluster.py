@@ -99,8 +99,9 @@ FIXTURE_TABLE = [
 
 @pytest.mark.parametrize("sf,ms,clusters,noise,largest,core,border", FIXTURE_TABLE)
 def test_fixture_counts(spark, sf, ms, clusters, noise, largest, core, border):
-    from murmur.plans.fixtures import feedback_vec_fixture
-    fb = feedback_vec_fixture(spark, f"/root/testdata/sf{sf}")
+    from murmur.plans.fixtures import feedback_fixture, table
+    vec = table(spark, f"/root/testdata/sf{sf}", "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    fb = feedback_fixture(spark, f"/root/testdata/sf{sf}").join(vec, "pos")
     d = dbscan_cosine(fb, eps=0.6, min_samples=ms, core_col="core").cache()
     st = d.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                F.count_if(F.col("cluster") == -1).alias("noise"),
@@ -134,7 +135,8 @@ def test_connected_components_long_chain(spark):
 def test_sf01_min4_labels_match_brute_force(spark):
     """The case with border rows reachable from more than one cluster."""
     from murmur.plans.fixtures import feedback_vec_fixture
-    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.1")
+    # one row a vector: events with a number below the 2,000 vectors
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.1").where("pos < 2000")
     rows = sorted((r.pos, r.embedding) for r in fb.select("pos", "embedding").collect())
     X = np.array([e for _, e in rows], dtype=np.float32)
     expected = brute_dbscan(X, 0.6, 4)
@@ -162,3 +164,66 @@ def test_grouped_dbscan_equals_separate_runs(spark):
             part = fb.where(F.col("ds") == g)
             alone = {r.pos: r.cluster for r in dbscan_cosine(part, eps=0.6, min_samples=ms).collect()}
             assert {p: grouped[p] for p in alone} == alone
+
+
+def test_equal_vectors_count_as_rows(spark):
+    """A vector that many rows share: degrees, cores and labels are those of
+    the rows, for every min_samples, with and without groups."""
+    X = _vectors(11, n=60)
+    rows = [(i, [float(np.float32(x)) for x in X[i % 7 if i % 3 == 0 else i % 60]]) for i in range(240)]
+    rows += [(240 + i, [0.0] * len(X[0])) for i in range(3)]
+    df = spark.createDataFrame(rows, "pos long, embedding array<float>")
+    V = np.array([v for _, v in rows])
+    U = np.divide(V, np.linalg.norm(V, axis=1, keepdims=True), out=np.zeros_like(V), where=V.any(axis=1, keepdims=True))
+    near = 1.0 - U @ U.T <= 0.3
+    for ms in (1, 2, 3, 9, 40):
+        core = near.sum(axis=1) >= ms
+        label = np.full(len(V), -1)
+        k = 0
+        for i in np.flatnonzero(core):
+            if label[i] < 0:
+                todo = [i]
+                while todo:
+                    j = todo.pop()
+                    if label[j] < 0:
+                        label[j] = k
+                        if core[j]:
+                            todo += [x for x in np.flatnonzero(near[j]) if label[x] < 0]
+                k += 1
+        got = dbscan_cosine(df, eps=0.3, min_samples=ms, block_rows=16).collect()
+        assert len(got) == len(rows)
+        assert {r.pos: r.cluster for r in got} == dict(enumerate(label.tolist()))
+        twice = df.withColumn("g", F.lit(0)).unionByName(df.withColumns({"g": F.lit(1), "pos": F.col("pos") + 1000}))
+        both = dbscan_cosine(twice, eps=0.3, min_samples=ms, block_rows=16, group_col="g").collect()
+        assert {(r.g, r.pos % 1000): r.cluster for r in both} == {
+            (g, i): int(c) for g in (0, 1) for i, c in enumerate(label)}
+
+
+def test_positions_must_be_unique(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0])], "pos long, embedding array<float>")
+    with pytest.raises(ValueError, match="unique"):
+        dbscan_cosine(df)
+
+
+def test_dense_tiles_stay_small():
+    """A tile in which all pairs are neighbours never gathers all its pairs."""
+    import tracemalloc
+
+    from murmur.operators.cluster import _neighbour_tiles
+    U = np.ones((2048, 64)) / 8.0
+    tracemalloc.start()
+    n = sum(len(i) for i, _, _ in _neighbour_tiles(U, U[:1024], 0.35, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2048 * 1024 and peak < 64 << 20
+
+
+def test_a_third_of_all_rows_alike(spark):
+    """The hot vector is one class: no block pair ever sees its rows."""
+    n = 30_000
+    v = F.when(F.col("id") % 3 == 0, F.array(*[F.lit(1.0)] * 8)).otherwise(
+        F.array(*[F.rand(i) - 0.5 for i in range(8)])).cast("array<float>")
+    df = spark.range(n).select(F.col("id").alias("pos"), v.alias("embedding"))
+    got = dbscan_cosine(df, eps=0.01, min_samples=5, block_rows=8192)
+    sizes = {r.cluster: r["count"] for r in got.groupBy("cluster").count().collect()}
+    assert sum(sizes.values()) == n and sizes[0] >= n // 3

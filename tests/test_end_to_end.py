@@ -55,7 +55,7 @@ def test_nested_evidence_and_text_files(spark):
     from murmur.plans.fixtures import feedback_vec_fixture
     from murmur.operators.report import insights_json
     fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001")
-    ins, _ = analyze_feedback(fb, eps=0.6, min_samples=2, nested_evidence_max=1000)
+    ins, _ = analyze_feedback(fb, eps=0.6, min_samples=2)
     r = ins.first()
     assert len(r.supporting_feedback_ids) == r.evidence_count == len(r.supporting_feedback)
     assert [x.id for x in r.supporting_feedback] == r.supporting_feedback_ids
@@ -78,8 +78,9 @@ def test_nested_evidence_and_text_files(spark):
 def test_all_noise_gives_empty_insights(spark):
     """At the default eps 0.35 the driver vectors have no neighbours."""
     from murmur.plans.fixtures import feedback_vec_fixture
-    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001")
-    ins, enriched = analyze_feedback(fb, nested_evidence_max=10)
+    # one row a vector: events with a number below 500
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001").where("pos < 500")
+    ins, enriched = analyze_feedback(fb)
     assert ins.count() == 0
     assert enriched.where("cluster <> -1").count() == 0
     st = dataset_stats(fb, ins).first()
@@ -106,14 +107,14 @@ def test_grouped_analysis_equals_separate_runs(spark):
     from murmur.operators.insights import INSIGHT_COLUMNS
     from murmur.plans.fixtures import feedback_vec_fixture
     fb = feedback_vec_fixture(spark, "/root/testdata/sf0.01").withColumn("ds", (F.col("pos") % 2).cast("int"))
-    grouped, genr = analyze_feedback(fb, eps=0.6, min_samples=2, group_col="ds", nested_evidence_max=1000)
+    grouped, genr = analyze_feedback(fb, eps=0.6, min_samples=2, group_col="ds")
     g_rows = {(r.ds, r.rank): r.asDict() for r in grouped.collect()}
     g_stats = {r.ds: r.asDict() for r in dataset_stats(fb, grouped, group_col="ds").collect()}
     g_tl = {(r.ds, r.date): r["count"] for r in feedback_timeline(fb, group_col="ds").collect()}
     n = 0
     for d in (0, 1):
         part = fb.where(F.col("ds") == d)
-        alone, _ = analyze_feedback(part, eps=0.6, min_samples=2, nested_evidence_max=1000)
+        alone, _ = analyze_feedback(part, eps=0.6, min_samples=2)
         for r in alone.collect():
             got = g_rows[(d, r.rank)]
             for c in INSIGHT_COLUMNS + ["supporting_feedback_ids"]:

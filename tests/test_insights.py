@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF01
-from murmur.operators.insights import rank_insights, score_clusters, nested_evidence, evidence_table
+from murmur.operators.insights import rank_insights, score_clusters, nested_evidence, numbered_evidence, evidence_table
 from murmur.operators.report import dataset_stats, feedback_timeline
 from murmur.plans.fixtures import clustered_fixture, feedback_fixture
 
@@ -76,15 +77,29 @@ def test_evidence_forms(clustered):
     nested = {r.cluster: r for r in nested_evidence(clustered).collect()}
     flat = evidence_table(clustered).where("cluster = 4").orderBy("pos").collect()
     assert nested[4].supporting_feedback_ids == [r.id for r in flat]
-    with pytest.raises(ValueError):
-        nested_evidence(clustered, max_members=10)
+    chunks = nested_evidence(clustered, chunk=10).where("cluster = 4").orderBy("chunk_no").collect()
+    assert [i for c in chunks for i in c.supporting_feedback_ids] == [r.id for r in flat]
+    assert [len(c.supporting_feedback) for c in chunks[:-1]] == [10] * (len(chunks) - 1)
+    seq = numbered_evidence(clustered).where("cluster = 4").orderBy("pos").collect()
+    assert [r.seq for r in seq] == list(range(len(flat)))
 
 
 def test_reverse_trace(clustered):
     from murmur.operators.report import insight_of_feedback, trace_evidence
     ev = evidence_table(clustered)
-    back = insight_of_feedback(clustered.select("id", "text"), ev)
+    back = insight_of_feedback(clustered.select("pos", "id", "text"), ev)
     assert back.count() == clustered.count()
+    # ids of different uploads may be equal
+    same = clustered.withColumn("id", F.lit("1"))
+    assert insight_of_feedback(same, evidence_table(same)).count() == clustered.count()
     assert back.where("cluster is null").count() == clustered.where("cluster = -1").count()
     rows = trace_evidence(ev, 4).collect()
     assert [r.pos for r in rows] == sorted(r.pos for r in rows) and {r.cluster for r in rows} == {4}
+
+
+def test_plans_of_the_aggregates(spark, clustered):
+    """One scan behind the scores; no sort of members for representatives."""
+    from murmur.operators.insights import representative_statement
+    vec = clustered.withColumn("embedding", F.array(F.col("pos").cast("double"), F.lit(1.0)))
+    plan = representative_statement(vec)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

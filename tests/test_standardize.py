@@ -21,10 +21,11 @@ def _counts(df):
 
 
 def test_messy_standardize(spark):
-    std = standardize_feedback(messy_fixture(spark, SF01), ingest_ts=FIXTURE_INGEST_TS)
+    std = standardize_feedback(messy_fixture(spark, SF01), ingest_ts=FIXTURE_INGEST_TS, date_flag_col="date_parsed")
     c = _counts(std)
-    assert (c.n, c.unknown, c.ingest) == (8390, 1678, 494)
-    assert c.midnight >= 416   # dd/MM/yyyy rows parse to midnight
+    assert (c.n, c.unknown) == (8390, 1678)
+    assert std.where("not date_parsed").count() == 494   # only the cells that are no dates
+    assert c.midnight >= 416   # slashed rows parse to midnight
     assert std.where("text like 'padded%'").count() > 0
     assert std.where("text rlike '^\\\\s|\\\\s$'").count() == 0
 
@@ -80,12 +81,12 @@ def test_json_three_layouts(spark):
     assert [(r.id, r.text, r.source) for r in c] == [("1", "single object", "uploaded_file")]
     with open(os.path.join(d, "s.json"), "w") as f:
         f.write("5")
-    with pytest.raises(Exception, match="Unsupported JSON structure"):
+    with pytest.raises(Exception, match="neither a list nor an object"):
         read_json_feedback(spark, os.path.join(d, "s.json")).collect()
 
 
 def test_unsupported_extension(spark):
-    with pytest.raises(ValueError, match="Unsupported file format"):
+    with pytest.raises(ValueError, match="no reader for"):
         read_feedback(spark, "/nowhere/file.xlsx")
 
 
@@ -100,3 +101,88 @@ def test_csv_position_across_files(spark):
     rows = std.select("pos", "id", "text").collect()
     assert sorted((r.pos, r.text) for r in rows) == [(i, f"row {i}") for i in range(2000)]
     assert all(r.id == str(r.pos + 1) for r in rows)
+
+
+@pytest.mark.parametrize("multi_line", [False, True, None])
+def test_numbering_survives_another_split_layout(spark, multi_line):
+    """The rows are read once: settings that change between the call and the
+    action cannot lose or renumber any."""
+    path = tempfile.mkdtemp(prefix="fcsv-splits-")
+    for k in range(3):
+        with open(os.path.join(path, f"{k}.csv"), "w") as f:
+            f.write("id,text\n" + "".join(f"{k * 100_000 + i},row {i}\n" for i in range(100_000)))
+    try:
+        for before, after in ((2, 13), (13, 2)):
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
+            std = standardize_feedback(read_csv_feedback(spark, path, multi_line=multi_line), ingest_ts=FIXTURE_INGEST_TS)
+            spark.conf.set("spark.sql.files.minPartitionNum", after)
+            r = std.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("d"), F.min("pos").alias("lo"),
+                        F.max("pos").alias("hi"), F.count_if(F.col("pos") == F.col("id").cast("long")).alias("same")).first()
+            assert tuple(r) == (300_000, 300_000, 0, 299_999, 300_000)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_many_small_files(spark):
+    path = tempfile.mkdtemp(prefix="fcsv-small-")
+    for k in range(300):
+        with open(os.path.join(path, f"{k:04d}.csv"), "w") as f:
+            f.write("text\n" + f"a {k}\nb {k}\n")
+    std = standardize_feedback(read_csv_feedback(spark, path), ingest_ts=FIXTURE_INGEST_TS, dataset_col="file")
+    rows = sorted((r.pos, r.id, r.text) for r in std.collect())
+    assert rows == sorted((2 * k + i, str(i + 1), f"{'ab'[i]} {k}") for k in range(300) for i in (0, 1))
+
+
+def test_headers_of_every_file(spark):
+    path = tempfile.mkdtemp(prefix="fcsv-heads-")
+    files = {"a.csv": "id,text,source,date\n1,first,web,2024-01-05\n,no id,app,2024-01-06\n",
+             "b.csv": "date,source,text,id,extra\n2024-01-06,ticket,second upload,9,zz\n",
+             "c.csv": "\ufefftext\nonly text\n"}
+    for name, body in files.items():
+        with open(os.path.join(path, name), "w") as f:
+            f.write(body)
+    std = read_feedback(spark, [os.path.join(path, n) for n in files], ingest_ts=FIXTURE_INGEST_TS).orderBy("pos")
+    assert [(r.id, r.text, r.source, str(r.date)) for r in std.collect()] == [
+        ("1", "first", "web", "2024-01-05 00:00:00"), ("2", "no id", "app", "2024-01-06 00:00:00"),
+        ("9", "second upload", "ticket", "2024-01-06 00:00:00"), ("4", "only text", "unknown", FIXTURE_INGEST_TS)]
+
+
+def test_quoted_breaks_are_found(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fcsv-quote-"), "q.csv")
+    with open(path, "w") as f:
+        f.write('id,text\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    std = read_feedback(spark, path, ingest_ts=FIXTURE_INGEST_TS).orderBy("pos")
+    assert [(r.id, r.text) for r in std.collect()] == [("1", 'two\nlines, "quoted"'), ("2", "plain")]
+
+
+def test_json_lines_with_blanks_and_many_keys(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fjson-keys-"), "k.jsonl")
+    with open(path, "w") as f:
+        for i in range(200):
+            f.write(json.dumps({f"user{i}": 1, "story": f"a long enough story {i}", "ID": i}) + "\n\n")
+    raw = read_json_feedback(spark, path, layout="lines")
+    assert sorted(raw.columns[:-1]) == ["ID", "story"]
+    std = standardize_feedback(raw, ingest_ts=FIXTURE_INGEST_TS).orderBy("pos").collect()
+    assert [(r.pos, r.id, r.text) for r in std] == [(i, str(i), f"a long enough story {i}") for i in range(200)]
+
+
+def test_dates(spark):
+    cells = {"2024-01-05T10:00:00Z": "2024-01-05 10:00:00", "2024-01-05 10:00:00.123": "2024-01-05 10:00:00.123000",
+             "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024/01/05": "2024-01-05 00:00:00",
+             "2024-01-05": "2024-01-05 00:00:00", "03/04/2024": "2024-03-04 00:00:00", "25/12/2024": "2024-12-25 00:00:00",
+             "1704448800000000000": "2024-01-05 10:00:00", " 2024-01-05 10:00 ": "2024-01-05 10:00:00",
+             "10:30": None, "soon": None, "": None, None: None}
+    df = spark.createDataFrame([("t", c) for c in cells], "text string, date string")
+    out = standardize_feedback(df, ingest_ts=FIXTURE_INGEST_TS, date_flag_col="date_parsed").orderBy("pos").collect()
+    assert [(str(r.date) if r.date_parsed else None) for r in out] == list(cells.values())
+    assert all(str(r.date) == FIXTURE_INGEST_TS for r in out if not r.date_parsed)
+    turned = standardize_feedback(df.where("date = '03/04/2024'"), ingest_ts=FIXTURE_INGEST_TS, day_first=True).first()
+    assert str(turned.date) == "2024-04-03 00:00:00"
+    epoch = spark.createDataFrame([("t", "1704448800")], "text string, timestamp string")
+    assert str(standardize_feedback(epoch, epoch_unit="s").first().date) == "2024-01-05 10:00:00"
+
+
+def test_given_positions_are_used(spark):
+    df = spark.createDataFrame([(5, "a"), (2, "b")], "row long, text string")
+    rows = standardize_feedback(df, ingest_ts=FIXTURE_INGEST_TS, pos_col="row").orderBy("pos").collect()
+    assert [(r.pos, r.id, r.text) for r in rows] == [(2, "3", "b"), (5, "6", "a")]
