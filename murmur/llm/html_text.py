@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -241,14 +242,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.coalesce("page_id", F.xxhash64("url")).alias("page"), "html")
 
     def parsed(batches):
-        """Pages as blocks: kept small by leaving markup out."""
+        """Pages as blocks, without markup and deflated: this is what moves."""
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
                 blocks = [page_blocks(x) for x in some.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(c) for c in ("bucket", "page_id", "url", "host", "page")]
-                    + [pa.array([[x[0] for x in p] for p in blocks], pa.list_(pa.string())),
+                    + [pa.array([zlib.compress("\n".join(x[0] for x in p).encode(), 1) for p in blocks], pa.binary()),
                        pa.array([[x[1] for x in p] for p in blocks], pa.list_(pa.bool_())),
                        pa.array([[x[2] for x in p] for p in blocks], pa.list_(pa.bool_()))],
                     names=["bucket", "page_id", "url", "host", "page", "lines", "inside", "marked"])
@@ -276,7 +277,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         known = np.unique(right.column("key").to_numpy()) if right.num_rows else np.zeros(0, dtype=np.int64)
         out, counts = [], []
         for h, lines, inside, marked in zip(*[left.column(c).to_pylist() for c in ("host", "lines", "inside", "marked")]):
-            blocks = list(zip(lines, inside, marked))
+            # blocks hold no line break and are not empty
+            blocks = list(zip(zlib.decompress(lines).decode().split("\n"), inside, marked))
             tokens, owner = _stream(blocks, run_tokens)
             keys = _run_keys(tokens, h & ((1 << 64) - 1), run_tokens)
             at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
@@ -292,6 +294,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     everywhere = found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     held = found.join(everywhere.select("key"), "key").select("bucket", "key")
     blocks = dealt.mapInArrow(parsed, "bucket int, page_id long, url string, host long, page long, "
-                                      "lines array<string>, inside array<boolean>, marked array<boolean>")
+                                      "lines binary, inside array<boolean>, marked array<boolean>")
     return blocks.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(
         texts, "page_id long, url string, text string, covered_blocks int")
