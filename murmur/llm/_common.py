@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,6 +20,15 @@ def by_value(module_name: str) -> None:
 by_value(__name__)
 
 
+def kept_in_worker(name, make):
+    """``make()``, once per Python worker process. Modules shipped by value are
+    rebuilt for every task, so what tasks should share is kept apart."""
+    store = sys.modules.setdefault("_murmur_worker_state", types.ModuleType("_murmur_worker_state")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column of a batch as Python strings, null read as empty."""
     return ["" if t is None else t for t in batch.column(name).to_pylist()]

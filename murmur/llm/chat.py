@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._common import by_value, narrow
+from murmur.llm._common import by_value, kept_in_worker, narrow
 
 by_value(__name__)
 
@@ -147,7 +147,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     placed = own.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
 
     def run(batches):
-        tokenizer = load_tokenizer(path)
+        tokenizer = kept_in_worker(("chat", path), lambda: load_tokenizer(path))
 
         def one(key, part, rows):
             formatted, spans = render(rows)

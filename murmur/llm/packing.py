@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm._common import by_value, narrow, parts, texts
+from murmur.llm._common import by_value, kept_in_worker, narrow, parts, texts
 from murmur.session import cut_lineage
 
 by_value(__name__)
 
 SEQ_LEN = 2048
 END_ID = 0
-CACHE_WORDS = 400_000     # words whose ids a worker remembers
+CACHE_WORDS = 150_000     # words whose ids a worker remembers
 
 
 # --- token ids ------------------------------------------------------------------
@@ -105,7 +105,7 @@ def _tokenizer(path: str | None, pattern: str | None):
     if path is None:
         import public_tokenizers
         path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return ByteBpe(path, pattern)
+    return kept_in_worker(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def piece_bounds(n: int, seq_len: int) -> list[tuple[int, int]]:
