@@ -2,8 +2,8 @@
 local[$BENCH_CPUS] and prints ONE JSON line.
 
 Each query is fully executed into Spark's ``noop`` sink (no driver collect):
-once untimed (plan shapes, codegen, Python workers), then $BENCH_RUNS times
-(default 3); the median is reported."""
+once untimed (plan shapes, codegen, Python workers, file fixtures written),
+then $BENCH_RUNS times (default 3); the median is reported."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ HEADLINE = [
     "text_lines_feedback",     # S3 over documents
     "page_line_feedback",      # S5 over documents
     "detect_severity",         # E1 over events
+    "embed_terms",             # E3 in sparse form over documents
+    "score_sentiment_bayes",   # E2 in closed form over documents
 ]
 
 

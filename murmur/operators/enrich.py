@@ -82,7 +82,7 @@ def score_sentiment_model(df: DataFrame, model, text_col: str = "text") -> DataF
     ``sentiment_score`` = probability of the chosen class."""
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df if text_col == "text" else df.withColumnRenamed(text_col, "text"))
+    out = _with_model_input(df, model, text_col, lambda d: model.transform(d))
     prob = vector_to_array(F.col("_prob"))
     out = out.withColumns({
         "sentiment": F.when(F.col("_pred") == 1.0, F.lit("negative")).otherwise(F.lit("positive")),
@@ -91,6 +91,65 @@ def score_sentiment_model(df: DataFrame, model, text_col: str = "text") -> DataF
     return out.drop("_tok", "_tf", "_feat", "_prob", "_raw", "_pred")
 
 
+def _with_model_input(df: DataFrame, model, text_col: str, apply) -> DataFrame:
+    """Run a fitted text pipeline on ``text_col`` whatever the column was
+    called when it was fitted; the caller's columns keep their names."""
+    fitted = model.stages[0].getInputCol()
+    if text_col == fitted:
+        return apply(df)
+    kept = [c for c in df.columns if c != fitted]
+    aside = df.withColumnRenamed(fitted, "_aside") if fitted in df.columns else df
+    out = apply(aside.withColumn(fitted, F.col(f"`{text_col}`"))).drop(fitted)
+    out = out.withColumnRenamed("_aside", fitted) if fitted in df.columns else out
+    return out.select(*df.columns, *[c for c in out.columns if c not in df.columns]) if kept else out
+
+
+# --- closed-form text models: term counts as tables -----------------------------
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf): lower-cased runs of word characters, counted per row."""
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^a-z0-9_]+"), lambda w: w != "")
+    return (docs.select(F.col(id_col), F.explode(words).alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def embed_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """E3 in sparse form: (id, term, weight) of unit-norm tf-idf rows, idf =
+    ln((N + 1) / (df + 1)). A term in every row weighs nothing and is left out."""
+    counts = term_counts(docs, id_col, text_col)
+    total = docs.select(F.count(F.lit(1))).scalar()
+    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((total + 1) / (F.col("df") + 1))
+    raw = counts.join(spread, "term").select(id_col, "term", (F.col("tf") * idf).alias("w")).where("w > 0")
+    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def score_sentiment_bayes(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                          label_col: str = "label") -> DataFrame:
+    """E2 by multinomial naive Bayes with add-one smoothing, closed form over
+    term counts: (id, sentiment, sentiment_score) of every row; ``labels``
+    holds (id, label), 1 = negative. Terms never seen in training count for
+    nothing; rows without terms get the prior."""
+    counts = term_counts(docs, id_col, text_col)
+    known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
+    by_term = counts.join(known, id_col).groupBy("term").agg(
+        F.sum(F.when(F.col("_y") == 1, F.col("tf")).otherwise(0)).alias("n1"),
+        F.sum(F.when(F.col("_y") == 0, F.col("tf")).otherwise(0)).alias("n0"))
+    totals = by_term.select(F.struct(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"),
+                                     F.count(F.lit(1)).alias("v"))).scalar()
+    prior = known.join(docs.select(id_col), id_col).select(F.log(
+        (F.sum("_y") + 1.0) / (F.count(F.lit(1)) - F.sum("_y") + 1.0))).scalar()
+    ratio = (F.log((F.col("n1") + 1.0) / (totals["t1"] + totals["v"]))
+             - F.log((F.col("n0") + 1.0) / (totals["t0"] + totals["v"])))
+    weight = by_term.select("term", ratio.alias("_r"))
+    sums = counts.join(weight, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("_r")).alias("_s"))
+    p = 1.0 / (1.0 + F.exp(-F.col("_z")))
+    return (docs.select(id_col).join(sums, id_col, "left")
+            .withColumn("_z", F.coalesce("_s", F.lit(0.0)) + F.coalesce(prior, F.lit(0.0)))
+            .select(id_col, F.when(F.col("_z") > 0, "negative").otherwise("positive").alias("sentiment"),
+                    F.greatest(p, 1.0 - p).alias("sentiment_score")))
+
+
 # --- E3 ----------------------------------------------------------------------
 def fit_text_embedder(corpus: DataFrame, text_col: str = "text", dim: int = 384, method: str = "tfidf",
                       min_count: int = 2, partitions: int | None = None, seed: int = 42):
@@ -120,7 +179,7 @@ def embed_text(df: DataFrame, model, text_col: str = "text", out_col: str = "emb
     """Adds a unit-norm ``array<float>`` embedding from a fitted embedder."""
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df)
+    out = _with_model_input(df, model, text_col, lambda d: model.transform(d))
     out = out.withColumn(out_col, vx.l2_normalize(vector_to_array(F.col("_vec"))).cast("array<float>"))
     return out.drop("_tok", "_tf", "_vec")
 

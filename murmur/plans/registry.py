@@ -231,6 +231,7 @@ FROM clu e WHERE e.cluster = (SELECT cluster FROM insights WHERE rank = 1)"""))(
 # 2.3 / 2.4 vectors, similarity and clustering over ``embeddings``
 # ============================================================================
 FIXTURE_EPS = 0.6   # the driver vectors have no neighbours at the default 0.35
+FIXTURE_BLOCK = 200   # rows a block: several block pairs at every scale factor
 
 
 def _embeddings(spark, sf_dir):
@@ -278,7 +279,7 @@ def _pairs(spark, sf_dir):
     from murmur.operators.cluster import cosine_eps_join
     # a Parquet table: cheap and stable to read twice
     return cosine_eps_join(_embeddings(spark, sf_dir), "vec_id", "embedding", eps=FIXTURE_EPS,
-                           input_materialized=True)
+                           block_rows=FIXTURE_BLOCK, input_materialized=True)
 
 
 def _q_cosine_eps_join(spark, sf_dir):
@@ -304,7 +305,8 @@ register("connected_components", _with_rec(
 def _dbscan(spark, sf_dir, min_samples):
     from murmur.operators.cluster import dbscan_cosine
     emb = _embeddings(spark, sf_dir).withColumn("pos", F.col("vec_id"))
-    return dbscan_cosine(emb, pos_col="pos", vec_col="embedding", eps=FIXTURE_EPS, min_samples=min_samples)
+    return dbscan_cosine(emb, pos_col="pos", vec_col="embedding", eps=FIXTURE_EPS, min_samples=min_samples,
+                         block_rows=FIXTURE_BLOCK)
 
 
 def _q_dbscan_cosine(spark, sf_dir):
@@ -497,14 +499,25 @@ UNION ALL SELECT 'no_rows', 'the table has no rows', 'standardized' FROM (SELECT
     _q_validate_feedback)
 
 
-def _csv_path(spark, sf_dir):
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _fixture_path(spark, sf_dir, name, ext, write):
+    """A file fixture, written once per application and input folder: later
+    runs of a query only read it."""
     from murmur.session import scratch_path
-    return fx.write_csv_fixture(spark, sf_dir, scratch_path(spark, "f-csv", ".csv"))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = write(spark, sf_dir, scratch_path(spark, name, ext))
+    return _WRITTEN[key]
+
+
+def _csv_path(spark, sf_dir):
+    return _fixture_path(spark, sf_dir, "f-csv", ".csv", fx.write_csv_fixture)
 
 
 def _json_path(spark, sf_dir):
-    from murmur.session import scratch_path
-    return fx.write_json_fixture(spark, sf_dir, scratch_path(spark, "f-json", ".jsonl"))
+    return _fixture_path(spark, sf_dir, "f-json", ".jsonl", fx.write_json_fixture)
 
 
 def _q_read_csv_feedback(spark, sf_dir):
@@ -536,11 +549,10 @@ register("read_json_feedback", _with(_JSON_STD, f"SELECT {orc.STD_OUT} FROM std"
 
 
 def _q_read_feedback(spark, sf_dir):
-    from murmur.session import scratch_path
     from murmur.sources.files import read_feedback
     # two uploads whose headers differ in names and order
-    other = fx.write_turned_csv_fixture(spark, sf_dir, scratch_path(spark, "f-csv-turned", ".csv"))
-    half = fx.write_csv_fixture(spark, sf_dir, scratch_path(spark, "f-csv-half", ".csv"), even=True)
+    other = _fixture_path(spark, sf_dir, "f-csv-turned", ".csv", fx.write_turned_csv_fixture)
+    half = _fixture_path(spark, sf_dir, "f-csv-half", ".csv", lambda *a: fx.write_csv_fixture(*a, even=True))
     csv = read_feedback(spark, [half, other], ingest_ts=fx.FIXTURE_INGEST_TS)
     js = read_feedback(spark, _json_path(spark, sf_dir), ingest_ts=fx.FIXTURE_INGEST_TS)
     return _std_out(csv).withColumn("format", F.lit("csv")).unionByName(
@@ -691,3 +703,43 @@ def _q_embed_text(spark, sf_dir):
 
 
 register("embed_text")(_q_embed_text)
+
+
+_TERMS = r"""tok AS (
+  SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: w <> '')) AS term FROM documents),
+tc AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"""
+
+
+def _q_embed_terms(spark, sf_dir):
+    from murmur.operators.enrich import embed_terms
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed_terms(docs).select("doc_id", "term", _round(F.col("weight"), 6).alias("weight"))
+
+
+register("embed_terms", _with(_TERMS + """,
+sp AS (SELECT term, count(*) AS df FROM tc GROUP BY term),
+raw AS (SELECT doc_id, term, tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1)) AS w FROM tc JOIN sp USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw WHERE w > 0 GROUP BY doc_id)""",
+                              f"SELECT doc_id, term, {orc.np_round('w / norm', 6)} AS weight FROM raw JOIN nrm USING (doc_id) "
+                              "WHERE w > 0"))(_q_embed_terms)
+
+
+def _q_score_sentiment_bayes(spark, sf_dir):
+    from murmur.operators.enrich import score_sentiment_bayes
+    docs, train = _labelled_documents(spark, sf_dir)
+    labels = train.select("doc_id", "label")
+    return score_sentiment_bayes(docs, labels).select(
+        "doc_id", "sentiment", _round(F.col("sentiment_score"), 6).alias("sentiment_score"))
+
+
+register("score_sentiment_bayes", _with(_TERMS + """,
+bt AS (SELECT term, sum(CASE WHEN toxic = 1 THEN tf ELSE 0 END) AS n1, sum(CASE WHEN toxic = 0 THEN tf ELSE 0 END) AS n0
+       FROM tc JOIN labels USING (doc_id) GROUP BY term),
+tt AS (SELECT CAST(sum(n1) AS DOUBLE) AS t1, CAST(sum(n0) AS DOUBLE) AS t0, count(*) AS v FROM bt),
+pr AS (SELECT ln((sum(toxic) + 1.0) / (count(*) - sum(toxic) + 1.0)) AS prior FROM labels JOIN documents USING (doc_id)),
+wt AS (SELECT term, ln((n1 + 1.0) / (t1 + v)) - ln((n0 + 1.0) / (t0 + v)) AS r FROM bt, tt),
+sm AS (SELECT doc_id, sum(tf * r) AS s FROM tc JOIN wt USING (term) GROUP BY doc_id),
+z AS (SELECT doc_id, coalesce(s, 0.0) + prior AS z FROM documents LEFT JOIN sm USING (doc_id), pr)""",
+                              f"""SELECT doc_id, CASE WHEN z > 0 THEN 'negative' ELSE 'positive' END AS sentiment,
+  {orc.np_round('greatest(1.0 / (1.0 + exp(-z)), 1.0 - 1.0 / (1.0 + exp(-z)))', 6)} AS sentiment_score FROM z"""))(
+    _q_score_sentiment_bayes)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
 from murmur.operators.enrich import detect_severity, score_sentiment, l2_normalize, cosine_to_vector
@@ -96,3 +97,36 @@ def test_word2vec_embedder(spark):
     assert len(rows) == docs.count() and all(len(r.embedding) == 32 for r in rows)
     norms = [sum(x * x for x in r.embedding) ** 0.5 for r in rows]
     assert all(abs(n - 1) < 1e-4 or n == 0 for n in norms)
+
+
+def test_models_read_the_named_text_column(spark):
+    from murmur.operators.enrich import embed_text, fit_sentiment_model, fit_text_embedder, score_sentiment_model
+    docs = spark.createDataFrame([(i, f"word{i % 3} common", f"other {i}", i % 2) for i in range(12)],
+                                 "doc_id long, body string, text string, label int")
+    embedder = fit_text_embedder(docs, text_col="body", dim=16)
+    a = {r.doc_id: r.embedding for r in embed_text(docs, embedder, text_col="body").collect()}
+    renamed = docs.select("doc_id", F.col("body").alias("text"))
+    b = embed_text(renamed, embedder, text_col="text")
+    assert b.columns == ["doc_id", "text", "embedding"]
+    assert {r.doc_id: r.embedding for r in b.collect()} == a
+    model = fit_sentiment_model(docs, text_col="body", num_features=64, max_iter=5)
+    out = score_sentiment_model(docs.select("doc_id", "text", F.col("body").alias("note")), model, text_col="note")
+    assert out.columns == ["doc_id", "text", "note", "sentiment", "sentiment_score"]
+    assert {r.text for r in out.collect()} == {f"other {i}" for i in range(12)}
+
+
+def test_closed_form_models_on_empty_and_odd_rows(spark):
+    from murmur.operators.enrich import embed_terms, score_sentiment_bayes
+    docs = spark.createDataFrame([(1, "bad bad thing"), (2, "good thing"), (3, None), (4, ""), (5, "unseen")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1), (3, None)], "doc_id long, label int")
+    got = {r.doc_id: r.sentiment for r in score_sentiment_bayes(docs, labels).collect()}
+    assert got == {1: "negative", 2: "positive", 3: "positive", 4: "positive", 5: "positive"}
+    none = score_sentiment_bayes(docs, labels.limit(0)).collect()
+    assert len(none) == 5 and all(r.sentiment == "positive" for r in none)
+    rows = embed_terms(docs).collect()
+    norm = {}
+    for r in rows:
+        norm[r.doc_id] = norm.get(r.doc_id, 0.0) + r.weight ** 2
+    assert set(norm) == {1, 2, 5} and all(abs(n - 1) < 1e-9 for n in norm.values())
+    assert embed_terms(docs.limit(0)).count() == 0
