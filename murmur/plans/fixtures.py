@@ -28,6 +28,17 @@ FEEDBACK_TEMPLATES = (
     "Closed on holidays",
     "Restarted twice, painfully boring",
 )
+# phrases put into documents (index = doc_id % their number): every severity
+# and sentiment word, delay forms, theme branches, and near misses
+PHRASES = (
+    "it crashes", "crashing again", "Freezes now", "freezing", "I CANNOT", "you can't", "unable", "a failure", "it fails",
+    "failed", "Broken", "unreliable", "slow", "Painfully", "frustrating", "difficult", "confusing", "extremely", "forever",
+    "too many", "too long", "takes too long", "3 days", "12weeks", "1 hour", "7 HOURS", "2 day", "several days",
+    "almost a week", "weeks", "one week", "5 minutes", "3 dayss", "a3 weekly", "v2 hourly", "crush", "frozen", "slo w",
+    "no response", "boring", "took", "error", "love", "great", "easy", "clean", "happy", "love but slow",
+    "upload pdf crash", "document upload freeze", "opening is slow", "start slow", "support reply", "support in a week",
+    "export error", "download unable", "export works", "upload works", "nothing here", "",
+)
 # fixed instant used for rows without a usable date in the fixtures
 FIXTURE_INGEST_TS = "2024-02-01 00:00:00"
 # -----------------------------------------------------------------------------
@@ -50,6 +61,18 @@ def feedback_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phrased_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-phrases: every document with one of ``PHRASES`` in its middle."""
+    docs = table(spark, sf_dir, "documents")
+    phrases = F.array(*[F.lit(t) for t in PHRASES])
+    half = F.floor(F.length("text") / 2).cast("int")
+    phrase = F.get(phrases, F.pmod(F.col("doc_id"), F.lit(len(PHRASES))).cast("int"))
+    return docs.select(
+        F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"),
+        F.concat(F.substring("text", F.lit(1), half), F.lit(" "), phrase, F.lit(" "),
+                 F.substring("text", half + 1, F.length("text"))).alias("text"))
+
+
 def fixture_cluster(pos, source, date):
     """The hand-made cluster rule of F-clustered (first match wins)."""
     n = F.pmod(pos, F.lit(16))

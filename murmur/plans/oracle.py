@@ -1,14 +1,30 @@
 """DuckDB SQL twins of the fixtures and operators, for the correctness gate.
 
 Each function returns SQL text over the pre-registered views (``events``,
-``documents``, ``embeddings`` ...). Word lists and templates are the same
-parameters the Spark operators use; the computation is DuckDB's own."""
+``documents``, ``embeddings`` ...). Word lists are stated here a second time;
+fixture templates and theme texts are shared parameters. The computation is
+DuckDB's own."""
 
 from __future__ import annotations
 
 from murmur.functions import lexicon as lx
 from murmur.functions.text import PY_LINE_BREAK_REGEX, PY_WHITESPACE, PY_WS_CLASS
-from murmur.plans.fixtures import FEEDBACK_TEMPLATES, FIXTURE_INGEST_TS
+from murmur.plans.fixtures import FEEDBACK_TEMPLATES, FIXTURE_INGEST_TS, PHRASES
+
+
+# --- fixed values: the rules as the twins state them, on their own --------------
+HIGH_WORDS = ["crash", "crashes", "crashing", "freeze", "freezes", "freezing", "cannot", "can't", "unable", "failure",
+              "fails", "failed", "broken", "unreliable"]
+MEDIUM_WORDS = ["slow", "painfully", "frustrating", "difficult", "confusing", "extremely", "forever", "too many",
+                "too long", "takes too long"]
+DELAY_REGEX = r"\b\d+\s*(day|days|week|weeks|hour|hours)\b"
+DELAY_WORDS = ["several days", "almost a week", "days", "weeks"]
+NEGATIVE = ["crash", "freeze", "slow", "unable", "cannot", "error", "fail", "broken", "confusing", "no response",
+            "boring", "took"]
+POSITIVE = ["love", "great", "easy", "clean", "happy"]
+KEYWORDS = ["upload", "pdf", "document", "crash", "freeze", "load", "opening", "start", "slow", "support", "days",
+            "week", "reply", "response", "export", "download", "fail", "failure", "cannot", "unable", "error"]
+# -------------------------------------------------------------------------------
 
 
 def q(s: str) -> str:
@@ -54,10 +70,10 @@ def feedback_cte() -> str:
 
 def severity_case(text: str = "text") -> str:
     low = f"lower({text})"
-    return f"""CASE WHEN {any_sub(low, lx.HIGH_SEVERITY_WORDS)} THEN 'HIGH'
-     WHEN regexp_matches({low}, {q(lx.DELAY_PATTERN)}) THEN 'HIGH'
-     WHEN {any_sub(low, lx.DELAY_PHRASES)} THEN 'HIGH'
-     WHEN {any_sub(low, lx.MEDIUM_SEVERITY_WORDS)} THEN 'MEDIUM'
+    return f"""CASE WHEN {any_sub(low, HIGH_WORDS)} THEN 'HIGH'
+     WHEN regexp_matches({low}, {q(DELAY_REGEX)}) THEN 'HIGH'
+     WHEN {any_sub(low, DELAY_WORDS)} THEN 'HIGH'
+     WHEN {any_sub(low, MEDIUM_WORDS)} THEN 'MEDIUM'
      ELSE 'LOW' END"""
 
 
@@ -67,7 +83,7 @@ def severity_score_case(label: str = "severity") -> str:
 
 def enriched_cte(src: str = "fb", name: str = "enr") -> str:
     low = "lower(text)"
-    neg, pos = count_sub(low, lx.NEGATIVE_WORDS), count_sub(low, lx.POSITIVE_WORDS)
+    neg, pos = count_sub(low, NEGATIVE), count_sub(low, POSITIVE)
     return f"""{name}_c AS (
   SELECT *, {neg} AS _neg, {pos} AS _pos, {severity_case()} AS severity FROM {src}),
 {name} AS (
@@ -80,6 +96,16 @@ def enriched_cte(src: str = "fb", name: str = "enr") -> str:
   FROM {name}_c)"""
 
 
+def phrased_cte(name: str = "phr") -> str:
+    phrases = "[" + ", ".join(q(t) for t in PHRASES) + "]"
+    n = len(PHRASES)
+    return f"""{name}_p AS (
+  SELECT doc_id, text, ({phrases})[CAST(doc_id % {n} AS INTEGER) + 1] AS phrase, length(text) // 2 AS half FROM documents),
+{name} AS (
+  SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS id,
+         substr(text, 1, half) || ' ' || phrase || ' ' || substr(text, half + 1) AS text FROM {name}_p)"""
+
+
 def clustered_cte() -> str:
     return f"""{feedback_cte()},
 {enriched_cte()},
@@ -123,7 +149,7 @@ def _text_case(code: str, table: dict) -> str:
 
 
 def scoring_ctes(src: str) -> str:
-    kws = ",\n         ".join(f"bool_or(contains(lower(text), {q(w)})) AS {_kw(w)}" for w in lx.THEME_KEYWORDS)
+    kws = ",\n         ".join(f"bool_or(contains(lower(text), {q(w)})) AS {_kw(w)}" for w in KEYWORDS)
     return f"""per AS (
   SELECT cluster, count(*) AS evidence_count,
          count(*) FILTER (WHERE sentiment = 'negative') AS negative_evidence,

@@ -59,6 +59,21 @@ register("score_sentiment", _with(f"{orc.feedback_cte()},\n{orc.enriched_cte()}"
                                   "SELECT pos, sentiment, sentiment_score FROM enr"))(_q_score_sentiment)
 
 
+def _q_enrich_phrases(spark, sf_dir):
+    """E1, E2 and the keyword flags of A20 over F-phrases, row by row."""
+    from murmur.operators.enrich import detect_severity, score_sentiment
+    rows = detect_severity(score_sentiment(fx.phrased_fixture(spark, sf_dir)))
+    lower = F.lower("text")
+    return rows.select("pos", "severity", "severity_score", "sentiment", "sentiment_score",
+                       *[lower.contains(w).alias("kw_" + w) for w in lx.THEME_KEYWORDS])
+
+
+register("enrich_phrases", _with(
+    f"{orc.phrased_cte()},\n{orc.enriched_cte('phr')}",
+    "SELECT pos, severity, severity_score, sentiment, sentiment_score, "
+    + ", ".join(f"contains(lower(text), '{w}') AS kw_{w}" for w in orc.KEYWORDS) + " FROM enr"))(_q_enrich_phrases)
+
+
 # ============================================================================
 # 2.5 cluster aggregation over F-clustered
 # ============================================================================
