@@ -10,9 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "murmur") -> SparkSession:
-    """Local session for tests and the bench. On a cluster, use the cluster's
-    own session; every operator only needs ``spark.checkpoint.dir``."""
+def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "murmur",
+                  conf: dict[str, str] | None = None) -> SparkSession:
+    """Local session for tests and the bench, with further settings in
+    ``conf``. On a cluster, use the cluster's own session; every operator only
+    needs ``spark.checkpoint.dir``."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -27,6 +29,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(map=conf or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
