@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._common import narrow
+from murmur.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which names are registered (co.uk, com.au).
@@ -87,9 +88,10 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, bad_rate, bad_rate_low): the posterior mean and lower
     bound of every host's rate of bad pages. ``hosts``: (host), distinct;
     ``outcomes``: (host, n, bad) counts of labelled pages, one row a host."""
-    rows = hosts.join(outcomes, "host", "left").select(
+    # one row a host, stored: every level and its scalars read it again
+    rows = cut_lineage(hosts.join(outcomes, "host", "left").select(
         "host", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad")
-    ).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("domain")))
+    ).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("domain"))))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = rows.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -99,8 +101,8 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     def mean_of(groups: DataFrame, key: str, name: str) -> DataFrame:
         return groups.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias(name))
 
-    suffixes = _shrunk(suffixes.withColumn("m0", overall.scalar()), "m0")
-    domains = _shrunk(domains.join(mean_of(suffixes, "suffix", "m1"), "suffix"), "m1")
+    suffixes = cut_lineage(_shrunk(suffixes.withColumn("m0", overall.scalar()), "m0"))
+    domains = cut_lineage(_shrunk(domains.join(mean_of(suffixes, "suffix", "m1"), "suffix"), "m1"))
     rows = _shrunk(rows.join(mean_of(domains, "domain", "m2"), "domain"), "m2")
     mean = F.col("a") / (F.col("a") + F.col("b"))
     spread = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
