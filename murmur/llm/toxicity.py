@@ -35,7 +35,7 @@ MAX_ROWS_PER_LABEL = 8_000
 MAX_FEATURES = 1_024
 MIN_Z = 2.5
 FIT_TASKS = 16
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 FOLDS = 5
 
 
