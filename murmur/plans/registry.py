@@ -246,7 +246,7 @@ FROM clu e WHERE e.cluster = (SELECT cluster FROM insights WHERE rank = 1)"""))(
 # 2.3 / 2.4 vectors, similarity and clustering over ``embeddings``
 # ============================================================================
 FIXTURE_EPS = 0.6   # the driver vectors have no neighbours at the default 0.35
-FIXTURE_BLOCK = 200   # rows a block: several block pairs at every scale factor
+FIXTURE_BLOCK = 400   # rows a block: several block pairs at every scale factor but the smallest
 
 
 def _embeddings(spark, sf_dir):
