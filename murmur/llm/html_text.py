@@ -48,11 +48,15 @@ RUN_TOKENS = 6
 BUCKET_BYTES = 8 << 20
 COVERED = 0.5
 
-_RAW = "script|style|textarea|title|noscript|template|svg|iframe|select|object|math"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))[^>"']*)*)(?:>|\Z)""", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRS = r"""[^>"']*(?:(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))[^>"']*)*"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|\Z)", re.S)
+#: Elements whose content is not read: raw text, to the page's end where it is
+#: not closed, and others, of which only the tag is skipped if it is not closed.
+_RAW = frozenset("script style textarea title iframe".split())
+_HIDDEN = frozenset("noscript template svg select object math".split())
+_TAGS = {t: re.compile(rf"<(/?){t}(?=[\s/>]|\Z)({_ATTRS})(?:>|\Z)", re.S | re.I) for t in _HIDDEN}
+_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in _RAW}
+_ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORDS = re.compile(r"[a-z]+")
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -68,24 +72,46 @@ _MARKED_NAMES = frozenset(
     "contentinfo complementary toolbar pagination".split())
 
 
+_FORM, _MARK = 1, 2     # marked by a form only, marked
+
+
 def _is_marked(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in _MARKED or (tag == "header" and not in_article):
         return True
-    if "=" not in attrs or tag in ("body", "html"):
+    if "=" not in attrs or tag in ("body", "html") or tag in _ARTICLE:
         return False
-    for m in _NAMES.finditer(attrs):
-        value = (m.group(1) or m.group(2) or m.group(3) or "").lower()
-        if _MARKED_NAMES.intersection(_WORDS.findall(value)):
-            return True
+    for m in _ATTR.finditer(attrs):
+        if m.group(1).lower() in ("class", "id", "role"):
+            for name in (m.group(2) or m.group(3) or m.group(4) or "").lower().split():
+                # a whole name: "ad-banner" is one, "comments-open" and "has-sidebar" are not
+                words = _WORDS.findall(name)
+                if words and _MARKED_NAMES.issuperset(words):
+                    return True
     return False
 
 
+def _closed(source: str, tag: str) -> dict[int, int]:
+    """Where the elements ``tag`` that are closed start and end."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _TAGS[tag].finditer(source):
+        if m.group(1):
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif not m.group(2).endswith("/"):
+            opened.append(m.start())
+    return ends
+
+
 def page_blocks(source: str) -> list[tuple[str, bool, bool]]:
     """(text, in the article, marked) of a page's blocks in order: character
-    references decoded, white space single, empty blocks left out."""
-    out: list[tuple[str, bool, bool]] = []
+    references decoded, white space single, empty blocks left out. An article
+    starts unmarked wherever it stands, but for one inside another article
+    (a reader comment); a form round most of the page is its wrapper."""
+    out: list[tuple[str, bool, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []    # (tag, in the article, marked) of open elements
+    stack: list[tuple[str, bool, int]] = []     # (tag, in the article, mark) of open elements
+    hidden: dict[str, dict[int, int]] = {}
     at = 0
 
     def flush() -> None:
@@ -94,22 +120,32 @@ def page_blocks(source: str) -> list[tuple[str, bool, bool]]:
             text.clear()
             line = " ".join((html.unescape(joined) if "&" in joined else joined).split())
             if line:
-                out.append((line, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+                out.append((line, stack[-1][1] if stack else False, stack[-1][2] if stack else 0))
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
             text.append(source[at:m.start()])
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(2)
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _RAW or tag in _HIDDEN:
+            if not m.group(1) and not m.group(3).endswith("/"):
+                if tag in _RAW:
+                    end = _END[tag].search(source, at)
+                    at = end.end() if end else len(source)
+                else:
+                    if tag not in hidden:
+                        hidden[tag] = _closed(source, tag)
+                    at = max(at, hidden[tag].get(m.start(), at))
+            continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in _BLOCK:
             flush()
-        if m.group(2):
+        if m.group(1):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if any(s[1] or s[2] for s in stack[i:]):
@@ -126,17 +162,23 @@ def page_blocks(source: str) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-        if tag in _VOID or m.group(4).endswith("/"):
+        if tag in _VOID or m.group(3).endswith("/"):
             continue
-        _, inside, marked = stack[-1] if stack else ("", False, False)
-        mark = _is_marked(tag, m.group(4), inside)
-        if (mark and not marked) or (tag in _ARTICLE and not inside):
+        _, inside, marked = stack[-1] if stack else ("", False, 0)
+        mark = marked
+        if tag in _ARTICLE:
+            if marked and not any(s[0] == "article" for s in stack):
+                mark = 0
+        elif marked < _MARK and _is_marked(tag, m.group(3), inside):
+            mark = _FORM if tag == "form" and not inside else _MARK
+        if mark != marked or (tag in _ARTICLE and not inside):
             flush()
-        stack.append((tag, inside or tag in _ARTICLE, marked or mark))
+        stack.append((tag, inside or tag in _ARTICLE, mark))
     if at < len(source):
         text.append(source[at:])
     flush()
-    return out
+    wrapper = sum(len(x) for x, _, k in out if k == _FORM) > sum(len(x) for x, _, k in out if not k)
+    return [(x, inside, k == _MARK or k == _FORM and not wrapper) for x, inside, k in out]
 
 
 # --- streams and suffix arrays --------------------------------------------------------

@@ -55,6 +55,30 @@ def test_blocks():
     assert lines("<p>shadow heads addition</p>") == ["shadow heads addition"]
 
 
+def test_articles_are_whole_whatever_their_names():
+    for tag in ('article class="post comments-open"', 'main class="has-sidebar"', 'article id="menu"', "main role='search'"):
+        assert lines(f"<nav>no</nav><{tag}><p>x</p></{tag.split()[0]}>") == ["x"]
+    assert lines('<article><p>x</p><section id="related-work"><p>y</p></section></article>') == ["x", "y"]
+    assert lines('<form id="aspnetForm"><nav>no</nav><article><p>x</p></article><div class="ad">no</div></form>') == ["x"]
+    assert lines('<div class="ad">no<article><p>x</p></article>') == ["x"]
+    assert lines('<form id="aspnetForm"><div>no article, but the page</div></form><p>foot</p>') == [
+        "no article, but the page", "foot"]
+    assert lines("<p>a text longer than its form</p><form>no</form>") == ["a text longer than its form"]
+    assert lines('<article><p>x</p><div id="comments"><article class="c">no</article></div></article>') == ["x"]
+    assert lines('<article><p>x <a href="/p?id=search" data-id="menu">y</a></p></article>') == ["x y"]
+    assert lines('<div class="ad-banner">no</div><div class="cookie_notice wide">no</div><p>x</p>') == ["x"]
+
+
+def test_self_closed_and_unclosed_elements_swallow_nothing():
+    for tag in ("svg", "math", "object", "select", "noscript", "template", "iframe", "script"):
+        assert lines(f'<p>a<{tag} title="1 > 0" /></p><p>b</p><{tag}>no</{tag}><p>c</p>') == ["a", "b", "c"]
+        assert lines(f"<p>a<{tag}/>b</p>") == ["ab"]
+    for tag in ("svg", "math", "object", "select", "noscript"):
+        assert lines(f"<p>a</p><{tag}><p>b</p><{tag}>no</{tag}><p>c</p>") == ["a", "b", "c"]
+        assert lines(f"<p>a<{tag}>no<{tag}>no</{tag}>no</{tag}>b</p>") == ["ab"]
+    assert lines("<p>a</p><script>var t = '<p>no</p>") == ["a"]
+
+
 def story(i):
     return " ".join(f"{w}{i}" for w in ("once", "there", "was", "a", "page", "with", "its", "own", "words"))
 
