@@ -344,14 +344,15 @@ def rank_insights(insights: DataFrame, top: int | None = None, group_col: str |
 # --- A27 -------------------------------------------------------------------------------------
 def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: float = 0.35,
                      min_samples: int = 2, vec_col: str = "embedding", block_rows: int | None = None,
-                     group_col: str | None = None):
+                     group_col: str | None = None, evidence_chunk: int = EVIDENCE_CHUNK):
     """End to end: enrich, cluster, score, describe, pick representatives and
     rank. ``feedback`` has ``pos, id, text, source, date`` and either a vector
     column or an ``embedder`` (df -> df + vec_col). Returns
     ``(insights, enriched)``. Insights carry ``supporting_feedback_ids`` and
-    ``supporting_feedback``, the arrays of the first ``EVIDENCE_CHUNK``
-    members of the cluster; ``nested_evidence(enriched)`` has the further
-    chunks and ``evidence_table(enriched)`` all members as rows. With
+    ``supporting_feedback``, arrays of ``evidence_chunk`` members a row: an
+    insight with more members has a row for each ``chunk_no`` (from 0), equal
+    in all other columns, so every member is there and no row is without
+    bound; ``chunk_no = 0`` is one row an insight. With
     ``group_col`` every dataset is analysed on its own (clusters, scores,
     ranks per dataset), all datasets in the same distributed jobs; ``pos``
     must be unique overall."""
@@ -372,7 +373,10 @@ def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: fl
     enriched = df.join(labels, "pos")
     scored = score_clusters(enriched.drop(vec_col), group_col=group_col)
     reps = representative_statement(enriched, vec_col=vec_col, group_col=group_col).select(*lead, "cluster", "problem")
-    nested = nested_evidence(enriched.drop(vec_col), group_col=group_col).where("chunk_no = 0").drop("chunk_no")
-    insights = (scored.join(reps, lead + ["cluster"], "left").select(*lead, *INSIGHT_COLUMNS)
-                .join(nested, lead + ["cluster"], "left"))
-    return rank_insights(insights, group_col=group_col), enriched
+    # ranked before the evidence is attached: a rank is an insight's, not a chunk's
+    ranked = rank_insights(scored.join(reps, lead + ["cluster"], "left").select(*lead, *INSIGHT_COLUMNS),
+                           group_col=group_col)
+    nested = nested_evidence(enriched.drop(vec_col), chunk=evidence_chunk, group_col=group_col)
+    insights = ranked.join(nested, lead + ["cluster"]).select(
+        *lead, *INSIGHT_COLUMNS, "chunk_no", "supporting_feedback_ids", "supporting_feedback", "rank")
+    return insights.orderBy(*lead, "rank", "chunk_no"), enriched

@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 def dataset_stats(feedback: DataFrame, insights: DataFrame, group_col: str | None = None) -> DataFrame:
     """One row (per group): total feedback, insights, HIGH-priority insights,
     strong signals (the value the pipeline emits, ``STRONG SIGNAL``), distinct
-    sources."""
+    sources. An insight whose evidence takes several rows (``chunk_no``) counts
+    once."""
+    if "chunk_no" in insights.columns:
+        insights = insights.where("chunk_no = 0")
     ins_aggs = [
         F.count(F.lit(1)).alias("active_insights"),
         F.count_if(F.upper("priority") == "HIGH").alias("high_priority"),
@@ -81,7 +84,8 @@ def sanitize_nonfinite(df: DataFrame) -> DataFrame:
 
 # --- D4 --------------------------------------------------------------------------
 def insights_json(insights: DataFrame) -> DataFrame:
-    """One JSON document per insight, nulls kept (after D3, so no ``NaN``)."""
+    """One JSON document per insight row (several an insight, told apart by
+    ``chunk_no``, where its evidence is long), nulls kept (after D3, so no ``NaN``)."""
     clean = sanitize_nonfinite(insights)
     return clean.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 

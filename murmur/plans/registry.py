@@ -380,12 +380,21 @@ FROM embeddings e JOIN cent c ON c.grp = e.label WHERE e.label <> -1 GROUP BY e.
 def _q_analyze_feedback(spark, sf_dir):
     from murmur.operators.insights import INSIGHT_COLUMNS, analyze_feedback
     ranked, _ = analyze_feedback(fx.feedback_vec_fixture(spark, sf_dir), eps=FIXTURE_EPS, min_samples=2)
-    return ranked.select("rank", *[F.array_join("sources", ", ").alias("sources") if c == "sources" else c
+    return ranked.where("chunk_no = 0").select("rank", *[F.array_join("sources", ", ").alias("sources") if c == "sources" else c
                                    for c in INSIGHT_COLUMNS])
 
 
-def _analyze_sql() -> str:
-    ctes = f"""{orc.feedback_cte()},
+def _q_analyze_evidence(spark, sf_dir):
+    """All members that the insights carry, chunks of ``CHUNK``."""
+    from murmur.operators.insights import analyze_feedback
+    ranked, _ = analyze_feedback(fx.feedback_vec_fixture(spark, sf_dir), eps=FIXTURE_EPS, min_samples=2,
+                                 evidence_chunk=CHUNK)
+    items = ranked.select("rank", "cluster", "chunk_no", F.posexplode("supporting_feedback").alias("i", "f"))
+    return items.select("rank", "cluster", (F.col("chunk_no") * CHUNK + F.col("i")).cast("long").alias("seq"), "f.*")
+
+
+def _analyze_ctes() -> str:
+    return f"""{orc.feedback_cte()},
 fbv AS (SELECT fb.*, e.vec_id, e.embedding FROM fb JOIN embeddings e
         ON e.vec_id = fb.pos % (SELECT count(*) FROM embeddings)),
 {orc.enriched_cte('fbv')},
@@ -397,11 +406,17 @@ clu AS (SELECT enr.*, db.cluster FROM enr JOIN vecs USING (vec_id) JOIN db ON db
 rep AS (
   SELECT k.cluster, arg_max(k.text, {{'s': {orc.np_round(orc.cosine('k.embedding', 'c.centroid'), 9)}, 'p': -k.pos}}) AS problem
   FROM clu k JOIN cent c ON c.grp = k.cluster GROUP BY k.cluster)"""
-    return _with_rec(ctes, f"SELECT rank, i.{orc.INSIGHT_SQL_COLUMNS.replace('array_to_string(sources', 'array_to_string(i.sources')}, rep.problem "
+
+
+def _analyze_sql() -> str:
+    return _with_rec(_analyze_ctes(), f"SELECT rank, i.{orc.INSIGHT_SQL_COLUMNS.replace('array_to_string(sources', 'array_to_string(i.sources')}, rep.problem "
                            "FROM insights i LEFT JOIN rep USING (cluster)")
 
 
 register("analyze_feedback", _analyze_sql())(_q_analyze_feedback)
+register("analyze_evidence", _with_rec(_analyze_ctes(), f"""SELECT i.rank, i.cluster, m.seq, m.id, m.source,
+  strftime(m.date, '%Y-%m-%d') AS date, m.text, m.sentiment, m.severity
+FROM insights i JOIN {_SEQ_SQL} m ON m.cluster = i.cluster"""))(_q_analyze_evidence)
 
 
 # ============================================================================

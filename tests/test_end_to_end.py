@@ -75,6 +75,25 @@ def test_nested_evidence_and_text_files(spark):
     assert by_doc["b.txt"] == [("1", "only one", "text_file")]
 
 
+def test_insights_hold_every_member(spark):
+    """A cluster longer than a chunk has a row for each of its chunks."""
+    from murmur.operators.report import insights_json
+    from murmur.plans.fixtures import feedback_vec_fixture
+    fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001")
+    whole, enriched = analyze_feedback(fb, eps=0.6, min_samples=2)
+    monkeypatch.setattr(mod.nested_evidence, "__defaults__", ("cluster", 3, None))
+    ins, _ = analyze_feedback(fb, eps=0.6, min_samples=2, evidence_chunk=3)
+    got, counts = {}, {}
+    for r in ins.collect():
+        assert 0 < len(r.supporting_feedback) <= 3
+        got.setdefault((r["rank"], r.cluster), []).extend(r.supporting_feedback_ids)
+        counts[r["rank"], r.cluster] = r.evidence_count
+    assert max(counts.values()) > 3 and {k: len(v) for k, v in got.items()} == counts
+    assert got == {(r["rank"], r.cluster): r.supporting_feedback_ids for r in whole.collect()}
+    assert insights_json(ins).count() == sum(-(-n // 3) for n in counts.values())
+    assert dataset_stats(fb, ins).first() == dataset_stats(fb, whole).first()
+
+
 def test_all_noise_gives_empty_insights(spark):
     """At the default eps 0.35 the driver vectors have no neighbours."""
     from murmur.plans.fixtures import feedback_vec_fixture
