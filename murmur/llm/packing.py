@@ -19,6 +19,9 @@ further input columns are ignored."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 
 import numpy as np
@@ -49,9 +52,10 @@ class ByteBpe:
     the word after it, so a text can be cut before every space that a word
     follows; words seen before come from a cache, and the new words of a
     batch are encoded in one call and cut apart by their byte lengths. Texts
-    with other spaces are encoded whole."""
+    with other spaces are encoded whole. The tokenizer's ``added`` tokens have
+    ids of their own; texts are split at them first."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import base64
 
         import tiktoken
@@ -62,6 +66,9 @@ class ByteBpe:
         for token, i in ranks.items():
             self.size[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in (added or {}).items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else lambda t: [t]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.enc.encode_ordinary(text), dtype="<u4").tobytes()
@@ -79,6 +86,11 @@ class ByteBpe:
         return out
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        cut = [self.split(t) for t in batch]     # text, added token, text, ...
+        ids = iter(self._encode([t for c in cut for t in c[::2]]))
+        return [b"".join([self.added[t] if k % 2 else next(ids) for k, t in enumerate(c)]) for c in cut]
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in batch]
         new = set().union(*(s[1:] for s in split)).difference(self.known) if split else set()
         new = [w for w in new if w and not w[0].isspace()]
@@ -101,11 +113,23 @@ class ByteBpe:
         return out
 
 
+def _added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the tokenizer whose JSON lies beside the ranks."""
+    path = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"added tokens that depend on what is round them are not supported: {path}")
+    return {t["content"]: t["id"] for t in added}
+
+
 def _tokenizer(path: str | None, pattern: str | None):
     if path is None:
         import public_tokenizers
         path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return kept_in_worker(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
+    return kept_in_worker(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern, _added_tokens(path)))
 
 
 def piece_bounds(n: int, seq_len: int) -> list[tuple[int, int]]:
@@ -186,12 +210,12 @@ def _best_column(price: np.ndarray, seq_len: int, usable: np.ndarray) -> dict[in
 
 
 def solve_configurations(hist: np.ndarray, seq_len: int, rounds: int = 800, rate: float = 0.5,
-                         direct: int = 4096) -> list[tuple[dict[int, int], float]]:
+                         direct: int = 1) -> list[tuple[dict[int, int], float]]:
     """Columns and their (fractional) values by multiplicative weights. Each
     round takes the best-priced column for ``rate`` of what its scarcest
     length still allows; a length's price falls with the part of it that is
     covered. Long lengths start a little dearer, as they are harder to place.
-    Fewer than ``direct`` pieces need no programme: best fit places them."""
+    It ends when fewer than ``direct`` pieces are not covered."""
     need = hist.astype(np.float64).copy()
     columns: list[tuple[dict[int, int], float]] = []
     size = np.arange(seq_len + 1)
@@ -213,7 +237,16 @@ def solve_configurations(hist: np.ndarray, seq_len: int, rounds: int = 800, rate
 
 def pack_histogram(hist: np.ndarray, seq_len: int = SEQ_LEN) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, number of such sequences): the rounded
-    programme, then best fit for the rest. Places every piece exactly once."""
+    programme, then best fit for the rest. Places every piece exactly once.
+    Rounding can cost a small table more than the programme gains: best fit
+    alone is taken where it fills fewer sequences."""
+    rest = hist.astype(np.int64).copy()
+    rest[0] = rest[seq_len] = 0
+    return min((_rounded(hist, seq_len, columns) for columns in (solve_configurations(rest, seq_len), [])),
+               key=lambda packed: sum(count for _, count in packed))
+
+
+def _rounded(hist: np.ndarray, seq_len: int, columns) -> list[tuple[list[int], int]]:
     left = hist.astype(np.int64).copy()
     left[0] = 0
     filled: list[tuple[list[int], int]] = []
@@ -229,7 +262,7 @@ def pack_histogram(hist: np.ndarray, seq_len: int = SEQ_LEN) -> list[tuple[list[
         else:
             open_by_room.setdefault(room, []).append((lengths, count))
 
-    for column, value in solve_configurations(left, seq_len):
+    for column, value in columns:
         count = int(min([np.floor(value + 1e-9), *(left[k] // m for k, m in column.items())]))
         if count > 0:
             for k, m in column.items():

@@ -26,6 +26,24 @@ def test_cached_ids_equal_the_tokenizers(reference, batch):
     assert got == want
 
 
+def test_added_tokens_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    batch = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b c", "<|endoftext|", "", "plain text",
+             " <|endoftext|>\n x <|endoftext|> "]
+    got = [np.frombuffer(x, "<u4").tolist() for x in p._tokenizer(None, None).encode(batch)]
+    assert got == [e.ids for e in default.encode_batch(batch, add_special_tokens=False)]
+    assert got[0] == [31373, 220, 50256, 995]
+
+
+def test_small_tables_run_the_programme():
+    hist = np.zeros(101, dtype=int)
+    hist[[26, 32, 42]] = 40       # 26 + 32 + 42 = 100: 40 full sequences
+    assert sum(c for _, c in p.pack_histogram(hist, 100)) <= 41 < sum(c for _, c in p._rounded(hist, 100, []))
+    assert p.solve_configurations(hist, 100)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=300))
 def test_every_piece_has_its_own_place(lengths):
