@@ -11,7 +11,7 @@ email       local part, at-sign, at least two dot-joined labels
 ip          four dot-joined numbers, each at most 255
 card        13 to 19 digits with single blanks or hyphens between, Luhn sum 0
 phone       plus sign, digit, digits and `` ().-``, 9 to 15 digits in all
-account     IBAN after its cue, check digits verified
+account     IBAN after its cue, check digits verified; what follows is left out
 login       scheme://user@host: an address that carries user data
 ==========  ====================================================================
 
@@ -41,7 +41,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DIAL = re.compile(r"[ ().0-9-]+")
-_IBAN = re.compile(r"[\s:#.-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])")
+_IBAN = re.compile(r"[\s:#.-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+_IBAN_SIZE = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
+_ENDS = re.compile(r"[A-Z0-9](?![A-Z0-9])")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]+@[A-Za-z0-9.-]*[A-Za-z0-9]")
 
 
@@ -71,6 +77,20 @@ def _iban_ok(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number that starts at ``start`` ends, at most at
+    ``end``: its country's length goes first, then the token ends from the last
+    on (for a known country only the last) until the check digits hold."""
+    ends = [m.end() for m in _ENDS.finditer(text, start, min(len(text), end + 1)) if m.end() <= end]
+    # the match may stop inside a token
+    if ends and ends[-1] == end and text[end:end + 1].isascii() and (text[end:end + 1].isupper() or text[end:end + 1].isdigit()):
+        ends.pop()
+    ends.reverse()
+    size = _IBAN_SIZE.get(text[start:start + 2])
+    own = [e for e in ends if len(text[start:e].replace(" ", "")) == size]
+    return next((e for e in own + (ends[:1] if size else ends) if _iban_ok(text[start:e])), None)
+
+
 def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as in ``KINDS``, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -107,7 +127,9 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
                     hit("phone", last, end, 9 <= n <= 15)
         elif anchor == "cue":
             if last >= done["account"] and (m := _IBAN.match(text, last + 1)):
-                hit("account", m.start(1), m.end(1), _iban_ok(m.group(1)))
+                # what fails is no account: a cue inside it still counts
+                if end := _iban_end(text, m.start(1), m.end(1)):
+                    hit("account", m.start(1), end, True)
         elif last >= done["login"] and (m := _LOGIN.match(text, last + 1)):
             start = last - 2
             while start > done["login"] and text[start - 1].isascii() and text[start - 1].isalnum():

@@ -53,6 +53,21 @@ def test_added_kinds():
     assert not pii.find_spans("plain words, version 2.0. and 3.14, user@host", a)
 
 
+def test_accounts_end_where_they_end():
+    a = pii.anchors()
+    for number, then in (("DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"), ("DE89370400440532013000", " VAT 12"),
+                         ("GB82WEST12345698765432", " A payment"), ("DE89 3704 0044 0532 0130 00", " 12 EUR"),
+                         ("GB82 WEST 1234 5698 7654 32", ""), ("GB82WEST12345698765432", "a"),
+                         ("DE89370400440532013000", " IBAN GB82WEST12345698765432")):
+        text = f"IBAN: {number}{then}"
+        got = [text[s:e] for k, s, e in pii.find_spans(text, a) if k == "account"]
+        assert got[0] == number and got[1:] == (["GB82WEST12345698765432"] if "IBAN" in then else [])
+    text = "IBAN DE00 3704 0044 IBAN GB82WEST12345698765432"
+    assert [text[s:e] for k, s, e in pii.find_spans(text, a) if k == "account"] == ["GB82WEST12345698765432"]
+    for text in ("IBAN DE89 3704 0044 0532 0130 01 BIC", "IBAN DE893704004405320130007 1", "IBAN DE8937040044053201300"):
+        assert not [k for k, *_ in pii.find_spans(text, a) if k == "account"]
+
+
 def test_rows_and_masking(spark):
     long = "word " * 200_000 + "x@y.zz" + " 7" * 100_000
     rows = [(1, "mail a@b.cd now", 99), (1, "mail a@b.cd now", 99), (None, None, None), (2, "", 0), (3, long, len(long))]
