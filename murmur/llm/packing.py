@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.functions.indexing import with_ordinal
 from murmur.llm._common import by_value, kept_in_worker, narrow, parts, texts
 from murmur.session import cut_lineage
 
@@ -39,6 +40,7 @@ by_value(__name__)
 SEQ_LEN = 2048
 END_ID = 0
 CACHE_WORDS = 400_000     # words whose ids a worker remembers
+PLACE_ROWS = 32_768       # slices of groups of equal sequences
 
 
 # --- token ids ------------------------------------------------------------------
@@ -146,20 +148,25 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN,
                     end_id: int = END_ID, path: str | None = None, pattern: str | None = None,
-                    keep_ids: bool = False) -> DataFrame:
+                    keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: its document, number, start and length, a CRC-32 of
     its ids, and (part, nth): its place among the pieces of its length in the
-    task that made it. ``keep_ids`` adds the ids themselves."""
+    task that made it. ``keep_ids`` adds the ids themselves; ``carry`` adds
+    columns of the document and ``row``, its number in the task."""
     schema = _PIECES + (", ids array<int>" if keep_ids else "")
+    if carry:
+        schema += ", row long" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         bpe = _tokenizer(path, pattern)
         part, seen = TaskContext.get().partitionId(), np.zeros(seq_len + 1, dtype=np.int64)
+        row0 = 0
         for batch in batches:
             for some in parts(batch, 256):
+                at = []
                 rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids")}
-                for doc, data in zip(some.column("doc_id").to_pylist(), bpe.encode(texts(some, "text"))):
+                for i, (doc, data) in enumerate(zip(some.column("doc_id").to_pylist(), bpe.encode(texts(some, "text")))):
                     data += end
                     for k, (start, length) in enumerate(piece_bounds(len(data) // 4, seq_len)):
                         own = data[4 * start:4 * (start + length)]
@@ -169,6 +176,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         if keep_ids:
                             rows["ids"].append(np.frombuffer(own, dtype="<i4"))
                         seen[length] += 1
+                        at.append(i)
                 cols = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["piece"], pa.int32()),
                         pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()),
                         pa.array(rows["ids_crc32"], pa.int64()), pa.array(rows["part"], pa.int32()),
@@ -177,9 +185,15 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if keep_ids:
                     cols.append(pa.array(rows["ids"], pa.list_(pa.int32())))
                     names.append("ids")
+                if carry:
+                    here = pa.array(at, pa.int64())
+                    cols += [pa.array(np.array(at, dtype=np.int64) + row0)]
+                    cols += [some.column(f"_c{k}").take(here) for k in range(len(carry))]
+                    names += ["row", *carry]
+                row0 += some.num_rows
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    own = narrow(docs, doc_id=F.col(id_col).cast("long"), text=text_col)
+    own = narrow(docs, doc_id=F.col(id_col).cast("long"), text=text_col, **{f"_c{k}": c for k, c in enumerate(carry)})
     return own.mapInArrow(run, schema)
 
 
@@ -294,6 +308,20 @@ def _rounded(hist: np.ndarray, seq_len: int, columns) -> list[tuple[list[int], i
     return filled + [g for groups in open_by_room.values() for g in groups]
 
 
+def interleaved(packed: list[tuple[list[int], int]]) -> list[tuple[list[int], int]]:
+    """The same groups cut into slices, a slice of every group in turn: the
+    sequences up to any slice take about the same part of each length."""
+    turns = max(1, min(sum(n for _, n in packed), PLACE_ROWS // max(1, len(packed))))
+    out = []
+    for s in range(turns):
+        for i, (lengths, count) in enumerate(packed):
+            shift = i * 0.6180339887498949 % 1.0      # small groups do not all fall into one turn
+            n = int(count * (s + 1) / turns + shift) - int(count * s / turns + shift)
+            if n:
+                out.append((lengths, n))
+    return out
+
+
 def place_table(packed: list[tuple[list[int], int]]) -> pd.DataFrame:
     """One row per (group of equal sequences, length): the ranks of pieces of
     that length that go there, ``rank`` to the next row's, ``each`` of them a
@@ -317,21 +345,30 @@ def place_table(packed: list[tuple[list[int], int]]) -> pd.DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN,
-                  end_id: int = END_ID, path: str | None = None, pattern: str | None = None) -> DataFrame:
+                  end_id: int = END_ID, path: str | None = None, pattern: str | None = None,
+                  carry: tuple[str, ...] = (), position=None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every
     piece of every document with its place. :func:`packed_ids` gives the
-    sequences' ids."""
-    pieces = cut_lineage(tokenize_pieces(docs, id_col, text_col, seq_len, end_id, path, pattern))
+    sequences' ids.
+
+    ``position`` orders the sequences: a function of the documents' rows (with
+    ``doc_id`` and the columns ``carry``) that adds their ``position``. Pieces
+    of a length are then placed in that order, and sequences are numbered by
+    the smallest position among their pieces."""
+    pieces = cut_lineage(tokenize_pieces(docs, id_col, text_col, seq_len, end_id, path, pattern, carry=carry))
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     # at most seq_len rows: one per length
     hist = np.zeros(seq_len + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         hist[r["length"]] = r["n"]
-    places = place_table(pack_histogram(hist, seq_len))
+    packed = pack_histogram(hist, seq_len)
+    places = place_table(packed if position is None else interleaved(packed))
     step = np.int64(1) << 42
     key = (places["length"].to_numpy() * step + places["rank"].to_numpy()).astype(np.int64)
     rank0, first, offset, each = (places[c].to_numpy() for c in ("rank", "first", "offset", "each"))
 
+    ordered = position is not None
+
     def place(batches):
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False)
@@ -341,16 +378,33 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
                 + [pa.array(first[at] + inside // each[at], pa.int64()),
-                   pa.array(offset[at] + (inside % each[at]) * length, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
+                   pa.array(offset[at] + (inside % each[at]) * length, pa.int64())]
+                + ([b.column("position")] if ordered else []),
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+                + (["position"] if ordered else []))
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    if ordered:
+        where = position(pieces.where("piece = 0").select("part", "row", "doc_id", *carry)).select(
+            "part", "row", F.col("position").cast("long").alias("position"))
+        lined = with_ordinal(pieces.join(where, ["part", "row"]).select(
+            "doc_id", "piece", "start", "length", "ids_crc32", "position"), "_o", ["length", "position", "piece"])
+        # at most seq_len rows: the pieces that are shorter
+        shorter = docs.sparkSession.createDataFrame(
+            [(int(k), int(hist[:k].sum())) for k in np.flatnonzero(hist)], "length long, _before long")
+        placed = cut_lineage(lined.join(F.broadcast(shorter), "length").select(
+            "doc_id", "piece", "start", "length", "ids_crc32", "position", (F.col("_o") - F.col("_before")).alias("rank"))
+            .mapInArrow(place, schema + ", position long"))
+        number = with_ordinal(placed.groupBy("sequence_id").agg(F.min("position").alias("_p")), "_n",
+                              ["_p", "sequence_id"])
+        return placed.join(number, "sequence_id").select(
+            "doc_id", "piece", "start", "length", "ids_crc32", F.col("_n").cast("long").alias("sequence_id"), "offset")
     # rows of a length: one per task that made pieces of it
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(starts, ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, schema)
 
 
 def packed_ids(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -38,6 +38,26 @@ def test_query_matches_sql(spark, con, name):
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(cols, res.fetchall())
 
 
+def test_packed_sequences_follow_the_mixture(spark):
+    """Prefixes of the sequences keep the target shares, in whatever order the
+    documents are read."""
+    rows = [(i, "word " * (99, 399, 699)[i % 3], "ab"[i >= 900], 1) for i in range(1200)]
+    rows += [(None, "x", "a", 1), (5000, "word " * 5000, "b", 1), (5000, "", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = cp.packing(spark, docs, SF001).collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048 and sorted(ends) == list(range(len(ends)))
+    assert sorted({(str(r["doc_id"]), r["piece"]) for r in got}) == sorted(
+        {(str(i), 0) for i, *_ in rows} | {("5000", 1), ("5000", 2)})
+    target = 300 ** 0.7 / (300 ** 0.7 + 900 ** 0.7)
+    for part in (0.2, 0.4, 0.6):
+        ids = [r["doc_id"] for r in got if r["sequence_id"] < part * len(ends) and (r["doc_id"] or 0) < 1200]
+        assert abs(sum((i or 0) >= 900 for i in ids) / len(ids) - target) < 0.06
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     first = {r["doc_id"]: r for r in docs.collect()}
