@@ -4,9 +4,11 @@ Every source's rows are dealt into blocks. With integer weights ``w`` of sum
 ``q``, block ``j`` of a source (from 0) is released at slot ``floor(j q / w)``
 and due at ``ceil((j + 1) q / w)``; among the released blocks the earliest
 deadline goes first. At every slot, each source is less than one block away
-from its target share. The schedule repeats every ``q`` slots, so only one
-period is worked out, on the driver, from the weights alone; a block's slot
-is then arithmetic. When a source has given its last block, the others go on
+from its integer weight's share. The integer weights are fine enough for the
+number of blocks: over a whole phase their shares stay less than one block
+from those of the target weights. The schedule repeats every ``q`` slots, so at
+most one period, and no more slots than there are blocks, is worked out on the
+driver; a block's slot is looked up in it. When a source has given its last block, the others go on
 by their weights (a new phase): every row is placed exactly once, none is
 dropped or repeated.
 
@@ -14,8 +16,8 @@ Rows find their block natively: each source is dealt by a hash into small
 buckets, the buckets' counts give offsets, and a row number inside a bucket
 completes the rank. No window ever holds a source.
 
-Bounds: ``max_sources`` (a mixture names its sources) and the period, the sum
-of the integer weights. Input cases: a null source is a source of its own;
+Bounds: ``max_sources`` (a mixture names its sources); the driver holds one
+number a slot of a period, at most one a block of ``block_rows`` rows. Input cases: a null source is a source of its own;
 null and repeated ids and repeated rows are placed row by row, in an order
 that ties of all listed columns leave open; texts are not read; an empty
 table gives no rows; further input columns are kept, whatever their names
@@ -27,6 +29,7 @@ import heapq
 import json
 from bisect import bisect_left
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +53,37 @@ def integer_weights(weights: dict[str, float], period: int) -> dict[str, int]:
     return whole
 
 
-def pfair_period(weights: list[int]) -> list[list[int]]:
+def _drift(share: np.ndarray, whole: np.ndarray, blocks: np.ndarray) -> float:
+    """How many blocks the integer weights lead a source away from its target
+    share in the phase where that is most."""
+    left, most = blocks.astype(np.float64), 0.0
+    while len(left):
+        real, own = share / share.sum(), whole / whole.sum()
+        length = (left / own).min()
+        most = max(most, (length + len(left)) * np.abs(real - own).max())
+        stay = np.arange(len(left)) != (left / own).argmin()
+        left = np.maximum(left - length * own, 0.0)[stay]
+        share, whole = share[stay], whole[stay]
+    return most
+
+
+def fitting_weights(weights: dict[str, float], rows: dict[str, int], block_rows: int, period: int) -> dict[str, int]:
+    """Integer weights of the sum ``period``, doubled until their shares stay
+    less than one block from the target shares for all blocks."""
+    names = sorted(weights)
+    blocks = np.array([-(-rows[k] // block_rows) for k in names])
+    share = np.array([weights[k] for k in names], dtype=np.float64)
+    while True:
+        whole = integer_weights(weights, period)
+        if _drift(share, np.array([whole[k] for k in names], dtype=np.float64), blocks) < 1 or period > 1 << 50:
+            return whole
+        period *= 2
+
+
+def pfair_period(weights: list[int], left: list[int] | None = None) -> list[list[int]]:
     """Slots of each weight's blocks in one period, by earliest deadline first
-    among the released."""
+    among the released; no further than to the slot where a source has given
+    all its ``left`` blocks."""
     q = sum(weights)
     waiting = sorted(((0, i, 0) for i in range(len(weights))), reverse=True)   # (release, source, block)
     heapq.heapify(waiting)
@@ -64,6 +95,8 @@ def pfair_period(weights: list[int]) -> list[list[int]]:
             heapq.heappush(ready, (-(-(j + 1) * q // weights[i]), i, j))
         _, i, j = heapq.heappop(ready)
         slots[i].append(t)
+        if left is not None and j + 1 == left[i]:
+            break
         if j + 1 < weights[i]:
             heapq.heappush(waiting, ((j + 1) * q // weights[i], i, j + 1))
     return slots
@@ -79,8 +112,10 @@ def pfair_phases(rows: dict[str, int], weights: dict[str, int], block_rows: int)
     while left:
         names = sorted(left)
         each = [weights[k] for k in names]
-        q, slots = sum(each), pfair_period(each)
-        last = {k: (left[k] - 1) // w * q + s[(left[k] - 1) % w] for k, w, s in zip(names, each, slots)}
+        q, slots = sum(each), pfair_period(each, [left[k] for k in names])
+        # a source that ends in the first period ends the phase there
+        last = {k: s[-1] for k, s in zip(names, slots) if len(s) == left[k]} or {
+            k: (left[k] - 1) // w * q + s[(left[k] - 1) % w] for k, w, s in zip(names, each, slots)}
         done = min(last, key=lambda k: last[k])
         length = last[done] + 1
         for k, w, s in zip(names, each, slots):
@@ -118,14 +153,19 @@ def _placed(docs: DataFrame, source_col: str = "source", order_cols: tuple[str,
         if missing := [k for k in sizes if named.get(k, 0.0) <= 0]:
             raise ValueError(f"sources without a target weight: {sorted(missing)[:5]}")
         share = {k: named[k] for k in sizes}
-    whole = integer_weights(share, period) if share else {}
+    whole = fitting_weights(share, sizes, block_rows, period) if share else {}
     plan = pfair_phases(sizes, whole, block_rows)
     rows = [{"s": k, "weight": whole[k], "buckets": -(-sizes[k] // bucket_rows), "phases": plan[k]} for k in sorted(plan)]
-    schema = ("array<struct<s:string,weight:int,buckets:int,phases:array<struct<"
-              "first:bigint,slot:bigint,row:bigint,w:int,q:int,at:array<int>>>>>")
+    schema = ("array<struct<s:string,weight:bigint,buckets:int,phases:array<struct<"
+              "first:bigint,slot:bigint,row:bigint,w:bigint,q:bigint,at:array<bigint>>>>>")
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    # one row a source: at most max_sources rows with the slots of a period a phase
-    sources = F.broadcast(table.toDF("__s", "__w", "__buckets", "__phases"))
+    # one row a source: at most max_sources rows
+    sources = F.broadcast(table.select(
+        F.col("s").alias("__s"), F.col("weight").alias("__w"), F.col("buckets").alias("__buckets"),
+        F.transform("phases", lambda p: p.dropFields("at")).alias("__phases")))
+    # one row a slot of a phase's period
+    slots = F.broadcast(table.select(F.col("s").alias("__s"), F.inline("phases")).select(
+        "__s", F.col("first").alias("__first"), F.posexplode("at").alias("__i", "__at")))
 
     dealt = keyed.join(sources.select("__s", "__buckets"), "__s").withColumn(
         "__b", F.pmod("__h", F.col("__buckets").cast("long"))).drop("__buckets")
@@ -139,10 +179,12 @@ def _placed(docs: DataFrame, source_col: str = "source", order_cols: tuple[str,
     phase = F.element_at(F.filter("__phases", lambda p: p["first"] <= F.col("__block")), -1)
     j = F.col("__block") - F.col("__p")["first"]
     w, q = F.col("__p")["w"].cast("long"), F.col("__p")["q"].cast("long")
-    own_slot = F.floor(j / w).cast("long") * q + F.get(F.col("__p")["at"], F.pmod(j, w).cast("int"))
+    own_slot = F.floor(j / w).cast("long") * q + F.col("__at")
     out = (ranked.withColumn("__block", block)
            .join(sources.select("__s", "__phases", "__w"), "__s")
-           .withColumn("__p", phase).withColumn("__own", own_slot))
+           .withColumn("__p", phase).withColumn("__first", F.col("__p")["first"])
+           .withColumn("__i", F.pmod(j, w).cast("int"))
+           .join(slots, ["__s", "__first", "__i"]).withColumn("__own", own_slot))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns], "__block", "__w",
         (F.col("__p")["slot"] + F.col("__own")).alias("__slot"),

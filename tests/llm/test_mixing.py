@@ -103,6 +103,25 @@ def test_named_weights(spark):
         m.mix_sources(df, max_sources=1)
 
 
+def test_weights_given_hold_to_the_end(spark):
+    """Less than two blocks from the real-valued targets: one of the schedule,
+    one of the integer weights."""
+    sizes = {"a": 5_000, "b": 10_000, "c": 3}
+    weights = {"a": 1 / 3, "b": 2 / 3, "c": 0.0002}
+    df = spark.range(15_003).selectExpr(
+        "id AS doc_id", "CASE WHEN id < 5000 THEN 'a' WHEN id < 15000 THEN 'b' ELSE 'c' END AS source", "1L AS n_chars")
+    got = m.mix_sources(df, weights=weights, block_rows=1).select("position", "source").collect()
+    order = [s for _, s in sorted(tuple(r) for r in got)]
+    assert sorted(r[0] for r in got) == list(range(15_003))
+    seen, total = dict.fromkeys(sizes, 0), sum(weights.values())
+    for t, k in enumerate(order):
+        seen[k] += 1
+        assert all(abs(seen[s] - (t + 1) * weights[s] / total) < 2 for s in sizes), t
+        if seen[k] == sizes[k]:
+            break
+    assert t > 10_000     # until "c" ends
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.read.parquet(f"{SF001}/documents.parquet")
     plan = m.mix_sources(df)._jdf.queryExecution().executedPlan().toString()
