@@ -81,7 +81,6 @@ def test_insights_hold_every_member(spark):
     from murmur.plans.fixtures import feedback_vec_fixture
     fb = feedback_vec_fixture(spark, "/root/testdata/sf0.001")
     whole, enriched = analyze_feedback(fb, eps=0.6, min_samples=2)
-    monkeypatch.setattr(mod.nested_evidence, "__defaults__", ("cluster", 3, None))
     ins, _ = analyze_feedback(fb, eps=0.6, min_samples=2, evidence_chunk=3)
     got, counts = {}, {}
     for r in ins.collect():
