@@ -13,6 +13,7 @@ from murmur.llm.html_text import extract_text
 from murmur.llm.mixing import mix_sources
 from murmur.llm.packing import best_fit_pack
 from murmur.llm.pii import pii_spans, span_digest
+from murmur.llm.prefix_trie import prefix_trie, rebuilt
 from murmur.llm.simhash import simhash_groups
 from murmur.llm.topk import exact_top_k
 from murmur.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -113,3 +114,40 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "covered_blocks")
+
+
+@_register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), arrange=rebuilt)
+
+
+#: CRC-32 of a number's decimal form, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+#: Every prefix by its turns' digests; subtree sums over (node, ancestor) pairs.
+ORACLE["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS m,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, count(*) AS n, {_CRC_SQL} % 4 AS h, c - c % 20 AS lead FROM t GROUP BY c),
+r AS (SELECT v.c, t.p AS pos, t.m, t.words FROM v JOIN t ON t.c = v.lead AND t.p <= v.h UNION ALL
+  SELECT v.c, t.p - v.h + least(v.h, coalesce(l.n, 0)), t.m, t.words
+  FROM v JOIN t ON t.c = v.c AND t.p > v.h LEFT JOIN v l ON l.c = v.lead),
+pre AS (SELECT c, pos AS depth, string_agg(m, '') OVER (PARTITION BY c ORDER BY pos) AS k, words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM v),
+node AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM pre GROUP BY 1, 2),
+kids AS (SELECT depth - 1 AS depth, left(k, len(k) - 64) AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, k)),
+sub AS (SELECT a.depth, a.k, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves,
+    CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens
+  FROM full_node b JOIN pre a ON a.c = b.conv_id AND a.depth <= b.depth GROUP BY 1, 2),
+ends AS (SELECT depth, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM (SELECT c, max(depth) AS depth FROM pre GROUP BY c) JOIN pre USING (c, depth) GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_node f JOIN sub USING (depth, k) LEFT JOIN ends USING (depth, k)
+LEFT JOIN node up ON up.depth = f.depth - 1 AND up.k = left(f.k, greatest(len(f.k) - 64, 0))"""

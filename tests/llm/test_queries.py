@@ -25,7 +25,7 @@ def con():
 
 def test_registered():
     names = set(ent.queries())
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) <= names
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) <= names
     assert "pipeline" in names and set(ORACLE) <= set(ent.oracle_sql())
 
 
