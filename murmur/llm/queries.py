@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm.ann import nearest_neighbours
 from murmur.llm.chat import chat_digest, format_chats
+from murmur.llm.chat_repair import damaged, repair_chats
 from murmur.llm.html_text import extract_text
 from murmur.llm.mixing import mix_sources
 from murmur.llm.packing import best_fit_pack
@@ -151,3 +152,8 @@ SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children
   sha256(coalesce(ids, '')) AS ends_sha256
 FROM full_node f JOIN sub USING (depth, k) LEFT JOIN ends USING (depth, k)
 LEFT JOIN node up ON up.depth = f.depth - 1 AND up.k = left(f.k, greatest(len(f.k) - 64, 0))"""
+
+
+@_register
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(table(spark, sf_dir, "conversations"), damage=damaged)[1].withColumnRenamed("conv", "conv_id")
