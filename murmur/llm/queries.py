@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from murmur.llm.ann import nearest_neighbours
 from murmur.llm.chat import chat_digest, format_chats
 from murmur.llm.chat_repair import damaged, repair_chats
+from murmur.llm.embed_dedup import near_duplicate_vectors
 from murmur.llm.html_text import extract_text
 from murmur.llm.mixing import mix_sources
 from murmur.llm.packing import best_fit_pack
@@ -117,6 +118,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "covered_blocks")
 
 
+@_register
+def op11_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+#: All pairs by brute force, and the smallest id that is reachable.
+ORACLE["op11_embed_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM u a JOIN u b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.dst FROM reach r JOIN l ON l.src = r.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.src = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""
+
+
 @_register
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), arrange=rebuilt)
