@@ -156,6 +156,22 @@ def write_turned_csv_fixture(spark: SparkSession, sf_dir: str, path: str) -> str
     return _write_csv(df.select("Created_At", "Ticket_ID", F.lit("x").alias("extra"), "Channel", " Review "), path)
 
 
+# names that the uploads of F-uploads give to text, id, source and date (index =
+# event_id % 4); the last has no source, and dates under a name that is not known
+UPLOAD_HEADERS = (("comment", "Ticket_ID", "Channel", "Created_At"), ("FEEDBACK", "id", "type", "Date"),
+                  (" Text ", "Review_ID", "source", "timestamp"), ("nOtes", "feedback_id", "", "when"))
+
+
+def write_uploads_fixture(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """F-uploads: the rows of F-csv dealt to four uploads with other headers."""
+    df = messy_fixture(spark, sf_dir, csv_quirks=True)
+    for n, names in enumerate(UPLOAD_HEADERS):
+        own = df.where(F.col("Ticket_ID") % 4 == n)
+        _write_csv(own.select(*[F.col(c).alias(name) for c, name in zip((" Review ", "Ticket_ID", "Channel", "Created_At"), names)
+                                if name]), f"{path}/{n}.csv")
+    return path
+
+
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     pos = F.col("event_id")

@@ -594,6 +594,20 @@ register("read_feedback", _with(f"{_CSV_STD.replace('std', 'cstd')},\n{_JSON_STD
                                 f"SELECT {orc.STD_OUT}, 'json' AS format FROM jstd"))(_q_read_feedback)
 
 
+def _q_read_feedback_uploads(spark, sf_dir):
+    """S6, P2 to P6 per upload: four headers that name their columns differently."""
+    from murmur.sources.files import read_feedback
+    path = _fixture_path(spark, sf_dir, "f-uploads", "", fx.write_uploads_fixture)
+    paths = [f"{path}/{n}.csv" for n in range(len(fx.UPLOAD_HEADERS))]
+    return _std_out(read_feedback(spark, paths, ingest_ts=fx.FIXTURE_INGEST_TS))
+
+
+register("read_feedback_uploads", _with(_CSV_STD, f"""SELECT id, text,
+  CASE WHEN pos % 4 = 3 THEN 'uploaded_file' ELSE source END AS source,
+  CASE WHEN pos % 4 = 3 THEN '{fx.FIXTURE_INGEST_TS}' ELSE strftime(date, '%Y-%m-%d %H:%M:%S') END AS date FROM std"""))(
+    _q_read_feedback_uploads)
+
+
 def _q_write_feedback(spark, sf_dir):
     from murmur.operators.report import write_feedback
     from murmur.sources.files import read_feedback

@@ -7,7 +7,6 @@ without moving them through one task."""
 
 from __future__ import annotations
 
-import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 
 from murmur.functions.indexing import with_sum_before
 from murmur.functions.text import py_strip
-from murmur.operators.standardize import (DATE_CANDIDATES, ID_CANDIDATES, ORDER_COL, SOURCE_CANDIDATES,
-                                          TEXT_CANDIDATES, standardize_feedback)
+from murmur.operators.standardize import (DATE_CANDIDATES, ID_CANDIDATES, NO_SOURCE, ORDER_COL, SOURCE_CANDIDATES,
+                                          TEXT_CANDIDATES, UNKNOWN_SOURCE, standardize_feedback)
 from murmur.session import cut_lineage
+from murmur.sources.csv_records import csv_files, csv_records
 
 # --- fixed values: pandas' default missing-value tokens for CSV ------------------
 CSV_NULL_TOKENS = (
@@ -40,53 +40,106 @@ def _order_key(*extra):
 
 
 # --- S1 ----------------------------------------------------------------------------
-def _headers(spark: SparkSession, path) -> tuple[DataFrame, dict[str, list[str]], bool]:
-    """One pass over the lines: (file, header line) of every file, the names
-    in each distinct header, and whether a quoted field holds a line break
-    (some line has an odd number of quotes)."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_r"), "value", (quotes % 2 == 1).alias("odd"))
-    files = cut_lineage(lines.groupBy("_f").agg(
-        F.min_by("value", F.when(F.col("_b") == 0, F.col("_r"))).alias("header"), F.bool_or("odd").alias("odd")))
-    # schema-level metadata: one row per distinct header
-    heads = [r["header"] for r in files.where("header is not null").select("header").distinct().collect()]
-    names = {h: next(csv.reader([h.lstrip("\ufeff")])) for h in sorted(heads)}
-    broken = bool(files.agg(F.bool_or("odd")).first()[0])
-    return files.select("_f", "header"), names, broken
+#: A table of files is broadcast up to this size; beyond it, it is joined.
+BROADCAST_FILES = 5_000
+BROADCAST_CHARS = 1 << 22
+
+
+def _of_file(rows: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with what is known of their file: broadcast while the table is small,
+    else joined with the rows of a file dealt out by their split."""
+    size = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_f")).alias("c")).first()
+    if size["n"] <= BROADCAST_FILES and (size["c"] or 0) <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(files), "_f", how)
+    salts = 16
+    spread = files.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salt = F.pmod(F.xxhash64(F.col(f"{ORDER_COL}.b")), F.lit(salts))
+    return rows.withColumn("_salt", salt).join(spread, ["_f", "_salt"], how).drop("_salt")
+
+
+def _cells(spark: SparkSession, path, files: DataFrame, null_tokens) -> DataFrame:
+    """(_f, _cells, _order): every record's cells, missing-value tokens as NULL.
+    Files without line breaks inside fields go through Spark's CSV reader, the
+    others through :func:`csv_records`."""
+    size = files.agg(F.max(F.size("names")).alias("w"), F.bool_or("broken").alias("some"), F.bool_and("broken").alias("all")).first()
+    if size["w"] is None:
+        raise ValueError("There are no rows in the input.")
+    cells = [f"_c{i}" for i in range(size["w"])]
+    schema, tokens = ", ".join(f"{c} string" for c in cells), list(null_tokens)
+
+    def row(df: DataFrame, order, prefix: str = "") -> DataFrame:
+        own = [F.col(prefix + c) for c in cells]
+        return df.select(F.array(*[F.when(~c.isin(*tokens), c) for c in own]).alias("_cells"), order.alias(ORDER_COL))
+
+    out = []
+    if not size["all"]:
+        raw = spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+        # with records of the other kind in the table, rows have a number of their own
+        plain = row(raw, _order_key(*([F.lit(0).alias("i")] if size["some"] else []))).withColumn("_f", F.col(f"{ORDER_COL}.f"))
+        out.append(_of_file(plain, files.where("broken").select("_f"), "left_anti") if size["some"] else plain)
+    if size["some"]:
+        records = csv_records(spark, path, files).withColumn("_p", F.from_csv("value", schema, {"escape": '"'}))
+        order = F.struct(F.col("_f").alias("f"), F.col("_b").alias("b"), F.col("_r").alias("r"), F.lit(0).alias("i"))
+        out.append(row(records, order, "_p.").withColumn("_f", F.col(f"{ORDER_COL}.f")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def read_csv_feedback(spark: SparkSession, path, null_tokens=CSV_NULL_TOKENS,
                       multi_line: bool | None = None) -> DataFrame:
-    """Header row, quoted fields, every column a string; pandas' missing-value
-    tokens become NULL in every column. ``path`` may be a list. Files may have
-    different headers: each row's cells go to the columns its own file names,
-    and the result has the union of the columns. Files are split across tasks
-    unless a quoted field holds a line break (``multi_line`` overrides)."""
-    files, names, broken = _headers(spark, path)
-    multi_line = broken if multi_line is None else multi_line
-    reader = spark.read.option("multiLine", multi_line).option("escape", '"').option("inferSchema", False)
-    tokens = list(null_tokens)
-
-    def cleaned(c):
-        return F.when(c.isin(*tokens), F.lit(None).cast("string")).otherwise(c)
-
-    if len(names) <= 1:
-        raw = reader.option("header", True).csv(path)
-        return raw.select(*[cleaned(F.col(f"`{c}`")).alias(c) for c in raw.columns], _order_key().alias(ORDER_COL))
-    width = max(len(n) for n in names.values())
-    cells = [f"_c{i}" for i in range(width)]
-    raw = reader.option("header", True).schema(", ".join(f"{c} string" for c in cells)).csv(path)
-    rows = raw.select(F.array(*[cleaned(F.col(c)) for c in cells]).alias("_cells"), _order_key().alias(ORDER_COL))
-    layout = spark.createDataFrame(list(names.items()), "header string, _names array<string>")
-    known = files.join(layout, "header").select("_f", "_names")
-    rows = rows.withColumn("_f", F.col(f"{ORDER_COL}.f")).join(known, "_f")
-    columns = list(dict.fromkeys(n for own in names.values() for n in own))
-    at = lambda n: F.array_position("_names", F.lit(n)).cast("int")
+    """Header row (the first that is not blank), quoted fields, every column a
+    string; pandas' missing-value tokens become NULL in every column. ``path`` may
+    be a list. Files may have different headers: each row's cells go to the
+    columns its own file names, and the result has the union of the columns.
+    Files are split across tasks whether or not quoted fields hold line breaks;
+    ``multi_line=False`` says that none does."""
+    files = csv_files(spark, path, breaks=multi_line is not False)
+    rows = _cells(spark, path, files, null_tokens)
+    # schema-level metadata: one row per distinct list of names
+    names = [list(r["names"]) for r in files.groupBy("names").agg(F.min("header").alias("h")).orderBy("h").collect()]
+    columns = list(dict.fromkeys(n for own in names for n in own))
+    if len(names) == 1:
+        return rows.select(*[F.get("_cells", F.lit(names[0].index(n))).alias(n) for n in columns], ORDER_COL)
+    rows = _of_file(rows, files.select("_f", "names"))
+    at = lambda n: F.array_position("names", F.lit(n)).cast("int")
     return rows.select(*[F.when(at(n) > 0, F.get("_cells", at(n) - 1)).alias(n) for n in columns], ORDER_COL)
 
 
+def read_csv_uploads(spark: SparkSession, path, null_tokens=CSV_NULL_TOKENS, multi_line: bool | None = None,
+                     per_file: bool = False) -> DataFrame:
+    """(text, id, source, date) of CSV files whose headers name them differently:
+    P1 to P6 are decided for each header, not for the union of all columns. A
+    header without a known text column takes the longest, over all files of
+    that header, or over the file itself if ``per_file``. Of names that are
+    alike after normalising, the first counts. No header reaches the driver."""
+    files = csv_files(spark, path, breaks=multi_line is not False)
+    rows = _cells(spark, path, files, null_tokens)
+    norm = F.transform("names", lambda n: F.lower(py_strip(n)))
+    found = files.withColumn("_norm", norm)
+
+    def first_of(candidates):
+        return F.coalesce(*[F.nullif(F.array_position("_norm", F.lit(c)), F.lit(0).cast("long")) for c in candidates]).cast("int")
+
+    found = cut_lineage(found.select("_f", "header", F.size("names").alias("width"), *[
+        first_of(c).alias(n) for n, c in (("_text", TEXT_CANDIDATES), ("_id", ID_CANDIDATES), ("_source", SOURCE_CANDIDATES),
+                                          ("_date", DATE_CANDIDATES))]))
+    known = found.agg(F.max("width").alias("w"), F.bool_or(F.col("_text").isNull()).alias("unknown")).first()
+    if known["unknown"]:
+        key = "_f" if per_file else "_key"
+        unnamed = found.where("_text is null").select("_f", "header", "width", F.xxhash64("header").alias("_key"))
+        means = [F.avg(F.when(F.col("width") > i, F.coalesce(F.length(F.get("_cells", F.lit(i))), F.lit(3)))).alias(f"_m{i}")
+                 for i in range(known["w"])]
+        longest = _of_file(rows, unnamed.drop("header")).groupBy(key).agg(*means)
+        mean = F.array(*[F.coalesce(f"_m{i}", F.lit(-1.0)) for i in range(known["w"])])
+        longest = longest.select(key, F.array_position(mean, F.array_max(mean)).cast("int").alias("_longest"))
+        found = cut_lineage(found.withColumn("_key", F.xxhash64("header")).join(longest, key, "left").withColumn(
+            "_text", F.coalesce("_text", "_longest")).drop("_key", "_longest"))
+    rows = _of_file(rows, found.drop("header", "width"))
+    cell = lambda n: F.when(F.col(n).isNotNull(), F.get("_cells", F.col(n) - 1))
+    source = F.when(F.col("_source").isNull(), F.lit(NO_SOURCE)).otherwise(F.coalesce(cell("_source"), F.lit(UNKNOWN_SOURCE)))
+    return rows.select(cell("_text").alias("text"), cell("_id").alias("id"), source.alias("source"), cell("_date").alias("date"),
+                       ORDER_COL)
+
+
 # --- S2 ----------------------------------------------------------------------------
 def _records(doc):
     """JSON document -> array of records: a top-level list; else the first
@@ -195,7 +248,8 @@ def read_text_feedback(spark: SparkSession, path: str, ingest_ts=None, dataset_c
 def read_feedback(spark: SparkSession, path, format: str | None = None, ingest_ts=None,
                   layout: str | None = None, multi_line: bool | None = None, **options) -> DataFrame:
     """Dispatch on the (lower-cased) extension or an explicit ``format``, then
-    standardise. ``path`` may be a list of one format, read as one table.
+    standardise. ``path`` may be a list of one format, read as one table; CSV
+    files may name their columns differently (:func:`read_csv_uploads`).
     ``layout`` (JSON, text) and ``multi_line`` (CSV) go to the reader. Other
     formats raise ``ValueError``."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -204,7 +258,10 @@ def read_feedback(spark: SparkSession, path, format: str | None = None, ingest_t
         raise ValueError(f"one format at a time, not {sorted(kinds)}")
     ext = kinds.pop()
     if ext == ".csv":
-        raw = read_csv_feedback(spark, paths, multi_line=multi_line)
+        if options.get("text_col"):
+            raw = read_csv_feedback(spark, paths, multi_line=multi_line)
+        else:
+            raw = read_csv_uploads(spark, paths, multi_line=multi_line, per_file=options.get("dataset_col") is not None)
     elif ext in (".json", ".jsonl"):
         raw = read_json_feedback(spark, paths, layout=layout or ("lines" if ext == ".jsonl" else "document"))
     elif ext == ".txt":
