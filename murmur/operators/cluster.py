@@ -5,12 +5,15 @@ C2 ``connected_components`` iterative large-star / small-star on DataFrames.
 C3 ``dbscan_cosine``      density clustering (core / border / noise).
 C4 ``number_clusters``    labels 0..k-1 in order of each cluster's first core row.
 
-Exact neighbour search is quadratic; the unit of parallelism is a *pair of
-blocks*. Rows are hash-assigned to ``B = ceil(n / block_rows)`` blocks, each
-row is copied to the ``B`` block pairs that contain its block, and every pair
-is one ``applyInPandas`` group that does a float64 matrix product. Hashing the
-id spreads a hot key or a dense region evenly over the blocks, and a group
-never holds more than ``2 * block_rows`` vectors.
+Exact neighbour search compares rows inside *metric cells*. Unit vectors within
+cosine distance ``eps`` are within the chord ``sqrt(2 eps)``. Every row is at
+home in the cell of its nearest pivot (pivots come from a bounded sample). The
+points of another cell lie on the other side of the hyperplane half way between
+the two pivots, so a row is copied to a later cell only if it is within the
+chord of that hyperplane; every pair meets in exactly one cell. Cells are cut in
+blocks by a hash of the id, and a *pair of blocks* is one group of at most two
+blocks of vectors. Where the cells of a sample would not save comparisons
+(``eps`` wide for the data, few rows), all rows are one cell: plain block pairs.
 
 DBSCAN never materialises all neighbour pairs (a dense region of m rows has
 m^2 of them). Pass 1 emits, per row and block pair, only a neighbour *count*
@@ -23,9 +26,11 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +56,73 @@ def block_rows_for(dim: int, task_memory_bytes: int = TASK_MEMORY_BYTES) -> int:
     return int(min(65536, max(1024, task_memory_bytes // per_row)))
 
 
-def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int | None, materialize: bool = False,
-                  group_col: str | None = None):
-    """(id, vector, block, block count[, group]) with ``B = ceil(n / block_rows)``
-    hash blocks -- per group when ``group_col`` is given, so block pairs never
-    mix groups. With ``materialize`` the projection is checkpointed first, so
-    the counts and every later pass read it instead of re-running the
-    upstream plan. ``block_rows=None`` sizes blocks from the vector dimension.
-    Returns the frame and the grouping keys of a block pair."""
+SAMPLE_ROWS = 16_384            # rows the pivots and the estimate come from
+CELL_COUNTS = (16, 64, 256, 1024)
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
+def _near_cells(u: np.ndarray, pivots: np.ndarray, eps: float):
+    """Home cell of every unit vector, and (row, cell) of the later cells whose
+    border it is within the chord of. Zero vectors have no neighbours."""
+    sim = u @ pivots.T
+    home = sim.argmax(axis=1)
+    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    # signed distance to the half-way hyperplane of home and other pivot
+    far = (sim[np.arange(len(u)), home][:, None] - sim) / np.maximum(gap[home], 1e-12)
+    near = (far <= math.sqrt(2 * eps) + 1e-6) & (np.arange(len(pivots))[None, :] > home[:, None]) & u.any(axis=1)[:, None]
+    row, cell = np.nonzero(near)
+    return home, row, cell
+
+
+def _pivots(sample: np.ndarray, k: int) -> np.ndarray:
+    """Unit pivots: some rows, moved to the middle of their cells three times."""
+    rng = np.random.default_rng(k)
+    at = sample[rng.choice(len(sample), k, replace=False)]
+    for _ in range(3):
+        home = (sample @ at.T).argmax(axis=1)
+        total = np.zeros_like(at)
+        np.add.at(total, home, sample)
+        moved = _units(total)
+        at = np.where(moved.any(axis=1, keepdims=True), moved, at)
+    return at
+
+
+def _work(homes: np.ndarray, halos: np.ndarray, rows: int) -> tuple[float, float]:
+    """(pairs compared, rows shipped) of cells with such numbers of rows."""
+    nb, nx = np.maximum(1, np.ceil(homes / rows)), np.ceil(halos / rows)
+    return float((homes * (homes / 2 + halos)).sum()), float((homes * (nb + nx) + halos * nb).sum())
+
+
+def choose_pivots(sample: np.ndarray, n: int, eps: float, rows: int, cells: int | None = None):
+    """The pivots that compare fewest pairs, estimated on a sample of unit
+    vectors; None where plain blocks are as good. ``cells`` fixes their number
+    (0: blocks)."""
+    if cells == 0 or eps >= 1 or not len(sample) or (cells is None and n <= rows):
+        return None
+    scale, best, chosen = n / len(sample), sum(w * c for w, c in zip(_work(np.array([n]), np.array([0]), rows), (0.7, 2000))), None
+    for k in CELL_COUNTS if cells is None else (min(cells, len(sample)),):
+        if cells is None and k * 16 > len(sample):
+            break
+        pivots = _pivots(sample, k)
+        home, _, cell = _near_cells(sample, pivots, eps)
+        pairs, shipped = _work(np.bincount(home, minlength=k) * scale, np.bincount(cell, minlength=k) * scale, rows)
+        if cells is not None or pairs + 2000 * shipped < best:
+            best, chosen = pairs + 2000 * shipped, pivots
+    return chosen
+
+
+def _layout(df: DataFrame, id_col: str, vec_col: str, eps: float, block_rows: int | None, materialize: bool = False,
+            group_col: str | None = None, cells: int | None = None):
+    """Rows with their cell and block, the blocks of that cell, and their blocks
+    in other cells (``_halos``). ``block_rows=None`` sizes blocks from the vector
+    dimension. With ``materialize`` the projection is checkpointed first, so
+    the counts and every later pass read it instead of re-running the upstream
+    plan. With ``group_col`` every group is a cell of its own and cells never mix
+    groups. Returns the frame and the grouping keys of a block pair."""
     cols = [F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")]
     if group_col:
         cols.append(F.col(group_col).alias("_g"))
@@ -69,33 +133,71 @@ def _block_layout(df: DataFrame, id_col: str, vec_col: str, block_rows: int | No
         base = cut_lineage(base)
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     rows = block_rows or block_rows_for(stats["d"] or 1)
+    keys = (["_g"] if group_col else []) + ["_cell", "_lo", "_hi"]
+    no_halos = F.array().cast("array<struct<cell:int,nb:int,blk:int>>")
+    hashed = F.xxhash64("_id")
     if group_col:
         # one row per group; AQE broadcasts it when small, else a skew-split join
         sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).select(
             "_g", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows))).cast("int").alias("_nb"))
-        base = base.join(sizes, "_g")
-        keys = ["_g", "_lo", "_hi"]
-    else:
-        base = base.withColumn("_nb", F.lit(max(1, math.ceil(stats["n"] / rows))))
-        keys = ["_lo", "_hi"]
-    return base.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")), keys
+        base = base.join(sizes, "_g").withColumns({"_cell": F.lit(0), "_nx": F.lit(0), "_halos": no_halos})
+        return base.withColumn("_blk", F.pmod(hashed, F.col("_nb")).cast("int")), keys
+    pivots = None
+    if cells is not None or stats["n"] > rows:
+        taken = base.orderBy(hashed, "_id").limit(SAMPLE_ROWS).select("_v").collect()   # a bounded sample
+        sample = _units(np.array([r["_v"] for r in taken], dtype=np.float64).reshape(len(taken), -1))
+        pivots = choose_pivots(sample, stats["n"], eps, rows, cells)
+    if pivots is None:
+        nb = max(1, math.ceil(stats["n"] / rows))
+        return base.withColumns({"_cell": F.lit(0), "_nb": F.lit(nb), "_nx": F.lit(0), "_halos": no_halos,
+                                 "_blk": F.pmod(hashed, F.lit(nb)).cast("int")}), keys
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(batch.schema.get_field_index("_v"))
+            u = _units(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+            home, row, cell = _near_cells(u, pivots, eps)
+            starts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            near = pa.ListArray.from_arrays(pa.array(starts), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), near],
+                                             names=[*batch.schema.names, "_cell", "_near"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
+    placed = cut_lineage(base.mapInArrow(place, f"{kinds}, _cell int, _near array<int>"))
+    # at most as many rows as there are pivots
+    homes = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    halos = {r["c"]: r["n"] for r in placed.select(F.explode("_near").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nb = F.array(*[F.lit(max(1, math.ceil(homes.get(c, 0) / rows))) for c in range(len(pivots))])
+    nx = F.array(*[F.lit(math.ceil(halos.get(c, 0) / rows)) for c in range(len(pivots))])
+    copies = F.transform("_near", lambda c: F.struct(
+        c.alias("cell"), F.get(nb, c).alias("nb"), (F.get(nb, c) + F.pmod(hashed, F.get(nx, c)).cast("int")).alias("blk")))
+    return placed.withColumns({"_nb": F.get(nb, F.col("_cell")), "_nx": F.get(nx, F.col("_cell")), "_halos": copies}).withColumn(
+        "_blk", F.pmod(hashed, F.col("_nb")).cast("int")).drop("_near"), keys
 
 
 def _replicate(prepared: DataFrame) -> DataFrame:
-    """Each row to every block pair (of its group) that contains its block."""
-    k = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    return prepared.withColumn("_k", k).withColumns({
-        "_lo": F.least("_blk", "_k"),
-        "_hi": F.greatest("_blk", "_k"),
-    }).drop("_k")
+    """Each row to every block pair that it takes part in: at home with all
+    blocks of its cell, as a copy with the home blocks of the other cell."""
+    def task(cell, lo, hi, blk):
+        return F.struct(cell.alias("cell"), lo.alias("lo"), hi.alias("hi"), blk.alias("blk"))
+
+    cell, blk, nb, nx = F.col("_cell"), F.col("_blk"), F.col("_nb"), F.col("_nx")
+    home = F.transform(F.sequence(F.lit(0), nb - 1), lambda k: task(cell, F.least(blk, k), F.greatest(blk, k), blk))
+    others = F.transform(F.sequence(nb, nb + nx - 1), lambda x: task(cell, blk, x, blk))
+    away = F.flatten(F.transform("_halos", lambda h: F.transform(
+        F.sequence(F.lit(0), h["nb"] - 1), lambda a: task(h["cell"], a, h["blk"], h["blk"]))))
+    tasks = F.concat(home, F.when(nx > 0, others).otherwise(F.slice(home, 1, 0)), away)
+    return prepared.withColumn("_t", F.explode(tasks)).withColumns({
+        "_cell": F.col("_t.cell"), "_lo": F.col("_t.lo"), "_hi": F.col("_t.hi"), "_blk": F.col("_t.blk")}).drop(
+        "_t", "_halos", "_nb", "_nx")
 
 
 def _unit_matrix(vectors) -> np.ndarray:
     if len(vectors) == 0:
         return np.zeros((0, 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    return _units(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
 
 
 def _split_pair(pdf: pd.DataFrame):
@@ -163,27 +265,27 @@ _PAIR_SCHEMA = "src long, dst long, distance double"
 
 
 def cosine_eps_join(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.35,
-                    block_rows: int | None = None, input_materialized: bool = False) -> DataFrame:
+                    block_rows: int | None = None, input_materialized: bool = False,
+                    cells: int | None = None) -> DataFrame:
     """All pairs (src < dst) whose cosine distance ``1 - cos`` is <= eps.
-    The output is as large as the answer; clustering does not call this.
+    The output is as large as the answer; clustering does not call this. Pairs
+    leave their task in batches, so dense data needs no more memory.
     The (id, vector) projection is checkpointed unless ``input_materialized``
-    (a stored table or a checkpoint), so vectors are computed once."""
+    (a stored table or a checkpoint), so vectors are computed once. ``cells``
+    fixes the number of metric cells (0: plain blocks)."""
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pdf = pa.Table.from_batches(list(batches)).to_pandas()
         a, b, same = _split_pair(pdf)
         ua, ub = _unit_matrix(a["_v"].tolist()), _unit_matrix(b["_v"].tolist())
         ida, idb = a["_id"].to_numpy(), b["_id"].to_numpy()
-        parts = []
         for i, j, d in _neighbour_tiles(ua, ub, eps, same, exact=True):
-            parts.append(pd.DataFrame({"src": np.minimum(ida[i], idb[j]), "dst": np.maximum(ida[i], idb[j]),
-                                       "distance": d}))
-        if not parts:
-            return pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
-        return pd.concat(parts, ignore_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(ida[i], idb[j])), pa.array(np.maximum(ida[i], idb[j])), pa.array(d)],
+                names=["src", "dst", "distance"])
 
-    prepared, keys = _block_layout(df, id_col, vec_col, block_rows, materialize=not input_materialized)
-    return _replicate(prepared).groupBy(*keys).applyInPandas(pairs, _PAIR_SCHEMA)
+    prepared, keys = _layout(df, id_col, vec_col, eps, block_rows, materialize=not input_materialized, cells=cells)
+    return _replicate(prepared).groupBy(*keys).applyInArrow(pairs, _PAIR_SCHEMA)
 
 
 # --- C2 --------------------------------------------------------------------------
@@ -358,7 +460,7 @@ def number_clusters(assign: DataFrame, id_col: str = "id", label_col: str = "com
 def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding", eps: float = 0.35,
                   min_samples: int = 2, block_rows: int | None = None, out_col: str = "cluster",
                   core_col: str | None = None, group_col: str | None = None,
-                  input_materialized: bool = False) -> DataFrame:
+                  input_materialized: bool = False, cells: int | None = None) -> DataFrame:
     """Adds ``cluster`` (int, -1 = noise). A point counts itself as a
     neighbour; core = at least ``min_samples`` neighbours within ``eps``;
     clusters are connected cores; a non-core point within eps of a core is a
@@ -367,7 +469,8 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     the core flag. With ``group_col`` every group (dataset) is clustered on
     its own, all groups in the same jobs; ``pos_col`` must be unique overall
     and cluster numbers restart in each group. ``input_materialized`` says
-    ``df`` is already checkpointed, so its vectors are not copied again."""
+    ``df`` is already checkpointed, so its vectors are not copied again.
+    ``cells`` fixes the number of metric cells (0: plain blocks)."""
     base = df.select(F.col(pos_col).cast("long").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"),
                      *([F.col(group_col).alias("_g")] if group_col else []))
     if not input_materialized:
@@ -380,7 +483,7 @@ def dbscan_cosine(df: DataFrame, pos_col: str = "pos", vec_col: str = "embedding
     # compared, however often a vector repeats
     same_vec = ["_v"] + (["_g"] if group_col else [])
     classes = cut_lineage(base.groupBy(*same_vec).agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_w")))
-    prepared, keys = _block_layout(classes, "_id", "_v", block_rows, group_col="_g" if group_col else None)
+    prepared, keys = _layout(classes, "_id", "_v", eps, block_rows, group_col="_g" if group_col else None, cells=cells)
     ids = prepared.select("_id")
     # with min_samples <= 2 and eps < 1 any neighbour pair makes both rows
     # core, so one pass suffices; zero vectors have no neighbours

@@ -61,6 +61,46 @@ def test_dbscan_matches_brute_force(spark, seed, eps, ms, block):
     assert np.array_equal(_run(spark, X, eps, ms, block), expected)
 
 
+@pytest.mark.parametrize("seed,eps,ms,block,cells", [(1, 0.05, 2, 50, 9), (2, 0.08, 3, 37, 20), (3, 0.1, 5, 1000, 40),
+                                                     (5, 0.4, 3, 60, 12), (6, 0.02, 1, 11, 30)])
+def test_metric_cells_match_brute_force(spark, seed, eps, ms, block, cells):
+    X = _vectors(seed)
+    X[5] = X[17] = 0                                   # zero vectors
+    X[30:40] = X[30]
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "pos long, embedding array<float>").repartition(5)
+    out = dbscan_cosine(df, eps=eps, min_samples=ms, block_rows=block, cells=cells)
+    got = dict((r.pos, r.cluster) for r in out.collect())
+    assert [got[i] for i in range(len(X))] == brute_dbscan(X, eps, ms).tolist()
+    plain = {(r.src, r.dst): round(r.distance, 9) for r in cosine_eps_join(df, "pos", "embedding", eps, block, cells=0).collect()}
+    pairs = cosine_eps_join(df, "pos", "embedding", eps, block, cells=cells).collect()
+    assert len(pairs) == len(plain) and {(r.src, r.dst): round(r.distance, 9) for r in pairs} == plain
+
+
+def _cell_work(x, eps, rows):
+    """Pairs compared with the cells that are chosen, as a share of all pairs."""
+    from murmur.operators import cluster as c
+    pivots = c.choose_pivots(x[:c.SAMPLE_ROWS], len(x), eps, rows)
+    if pivots is None:
+        return 1.0
+    home, _, cell = c._near_cells(x, pivots, eps)
+    return c._work(np.bincount(home, minlength=len(pivots)), np.bincount(cell, minlength=len(pivots)), rows)[0] / (len(x) ** 2 / 2)
+
+
+def test_cells_compare_far_fewer_pairs_than_all():
+    """Grouped vectors: work per row hardly grows with their number."""
+    rng = np.random.default_rng(9)
+    share = []
+    for n in (8_000, 32_000):
+        c = rng.standard_normal((n // 20, 48))
+        x = c[rng.integers(0, len(c), n)] + 0.3 * rng.standard_normal((n, 48))
+        share.append(_cell_work(x / np.linalg.norm(x, axis=1, keepdims=True), 0.02, 2_000))
+    assert share[0] < 0.5 and share[1] < 0.6 * share[0]
+    # too wide a threshold for the data: plain blocks
+    x = rng.standard_normal((9_000, 64))
+    assert _cell_work(x / np.linalg.norm(x, axis=1, keepdims=True), 0.6, 2_000) == 1.0
+
+
 def test_dbscan_invariant_to_row_order_and_blocks(spark):
     X = _vectors(7)
     a = _run(spark, X, 0.06, 3, 30)
