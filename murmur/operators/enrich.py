@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from murmur.functions import lexicon as lx
 from murmur.functions import vectors as vx
+from murmur.functions.joins import lookup_join
 from murmur.functions.text import contains_any, count_present
+from murmur.session import cut_lineage
 
 
 # --- E1 ----------------------------------------------------------------------
@@ -107,21 +109,90 @@ def _with_model_input(df: DataFrame, model, text_col: str, apply) -> DataFrame:
 # --- closed-form text models: term counts as tables -----------------------------
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf): lower-cased runs of word characters, counted per row."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^a-z0-9_]+"), lambda w: w != "")
-    return (docs.select(F.col(id_col), F.explode(words).alias("term"))
+    words = F.split(F.lower(F.col(text_col)), r"[^a-z0-9_]+")
+    return (docs.select(F.col(id_col), F.explode(words).alias("term")).where("term <> ''")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def embed_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """E3 in sparse form: (id, term, weight) of unit-norm tf-idf rows, idf =
-    ln((N + 1) / (df + 1)). A term in every row weighs nothing and is left out."""
-    counts = term_counts(docs, id_col, text_col)
+def _weighted_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, w): tf-idf, idf = ln((N + 1) / (df + 1)), without terms of
+    weight zero (those in every row)."""
+    counts = cut_lineage(term_counts(docs, id_col, text_col))
     total = docs.select(F.count(F.lit(1))).scalar()
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((total + 1) / (F.col("df") + 1))
-    raw = counts.join(spread, "term").select(id_col, "term", (F.col("tf") * idf).alias("w")).where("w > 0")
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    found = lookup_join(counts, spread.withColumn("idf", idf), ["term"], ["idf"], "df",
+                        F.concat(F.lit("\0"), F.xxhash64(id_col).cast("string")))
+    return found.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")).where("w > 0")
+
+
+def embed_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """E3 in sparse form: (id, term, weight) of unit-norm tf-idf rows, idf =
+    ln((N + 1) / (df + 1)). A term in every row weighs nothing and is left out.
+    A row's terms are gathered once (as many as its text has) to be scaled."""
+    items = _weighted_terms(docs, id_col, text_col).groupBy(id_col).agg(F.collect_list(F.struct("term", "w")).alias("_t"))
+    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return items.withColumn("_n", norm).select(id_col, "_n", F.explode("_t").alias("_x")).select(
+        id_col, F.col("_x.term").alias("term"), (F.col("_x.w") / F.col("_n")).alias("weight"))
+
+
+SKETCH_DIM = 384
+
+
+def sketch_place(term: Column, dim: int) -> tuple[Column, Column]:
+    """Dimension and sign of a term, from its MD5."""
+    digest = F.md5(term)
+    place = F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % dim
+    sign = F.when(F.conv(F.substring(digest, 8, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    return place.cast("int"), sign
+
+
+def embed_sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = SKETCH_DIM,
+                 out_col: str = "embedding") -> DataFrame:
+    """E3 in dense form: (id, embedding) of every row, a unit-norm signed feature
+    sketch of its tf-idf weights: each term adds its weight, with a sign, to one
+    of ``dim`` dimensions, so dot products are unbiased. Rows without terms
+    are zero vectors. Rows that repeat an id are one text."""
+    place, sign = sketch_place(F.col("term"), dim)
+    added = _weighted_terms(docs, id_col, text_col).groupBy(id_col, place.alias("_d")).agg(
+        F.sum(F.col("w") * sign).alias("_s"))
+    filled = added.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_d", "_s"))).alias("_m"),
+                                       F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.when(
+        F.col("_n") > 0, F.coalesce(F.try_element_at("_m", d), F.lit(0.0)) / F.col("_n")).otherwise(0.0))
+    return docs.select(id_col).distinct().join(filled, id_col, "left").select(id_col, dense.alias(out_col))
+
+
+def fit_sentiment_linear(train: DataFrame, vec_col: str = "embedding", label_col: str = "label", rounds: int = 8,
+                         rate: float = 32.0) -> tuple[list[float], float]:
+    """Logistic regression by a fixed number of gradient steps, each one
+    aggregate over all labelled rows: (weights, intercept). Only the weights
+    reach the driver. Label 1 = negative; other labels take no part."""
+    rows = cut_lineage(train.where(F.col(label_col).isin(0, 1)).select(
+        F.col(vec_col).alias("_x"), F.col(label_col).cast("double").alias("_y")))
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("_x"))).first()
+    weights, bias = [0.0] * (dim or 0), 0.0
+    for _ in range(rounds if n else 0):
+        off = linear_probability(F.col("_x"), weights, bias) - F.col("_y")
+        steps = rows.select(F.posexplode(F.concat("_x", F.array(F.lit(1.0)))).alias("_d", "_v"), off.alias("_e")).groupBy(
+            "_d").agg((F.sum(F.col("_e") * F.col("_v")) * (rate / n)).alias("g")).collect()   # one row a dimension
+        step = {r["_d"]: r["g"] for r in steps}
+        weights, bias = [w - step[d] for d, w in enumerate(weights)], bias - step[dim]
+    return weights, bias
+
+
+def linear_probability(vec: Column, weights, bias: float) -> Column:
+    """Probability of label 1 of a linear model."""
+    products = F.zip_with(vec, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w)
+    return 1.0 / (1.0 + F.exp(-(F.aggregate(products, F.lit(0.0), lambda s, x: s + x) + F.lit(float(bias)))))
+
+
+def score_sentiment_linear(df: DataFrame, weights, bias: float, vec_col: str = "embedding") -> DataFrame:
+    """Adds ``sentiment`` and ``sentiment_score`` (probability of the chosen class)."""
+    p = linear_probability(F.col(vec_col), weights, bias)
+    return df.withColumn("_p", p).withColumns({
+        "sentiment": F.when(F.col("_p") > 0.5, "negative").otherwise("positive"),
+        "sentiment_score": F.greatest("_p", 1.0 - F.col("_p"))}).drop("_p")
 
 
 def score_sentiment_bayes(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -130,19 +201,21 @@ def score_sentiment_bayes(docs: DataFrame, labels: DataFrame, id_col: str = "doc
     term counts: (id, sentiment, sentiment_score) of every row; ``labels``
     holds (id, label), 1 = negative. Terms never seen in training count for
     nothing; rows without terms get the prior."""
-    counts = term_counts(docs, id_col, text_col)
+    counts = cut_lineage(term_counts(docs, id_col, text_col))
     known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
-    by_term = counts.join(known, id_col).groupBy("term").agg(
+    by_term = cut_lineage(counts.join(known, id_col).groupBy("term").agg(
         F.sum(F.when(F.col("_y") == 1, F.col("tf")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("_y") == 0, F.col("tf")).otherwise(0)).alias("n0"))
+        F.sum(F.when(F.col("_y") == 0, F.col("tf")).otherwise(0)).alias("n0"),
+        F.count(F.lit(1)).alias("rows")))
     totals = by_term.select(F.struct(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"),
                                      F.count(F.lit(1)).alias("v"))).scalar()
     prior = known.join(docs.select(id_col), id_col).select(F.log(
         (F.sum("_y") + 1.0) / (F.count(F.lit(1)) - F.sum("_y") + 1.0))).scalar()
     ratio = (F.log((F.col("n1") + 1.0) / (totals["t1"] + totals["v"]))
              - F.log((F.col("n0") + 1.0) / (totals["t0"] + totals["v"])))
-    weight = by_term.select("term", ratio.alias("_r"))
-    sums = counts.join(weight, "term").groupBy(id_col).agg(F.sum(F.col("tf") * F.col("_r")).alias("_s"))
+    found = lookup_join(counts, by_term.withColumn("_r", ratio), ["term"], ["_r"], "rows",
+                        F.concat(F.lit("\0"), F.xxhash64(id_col).cast("string")))
+    sums = found.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("_r")).alias("_s"))
     p = 1.0 / (1.0 + F.exp(-F.col("_z")))
     return (docs.select(id_col).join(sums, id_col, "left")
             .withColumn("_z", F.coalesce("_s", F.lit(0.0)) + F.coalesce(prior, F.lit(0.0)))

@@ -730,25 +730,6 @@ def _labelled_documents(spark, sf_dir):
     return docs, docs.join(labels, "doc_id")
 
 
-def _q_score_sentiment_model(spark, sf_dir):
-    from murmur.operators.enrich import fit_sentiment_model, score_sentiment_model
-    docs, train = _labelled_documents(spark, sf_dir)
-    model = fit_sentiment_model(train, num_features=1 << 16, max_iter=20)
-    return score_sentiment_model(docs, model).select("doc_id", "sentiment", "sentiment_score")
-
-
-register("score_sentiment_model")(_q_score_sentiment_model)
-
-
-def _q_embed_text(spark, sf_dir):
-    from murmur.operators.enrich import embed_text, fit_text_embedder
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embed_text(docs, fit_text_embedder(docs)).select("doc_id", "embedding")
-
-
-register("embed_text")(_q_embed_text)
-
-
 _TERMS = r"""tok AS (
   SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: w <> '')) AS term FROM documents),
 tc AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)"""
@@ -787,3 +768,57 @@ z AS (SELECT doc_id, coalesce(s, 0.0) + prior AS z FROM documents LEFT JOIN sm U
                               f"""SELECT doc_id, CASE WHEN z > 0 THEN 'negative' ELSE 'positive' END AS sentiment,
   {orc.np_round('greatest(1.0 / (1.0 + exp(-z)), 1.0 - 1.0 / (1.0 + exp(-z)))', 6)} AS sentiment_score FROM z"""))(
     _q_score_sentiment_bayes)
+
+
+# --- dense halves of E2 and E3: sketch embedding and a linear model on it --------------
+SKETCH_ROUNDS, SKETCH_RATE = 8, 32.0
+
+
+def _q_embed_text(spark, sf_dir):
+    from murmur.operators.enrich import embed_sketch
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed_sketch(docs).select("doc_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0").select(
+        "doc_id", "dim", _round(F.col("value"), 6).alias("value")).where("value <> 0")
+
+
+def _q_score_sentiment_model(spark, sf_dir):
+    """Fitted on the labelled documents, applied to all."""
+    from murmur.operators.enrich import embed_sketch, fit_sentiment_linear, score_sentiment_linear
+    from murmur.session import cut_lineage
+    docs, train = _labelled_documents(spark, sf_dir)
+    vectors = cut_lineage(embed_sketch(docs))
+    weights, bias = fit_sentiment_linear(vectors.join(train.select("doc_id", "label"), "doc_id"),
+                                         rounds=SKETCH_ROUNDS, rate=SKETCH_RATE)
+    return score_sentiment_linear(vectors, weights, bias).select(
+        "doc_id", "sentiment", _round(F.col("sentiment_score"), 6).alias("sentiment_score"))
+
+
+_HEX = "instr('0123456789abcdef', substr(md5(term), {i}, 1)) - 1"
+_SKETCH = _TERMS + """,
+sp AS (SELECT term, count(*) AS df FROM tc GROUP BY term),
+raw AS (SELECT doc_id, term, tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1)) AS w FROM tc JOIN sp USING (term)),
+sk AS (SELECT doc_id, CAST((""" + " + ".join(f"({_HEX.format(i=i + 1)}) * {16 ** (6 - i)}" for i in range(7)) + f""") % 384 AS INTEGER) AS dim,
+    sum(CASE WHEN ({_HEX.format(i=8)}) % 2 = 0 THEN w ELSE -w END) AS s FROM raw WHERE w > 0 GROUP BY 1, 2),
+nrm AS (SELECT doc_id, sqrt(sum(s * s)) AS norm FROM sk GROUP BY doc_id),
+x AS MATERIALIZED (SELECT doc_id, dim, s / norm AS v FROM sk JOIN nrm USING (doc_id) WHERE s <> 0)"""
+register("embed_text", _with(_SKETCH, f"SELECT doc_id, dim, {orc.np_round('v', 6)} AS value FROM x "
+                                      f"WHERE {orc.np_round('v', 6)} <> 0"))(_q_embed_text)
+
+
+def _linear_sql() -> str:
+    """The gradient steps one by one; dimension 384 is the intercept."""
+    steps = ["""lab AS MATERIALIZED (SELECT doc_id, toxic AS y FROM labels JOIN documents USING (doc_id) WHERE toxic IN (0, 1)),
+xb AS MATERIALIZED (SELECT doc_id, dim, v FROM x UNION ALL SELECT doc_id, 384, 1.0 FROM documents),
+w0 AS MATERIALIZED (SELECT i AS dim, 0.0::DOUBLE AS w FROM range(385) t(i))"""]
+    for k in range(SKETCH_ROUNDS):
+        steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT dim, w - coalesce(g, 0) * {SKETCH_RATE} / (SELECT count(*) FROM lab) AS w FROM w{k} LEFT JOIN (
+  SELECT xb.dim, sum((p - y) * v) AS g FROM xb JOIN lab USING (doc_id) JOIN (
+    SELECT doc_id, 1 / (1 + exp(-sum(v * w))) AS p FROM xb JOIN lab USING (doc_id) JOIN w{k} USING (dim) GROUP BY doc_id) USING (doc_id)
+  GROUP BY xb.dim) USING (dim))""")
+    steps.append(f"pr AS (SELECT doc_id, 1 / (1 + exp(-sum(v * w))) AS p FROM xb JOIN w{SKETCH_ROUNDS} USING (dim) GROUP BY doc_id)")
+    return _with(_SKETCH + ",\n" + ",\n".join(steps),
+                 "SELECT doc_id, CASE WHEN p > 0.5 THEN 'negative' ELSE 'positive' END AS sentiment, "
+                 f"{orc.np_round('greatest(p, 1 - p)', 6)} AS sentiment_score FROM pr")
+
+
+register("score_sentiment_model", _linear_sql())(_q_score_sentiment_model)

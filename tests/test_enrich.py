@@ -130,3 +130,42 @@ def test_closed_form_models_on_empty_and_odd_rows(spark):
         norm[r.doc_id] = norm.get(r.doc_id, 0.0) + r.weight ** 2
     assert set(norm) == {1, 2, 5} and all(abs(n - 1) < 1e-9 for n in norm.values())
     assert embed_terms(docs.limit(0)).count() == 0
+
+
+def test_lookup_join_with_heavy_keys(spark):
+    """A few keys with most rows: the same rows by broadcast and dealt out."""
+    from pyspark.sql import functions as F
+
+    from murmur.functions.joins import lookup_join
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 < 2, F.lit("the")).when(F.col("id") % 7 == 0, "of")
+                                    .otherwise(F.concat(F.lit("w"), (F.col("id") % 100).cast("string"))).alias("term"))
+    table = rows.where("term <> 'w17'").groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "v", F.when(F.col("term") == "w2", F.lit(None)).otherwise(F.length("term")))
+    want = sorted((r.id, r.term, r.v) for r in rows.join(table.select("term", "v"), "term").collect() if r.id is not None)
+    spread = F.concat(F.lit("\0"), F.xxhash64("id").cast("string"))
+    for how in ({}, {"whole_rows": 0, "heavy_keys": 2}, {"whole_rows": 0, "heavy_keys": 1000}):
+        got = lookup_join(rows, table, ["term"], ["v"], "n", spread, **how)
+        assert sorted(((r.id, r.term, r.v) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sketch_and_linear_model(spark):
+    import hashlib
+    import math
+
+    from murmur.operators.enrich import embed_sketch, fit_sentiment_linear, score_sentiment_linear
+    texts = {1: "good good service", 2: "bad service", 3: "bad bad delay", 4: "good value", 5: "", 6: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: list(r.embedding) for r in embed_sketch(docs, dim=16).collect()}
+    df = {"good": 2, "bad": 2, "service": 2, "delay": 1, "value": 1}
+    for i, t in texts.items():
+        want = [0.0] * 16
+        for w in (t or "").split():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:7], 16) % 16] += (1 if int(h[7], 16) % 2 == 0 else -1) * math.log(7 / (df[w] + 1))
+        n = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert [round(x, 9) for x in got[i]] == [round(x / n, 9) for x in want]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, label int")
+    vectors = embed_sketch(docs, dim=16)
+    model = fit_sentiment_linear(vectors.join(labels, "doc_id"))
+    said = {r.doc_id: r.sentiment for r in score_sentiment_linear(vectors, *model).collect()}
+    assert [said[i] for i in (1, 2, 3, 4)] == ["positive", "negative", "negative", "positive"]
