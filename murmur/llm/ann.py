@@ -5,21 +5,23 @@ sample at the median of the projection on the line through two of its points.
 Every row of the table is then put into one leaf of every tree. A query
 descends all trees through one shared priority queue, ordered by how far it
 lies on the wrong side of the splits on its way, until ``search_share`` of all
-leaves are reached; the rows of these leaves are ranked by exact distance.
+leaves that hold rows are reached and one tree's hold k rows of other ids; the
+rows of these leaves are ranked by exact distance.
 
 Leaves are read in groups of neighbours, large groups cut by a hash of the
-id, so no task's size depends on how many rows share a leaf. Of rows with one
-and the same vector only the k + 1 smallest ids can be among any k nearest;
-the others are not put into leaves, which loses nothing.
+id, so no task's size depends on how many rows share a leaf. Of the ids with one
+and the same vector only the k + 1 smallest can be among any k nearest; the
+others are not put into leaves, which loses nothing.
 
 Recall against brute force: tests/llm and README; about 0.99 on the given
 tables.
 
 Input cases: vectors that are null, zero or hold null or non-finite
 components, and rows with a null id, take no part; shorter vectors are filled
-with zeros; a row is no candidate of a query with its id; fewer than k
-candidates reached by the queue give these; ties go to the smaller id; an empty
-table gives no rows; further input columns are ignored."""
+with zeros; a row is no candidate of a query with its id; where there are fewer
+than k candidates all are returned; ties go to the smaller id; rows that repeat
+an id with other vectors are rows of that id, queries too; an empty table gives no
+rows; further input columns are ignored."""
 
 from __future__ import annotations
 
@@ -82,15 +84,21 @@ class Forest:
             out[:, t] = node - self.inner
         return out
 
-    def search(self, q: np.ndarray, most: int) -> list[tuple[int, int]]:
-        """The first ``most`` (tree, leaf) of one queue over all trees."""
+    def search(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[tuple[int, int]]:
+        """The first ``most`` (tree, leaf) of one queue over all trees, and on
+        until a tree's leaves hold ``rows`` rows. ``sizes`` are the rows of every
+        leaf; leaves without any are passed over."""
         margin = [(self.direction[t] @ q - self.threshold[t]).tolist() for t in range(len(self.direction))]
         queue = [(0.0, t, 0) for t in range(len(margin))]
         out: list[tuple[int, int]] = []
-        while queue and len(out) < most:
+        held = [0] * len(margin)
+        while queue and (len(out) < most or max(held) < rows):
             far, t, node = heapq.heappop(queue)
             if node >= self.inner:
-                out.append((t, node - self.inner))
+                leaf = node - self.inner
+                if sizes is None or sizes[t][leaf]:
+                    out.append((t, leaf))
+                    held[t] += int(sizes[t][leaf]) if sizes is not None else 0
             else:
                 m = margin[t][node]
                 heapq.heappush(queue, (max(far, m), t, 2 * node + 1))
@@ -133,7 +141,6 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     points = np.array([r["vec"] for r in sample], dtype=np.float64).reshape(len(sample), dim)
     depth = max(1, int(math.log2(max(2.0, len(points) / leaf_sample))))
     forest = Forest(points, trees, depth, seed)
-    most = max(1, math.ceil(search_share * trees * (1 << depth)))
 
     def put(batches):
         for batch in batches:
@@ -146,7 +153,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     def route(batches):
         for batch in batches:
             for some in parts(batch, 256):
-                got = [forest.search(q, most) for q in matrix(some.column("vec"), dim)]
+                got = [forest.search(q, most, sizes, enough) for q in matrix(some.column("vec"), dim)]
                 at = np.repeat(np.arange(len(got)), [len(g) for g in got])
                 flat = np.array([x for g in got for x in g], dtype=np.int32).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -154,14 +161,20 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
                      pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["id", "vec", "tree", "leaf"])
 
     copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    distinct = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "vec")
+    distinct = rows.distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "vec")
     index = distinct.mapInArrow(put, "id long, vec array<double>, leaf array<int>").select(
         "id", "vec", F.posexplode("leaf").alias("tree", "leaf"))
-    asked = rows.where(is_query).mapInArrow(route, "id long, vec array<double>, tree int, leaf int")
+    # at most trees * 2^depth rows
+    sizes = np.zeros((trees, 1 << depth), dtype=np.int64)
+    for r in index.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["tree"], r["leaf"]] = r["n"]
+    # k rows and those with the query's own id
+    enough = k + (distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+    most = max(1, math.ceil(search_share * int((sizes > 0).sum())))
+    asked = rows.where(is_query).distinct().mapInArrow(route, "id long, vec array<double>, tree int, leaf int")
     group = F.floor(F.col("leaf") / F.lit(GROUP_LEAVES)).cast("int")
-    # at most trees * 2^depth / GROUP_LEAVES rows
-    cuts = {(r["tree"], r["grp"]): math.ceil(r["n"] / group_rows) for r in
-            index.groupBy("tree", group.alias("grp")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.add.reduceat(sizes, np.arange(0, 1 << depth, GROUP_LEAVES), axis=1)
+    cuts = {(t, g): math.ceil(int(held[t, g]) / group_rows) or 1 for t, g in np.ndindex(held.shape)}
     groups = math.ceil((1 << depth) / GROUP_LEAVES)
     table = F.array(*[F.lit(cuts.get((t, g), 1)) for t in range(trees) for g in range(groups)])
 

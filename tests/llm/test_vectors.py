@@ -80,10 +80,18 @@ def brute_near(rows, dim, k, step):
 
 def test_neighbours_edge_rows(spark):
     df = frame(spark, ODD)
-    got = nearest_neighbours(df, F.col("id") % 2 == 0, k=3, search_share=1.0).collect()
-    want = brute_near(ODD, 2, 3, 2)
-    assert {(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in got} == {
-        (q, n + 1, i, round(d, 9)) for q, best in want.items() for n, (d, i) in enumerate(best)}
+    for k in (3, 10):         # production parameters: all candidates, if fewer than k
+        got = nearest_neighbours(df, F.col("id") % 2 == 0, k=k).collect()
+        want = brute_near(ODD, 2, k, 2)
+        assert {(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in got} == {
+            (q, n + 1, i, round(d, 9)) for q, best in want.items() for n, (d, i) in enumerate(best)}
+    nine = [(i, [float(i % 5), float(i * i % 7), 1.0]) for i in range(9)]
+    got = nearest_neighbours(frame(spark, nine), F.col("id") >= 0).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(a, b) for a in range(9) for b in range(9) if a != b]
+    # one id on many copies of a vector hides no other id
+    copies = [(1, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in range(2, 15)] + [(50, [9.0, 9.0])]
+    got = nearest_neighbours(frame(spark, copies), F.col("id") == 1).collect()
+    assert sorted(r["id"] for r in got) == list(range(2, 12)) and all(r["score"] == 0 for r in got)
     assert nearest_neighbours(df.limit(0), F.col("id") % 2 == 0).count() == 0
 
 
