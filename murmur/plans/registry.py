@@ -626,6 +626,33 @@ register("write_feedback", _with(_MESSY_STD, f"SELECT {orc.STD_OUT}, 'parquet' A
                                              f"UNION ALL SELECT {orc.STD_OUT}, 'csv' FROM std"))(_q_write_feedback)
 
 
+def _q_store_feedback(spark, sf_dir):
+    """D5 as a store: written, read, changed and written back to its own path."""
+    from murmur.session import scratch_path
+    from murmur.sources.store import load_table, save_table
+    path = scratch_path(spark, "feedback-store")
+    save_table(_standardized(spark, sf_dir), path)
+    save_table(load_table(spark, path).withColumn("source", F.upper("source")), path)
+    return _std_out(load_table(spark, path))
+
+
+register("store_feedback", _with(_MESSY_STD, f"SELECT {orc.STD_OUT.replace('source', 'upper(source) AS source')} FROM std"))(
+    _q_store_feedback)
+
+
+def _q_evidence_store(spark, sf_dir):
+    """D6 from the store: the rows of the top insight, from its folder alone."""
+    from murmur.session import scratch_path
+    from murmur.sources.store import open_evidence, save_evidence
+    path = scratch_path(spark, "evidence-store")
+    save_evidence(_evidence(spark, sf_dir), path)
+    top = _ranked(spark, sf_dir).where("rank = 1").select("cluster").first()   # one row
+    return open_evidence(spark, path, top["cluster"]).select("cluster", "pos", "id", "source", "date", "text")
+
+
+register("evidence_store", ORACLE["trace_evidence"])(_q_evidence_store)
+
+
 # ============================================================================
 # 2.1 segmenters over ``documents``
 # ============================================================================
