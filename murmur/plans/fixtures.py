@@ -201,6 +201,19 @@ def write_json_fixture(spark: SparkSession, sf_dir: str, path: str, chunk: int =
     return path
 
 
+def write_json_document_fixture(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """F-json-document: all records as one JSON document, ``{"reviews": [...]}``,
+    one record a line."""
+    recs = json_records(spark, sf_dir)
+    ends = recs.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+    lead = F.when(F.col("pos") == ends["lo"], '{"reviews": [').otherwise(",")
+    trail = F.when(F.col("pos") == ends["hi"], "]}").otherwise("")
+    lines = recs.select("pos", F.concat(lead, F.to_json("rec"), trail).alias("value"))
+    # one document is one file, written by one task
+    lines.repartitionByRange(1, "pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
+    return path
+
+
 # --- F-pages, F-paragraphs: page- and paragraph-shaped text from ``documents`` ------
 LINES_PER_PAGE = 5
 

@@ -578,6 +578,18 @@ _JSON_STD = """jrec AS (
 register("read_json_feedback", _with(_JSON_STD, f"SELECT {orc.STD_OUT} FROM std"))(_q_read_json_feedback)
 
 
+def _q_read_json_document(spark, sf_dir):
+    """S2: one document of all records, cut into records by many tasks."""
+    from murmur.operators.standardize import standardize_feedback
+    from murmur.sources.files import read_json_feedback
+    path = _fixture_path(spark, sf_dir, "f-json-document", "", fx.write_json_document_fixture)
+    raw = read_json_feedback(spark, path, layout="split")
+    return _std_out(standardize_feedback(raw, ingest_ts=fx.FIXTURE_INGEST_TS), with_pos=True)
+
+
+register("read_json_document", _with(_JSON_STD, f"SELECT pos, {orc.STD_OUT} FROM std"))(_q_read_json_document)
+
+
 def _q_read_feedback(spark, sf_dir):
     from murmur.sources.files import read_feedback
     # two uploads whose headers differ in names and order

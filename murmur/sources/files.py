@@ -18,6 +18,7 @@ from murmur.operators.standardize import (DATE_CANDIDATES, ID_CANDIDATES, NO_SOU
                                           TEXT_CANDIDATES, UNKNOWN_SOURCE, standardize_feedback)
 from murmur.session import cut_lineage
 from murmur.sources.csv_records import csv_files, csv_records
+from murmur.sources.json_records import json_records
 
 # --- fixed values: pandas' default missing-value tokens for CSV ------------------
 CSV_NULL_TOKENS = (
@@ -157,11 +158,20 @@ def read_json_feedback(spark: SparkSession, path, layout: str = "document",
     """``layout='document'``: each file is one JSON document (list, wrapper
     object or single object). ``layout='lines'``: each line is such a
     document (JSON Lines is the case of one object per line; splittable, the
-    form for large inputs); blank lines are skipped. Values are text.
+    form for large inputs); blank lines are skipped. ``layout='split'``: each
+    file is one document that is a list of objects, or an object whose only key
+    is a record key with such a list; a file of any size is read by many tasks
+    (:mod:`murmur.sources.json_records`). Values are text.
 
     Columns: the given ``columns``; by default the record keys that the
     standardiser knows, and the key with the longest mean text -- at most that
     many names reach the driver, however many distinct keys there are."""
+    if layout == "split":
+        records = json_records(spark, path, JSON_RECORD_KEYS)
+        order = F.struct(F.col("_f").alias("f"), F.col("_b").alias("b"), F.col("_r").alias("r"), F.lit(0).alias("i"))
+        rows = cut_lineage(records.select(order.alias(ORDER_COL), F.try_variant_get(
+            F.parse_json("value"), "$", "map<string,variant>").alias("_m")))
+        return _named_keys(rows, columns)
     # text()'s own wholetext argument overrides an option of the same name
     docs = spark.read.text(path, wholetext=(layout == "document")).select("value", _order_key().alias("_o"))
     docs = docs.where(F.length(py_strip(F.col("value"))) > 0)
@@ -171,7 +181,10 @@ def read_json_feedback(spark: SparkSession, path, layout: str = "document",
         F.try_variant_get("_rec", "$", "map<string,variant>").alias("_m"),
     )
     # parsed once: key discovery, row numbering and the output all read it
-    rows = cut_lineage(rows)
+    return _named_keys(cut_lineage(rows), columns)
+
+
+def _named_keys(rows: DataFrame, columns: list[str] | None) -> DataFrame:
     names = columns or _needed_keys(rows)
     return rows.select(
         *[F.try_variant_get(F.col("_m").getItem(k), "$", "string").alias(k) for k in names],

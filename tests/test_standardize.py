@@ -227,6 +227,37 @@ def test_json_lines_with_blanks_and_many_keys(spark):
     assert [(r.pos, r.id, r.text) for r in std] == [(i, str(i), f"a long enough story {i}") for i in range(200)]
 
 
+@pytest.mark.parametrize("wrap", ["", "reviews"])
+def test_one_large_json_document_in_splits(spark, wrap):
+    """The records of a document cut anywhere are those of the document layout."""
+    import random
+    rng = random.Random(5)
+    odd = ['}', '{"', "]}", "\\", '\\"', "},{", "é", "\n", "[", '"', "plain"]
+    recs = [{"text": "t" + "".join(rng.choice(odd) for _ in range(rng.randint(0, 6))), "id": i,
+             "more": rng.choice([{"a": {"b": [1, {"c": {}}]}}, [], None, "}{"])} for i in range(150)]
+    for i, body in enumerate([recs, recs[:1], []]):
+        path = tempfile.mkdtemp(prefix="fjson-split-") + "/big.json"
+        with open(path, "w") as f:
+            json.dump({wrap: body} if wrap else body, f, ensure_ascii=False, indent=None if i else 1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "113b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            got = read_json_feedback(spark, path, layout="split", columns=["id", "text"])
+            rows = [(r.id, r.text) for r in standardize_feedback(got, ingest_ts=FIXTURE_INGEST_TS).orderBy("pos").collect()] if body else got.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        whole = read_json_feedback(spark, path, columns=["id", "text"])
+        want = [(r.id, r.text) for r in standardize_feedback(whole, ingest_ts=FIXTURE_INGEST_TS).orderBy("pos").collect()] if body else []
+        assert rows == want and len(rows) == len(body)
+    for body in ('[1, {"text": "x"}]', '{"meta": {"a": {}}, "data": [{"text": "x"}]}', '{"data": [{"text": "x"}], "n": 1}'):
+        path = tempfile.mkdtemp(prefix="fjson-split-") + "/other.json"
+        with open(path, "w") as f:
+            f.write(body)
+        with pytest.raises(Exception, match="as a document"):
+            read_json_feedback(spark, path, layout="split", columns=["text"]).collect()
+
+
 def test_dates(spark):
     cells = {"2024-01-05T10:00:00Z": "2024-01-05 10:00:00", "2024-01-05 10:00:00.123": "2024-01-05 10:00:00.123000",
              "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024/01/05": "2024-01-05 00:00:00",
