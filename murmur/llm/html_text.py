@@ -70,6 +70,14 @@ _MARKED_NAMES = frozenset(
     "notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "comment comments disqus share sharing social related recommended newsletter subscribe signup search widget "
     "contentinfo complementary toolbar pagination".split())
+#: Words that say where or how large a marked part is, not what it is.
+_PLACE_NAMES = frozenset(
+    "site page main primary secondary global left right top bottom upper lower side header post article list item items "
+    "box bar block area section container wrapper inner outer links group thread form reply replies reader readers user "
+    "users".split())
+#: Names that an article's own paragraphs may have.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+_PROSE_NAMES = frozenset("notice notices alert search related recommended social toolbar overlay".split())
 
 
 _FORM, _MARK = 1, 2     # marked by a form only, marked
@@ -80,12 +88,13 @@ def _is_marked(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if "=" not in attrs or tag in ("body", "html") or tag in _ARTICLE:
         return False
+    marked = _MARKED_NAMES - _PROSE_NAMES if in_article and tag in _PROSE else _MARKED_NAMES
     for m in _ATTR.finditer(attrs):
         if m.group(1).lower() in ("class", "id", "role"):
             for name in (m.group(2) or m.group(3) or m.group(4) or "").lower().split():
-                # a whole name: "ad-banner" is one, "comments-open" and "has-sidebar" are not
-                words = _WORDS.findall(name)
-                if words and _MARKED_NAMES.issuperset(words):
+                # a whole name: "ad-banner" and "comment-list" are marked, "comments-open" and "has-sidebar" are not
+                words = set(_WORDS.findall(name))
+                if words & marked and words <= _MARKED_NAMES | _PLACE_NAMES:
                     return True
     return False
 

@@ -55,6 +55,16 @@ def test_blocks():
     assert lines("<p>shadow heads addition</p>") == ["shadow heads addition"]
 
 
+def test_marked_parts_with_names_of_their_place():
+    for part in ('<ol class="comment-list"><li>no</ol>', '<div class="post-comments"><p>no</p></div>',
+                 '<div class="site-footer">no</div>', '<ul class="main-nav"><li>no</ul>', '<div class="left-sidebar">no</div>',
+                 '<div class="cookie-banner">no</div>', '<p class="ad">no</p>'):
+        assert lines(f"<article><p>x</p>{part}<p>y</p></article>") == ["x", "y"]
+        assert lines(f"<p>x</p>{part}<p>y</p>") == ["x", "y"]
+    assert lines('<article><p class="notice">a</p><p class="related">b</p></article>') == ["a", "b"]
+    assert lines('<div class="post"><p class="main">x</p></div>') == ["x"]
+
+
 def test_articles_are_whole_whatever_their_names():
     for tag in ('article class="post comments-open"', 'main class="has-sidebar"', 'article id="menu"', "main role='search'"):
         assert lines(f"<nav>no</nav><{tag}><p>x</p></{tag.split()[0]}>") == ["x"]
