@@ -78,6 +78,7 @@ _PLACE_NAMES = frozenset(
 #: Names that an article's own paragraphs may have.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 _PROSE_NAMES = frozenset("notice notices alert search related recommended social toolbar overlay".split())
+_PROSE_MARKED, _KNOWN_NAMES = _MARKED_NAMES - _PROSE_NAMES, _MARKED_NAMES | _PLACE_NAMES
 
 
 _FORM, _MARK = 1, 2     # marked by a form only, marked
@@ -88,13 +89,13 @@ def _is_marked(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if "=" not in attrs or tag in ("body", "html") or tag in _ARTICLE:
         return False
-    marked = _MARKED_NAMES - _PROSE_NAMES if in_article and tag in _PROSE else _MARKED_NAMES
+    marked = _PROSE_MARKED if in_article and tag in _PROSE else _MARKED_NAMES
     for m in _ATTR.finditer(attrs):
         if m.group(1).lower() in ("class", "id", "role"):
             for name in (m.group(2) or m.group(3) or m.group(4) or "").lower().split():
                 # a whole name: "ad-banner" and "comment-list" are marked, "comments-open" and "has-sidebar" are not
                 words = set(_WORDS.findall(name))
-                if words & marked and words <= _MARKED_NAMES | _PLACE_NAMES:
+                if words & marked and words <= _KNOWN_NAMES:
                     return True
     return False
 
