@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm._common import by_value, parts
 from murmur.llm._vectors import best, matrix, padded, usable_vectors
+from murmur.session import cut_lineage
 
 by_value(__name__)
 
@@ -161,7 +162,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
                      pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["id", "vec", "tree", "leaf"])
 
     copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    distinct = rows.distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "vec")
+    # stored once: leaf sizes, ids and the search read it
+    distinct = cut_lineage(rows.distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "vec"))
     index = distinct.mapInArrow(put, "id long, vec array<double>, leaf array<int>").select(
         "id", "vec", F.posexplode("leaf").alias("tree", "leaf"))
     # at most trees * 2^depth rows
