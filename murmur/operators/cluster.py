@@ -115,6 +115,35 @@ def choose_pivots(sample: np.ndarray, n: int, eps: float, rows: int, cells: int
     return chosen
 
 
+def _placing(pivots: np.ndarray, eps: float):
+    """For mapInArrow: rows with their home cell and the later cells (``_near``)
+    they are copied to."""
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(batch.schema.get_field_index("_v"))
+            u = _units(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+            home, row, cell = _near_cells(u, pivots, eps)
+            starts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            near = pa.ListArray.from_arrays(pa.array(starts), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), near],
+                                             names=[*batch.schema.names, "_cell", "_near"])
+    return place
+
+
+def _sample_units(base: DataFrame) -> np.ndarray:
+    """Unit vectors of a bounded sample of ``base`` (``_id``, ``_v``)."""
+    taken = base.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).select("_v").collect()
+    return _units(np.array([r["_v"] for r in taken], dtype=np.float64).reshape(len(taken), -1))
+
+
+def place_in_cells(base: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
+    """``base`` with ``_cell`` and ``_near``, stored."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
+    return cut_lineage(base.mapInArrow(_placing(pivots, eps), f"{kinds}, _cell int, _near array<int>"))
+
+
 def _layout(df: DataFrame, id_col: str, vec_col: str, eps: float, block_rows: int | None, materialize: bool = False,
             group_col: str | None = None, cells: int | None = None):
     """Rows with their cell and block, the blocks of that cell, and their blocks
@@ -144,28 +173,13 @@ def _layout(df: DataFrame, id_col: str, vec_col: str, eps: float, block_rows: in
         return base.withColumn("_blk", F.pmod(hashed, F.col("_nb")).cast("int")), keys
     pivots = None
     if cells is not None or stats["n"] > rows:
-        taken = base.orderBy(hashed, "_id").limit(SAMPLE_ROWS).select("_v").collect()   # a bounded sample
-        sample = _units(np.array([r["_v"] for r in taken], dtype=np.float64).reshape(len(taken), -1))
-        pivots = choose_pivots(sample, stats["n"], eps, rows, cells)
+        pivots = choose_pivots(_sample_units(base), stats["n"], eps, rows, cells)
     if pivots is None:
         nb = max(1, math.ceil(stats["n"] / rows))
         return base.withColumns({"_cell": F.lit(0), "_nb": F.lit(nb), "_nx": F.lit(0), "_halos": no_halos,
                                  "_blk": F.pmod(hashed, F.lit(nb)).cast("int")}), keys
 
-    def place(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(batch.schema.get_field_index("_v"))
-            u = _units(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
-            home, row, cell = _near_cells(u, pivots, eps)
-            starts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            near = pa.ListArray.from_arrays(pa.array(starts), pa.array(cell.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), near],
-                                             names=[*batch.schema.names, "_cell", "_near"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
-    placed = cut_lineage(base.mapInArrow(place, f"{kinds}, _cell int, _near array<int>"))
+    placed = place_in_cells(base, pivots, eps)
     # at most as many rows as there are pivots
     homes = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     halos = {r["c"]: r["n"] for r in placed.select(F.explode("_near").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}

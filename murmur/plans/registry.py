@@ -332,6 +332,35 @@ register("dbscan_cosine", _with_rec(orc.dbscan_ctes("embeddings", "vec_id", "emb
                                     "SELECT id AS vec_id, cluster FROM db"))(_q_dbscan_cosine)
 
 
+def _q_cluster_batches(spark, sf_dir):
+    """The same rows in three batches, in order of position."""
+    from murmur.operators.batches import add_batch, batch_labels
+    emb = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("pos"), "embedding")
+    top = emb.agg(F.max("pos")).first()[0] or 0
+    state = None
+    for lo, hi in ((None, top // 2), (top // 2, top * 3 // 4), (top * 3 // 4, None)):
+        batch = emb.where((F.lit(lo is None) | (F.col("pos") > F.lit(lo))) & (F.lit(hi is None) | (F.col("pos") <= F.lit(hi))))
+        state = add_batch(state, batch, eps=FIXTURE_EPS, min_samples=3, block_rows=FIXTURE_BLOCK)
+    return batch_labels(state).withColumnRenamed("pos", "vec_id")
+
+
+register("cluster_batches", _with_rec(orc.dbscan_ctes("embeddings", "vec_id", "embedding", FIXTURE_EPS, 3),
+                                      "SELECT id AS vec_id, cluster FROM db"))(_q_cluster_batches)
+
+
+def _q_approx_join_recall(spark, sf_dir):
+    """The approximate join against the exact one."""
+    from murmur.operators.approx import join_recall
+    row = join_recall(_embeddings(spark, sf_dir), "vec_id", "embedding", eps=FIXTURE_EPS, recall=0.98)
+    return row.select("exact_pairs", "wrong_pairs", "repeated_pairs", (F.col("measured_recall") >= 0.9).alias("recall_reached"))
+
+
+register("approx_join_recall", _with(
+    orc.pairs_cte("embeddings", "vec_id", "embedding", FIXTURE_EPS),
+    "SELECT count(*) AS exact_pairs, CAST(0 AS BIGINT) AS wrong_pairs, CAST(0 AS BIGINT) AS repeated_pairs, "
+    "TRUE AS recall_reached FROM pairs"))(_q_approx_join_recall)
+
+
 def _q_number_clusters(spark, sf_dir):
     d = _dbscan(spark, sf_dir, 2)
     return d.where("cluster <> -1").groupBy("cluster").agg(
