@@ -1,20 +1,30 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs,
-digits, schemes and identifier cues. From each anchor a deterministic local
-parser expands to the left and right and validates the boundaries it found.
-Per kind, spans are leftmost and do not overlap; a candidate that fails its
-validation is dropped and not retried.
+digits, schemes, identifier cues and street words. From each anchor a
+deterministic local parser expands to the left and right and validates the
+boundaries it found. Per kind, spans are leftmost and do not overlap; a
+candidate that fails its validation is dropped and not retried.
 
 ==========  ====================================================================
 email       local part, at-sign, at least two dot-joined labels
 ip          four dot-joined numbers, each at most 255
 card        13 to 19 digits with single blanks or hyphens between, Luhn sum 0
 phone       plus sign, digit, digits and `` ().-``, 9 to 15 digits in all
-account     IBAN after its cue, check digits verified; what follows is left out
+account     IBAN after a cue, or compact without one where its country's length
+            and the check digits hold; 7 to 17 digits after an account's cue
 login       scheme://user@host: an address that carries user data
+bank        after their cues: sort codes, routing numbers (checksum), BICs (country)
+id          after their cues: social security, national insurance, passport, VAT,
+            tax and employer numbers by format, check digit or both
+birth       a calendar date after a cue of birth
+address     house number, one to four capitalised words and a street word, or a
+            German street name and its number; with the place and postcode next to it
 ==========  ====================================================================
 
+Cues are whole words in lower case, upper case or with capitals. A label
+between cue and number (``no.``, ``number``, ``is``, ``:``) is passed over.
+
 Positions are code points, ends exclusive. Input cases: null is empty text;
 empty texts have no spans; texts are taken whole, however long (work is linear
 in their length); rows with equal or null ids stay rows of their own; an empty
@@ -34,32 +44,106 @@ from murmur.llm._common import by_value, narrow, parts, texts
 by_value(__name__)
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = BASE_KINDS + ("account", "login")
+KINDS = BASE_KINDS + ("account", "login", "bank", "id", "birth", "address")
 DIGITS = frozenset("0123456789")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DIAL = re.compile(r"[ ().0-9-]+")
-_IBAN = re.compile(r"[\s:#.-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+_IBAN = re.compile(r"(?:[\s-]?(?i:number|nummer|no|nr)\b)?[\s:#.-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _IBAN_SIZE = {c[:2]: int(c[2:]) for c in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
     "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
     "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
     "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
+_COMPACT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]+")
 _ENDS = re.compile(r"[A-Z0-9](?![A-Z0-9])")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]+@[A-Za-z0-9.-]*[A-Za-z0-9]")
 
 
+# --- cues ----------------------------------------------------------------------------
+#: What may stand between a cue and its number, and where a number must end.
+_LABEL = r"(?i:nummer|number)?(?:[\s:#=.-]|(?i:\b(?:numbers?|nummer|no|nr|num|code|is|ist|id)\b)){1,8}"
+_STOP = r"(?![0-9A-Za-z]|[-/.][0-9])"
+#: Countries of a BIC beside those that have IBANs.
+_BIC_MORE = frozenset("AR AU CA CL CN CO HK ID IN JP KE KR MX MY NG NZ PE PH SG TH TW US VN ZA".split())
+
+
+def _routing_ok(s: str) -> bool:
+    return sum(int(d) * (3, 7, 1)[i % 3] for i, d in enumerate(s)) % 10 == 0 and int(s) > 0
+
+
+def _tax_ok(s: str) -> bool:
+    """German tax number: ISO 7064 mod 11, 10."""
+    rest = 10
+    for d in s[:10]:
+        rest = ((int(d) + rest) % 10 or 10) * 2 % 11
+    return s[0] != "0" and (11 - rest) % 10 == int(s[10])
+
+
+def _ssn_ok(s: str) -> bool:
+    area, group, serial = s[:3], s[4:6], s[7:]
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def _date_ok(s: str) -> bool:
+    n = [int(x) for x in re.findall("[0-9]+", s)]
+    y, m, d = (n[0], n[1], n[2]) if n[0] > 31 else (n[2], n[1], n[0])
+    return 1880 <= y <= 2100 and 1 <= min(m, d) and min(m, d) <= 12 and max(m, d) <= 31
+
+
+def _any(_: str) -> bool:
+    return True
+
+
+#: name: (kind, cues, format, rule)
+_PARSERS = {
+    "account": ("account", "account acct a/c konto compte cuenta", r"[0-9]{7,17}", _any),
+    "sort": ("bank", "sort_code sortcode", r"[0-9]{2}([ -]?)[0-9]{2}\2[0-9]{2}", _any),
+    "routing": ("bank", "routing aba", r"[0-9]{9}", _routing_ok),
+    "bic": ("bank", "bic swift", r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?",
+            lambda s: s[4:6] in _IBAN_SIZE or s[4:6] in _BIC_MORE),
+    "ssn": ("id", "ssn social_security", r"[0-9]{3}([ -])[0-9]{2}\2[0-9]{4}", _ssn_ok),
+    "nino": ("id", "nino national_insurance", r"[A-CEGHJ-PR-TW-Z]{2}(?: ?[0-9]{2}){3} ?[A-D]", _any),
+    "passport": ("id", "passport reisepass passeport pasaporte", r"[A-Z]{1,2}[0-9]{6,8}|[0-9]{9}|[0-9]{2}[A-Z]{2}[0-9]{5}", _any),
+    "vat": ("id", "vat USt-IdNr USt-ID", r"[A-Z]{2} ?[0-9]{8,12}", lambda s: s[:2] in _IBAN_SIZE),
+    "tax": ("id", "tax Steuer-ID steuernummer IdNr tin", r"[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}",
+            lambda s: _tax_ok(s.replace(" ", ""))),
+    "ein": ("id", "ein employer", r"[0-9]{2}-[0-9]{7}", _any),
+    "birth": ("birth", "date_of_birth birth_date dob born geboren geburtsdatum birthday",
+              r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2(?:19|20)[0-9]{2}", _date_ok),
+}
+_PATTERN = {name: re.compile(f"{_LABEL}(?:(?i:on|am) )?({form}){_STOP}") for name, (_, _, form, _) in _PARSERS.items()}
+_WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+"
+_STREETS = "Street Avenue Road Lane Drive Boulevard Terrace Square Crescent Highway St. Ave. Rd. Blvd."
+#: To the left of a street word, read from its end; to the right of it.
+_HOUSE = re.compile(rf"(?:^|(?<=[\s,;:(]))[0-9]{{1,5}}[A-Za-z]? (?:{_WORD}\.? |[0-9]{{1,3}}(?:st|nd|rd|th) ){{1,4}}$")
+_PLACE = re.compile(rf"(?:,? (?:(?:Apt|Suite|Unit|Flat)\.? [0-9A-Z]{{1,5}}))?(?:, {_WORD}(?: {_WORD}){{0,2}})?"
+                    r"(?:,? [A-Z]{2} [0-9]{5}(?:-[0-9]{4})?|,? [A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2})(?![0-9A-Za-z])")
+_STRASSE = re.compile(r"[A-ZÄÖÜ][a-zäöüß-]{1,30}$")
+_NUMMER = re.compile(rf" [0-9]{{1,4}}(?: ?[a-z])?(?![0-9A-Za-z.])(?:, ?[0-9]{{5}} {_WORD}(?: {_WORD})?)?")
+HOUSE_CHARS = 160
+
+
 def anchors():
-    """The automaton; its values name the parser to start."""
+    """The automaton; its values name the parser to start and the anchor's length."""
     import ahocorasick
     a = ahocorasick.Automaton()
     for d in DIGITS:
-        a.add_word(d, "digit")
+        a.add_word(d, ("digit", 1))
     for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme"),
                        ("IBAN", "cue"), ("iban", "cue"), ("Iban", "cue")):
-        a.add_word(word, kind)
+        a.add_word(word, (kind, len(word)))
+    for name, (_, cues, _, _) in _PARSERS.items():
+        for cue in cues.replace("_", "\0").split(" "):
+            cue = cue.replace("\0", " ")
+            for form in {cue, cue.lower(), cue.upper(), cue.capitalize(), cue.title()}:
+                a.add_word(form, (name, len(form)))
+    for word in _STREETS.split():
+        a.add_word(word, ("street", len(word)))
+    for word in ("straße", "strasse"):
+        a.add_word(word, ("strasse", len(word)))
     a.make_automaton()
     return a
 
@@ -101,7 +185,7 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
         if good:
             found[kind].append((start, end))
 
-    for last, anchor in automaton.iter(text):
+    for last, (anchor, size) in automaton.iter(text):
         if anchor == "digit":
             # the first digit of a run, or the first one after a match
             if last >= done["ip"] and (last == done["ip"] or last == 0 or text[last - 1] not in DIGITS):
@@ -111,6 +195,10 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
             if last >= done["card"] and (m := _CHAIN.match(text, last)):
                 digits = m.group().replace(" ", "").replace("-", "")
                 hit("card", last, m.end(), 13 <= len(digits) <= 19 and luhn(digits))
+            if last >= 2 and last - 2 >= done["account"] and text[last - 2:last] in _IBAN_SIZE and not text[last - 3:last - 2].isalnum():
+                end = last - 2 + _IBAN_SIZE[text[last - 2:last]]
+                if _COMPACT.fullmatch(text, last - 2, end) and not text[end:end + 1].isalnum() and _iban_ok(text[last - 2:end]):
+                    hit("account", last - 2, end, True)
         elif anchor == "at":
             start = last
             while start > done["email"] and text[start - 1] in LOCAL:
@@ -130,7 +218,24 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
                 # what fails is no account: a cue inside it still counts
                 if end := _iban_end(text, m.start(1), m.end(1)):
                     hit("account", m.start(1), end, True)
-        elif last >= done["login"] and (m := _LOGIN.match(text, last + 1)):
+        elif anchor in _PARSERS:
+            kind, _, _, rule = _PARSERS[anchor]
+            if last >= done[kind] and not text[max(0, last - size):last - size + 1].isalnum():
+                if (m := _PATTERN[anchor].match(text, last + 1)) and rule(m.group(1)):
+                    hit(kind, m.start(1), m.end(1), True)
+        elif anchor == "street":
+            if last >= done["address"] and not text[last + 1:last + 2].isalnum():
+                first = last + 1 - size
+                if m := _HOUSE.search(text[max(done["address"], first - HOUSE_CHARS):first]):
+                    start = max(done["address"], first - HOUSE_CHARS) + m.start()
+                    right = _PLACE.match(text, last + 1)
+                    hit("address", start, right.end() if right else last + 1, True)
+        elif anchor == "strasse":
+            if last >= done["address"] and (m := _NUMMER.match(text, last + 1)):
+                first = last + 1 - size
+                if left := _STRASSE.search(text[max(done["address"], first - HOUSE_CHARS):first]):
+                    hit("address", first - len(left.group()), m.end(), True)
+        elif anchor == "scheme" and last >= done["login"] and (m := _LOGIN.match(text, last + 1)):
             start = last - 2
             while start > done["login"] and text[start - 1].isascii() and text[start - 1].isalnum():
                 start -= 1

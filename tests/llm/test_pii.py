@@ -68,6 +68,49 @@ def test_accounts_end_where_they_end():
         assert not [k for k, *_ in pii.find_spans(text, a) if k == "account"]
 
 
+def extra(text):
+    return [(k, text[s:e]) for k, s, e in pii.find_spans(text, pii.anchors()) if k not in BASE]
+
+
+def test_cues():
+    """Every parser: a positive, and near misses that are left alone."""
+    for text, kind, want in (
+            ("account DE89370400440532013000 now", "account", "DE89370400440532013000"),
+            ("IBAN-Nr.: DE89 3704 0044 0532 0130 00", "account", "DE89 3704 0044 0532 0130 00"),
+            ("paid to GB82WEST12345698765432.", "account", "GB82WEST12345698765432"),
+            ("Account number 12345678", "account", "12345678"), ("ACCT #: 004512345", "account", "004512345"),
+            ("a/c no. 12345678,", "account", "12345678"), ("Kontonummer 1234567890", "account", "1234567890"),
+            ("sort code 20-00-00", "bank", "20-00-00"), ("Routing number: 021000021", "bank", "021000021"),
+            ("BIC COBADEFFXXX", "bank", "COBADEFFXXX"), ("SWIFT code: CHASUS33", "bank", "CHASUS33"),
+            ("SSN 078-05-1120", "id", "078-05-1120"), ("Social Security number is 219 09 9999", "id", "219 09 9999"),
+            ("NINO AB 12 34 56 C", "id", "AB 12 34 56 C"), ("passport no. C01234567", "id", "C01234567"),
+            ("VAT DE123456789", "id", "DE123456789"), ("Steuer-ID: 86095742719", "id", "86095742719"),
+            ("EIN 12-3456789", "id", "12-3456789"),
+            ("born on 1980-02-29", "birth", "1980-02-29"), ("Date of birth: 3.12.1971", "birth", "3.12.1971"),
+            ("at 221B Baker Street today", "address", "221B Baker Street"),
+            ("to 10 Old Mill Road, Springfield, IL 62704.", "address", "10 Old Mill Road, Springfield, IL 62704"),
+            ("(5 42nd St., Apt 3B, New York, NY 10036)", "address", "5 42nd St., Apt 3B, New York, NY 10036"),
+            ("10 Downing Street, London SW1A 2AA", "address", "10 Downing Street, London SW1A 2AA"),
+            ("in der Hauptstraße 12, 10115 Berlin.", "address", "Hauptstraße 12, 10115 Berlin")):
+        assert extra(text) == [(kind, want)], text
+    for text in ("account 2024", "account 2024-01-15", "on account of 1234567 people", "sort code 20-00-0", "routing 021000022",
+                 "BIC PROGRAMS", "swift ANSWERING", "SSN 000-12-3456", "SSN 078-05 1120", "SSN 078-05-11201", "VAT 12", "VAT XX123456789",
+                 "tax 86095742718", "ein 12-34567890", "born 1980-13-32", "born 1750-01-01", "preborn 1980-02-29",
+                 "DE89370400440532013001", "XDE89370400440532013000", "DE893704004405320130000", "the Street",
+                 "12 baker Street", "1 Street", "Hauptstraße", "Hauptstraße 12.5", "die strasse 12", "accountant 12345678", ""):
+        assert not extra(text), text
+
+
+def test_cues_are_linear():
+    """Long runs of cues, labels and street words without a number."""
+    import time
+    t = time.perf_counter()
+    for text in ("account no. " * 40_000, "account" + " " * 400_000, "1 Baker Old " * 40_000 + "Street", "Street " * 80_000,
+                 "DE" * 200_000, "Aa" * 200_000 + "straße 1"):
+        pii.find_spans(text, pii.anchors())
+    assert time.perf_counter() - t < 20
+
+
 def test_rows_and_masking(spark):
     long = "word " * 200_000 + "x@y.zz" + " 7" * 100_000
     rows = [(1, "mail a@b.cd now", 99), (1, "mail a@b.cd now", 99), (None, None, None), (2, "", 0), (3, long, len(long))]
