@@ -2,9 +2,10 @@
 
 Features are the character n-grams a lower-cased text holds (presence, not
 counts), hashed to a fixed number of buckets per length. Their document
-counts by label give smoothed log-count ratios; the features whose ratio is
-most certain are kept, scaled by their ratio, and weighted by a logistic
-regression. All of it is learnt from labelled rows only, from a bounded sample
+counts by label give smoothed log-count ratios; every feature whose ratio is
+``min_z`` standard errors or more from 0 is kept, scaled by its ratio, and
+weighted by Spark's L2 logistic regression on sparse rows; only weights, at
+most one a bucket, reach the driver. All of it is learnt from labelled rows only, from a bounded sample
 of them (``max_rows_per_label``, drawn by a hash of the id); every text is then
 scored whole in one pass over the table, without a shuffle.
 
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,9 @@ by_value(__name__)
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 18
 MAX_ROWS_PER_LABEL = 8_000
-MAX_FEATURES = 1_024
-MIN_Z = 2.5
+MIN_Z = 4.0
 FIT_TASKS = 16
+L2 = 1.0
 PIECE_CHARS = 1 << 18
 FOLDS = 5
 
@@ -113,55 +116,13 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -500, 500)))
 
 
-def _logistic(doc, col, value, y, weight, width, l2=1.0, rounds=200, memory=10):
-    """Weighted L2 logistic regression on sparse rows by L-BFGS: weights and
-    intercept. The intercept is not penalised."""
-    n = len(y)
-
-    def loss(w):
-        margin = np.bincount(doc, weights=value * w[:-1][col], minlength=n) + w[-1]
-        slope = weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - y)
-        grad = np.append(np.bincount(col, weights=value * slope[doc], minlength=width) + l2 * w[:-1], slope.sum())
-        return (weight * (np.logaddexp(0.0, margin) - y * margin)).sum() + l2 / 2 * (w[:-1] ** 2).sum(), grad
-
-    w = np.zeros(width + 1)
-    f, g = loss(w)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        if np.abs(g).max() <= 1e-4 * max(1.0, weight.sum()) / n:
-            break
-        step, alphas = -g, []
-        for s, d in reversed(past):
-            alphas.append(s @ step / (s @ d))
-            step = step - alphas[-1] * d
-        if past:
-            s, d = past[-1]
-            step = step * (s @ d) / (d @ d)
-        else:
-            step = step / max(1.0, np.linalg.norm(g))
-        for (s, d), alpha in zip(past, reversed(alphas)):
-            step = step + (alpha - d @ step / (s @ d)) * s
-        size = 1.0
-        while size > 1e-10:
-            f2, g2 = loss(w + size * step)
-            if f2 <= f + 1e-4 * size * (g @ step):
-                break
-            size /= 2
-        else:
-            break
-        s, d = size * step, g2 - g
-        if s @ d > 1e-12:
-            past = [*past, (s, d)][-memory:]
-        w, f, g = w + s, f2, g2
-    return w[:-1], float(w[-1])
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", max_rows_per_label: int = MAX_ROWS_PER_LABEL,
-                 max_features: int = MAX_FEATURES, min_z: float = MIN_Z) -> ToxicityModel:
+                 min_z: float = MIN_Z, l2: float = L2) -> ToxicityModel:
     """Learn from the labelled rows that are not held out. At most
     ``max_rows_per_label`` rows of each label are read for it (the bound that
-    the contract allows for fitting a classifier)."""
+    the contract allows for fitting a classifier). The regression adds up its
+    bounded sample in one partition, so equal tables give equal weights."""
     known = narrow(labels, id=F.col(id_col).cast("long"), y=F.col(label_col).cast("int")).where(
         "id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(~held_out("id"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -199,35 +160,40 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chosen = (sample.mapInArrow(count, "feature int, pos int, neg int").groupBy("feature")
               .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
               .select("feature", ratio.alias("r"), F.abs(z).alias("z")).where(F.col("z") >= min_z)
-              .orderBy(F.desc("z"), "feature").limit(max_features).collect())   # at most max_features rows
+              .collect())   # at most one row a bucket
     scale = np.zeros(width)
     for r in chosen:
         scale[r["feature"]] = r["r"]
     wanted = scale != 0
+    used = np.flatnonzero(wanted)
+    weight = {y: sizes[y] / totals[y] for y in (0, 1)}   # back to the rates of all labels
+    if not len(used):
+        rate = sizes[1] / (sizes[0] + sizes[1])
+        return ToxicityModel(np.zeros(width), float(np.log(rate / (1 - rate))))
 
     def features(batches):
         for batch in batches:
             for some in parts(batch, 256):
                 doc, feature = present(texts(some, "text"), wanted)
-                cut = np.searchsorted(doc, np.arange(some.num_rows + 1))
+                cut = pa.array(np.searchsorted(doc, np.arange(some.num_rows + 1)).astype(np.int32))
+                at, value = np.searchsorted(used, feature).astype(np.int32), scale[feature]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("id"), some.column("y"),
-                     pa.array([feature[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.list_(pa.int64()))],
-                    names=["id", "y", "features"])
-
-    # at most 2 * max_rows_per_label rows of at most max_features numbers
-    rows = sorted((r["id"], r["y"], r["features"])
-                  for r in sample.mapInArrow(features, "id long, y int, features array<long>").collect())
-    y = np.array([r[1] for r in rows], dtype=float)
-    doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    feature = np.array([f for r in rows for f in r[2]], dtype=np.int64)
-    used = np.flatnonzero(wanted)
-    col = np.searchsorted(used, feature)
-    weight = np.where(y == 1, sizes[1] / totals[1], sizes[0] / totals[0])   # back to the rates of all labels
-    w, b = _logistic(doc, col, scale[feature], y, weight, len(used))
+                    [some.column("id"), some.column("y"), pa.ListArray.from_arrays(cut, pa.array(at)),
+                     pa.ListArray.from_arrays(cut, pa.array(value))], names=["id", "y", "at", "value"])
+
+    # shipped by value: the workers need no copy of this package
+    n = len(used)
+    sparse = F.udf(lambda at, value: Vectors.sparse(n, at, value), VectorUDT())
+    # at most 2 * max_rows_per_label sparse rows
+    rows = (sample.mapInArrow(features, "id long, y int, at array<int>, value array<double>")
+            .select("id", F.col("y").cast("double").alias("label"), sparse("at", "value").alias("features"),
+                    F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))
+            .coalesce(1).sortWithinPartitions("id"))
+    fit = LogisticRegression(weightCol="weight", standardization=False, regParam=l2 / (sizes[0] + sizes[1]),
+                             maxIter=200, tol=1e-7).fit(rows)
     full = np.zeros(width)
-    full[used] = w * scale[used]
-    return ToxicityModel(full.astype(np.float64), float(b))
+    full[used] = fit.coefficients.toArray() * scale[used]
+    return ToxicityModel(full, float(fit.intercept))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -90,3 +90,63 @@ def test_held_out_accuracy(spark):
     pos, neg = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
     auc = np.mean([[(p > n) + (p == n) / 2 for n in neg] for p in pos])
     assert auc > 0.75 and np.mean([n < 0.5 for n in neg]) > 0.95
+
+
+def brute_scores(rows, learn, min_z, l2):
+    """Ratios, features, weights and scores worked out plainly: n-grams from
+    slices, a dense matrix, Newton steps."""
+    def grams(text):
+        line, out = f" {text.lower()} ", set()
+        for n in t.SIZES:
+            for i in range(len(line) - n + 1):
+                h = ord(line[i])
+                for c in line[i + 1:i + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                h = (h ^ (h >> 15)) * 0x9E3779B1 % 2**32 >> (32 - t.BUCKET_BITS)
+                out.add((t.SIZES.index(n) << t.BUCKET_BITS) + h)
+        return out
+
+    held = [grams(x) for x, _ in rows]
+    own = [i for i in range(len(rows)) if learn(i)]
+    y = np.array([rows[i][1] for i in own], dtype=float)
+    total = {1: y.sum() + 2, 0: (1 - y).sum() + 2}
+    ratio = {}
+    for f in set().union(*(held[i] for i in own)):
+        a, b = (1 + sum(f in held[i] for i in own if rows[i][1] == k) for k in (1, 0))
+        p, q = a / total[1], b / total[0]
+        r = np.log(p / q)
+        if abs(r) / np.sqrt((1 - p) / a + (1 - q) / b) >= min_z:
+            ratio[f] = r
+    names = sorted(ratio)
+    x = np.array([[ratio[f] if f in h else 0.0 for f in names] + [1.0] for h in held])
+    w, penalty = np.zeros(len(names) + 1), l2 * np.append(np.ones(len(names)), 0.0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x[own] @ w))
+        w -= np.linalg.solve((x[own].T * (p * (1 - p))) @ x[own] + np.diag(penalty), x[own].T @ (p - y) + penalty * w)
+    return names, 1 / (1 + np.exp(-x @ w))
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        bad = i % 3 == 0
+        words = rng.choices(CLEAN, k=rng.randrange(3, 15)) + ([rng.choice(BAD)] if rng.random() < (0.8 if bad else 0.1) else [])
+        rows.append((" ".join(words), int(bad)))
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    names, want = brute_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 5 != 0, 3.0, 1.0)
+    model = t.fit_toxicity(docs, labels, min_z=3.0, l2=1.0)
+    assert set(np.flatnonzero(model.weight)) == set(names) and len(names) > 20
+    got = {r["doc_id"]: r["score"] for r in t.score_toxicity(docs, model).collect()}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-3
+
+
+def test_no_feature_is_certain(spark):
+    """Without a certain feature every score is the base rate."""
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    model = t.fit_toxicity(docs, labels, min_z=50.0)
+    learnt = [i % 4 == 0 for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    got = {round(r["score"], 9) for r in t.score_toxicity(docs, model).collect()}
+    assert got == {round(sum(learnt) / len(learnt), 9)}
