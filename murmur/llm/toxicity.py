@@ -184,8 +184,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # shipped by value: the workers need no copy of this package
     n = len(used)
     sparse = F.udf(lambda at, value: Vectors.sparse(n, at, value), VectorUDT())
-    # at most 2 * max_rows_per_label sparse rows
-    rows = (sample.mapInArrow(features, "id long, y int, at array<int>, value array<double>")
+    # at most 2 * max_rows_per_label sparse rows, worked out in FIT_TASKS tasks
+    rows = (cut_lineage(sample.mapInArrow(features, "id long, y int, at array<int>, value array<double>"))
             .select("id", F.col("y").cast("double").alias("label"), sparse("at", "value").alias("features"),
                     F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))
             .coalesce(1).sortWithinPartitions("id"))
