@@ -7,15 +7,25 @@ distributed jobs; an external model plugs in through ``predict_batch_udf``."""
 
 from __future__ import annotations
 
+import re
+import sys
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import lexicon as lx
 from murmur.functions import vectors as vx
-from murmur.functions.joins import lookup_join
+from murmur.functions.joins import lookup_of
 from murmur.functions.text import contains_any, count_present
 from murmur.session import cut_lineage
 
+# the vector functions run in Python workers: ship them by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # --- E1 ----------------------------------------------------------------------
 def severity_label(text: Column, high_words=lx.HIGH_SEVERITY_WORDS, medium_words=lx.MEDIUM_SEVERITY_WORDS,
@@ -107,33 +117,77 @@ def _with_model_input(df: DataFrame, model, text_col: str, apply) -> DataFrame:
 
 
 # --- closed-form text models: term counts as tables -----------------------------
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf): lower-cased runs of word characters, counted per row."""
-    words = F.split(F.lower(F.col(text_col)), r"[^a-z0-9_]+")
-    return (docs.select(F.col(id_col), F.explode(words).alias("term")).where("term <> ''")
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def _weighted_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, w): tf-idf, idf = ln((N + 1) / (df + 1)), without terms of
-    weight zero (those in every row)."""
-    counts = cut_lineage(term_counts(docs, id_col, text_col))
+HEAVY_TERMS = 100_000   # broadcast; over nine in ten of the term counts of a large corpus
+
+
+def _row_counts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(id, carried columns, term, tf) counted inside each row, without a shuffle."""
+    kept = [id_col, *carry]
+    words = re.compile("[a-z0-9_]+").findall
+
+    def count(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                at, terms, tf = [], [], []
+                for i, text in enumerate(some.column("_text").to_pylist()):
+                    found = Counter(words(text or ""))
+                    at.extend([i] * len(found))
+                    terms.extend(found)
+                    tf.extend(found.values())
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(k).take(rows) for k in range(len(kept))]
+                    + [pa.array(terms, pa.string()), pa.array(tf, pa.int64())], names=[*some.schema.names[:-1], "term", "tf"])
+
+    own = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(kept)], F.lower(F.col(text_col)).alias("_text"))
+    kinds = "".join(f"_c{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(kept))
+    return own.mapInArrow(count, kinds + "term string, tf long").select(
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(kept)], "term", "tf")
+
+
+def _repeated_ids(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """The ids of several rows (``_again``), stored; None if there are none."""
+    found = cut_lineage(docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
+    return None if found.isEmpty() else found
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, term, tf): lower-cased runs of word characters, counted per id.
+    ``carry`` adds columns that are equal in all rows of an id. Only rows that
+    share their id are added up over a shuffle."""
+    own = docs.select(id_col, text_col, *carry)
+    repeated = _repeated_ids(own, id_col)
+    if repeated is None:
+        return _row_counts(own, id_col, text_col, carry).select(id_col, *carry, "term", "tf")
+    marked = own.join(repeated, F.col(id_col).eqNullSafe(F.col("_again")), "left")
+    once = _row_counts(marked.where("_rows is null"), id_col, text_col, carry)
+    again = _row_counts(marked.where("_rows is not null"), id_col, text_col, carry)
+    return once.unionByName(again.groupBy(id_col, *carry, "term").agg(F.sum("tf").alias("tf")))
+
+
+def _weighted_terms(docs: DataFrame, id_col: str, text_col: str):
+    """A function from term counts of these documents to their rows with ``w``,
+    tf-idf with idf = ln((N + 1) / (df + 1)), without terms of weight zero
+    (those in every row); and the counts."""
+    counts = term_counts(docs, id_col, text_col)
     total = docs.select(F.count(F.lit(1))).scalar()
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((total + 1) / (F.col("df") + 1))
-    found = lookup_join(counts, spread.withColumn("idf", idf), ["term"], ["idf"], "df",
-                        F.concat(F.lit("\0"), F.xxhash64(id_col).cast("string")))
-    return found.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")).where("w > 0")
+    find = lookup_of(spread.withColumn("idf", idf), ["term"], ["idf"], "df", heavy_keys=HEAVY_TERMS)
+    return lambda c: find(c).withColumn("w", F.col("tf") * F.col("idf")).drop("tf", "idf").where("w > 0"), counts
 
 
 def embed_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """E3 in sparse form: (id, term, weight) of unit-norm tf-idf rows, idf =
     ln((N + 1) / (df + 1)). A term in every row weighs nothing and is left out.
-    A row's terms are gathered once (as many as its text has) to be scaled."""
-    items = _weighted_terms(docs, id_col, text_col).groupBy(id_col).agg(F.collect_list(F.struct("term", "w")).alias("_t"))
-    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return items.withColumn("_n", norm).select(id_col, "_n", F.explode("_t").alias("_x")).select(
-        id_col, F.col("_x.term").alias("term"), (F.col("_x.w") / F.col("_n")).alias("weight"))
+    Norms are joined to the texts and the terms weighed again, so the long
+    table of weights is never shuffled."""
+    weigh, counts = _weighted_terms(docs, id_col, text_col)
+    norms = cut_lineage(weigh(counts).groupBy(F.col(id_col).alias("_of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n")))
+    normed = docs.select(id_col, text_col).join(norms, F.col(id_col).eqNullSafe(F.col("_of")))
+    return weigh(term_counts(normed, id_col, text_col, ("_n",))).select(
+        id_col, "term", (F.col("w") / F.col("_n")).alias("weight"))
 
 
 SKETCH_DIM = 384
@@ -154,31 +208,66 @@ def embed_sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of ``dim`` dimensions, so dot products are unbiased. Rows without terms
     are zero vectors. Rows that repeat an id are one text."""
     place, sign = sketch_place(F.col("term"), dim)
-    added = _weighted_terms(docs, id_col, text_col).groupBy(id_col, place.alias("_d")).agg(
-        F.sum(F.col("w") * sign).alias("_s"))
-    filled = added.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_d", "_s"))).alias("_m"),
-                                       F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.when(
-        F.col("_n") > 0, F.coalesce(F.try_element_at("_m", d), F.lit(0.0)) / F.col("_n")).otherwise(0.0))
-    return docs.select(id_col).distinct().join(filled, id_col, "left").select(id_col, dense.alias(out_col))
+    weigh, counts = _weighted_terms(docs, id_col, text_col)
+    # one shuffle, by id, serves both sums and the join
+    parts = weigh(counts).select(id_col, place.alias("_d"), (F.col("w") * sign).alias("_s")).repartition(id_col)
+    filled = parts.groupBy(id_col, "_d").agg(F.sum("_s").alias("_s")).groupBy(id_col).agg(
+        F.collect_list(F.struct("_d", "_s")).alias("_m"))
+
+    def fill(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                places = some.column("_m")
+                row = np.repeat(np.arange(some.num_rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                flat = places.flatten()
+                dense = np.zeros((some.num_rows, dim))
+                dense[row, flat.field("_d").to_numpy(zero_copy_only=False)] = flat.field("_s").to_numpy(zero_copy_only=False)
+                norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+                dense /= np.where(norm > 0, norm, 1.0)
+                cuts = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("_id"), pa.ListArray.from_arrays(cuts, pa.array(dense.ravel()))], names=["_id", "_e"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id")).distinct().join(filled.withColumnRenamed(id_col, "_id"), "_id", "left")
+    return rows.mapInArrow(fill, f"_id {kind}, _e array<double>").select(
+        F.col("_id").alias(id_col), F.col("_e").alias(out_col))
 
 
 def fit_sentiment_linear(train: DataFrame, vec_col: str = "embedding", label_col: str = "label", rounds: int = 8,
                          rate: float = 32.0) -> tuple[list[float], float]:
     """Logistic regression by a fixed number of gradient steps, each one
-    aggregate over all labelled rows: (weights, intercept). Only the weights
-    reach the driver. Label 1 = negative; other labels take no part."""
+    aggregate over all labelled rows, added up inside the tasks first:
+    (weights, intercept). Only the weights reach the driver. Label 1 =
+    negative; other labels take no part."""
     rows = cut_lineage(train.where(F.col(label_col).isin(0, 1)).select(
         F.col(vec_col).alias("_x"), F.col(label_col).cast("double").alias("_y")))
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("_x"))).first()
-    weights, bias = [0.0] * (dim or 0), 0.0
+    weights, bias = np.zeros(dim or 0), 0.0
+
+    def gradient(weights, bias):
+        def run(batches):
+            total = np.zeros(len(weights) + 1)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    some = batch.slice(at, 1024)
+                    x = some.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, len(weights))
+                    off = 1.0 / (1.0 + np.exp(-(x @ weights + bias))) - some.column("_y").to_numpy(zero_copy_only=False)
+                    total[:-1] += off @ x
+                    total[-1] += off.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["g"])
+        return run
+
     for _ in range(rounds if n else 0):
-        off = linear_probability(F.col("_x"), weights, bias) - F.col("_y")
-        steps = rows.select(F.posexplode(F.concat("_x", F.array(F.lit(1.0)))).alias("_d", "_v"), off.alias("_e")).groupBy(
-            "_d").agg((F.sum(F.col("_e") * F.col("_v")) * (rate / n)).alias("g")).collect()   # one row a dimension
-        step = {r["_d"]: r["g"] for r in steps}
-        weights, bias = [w - step[d] for d, w in enumerate(weights)], bias - step[dim]
-    return weights, bias
+        steps = (rows.where("_x is not null").mapInArrow(gradient(weights, bias), "g array<double>")
+                 .select(F.posexplode("g").alias("_d", "_v")).groupBy("_d").agg(F.sum("_v").alias("g"))
+                 .collect())   # one row a dimension
+        step = np.zeros(dim + 1)
+        for r in steps:
+            step[r["_d"]] = r["g"] * (rate / n)
+        weights, bias = weights - step[:-1], bias - step[-1]
+    return [float(w) for w in weights], float(bias)
 
 
 def linear_probability(vec: Column, weights, bias: float) -> Column:
@@ -201,20 +290,21 @@ def score_sentiment_bayes(docs: DataFrame, labels: DataFrame, id_col: str = "doc
     term counts: (id, sentiment, sentiment_score) of every row; ``labels``
     holds (id, label), 1 = negative. Terms never seen in training count for
     nothing; rows without terms get the prior."""
-    counts = cut_lineage(term_counts(docs, id_col, text_col))
     known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
-    by_term = cut_lineage(counts.join(known, id_col).groupBy("term").agg(
-        F.sum(F.when(F.col("_y") == 1, F.col("tf")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("_y") == 0, F.col("tf")).otherwise(0)).alias("n0"),
-        F.count(F.lit(1)).alias("rows")))
+    # labels go to the texts, before these become long tables of terms
+    marks = known.groupBy(id_col).agg(F.count_if(F.col("_y") == 1).alias("_k1"), F.count_if(F.col("_y") == 0).alias("_k0"))
+    by_term = cut_lineage(term_counts(docs.select(id_col, text_col).join(marks, id_col), id_col, text_col, ("_k1", "_k0"))
+                          .groupBy("term").agg(F.sum(F.col("tf") * F.col("_k1")).alias("n1"),
+                                               F.sum(F.col("tf") * F.col("_k0")).alias("n0"),
+                                               F.sum(F.col("_k1") + F.col("_k0")).alias("rows")))
     totals = by_term.select(F.struct(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"),
                                      F.count(F.lit(1)).alias("v"))).scalar()
     prior = known.join(docs.select(id_col), id_col).select(F.log(
         (F.sum("_y") + 1.0) / (F.count(F.lit(1)) - F.sum("_y") + 1.0))).scalar()
     ratio = (F.log((F.col("n1") + 1.0) / (totals["t1"] + totals["v"]))
              - F.log((F.col("n0") + 1.0) / (totals["t0"] + totals["v"])))
-    found = lookup_join(counts, by_term.withColumn("_r", ratio), ["term"], ["_r"], "rows",
-                        F.concat(F.lit("\0"), F.xxhash64(id_col).cast("string")))
+    find = lookup_of(by_term.withColumn("_r", ratio), ["term"], ["_r"], "rows", heavy_keys=HEAVY_TERMS)
+    found = find(term_counts(docs, id_col, text_col))
     sums = found.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("_r")).alias("_s"))
     p = 1.0 / (1.0 + F.exp(-F.col("_z")))
     return (docs.select(id_col).join(sums, id_col, "left")

@@ -169,3 +169,50 @@ def test_sketch_and_linear_model(spark):
     model = fit_sentiment_linear(vectors.join(labels, "doc_id"))
     said = {r.doc_id: r.sentiment for r in score_sentiment_linear(vectors, *model).collect()}
     assert [said[i] for i in (1, 2, 3, 4)] == ["positive", "negative", "negative", "positive"]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """Rows with an id of their own never move; ids that repeat or are null are added up."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from murmur.operators.enrich import embed_terms, term_counts
+    once = spark.createDataFrame([(1, "a b a"), (2, None), (3, "B_1 ü b")], "doc_id long, text string")
+    counts = term_counts(once)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, "a", 2), (1, "b", 1), (3, "b", 1), (3, "b_1", 1)]
+    rows = [(1, "a b"), (1, "a c"), (None, "x y"), (None, "x"), (2, "a z"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, w) for i, t in rows for w in t.split())
+    assert {(r.doc_id, r.term): r.tf for r in term_counts(docs).collect()} == want
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in embed_terms(docs).collect()}.keys() == want.keys()
+    norms = embed_terms(docs).groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert len(norms) == 3 and all(abs(r.n - 1) < 1e-9 for r in norms)
+
+
+def test_rows_of_heavy_keys_stay_where_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from murmur.functions.joins import lookup_join
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 < 9, "the").otherwise(F.col("id").cast("string")).alias("term"))
+    table = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("v"))
+    out = lookup_join(rows.withColumn("part", F.spark_partition_id()), table, ["term"], ["v"], "n", whole_rows=0, heavy_keys=1)
+    moved = out.where(F.spark_partition_id() != F.col("part")).groupBy("term").count().where("term = 'the'").count()
+    assert out.count() == 1000 and moved == 0
+
+
+def test_linear_fit_equals_numpy_over_many_dimensions(spark):
+    import numpy as np
+
+    from murmur.operators.enrich import fit_sentiment_linear
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(3000, 40)) / 6, rng.integers(0, 2, 3000)
+    table = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y)] + [([0.5] * 40, 7)],
+                                  "embedding array<double>, label int").repartition(3)
+    weights, bias = fit_sentiment_linear(table, rounds=4, rate=8.0)
+    w, b = np.zeros(40), 0.0
+    for _ in range(4):
+        off = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 8 / 3000 * (off @ x), b - 8 / 3000 * off.sum()
+    assert np.allclose(weights, w) and abs(bias - b) < 1e-12
