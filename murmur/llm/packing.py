@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from murmur.functions.indexing import with_ordinal
 from murmur.llm._common import by_value, kept_in_worker, narrow, parts, texts
-from murmur.session import cut_lineage
+from murmur.session import arrow_batches, cut_lineage
 
 by_value(__name__)
 
 SEQ_LEN = 2048
 END_ID = 0
-CACHE_WORDS = 400_000     # words whose ids a worker remembers
+CACHE_WORDS = 150_000     # words whose ids a worker remembers
+BATCH_ROWS = 512          # texts sent to a worker at a time
 PLACE_ROWS = 32_768       # slices of groups of equal sequences
 
 
@@ -355,7 +356,8 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``doc_id`` and the columns ``carry``) that adds their ``position``. Pieces
     of a length are then placed in that order, and sequences are numbered by
     the smallest position among their pieces."""
-    pieces = cut_lineage(tokenize_pieces(docs, id_col, text_col, seq_len, end_id, path, pattern, carry=carry))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        pieces = cut_lineage(tokenize_pieces(docs, id_col, text_col, seq_len, end_id, path, pattern, carry=carry))
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     # at most seq_len rows: one per length
     hist = np.zeros(seq_len + 1, dtype=np.int64)

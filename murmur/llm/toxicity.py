@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._common import by_value, narrow, parts, texts
-from murmur.session import cut_lineage
+from murmur.session import arrow_batches, cut_lineage
 
 by_value(__name__)
 
@@ -39,6 +39,7 @@ MIN_Z = 4.0
 FIT_TASKS = 16
 L2 = 1.0
 PIECE_CHARS = 1 << 18
+BATCH_ROWS = 512      # texts sent to a worker at a time
 FOLDS = 5
 
 
@@ -123,6 +124,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     ``max_rows_per_label`` rows of each label are read for it (the bound that
     the contract allows for fitting a classifier). The regression adds up its
     bounded sample in one partition, so equal tables give equal weights."""
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _fit(docs, labels, id_col, text_col, label_col, max_rows_per_label, min_z, l2)
+
+
+def _fit(docs, labels, id_col, text_col, label_col, max_rows_per_label, min_z, l2) -> ToxicityModel:
     known = narrow(labels, id=F.col(id_col).cast("long"), y=F.col(label_col).cast("int")).where(
         "id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(~held_out("id"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -197,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, from its text alone."""
+    """(doc_id, score) of every row, from its text alone; stored."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -206,11 +212,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id"), pa.array(model.scores(texts(some, "text")))], names=["doc_id", "score"])
 
-    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return cut_lineage(narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, score double"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, unchanged."""
+    """The rows of ``docs`` whose score is below ``threshold``, unchanged; stored."""
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -219,4 +226,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
                 old = ["" if t is None else t for t in some.column(at).to_pylist()]
                 yield some.filter(pa.array(model.scores(old) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return cut_lineage(docs.mapInArrow(run, docs.schema))

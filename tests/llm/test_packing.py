@@ -117,3 +117,21 @@ def test_whole_table_and_written_ids(spark, reference):
     ids = p.packed_ids(df, plan).collect()
     want = {(r["sequence_id"], r["offset"]): r["ids_crc32"] for r in rows}
     assert {(r["sequence_id"], r["offset"]): zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in ids} == want
+
+
+def test_workers_get_few_texts_at_a_time(spark):
+    """Long texts reach a worker in small batches; the user's setting stays."""
+    import pyarrow as pa
+
+    from murmur.llm.packing import BATCH_ROWS
+    from murmur.session import arrow_batches
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    with arrow_batches(spark, BATCH_ROWS):
+        got = [r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert max(got) <= BATCH_ROWS and sum(got) == 3000 and spark.conf.get(key) == before
