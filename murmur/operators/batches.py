@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.operators.cluster import (_Forest, _LINK_SCHEMA, _links_frame, _neighbour_tiles, _sample_units, _unit_matrix,
-                                      block_rows_for, choose_pivots, connected_components, number_clusters, place_in_cells)
+                                      block_rows_for, choose_pivots, connected_components, number_clusters, place_in_cells,
+                                      shipped_rows)
 from murmur.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,7 +45,8 @@ def _against(classes: DataFrame, probe: Column, eps: float, block_rows: int | No
     block of all classes (``_side`` 1) of a cell; see ``_meetings``."""
     base = classes.withColumn("_probe", probe)
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    rows = block_rows or block_rows_for(stats["d"] or 1)
+    dim = stats["d"] or 1
+    rows = shipped_rows(block_rows or block_rows_for(dim), stats["n"], dim)
     pivots = None
     if cells is not None or stats["n"] > rows:
         pivots = choose_pivots(_sample_units(base), stats["n"], eps, rows, cells)

@@ -46,14 +46,26 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # --- block layout --------------------------------------------------------------
 TASK_MEMORY_BYTES = 256 << 20   # working memory one block-pair group may use
 TILE_ROWS = 512                 # rows of the left block per matrix tile
+TILE_COLS = 8192                # rows of the right block per matrix tile
+MAX_BLOCKS = 24                 # blocks a cell, and so copies of a row, while they fit the memory
 RECHECK_PAIRS = 16_384          # pairs compared in float64 at a time
 
 
 def block_rows_for(dim: int, task_memory_bytes: int = TASK_MEMORY_BYTES) -> int:
-    """Rows per block so that one group (two blocks shipped as float32, their
-    float64 unit copies, one float32 similarity tile) fits the budget."""
-    per_row = 2 * dim * (4 + 8) + (4 + 2 + 16) * TILE_ROWS
-    return int(min(65536, max(1024, task_memory_bytes // per_row)))
+    """Rows per block so that one group (two blocks shipped as float32, read as
+    arrays, their float64 unit copies and float32 copies) and one similarity
+    tile fit the budget."""
+    per_row = 2 * (dim * (4 + 4 + 8 + 4) + 160)
+    tile = (4 + 2 + 16) * TILE_ROWS * TILE_COLS
+    return int(min(131072, max(1024, (task_memory_bytes - tile) // per_row)))
+
+
+def shipped_rows(rows: int, n: int, dim: int) -> int:
+    """Rows per block when ``n`` rows are shipped in blocks of ``rows`` or more:
+    every row is shipped once per block, so their number is held at
+    ``MAX_BLOCKS`` as long as a block fits the memory, and what is shuffled
+    grows with the rows, not with their square."""
+    return max(rows, min(math.ceil(n / MAX_BLOCKS), block_rows_for(dim)))
 
 
 SAMPLE_ROWS = 16_384            # rows the pivots and the estimate come from
@@ -161,7 +173,8 @@ def _layout(df: DataFrame, id_col: str, vec_col: str, eps: float, block_rows: in
     if materialize:
         base = cut_lineage(base)
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    rows = block_rows or block_rows_for(stats["d"] or 1)
+    dim = stats["d"] or 1
+    rows = shipped_rows(block_rows or block_rows_for(dim), stats["n"], dim)
     keys = (["_g"] if group_col else []) + ["_cell", "_lo", "_hi"]
     no_halos = F.array().cast("array<struct<cell:int,nb:int,blk:int>>")
     hashed = F.xxhash64("_id")
@@ -229,12 +242,12 @@ def _f32_margin(dim: int) -> float:
     return max(1e-4, 4.0 * dim * float(np.finfo(np.float32).eps))
 
 
-def _exact_pairs(ua: np.ndarray, ub: np.ndarray, near: np.ndarray, start: int, eps: float):
+def _exact_pairs(ua: np.ndarray, ub: np.ndarray, near: np.ndarray, start: int, left: int, eps: float):
     """``(i, j, dist)`` of the marked pairs of a tile that are within eps in
     float64, RECHECK_PAIRS at a time."""
     i, j = np.nonzero(near)
     for k in range(0, len(i), RECHECK_PAIRS):
-        a, b = i[k:k + RECHECK_PAIRS] + start, j[k:k + RECHECK_PAIRS]
+        a, b = i[k:k + RECHECK_PAIRS] + start, j[k:k + RECHECK_PAIRS] + left
         dist = 1.0 - np.einsum("ij,ij->i", ua[a], ub[b])
         ok = dist <= eps
         yield a[ok], b[ok], dist[ok]
@@ -253,20 +266,22 @@ def _neighbour_tiles(ua: np.ndarray, ub: np.ndarray, eps: float, same: bool, exa
     a32, b32 = ua.astype(np.float32), ub.astype(np.float32)
     floor = (1.0 - eps) - _f32_margin(ua.shape[1])
     for start in range(0, len(ua), TILE_ROWS):
-        sim = a32[start:start + TILE_ROWS] @ b32.T
-        near = sim >= floor
-        if same:
-            near[:, :start] = False
-            near[:, start:start + len(sim)] &= np.triu(np.ones((len(sim), len(sim)), dtype=bool), 1)
-        if exact:
-            yield from _exact_pairs(ua, ub, near, start, eps)
-            continue
-        # clear of the threshold by more than the float32 error: no re-check
-        sure = near & (sim >= ceiling)
-        i, j = np.nonzero(sure)
-        if len(i):
-            yield i + start, j, None
-        yield from _exact_pairs(ua, ub, near & ~sure, start, eps)
+        rows = a32[start:start + TILE_ROWS]
+        # with ``same``, tiles left of the diagonal hold no i < j
+        for left in range(start if same else 0, len(ub), TILE_COLS):
+            sim = rows @ b32[left:left + TILE_COLS].T
+            near = sim >= floor
+            if same and left == start:
+                near &= np.triu(np.ones(near.shape, dtype=bool), 1)
+            if exact:
+                yield from _exact_pairs(ua, ub, near, start, left, eps)
+                continue
+            # clear of the threshold by more than the float32 error: no re-check
+            sure = near & (sim >= ceiling)
+            i, j = np.nonzero(sure)
+            if len(i):
+                yield i + start, j + left, None
+            yield from _exact_pairs(ua, ub, near & ~sure, start, left, eps)
 
 
 def _self_neighbour(u: np.ndarray, eps: float) -> np.ndarray:

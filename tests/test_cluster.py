@@ -267,3 +267,14 @@ def test_a_third_of_all_rows_alike(spark):
     got = dbscan_cosine(df, eps=0.01, min_samples=5, block_rows=8192)
     sizes = {r.cluster: r["count"] for r in got.groupBy("cluster").count().collect()}
     assert sum(sizes.values()) == n and sizes[0] >= n // 3
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark):
+    """Blocks are shipped once per block of their cell; there are at most MAX_BLOCKS."""
+    from murmur.operators.cluster import MAX_BLOCKS, _layout, _replicate, block_rows_for, shipped_rows
+    for n in (3000, 12000):
+        df = spark.range(n).selectExpr("id", "array(float(id + 1), float(1)) as v")
+        prepared, _ = _layout(df, "id", "v", 0.1, 10, cells=0)
+        assert _replicate(prepared).count() == MAX_BLOCKS * n
+    assert shipped_rows(10, 100, 2) == 10                                  # few rows: as asked
+    assert shipped_rows(10, 10 ** 9, 64) == block_rows_for(64)             # never more than the memory holds
