@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from murmur.functions import lexicon as lx
 from murmur.functions import vectors as vx
 from murmur.functions.indexing import with_ordinal
+from murmur.functions.joins import lookup_of
 from murmur.functions.numeric import np_round, whole_days_between
+from murmur.session import cut_lineage
 
 NOISE = -1
 
@@ -25,6 +27,16 @@ def _kw(word: str) -> str:
     return "kw_" + word
 
 
+HEAVY_CLUSTERS = 2_000    # of these the figures are broadcast to the members
+
+
+def _spread_join(members: DataFrame, figures: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Members with the figures (``values``, one row a cluster, ``_n`` members) of
+    their cluster. Members of the largest clusters are not moved, so that no
+    cluster is ever one task."""
+    return lookup_of(figures, keys, values, "_n", whole_rows=HEAVY_CLUSTERS, heavy_keys=HEAVY_CLUSTERS)(members)
+
+
 # --- A1 --------------------------------------------------------------------------
 def drop_noise(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return df.where(F.col(cluster_col) != NOISE)
@@ -265,13 +277,15 @@ def representative_statement(df: DataFrame, cluster_col: str = "cluster", vec_co
     cents = cluster_centroid(df, cluster_col, vec_col, group_col=group_col)
     lead = [group_col] if group_col else []
     keys = [*lead, "cluster"]
-    members = drop_noise(df, cluster_col).select(
-        *lead, F.col(cluster_col).alias("cluster"), "pos", F.col(vec_col).alias("_v"))
-    # whole billionths, so max and min run as hash aggregates on numbers
+    # rows of one vector are equally near: only the first of them is compared
+    members = cut_lineage(drop_noise(df, cluster_col).groupBy(
+        *_keys(cluster_col, group_col), F.col(vec_col).alias("_v")).agg(F.min("pos").alias("pos")))
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # whole billionths, so that ties are ties
     sim = F.coalesce(F.rint(vx.cosine("_v", "centroid") * F.lit(1e9)).cast("long"), F.lit(-(2 ** 62)))
-    near = members.join(cents, keys).select(*keys, "pos", sim.alias("_s"))
-    best = near.groupBy(*keys).agg(F.max("_s").alias("_s"))
-    first = near.join(best, [*keys, "_s"]).groupBy(*keys).agg(F.min("pos").alias("pos"))
+    near = _spread_join(members, cents.join(sizes, keys), keys, ["centroid"]).select(
+        *keys, F.struct(sim.alias("s"), (-F.col("pos")).alias("p")).alias("_b"))
+    first = near.groupBy(*keys).agg(F.max("_b").alias("_b")).select(*keys, (-F.col("_b.p")).alias("pos"))
     # the text is fetched for one row a cluster
     rows = drop_noise(df, cluster_col).select(
         *lead, F.col(cluster_col).alias("cluster"), "pos", F.col(text_col).alias("problem"),
@@ -300,8 +314,8 @@ def numbered_evidence(df: DataFrame, cluster_col: str = "cluster", group_col: st
     cluster's first, so no cluster is ever one task."""
     keys = ([group_col] if group_col else []) + ["cluster"]
     ordered = with_ordinal(evidence_table(df, cluster_col, group_col=group_col), "_o", [*keys, "pos"], start=0)
-    first = ordered.groupBy(*keys).agg(F.min("_o").alias("_o0"))
-    return ordered.join(first, keys).withColumn("seq", F.col("_o") - F.col("_o0")).drop("_o", "_o0")
+    first = ordered.groupBy(*keys).agg(F.min("_o").alias("_o0"), F.count(F.lit(1)).alias("_n"))
+    return _spread_join(ordered, first, keys, ["_o0"]).withColumn("seq", F.col("_o") - F.col("_o0")).drop("_o", "_o0")
 
 
 def nested_evidence(df: DataFrame, cluster_col: str = "cluster", chunk: int = EVIDENCE_CHUNK,
@@ -377,6 +391,7 @@ def analyze_feedback(feedback: DataFrame, sentiment=None, embedder=None, eps: fl
     ranked = rank_insights(scored.join(reps, lead + ["cluster"], "left").select(*lead, *INSIGHT_COLUMNS),
                            group_col=group_col)
     nested = nested_evidence(enriched.drop(vec_col), chunk=evidence_chunk, group_col=group_col)
-    insights = ranked.join(nested, lead + ["cluster"]).select(
+    values = [c for c in INSIGHT_COLUMNS if c != "cluster"] + ["rank"]
+    insights = _spread_join(nested, ranked.withColumn("_n", F.col("evidence_count")), lead + ["cluster"], values).select(
         *lead, *INSIGHT_COLUMNS, "chunk_no", "supporting_feedback_ids", "supporting_feedback", "rank")
     return insights.orderBy(*lead, "rank", "chunk_no"), enriched

@@ -103,3 +103,17 @@ def test_plans_of_the_aggregates(spark, clustered):
     vec = clustered.withColumn("embedding", F.array(F.col("pos").cast("double"), F.lit(1.0)))
     plan = representative_statement(vec)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_members_of_the_largest_clusters_are_not_moved(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from murmur.operators import insights
+    monkeypatch.setattr(insights, "HEAVY_CLUSTERS", 1)
+    members = spark.range(900).select(F.col("id").alias("pos"), F.when(F.col("id") % 9 < 8, 0).otherwise(
+        F.col("id")).cast("int").alias("cluster")).withColumn("part", F.spark_partition_id())
+    figures = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("first"))
+    out = insights._spread_join(members, figures, ["cluster"], ["first"])
+    got = out.withColumn("now", F.spark_partition_id()).collect()
+    assert len(got) == 900 and all(r.now == r.part for r in got if r.cluster == 0)
+    assert all(r.first == (0 if r.cluster == 0 else r.pos) for r in got)
