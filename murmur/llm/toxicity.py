@@ -139,8 +139,9 @@ def _fit(docs, labels, id_col, text_col, label_col, max_rows_per_label, min_z, l
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows_per_label) for y in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])
     own = narrow(docs, id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit("")))
+    # sorted here, while the rows are texts: the wide rows of the regression keep this order
     sample = cut_lineage(own.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-                         .repartition(FIT_TASKS, "id"))
+                         .repartitionByRange(FIT_TASKS, "id").sortWithinPartitions("id"))
 
     def count(batches):
         counts = np.zeros((2, width), dtype=np.int32)
@@ -190,11 +191,12 @@ def _fit(docs, labels, id_col, text_col, label_col, max_rows_per_label, min_z, l
     # shipped by value: the workers need no copy of this package
     n = len(used)
     sparse = F.udf(lambda at, value: Vectors.sparse(n, at, value), VectorUDT())
-    # at most 2 * max_rows_per_label sparse rows, worked out in FIT_TASKS tasks
-    rows = (cut_lineage(sample.mapInArrow(features, "id long, y int, at array<int>, value array<double>"))
-            .select("id", F.col("y").cast("double").alias("label"), sparse("at", "value").alias("features"),
-                    F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))
-            .coalesce(1).sortWithinPartitions("id"))
+    # at most 2 * max_rows_per_label sparse rows, worked out in FIT_TASKS tasks and stored by id;
+    # the regression's task reads them one after the other and holds no copy for a sort
+    rows = cut_lineage(
+        sample.mapInArrow(features, "id long, y int, at array<int>, value array<double>")
+        .select("id", F.col("y").cast("double").alias("label"), sparse("at", "value").alias("features"),
+                F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))).coalesce(1)
     fit = LogisticRegression(weightCol="weight", standardization=False, regParam=l2 / (sizes[0] + sizes[1]),
                              maxIter=200, tol=1e-7).fit(rows)
     full = np.zeros(width)

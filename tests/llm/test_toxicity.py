@@ -150,3 +150,17 @@ def test_no_feature_is_certain(spark):
     learnt = [i % 4 == 0 for i in range(40) if zlib.crc32(str(i).encode()) % 5]
     got = {round(r["score"], 9) for r in t.score_toxicity(docs, model).collect()}
     assert got == {round(sum(learnt) / len(learnt), 9)}
+
+
+def test_regression_only_reads_stored_rows_by_id(spark, fitted, monkeypatch):
+    """One task adds up the sample: it gets finished rows in the order of their
+    ids, and neither makes nor sorts them, which would hold them all at once."""
+    docs, labels, model, _ = fitted
+    seen, fit = [], t.LogisticRegression.fit
+    monkeypatch.setattr(t.LogisticRegression, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    again = t.fit_toxicity(docs.repartition(7, "text"), labels.orderBy("quality"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "EvalPython" not in plan and "Exchange" not in plan
+    ids = [r["id"] for r in seen[0].select("id").collect()]
+    assert seen[0].rdd.getNumPartitions() == 1 and ids == sorted(ids) and len(set(ids)) == len(ids) > 100
+    assert np.array_equal(again.weight, model.weight) and again.intercept == model.intercept
