@@ -23,9 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from murmur.llm._common import by_value, narrow, parts, texts
 from murmur.session import arrow_batches, cut_lineage
@@ -184,18 +185,21 @@ def _fit(docs, labels, id_col, text_col, label_col, max_rows_per_label, min_z, l
                 doc, feature = present(texts(some, "text"), wanted)
                 cut = pa.array(np.searchsorted(doc, np.arange(some.num_rows + 1)).astype(np.int32))
                 at, value = np.searchsorted(used, feature).astype(np.int32), scale[feature]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("id"), some.column("y"), pa.ListArray.from_arrays(cut, pa.array(at)),
-                     pa.ListArray.from_arrays(cut, pa.array(value))], names=["id", "y", "at", "value"])
-
-    # shipped by value: the workers need no copy of this package
-    n = len(used)
-    sparse = F.udf(lambda at, value: Vectors.sparse(n, at, value), VectorUDT())
+                sparse = pa.StructArray.from_arrays(   # Spark's stored form of a sparse vector
+                    [pa.array(np.zeros(some.num_rows, dtype=np.int8)),
+                     pa.array(np.full(some.num_rows, len(used), dtype=np.int32)),
+                     pa.ListArray.from_arrays(cut, pa.array(at)), pa.ListArray.from_arrays(cut, pa.array(value))],
+                    names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("y"), sparse],
+                                                 names=["id", "y", "features"])
+
+    made = StructType([StructField("id", LongType()), StructField("y", IntegerType()),
+                       StructField("features", VectorUDT())])
     # at most 2 * max_rows_per_label sparse rows, worked out in FIT_TASKS tasks and stored by id;
     # the regression's task reads them one after the other and holds no copy for a sort
     rows = cut_lineage(
-        sample.mapInArrow(features, "id long, y int, at array<int>, value array<double>")
-        .select("id", F.col("y").cast("double").alias("label"), sparse("at", "value").alias("features"),
+        sample.mapInArrow(features, made)
+        .select("id", F.col("y").cast("double").alias("label"), "features",
                 F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))).coalesce(1)
     fit = LogisticRegression(weightCol="weight", standardization=False, regParam=l2 / (sizes[0] + sizes[1]),
                              maxIter=200, tol=1e-7).fit(rows)
